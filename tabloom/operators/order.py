@@ -212,17 +212,23 @@ def hot_key(df: DataFrame, by: Sequence[str], limit: int = ROWS_PER_TASK) -> boo
     return (top or 0) > limit
 
 
+def _stages(df: DataFrame, built) -> DataFrame:
+    for stage in built if isinstance(built, list) else [built]:
+        df = df.withColumns(stage)
+    return df
+
+
 def windowed(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
-    build: Callable[[object], dict[str, Column]],
+    build: Callable[[object], dict[str, Column] | list[dict[str, Column]]],
     lookback: int = 0,
     lookahead: int = 0,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Adds the window columns of ``build(window)`` whose frames reach at most ``lookback`` rows
-    back and ``lookahead`` rows ahead.
+    back and ``lookahead`` rows ahead (in all, if ``build`` gives a list of successive stages).
 
     Groups that fit a task use one plain window.  If some group does not, every group is cut into
     chunks of ``rows_per_task`` rows by exact row position, and the few rows that a neighbouring
@@ -230,8 +236,7 @@ def windowed(
     """
     by, order = list(by), list(order)
     if not hot_key(df, by, rows_per_task):
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumns(build(w))
+        return _stages(df, build(Window.partitionBy(*by).orderBy(*order)))
     if max(lookback, lookahead) > rows_per_task:
         raise ValueError("the frame is longer than rows_per_task")
     pos = row_positions(df, order, by, "_pos")
@@ -247,7 +252,7 @@ def windowed(
     )
     spread = pos.withColumn("_h", F.explode(homes)).withColumns({"_chunk": F.col("_h.c"), "_own": F.col("_h.own")}).drop("_h")
     w = Window.partitionBy(*by, "_chunk").orderBy("_pos")
-    return spread.withColumns(build(w)).filter("_own").drop("_pos", "_chunk", "_own")
+    return _stages(spread, build(w)).filter("_own").drop("_pos", "_chunk", "_own")
 
 
 def group_transform(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
