@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.operators.order import (
-    ROWS_PER_TASK, carry_last, group_transform, null_safe_join, prefix_sum, ranks, row_positions, windowed,
+    ROWS_PER_TASK, carry_last, group_transform, hot_key, null_safe_join, prefix_sum, ranks, row_positions, windowed,
 )
+from tabloom.session import materialize
 
 
 def full_frame(agg: Column, w, n: int) -> Column:
@@ -298,7 +299,7 @@ def lag_vector_fit(df: DataFrame, by, order: str, col: str, n: int = 14, lags: i
 
 
 def linear_recurrence(
-    df: DataFrame, by: Sequence[str], pos: str, a: str, b: str, name: str, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, by: Sequence[str], pos: str, a: str, b: str, name: str, rows_per_task: int = ROWS_PER_TASK, long_groups: bool | None = None
 ) -> DataFrame:
     """``y_t = a_t * y_{t-1} + b_t`` with ``y_0 = 0`` along ``pos`` (1, 2, ...) of each group.
 
@@ -319,7 +320,9 @@ def linear_recurrence(
         return pdf.assign(_y=ys, _k=ks)
 
     local = chunked.groupBy(*by, "_chunk").applyInPandas(scan, schema)
-    if not df.filter(F.col(pos) > rows_per_task).limit(1).count():
+    if long_groups is None:
+        long_groups = df.filter(F.col(pos) > rows_per_task).limit(1).count() > 0
+    if not long_groups:
         return local.withColumn(name, F.col("_y")).drop("_y", "_k", "_chunk")
     ends = local.groupBy(*by, "_chunk").agg(F.max_by("_y", pos).alias("y"), F.max_by("_k", pos).alias("k"))
     w = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -332,61 +335,64 @@ def linear_recurrence(
     )
 
 
-def smooth(
-    df: DataFrame, by: Sequence[str], order: str, col: str, n: int, name: str, ratio: float | None = None, rows_per_task: int = ROWS_PER_TASK
+def smooth_many(
+    df: DataFrame, by: Sequence[str], order: str, specs: Mapping[str, tuple], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Exponential average seeded with the mean of the first ``n`` non-NULL values (NULL before).
+    """Exponential averages ``{name: (column, n, ratio)}``, each seeded with the mean of its first ``n``
+    non-NULL values (NULL before); ``ratio`` None means 2/(n+1), Wilder's averages use 1/n.
 
-    ``ratio`` is 2/(n+1) unless given; Wilder's averages use 1/n.
+    All of them run as one long-form recursion, so the input is read once.
     """
     by = list(by)
-    r = ratio or 2 / (n + 1)
-    have = df.filter(F.col(col).isNotNull()).select(*by, order, col)
-    p = row_positions(have, [order], by, "_pos")
-    seed = p.filter(F.col("_pos") <= n).groupBy(*by).agg(F.avg(col).alias("_seed"))
-    p = null_safe_join(p, seed, by).withColumns({
-        "_a": F.when(F.col("_pos") <= n, 0.0).otherwise(1 - r),
-        "_b": F.when(F.col("_pos") < n, 0.0).when(F.col("_pos") == n, F.col("_seed")).otherwise(r * F.col(col)),
+    cells = [
+        F.struct(F.lit(k).alias("m"), F.lit(n).alias("n"), F.lit(float(r or 2 / (n + 1))).alias("r"), F.col(c).cast("double").alias("x"))
+        for k, (c, n, r) in specs.items()
+    ]
+    long = df.select(*by, order, F.inline(F.array(*cells))).filter("x is not null")
+    g = [*by, "m"]
+    p = row_positions(long, [order], g, "_pos")
+    seed = p.filter("_pos <= n").groupBy(*g).agg(F.avg("x").alias("_seed"))
+    p = null_safe_join(p, seed, g).withColumns({
+        "_a": F.when(F.col("_pos") <= F.col("n"), 0.0).otherwise(1 - F.col("r")),
+        "_b": F.when(F.col("_pos") < F.col("n"), 0.0).when(F.col("_pos") == F.col("n"), F.col("_seed")).otherwise(F.col("r") * F.col("x")),
     })
-    y = linear_recurrence(p.select(*by, order, "_pos", "_a", "_b"), by, "_pos", "_a", "_b", name, rows_per_task)
-    y = y.withColumn(name, F.when(F.col("_pos") >= n, F.col(name))).select(*by, order, name)
-    return null_safe_join(df, y, [*by, order], "left")
+    long_groups = hot_key(df, by, rows_per_task)
+    y = linear_recurrence(p.select(*g, order, "n", "_pos", "_a", "_b"), g, "_pos", "_a", "_b", "_v", rows_per_task, long_groups)
+    wide = y.filter("_pos >= n").groupBy(*by, order).pivot("m", list(specs)).agg(F.first("_v"))
+    return null_safe_join(df, wide, [*by, order], "left")
+
+
+def smooth(df: DataFrame, by, order: str, col: str, n: int, name: str, ratio: float | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    return smooth_many(df, by, order, {name: (col, n, ratio)}, rows_per_task)
 
 
 def recursive_indicators(bars: DataFrame, by: str = "symbol", order: str = "date", n: int = 14, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """EMA, DEMA, ZLEMA (10), Wilder RSI, ATR, directional index and its average (``n``)."""
-    b = [by]
 
     def build(w):
         pc, ph, pl = [F.lag(x).over(w) for x in ("close", "high", "low")]
         up, down = F.col("high") - ph, pl - F.col("low")
-        return {
+        later = {
             "_gain": F.greatest(F.col("close") - pc, F.lit(0.0)),
             "_loss": F.greatest(pc - F.col("close"), F.lit(0.0)),
-            "_tr": F.when(pc.isNotNull(), F.greatest(F.col("high"), pc) - F.least(F.col("low"), pc)),
-            "_up": F.when(pc.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)),
-            "_down": F.when(pc.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)),
-            "_delag": 2 * F.col("close") - F.lag("close", 4).over(w),
+            "_tr": F.greatest(F.col("high"), pc) - F.least(F.col("low"), pc),
+            "_up": F.when((up > down) & (up > 0), up).otherwise(0.0),
+            "_down": F.when((down > up) & (down > 0), down).otherwise(0.0),
         }
+        out = {k: F.when(pc.isNotNull(), c) for k, c in later.items()}
+        return out | {"_delag": 2 * F.col("close") - F.lag("close", 4).over(w)}
 
-    d = windowed(bars, b, [order], build, 4, 0, rows_per_task)
-    # The lost first rows of gain and loss are NULL, as greatest() would skip the NULL difference.
-    d = d.withColumns({c: F.when(F.col("_tr").isNotNull(), F.col(c)) for c in ("_gain", "_loss")})
-
-    def s(df, col, k, name, ratio=None):
-        return smooth(df, b, order, col, k, name, ratio, rows_per_task)
-
-    d = s(d, "close", 10, "ema")
-    d = s(d, "ema", 10, "_ema2").withColumn("dema", 2 * F.col("ema") - F.col("_ema2"))
-    d = s(d, "_delag", 10, "zlema")
-    for col in ("_gain", "_loss", "_tr", "_up", "_down"):
-        d = s(d, col, n, f"w{col}", 1 / n)
-    d = d.withColumns({
+    d = materialize(windowed(bars, [by], [order], build, 4, 0, rows_per_task))
+    first = {"ema": ("close", 10, None), "zlema": ("_delag", 10, None)}
+    first |= {f"w{c}": (c, n, 1 / n) for c in ("_gain", "_loss", "_tr", "_up", "_down")}
+    d = smooth_many(d, [by], order, first, rows_per_task).withColumns({
         "rsi": 100 * F.try_divide(F.col("w_gain"), F.col("w_gain") + F.col("w_loss")),
         "atr": F.col("w_tr"),
         "dx": 100 * F.try_divide(F.abs(F.col("w_up") - F.col("w_down")), F.col("w_up") + F.col("w_down")),
     })
-    d = s(d, "dx", n, "adx", 1 / n)
+    d = materialize(d)
+    d = smooth_many(d, [by], order, {"_ema2": ("ema", 10, None), "adx": ("dx", n, 1 / n)}, rows_per_task)
+    d = d.withColumn("dema", 2 * F.col("ema") - F.col("_ema2"))
     return d.select(by, order, "ema", "dema", "zlema", "rsi", "atr", "dx", "adx")
 
 

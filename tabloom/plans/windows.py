@@ -205,8 +205,9 @@ def frame(expr, n):
     return f"case when count(*) over (w rows {n - 1} preceding) = {n} then {expr.replace('FRAME', f'over (w rows {n - 1} preceding)')} end"
 
 
-IND = f"""b as (select *, (high + low + close) / 3 as tp, close - lag(close) over w as d, lag(close) over w as pc, row_number() over w as rn,
-      coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) as clv from v_bars window w as ({B})),
+IND = f"""lb as (select symbol, date, ln(open) as open, ln(high) as high, ln(low) as low, ln(close) as close, volume from v_bars),
+    b as (select *, (high + low + close) / 3 as tp, close - lag(close) over w as d, lag(close) over w as pc, row_number() over w as rn,
+      coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) as clv from lb window w as ({B})),
     c as (select *, tp - lag(tp) over w as tpd from b window w as ({B})),
     m as (select a.symbol, a.date, avg(abs(x.tp - a.m20)) as md from (select symbol, date, rn, avg(tp) over (w rows 19 preceding) as m20 from c window w as ({B})) a
       join c x on x.symbol = a.symbol and x.rn between a.rn - 19 and a.rn group by 1, 2),
@@ -218,23 +219,23 @@ IND = f"""b as (select *, (high + low + close) / 3 as tp, close - lag(close) ove
 
 @query(
     "W18_indicators",
-    f"""with {V_BARS}, {IND} select symbol, date, round(clv, 5) as clv, round(greatest(high, coalesce(pc, high)) - least(low, coalesce(pc, low)), 5) as tr, round(d, 5) as momentum,
-    round({frame('avg(close) FRAME', 10)}, 5) as sma, round(close - {frame('avg(close) FRAME', 10)}, 5) as dpo, case when rn >= 10 then round(wma, 5) end as wma,
-    round((close - {frame('min(low) FRAME', 14)}) / nullif({frame('max(high) FRAME', 14)} - {frame('min(low) FRAME', 14)}, 0), 5) as fast_k,
-    round(({frame('max(high) FRAME', 14)} - close) / nullif({frame('max(high) FRAME', 14)} - {frame('min(low) FRAME', 14)}, 0), 5) as wpr,
-    case when rn > 14 then round(100 * sum(d) over (w rows 13 preceding) / nullif(sum(abs(d)) over (w rows 13 preceding), 0), 5) end as cmo,
+    f"""with {V_BARS}, {IND} select symbol, date, round(clv, 6) as clv, round(greatest(high, coalesce(pc, high)) - least(low, coalesce(pc, low)), 6) as tr, round(d, 6) as momentum,
+    round({frame('avg(close) FRAME', 10)}, 6) as sma, round(close - {frame('avg(close) FRAME', 10)}, 6) as dpo, case when rn >= 10 then round(wma, 6) end as wma,
+    round((close - {frame('min(low) FRAME', 14)}) / nullif({frame('max(high) FRAME', 14)} - {frame('min(low) FRAME', 14)}, 0), 6) as fast_k,
+    round(({frame('max(high) FRAME', 14)} - close) / nullif({frame('max(high) FRAME', 14)} - {frame('min(low) FRAME', 14)}, 0), 6) as wpr,
+    case when rn > 14 then round(100 * sum(d) over (w rows 13 preceding) / nullif(sum(abs(d)) over (w rows 13 preceding), 0), 6) end as cmo,
     case when rn > 14 then round(100 - 100 / (1 + sum(case when tpd > 0 then tp * volume else 0 end) over (w rows 13 preceding)
-      / nullif(sum(case when tpd < 0 then tp * volume else 0 end) over (w rows 13 preceding), 0)), 5) end as mfi,
-    case when rn > 28 then round((max(close) over (w rows 27 preceding) - min(close) over (w rows 27 preceding)) / nullif(sum(abs(d)) over (w rows 27 preceding), 0), 5) end as vhf,
-    round((tp - {frame('avg(tp) FRAME', 20)} + 2 * {frame('stddev_pop(tp) FRAME', 20)}) / nullif(4 * {frame('stddev_pop(tp) FRAME', 20)}, 0), 5) as bb_pct,
-    case when rn >= 20 then round((tp - avg(tp) over (w rows 19 preceding)) / nullif(0.015 * md, 0), 5) end as cci,
+      / nullif(sum(case when tpd < 0 then tp * volume else 0 end) over (w rows 13 preceding), 0)), 6) end as mfi,
+    case when rn > 28 then round((max(close) over (w rows 27 preceding) - min(close) over (w rows 27 preceding)) / nullif(sum(abs(d)) over (w rows 27 preceding), 0), 6) end as vhf,
+    round((tp - {frame('avg(tp) FRAME', 20)} + 2 * {frame('stddev_pop(tp) FRAME', 20)}) / nullif(4 * {frame('stddev_pop(tp) FRAME', 20)}, 0), 6) as bb_pct,
+    case when rn >= 20 then round((tp - avg(tp) over (w rows 19 preceding)) / nullif(0.015 * md, 0), 6) end as cci,
     case when rn >= 21 then 100 * (20 - ah) / 20 end as aroon_up, case when rn >= 21 then 100 * (20 - al) / 20 end as aroon_down, """
-    + ", ".join(f"round({frame('sum(clv * volume) FRAME', n)} / {frame('sum(volume) FRAME', n)}, 5) as cmf_{n}" for n in range(1, 8))
+    + ", ".join(f"round({frame('sum(clv * volume) FRAME', n)} / {frame('sum(volume) FRAME', n)}, 6) as cmf_{n}" for n in range(1, 8))
     + f" from c join m using (symbol, date) join ar using (symbol, date) join wm using (symbol, date) window w as ({B})",
-    digits=5,
+    digits=6,
 )
 def w18(t):
-    return W.indicators(t.bars)
+    return W.indicators(t.bars.withColumns({c: F.ln(c) for c in ("open", "high", "low", "close")}))
 
 
 @query(
