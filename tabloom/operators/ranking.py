@@ -22,7 +22,7 @@ def class_prefix(df: DataFrame, y: str, p: str, w: str | None = None, by: Sequen
     pos = F.when(F.col(y) == 1, weight).otherwise(0.0)
     neg = F.when(F.col(y) == 1, 0.0).otherwise(weight)
     t = prefix_sum(df, p, {"pos": pos, "neg": neg, "n": F.lit(1)}, by, descending)
-    tot = df.groupBy(*by).agg(F.sum(pos).alias("P"), F.sum(neg).alias("N"), F.count(F.lit(1)).alias("rows"))
+    tot = df.groupBy(*by).agg(F.sum(pos).alias("all_pos"), F.sum(neg).alias("all_neg"), F.count(F.lit(1)).alias("rows"))
     return null_safe_join(t, tot, list(by))
 
 
@@ -31,13 +31,13 @@ def auc(df: DataFrame, y: str, p: str, w: str | None = None, by: Sequence[str] =
     t = class_prefix(df, y, p, w, by)
     below = F.col("cum_neg") - F.col("neg")
     num = F.sum(F.col("pos") * (below + 0.5 * F.col("neg")))
-    pn = F.max("P") * F.max("N")
+    pn = F.max("all_pos") * F.max("all_neg")
     return t.groupBy(*by).agg(F.when(pn == 0, 1.0).otherwise(F.try_divide(num, pn)).alias(name))
 
 
 def ks(df: DataFrame, y: str, p: str, w: str | None = None, by: Sequence[str] = (), name: str = "ks") -> DataFrame:
     t = class_prefix(df, y, p, w, by)
-    gap = F.try_divide("cum_neg", "N") - F.try_divide("cum_pos", "P")
+    gap = F.try_divide("cum_neg", "all_neg") - F.try_divide("cum_pos", "all_pos")
     return t.groupBy(*by).agg(F.greatest(F.max(gap), F.lit(0.0)).alias(name))
 
 
@@ -46,7 +46,7 @@ def pair_counts(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFr
     t = class_prefix(df, y, p, None, by)
     conc = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg")))
     tied = F.sum(F.col("pos") * F.col("neg"))
-    all_pairs = F.max("P") * F.max("N")
+    all_pairs = F.max("all_pos") * F.max("all_neg")
     return t.groupBy(*by).agg(
         conc.alias("concordant"), (all_pairs - conc - tied).alias("discordant"), tied.alias("tied"),
         F.try_divide(2 * conc + tied - all_pairs, all_pairs).alias("somers_d"),
@@ -57,16 +57,16 @@ def gini(df: DataFrame, y: str, p: str, w: str | None = None, by: Sequence[str]
     """Lorenz area with rows in falling order of ``p``; equal scores are averaged."""
     weight = F.col(w) if w else F.lit(ONE)
     t = prefix_sum(df, p, {"a": F.col(y) * weight, "k": weight}, by, descending=True)
-    tot = df.groupBy(*by).agg(F.sum(F.col(y) * weight).alias("A"), F.sum(weight).alias("K"))
+    tot = df.groupBy(*by).agg(F.sum(F.col(y) * weight).alias("all_a"), F.sum(weight).alias("all_k"))
     t = null_safe_join(t, tot, list(by))
     a0, k0 = F.col("cum_a") - F.col("a"), F.col("cum_k") - F.col("k")
     if w:
         cross = F.sum(F.col("cum_a") * k0 - a0 * F.col("cum_k"))
-        value = F.try_divide(cross, F.max("A") * F.max("K"))
+        value = F.try_divide(cross, F.max("all_a") * F.max("all_k"))
     else:
         k = F.col("k")
-        lorenz = F.try_divide(F.sum(k * a0 + F.col("a") * (k + 1) / 2), F.max("A"))
-        value = (lorenz - (F.max("K") + 1) / 2) / F.max("K")
+        lorenz = F.try_divide(F.sum(k * a0 + F.col("a") * (k + 1) / 2), F.max("all_a"))
+        value = (lorenz - (F.max("all_k") + 1) / 2) / F.max("all_k")
     return t.groupBy(*by).agg(value.alias(name))
 
 
@@ -99,12 +99,12 @@ def ams_curve(df: DataFrame, y: str, p: str, w: str | None = None) -> DataFrame:
     first = F.ceil(F.round(100 * F.col("cum_n") / F.col("rows"), 9)).cast("int")
     steps = t.groupBy(first.alias("pct")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("rows").alias("rows"))
     grid = df.sparkSession.range(0, 101).select(F.col("id").cast("int").alias("pct"))
-    total = t.agg(F.max("rows").alias("_rows"), F.max("N").alias("_N"))
+    total = t.agg(F.max("rows").alias("_rows"), F.max("all_neg").alias("_neg"))
     upto = Window.orderBy("pct").rowsBetween(Window.unboundedPreceding, 0)  # 101 rows
     g = grid.join(steps, "pct", "left").crossJoin(F.broadcast(total))
     factor = 250000.0 / F.col("_rows")
     s = F.coalesce(F.sum("pos").over(upto), F.lit(0.0)) * factor
-    b = (F.col("_N") - F.coalesce(F.sum("neg").over(upto), F.lit(0.0))) * factor
+    b = (F.col("_neg") - F.coalesce(F.sum("neg").over(upto), F.lit(0.0))) * factor
     ams = F.sqrt(2 * ((s + b + 10.0) * F.ln(1 + s / (b + 10.0)) - s))
     return g.select("pct", ams.alias("ams"))
 
@@ -140,7 +140,7 @@ def gini_20_bins(df: DataFrame, y: str, p: str, bins: int = 20) -> DataFrame:
     at = t.select("*", size.alias("size"), F.explode(here).alias("c"))
     hits = (F.col("cum_pos") - F.col("pos")) + F.greatest(F.lit(0.0), F.col("c.k") - before - F.col("neg"))
     pts = at.select(
-        F.col("c.i").alias("i"), (hits / F.col("P")).alias("t"), ((F.col("c.i") * F.col("size") - hits) / F.col("N")).alias("u")
+        F.col("c.i").alias("i"), (hits / F.col("all_pos")).alias("t"), ((F.col("c.i") * F.col("size") - hits) / F.col("all_neg")).alias("u")
     )
     ends = df.sparkSession.createDataFrame([(0, 0.0, 0.0), (bins, 1.0, 1.0)], "i int, t double, u double")
     w = Window.orderBy("i")  # 21 rows

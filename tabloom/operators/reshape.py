@@ -187,15 +187,16 @@ def _block_products(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def pairwise_correlation(df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int = 64) -> DataFrame:
-    """Pearson correlation of every pair of series over shared dates: ``series_1, series_2, n, corr``.
+def pairwise_sums(
+    df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int = 64, centre: bool = False
+) -> DataFrame:
+    """``series_1 < series_2`` with n, sx, sy, sxx, syy, sxy over shared dates, for every pair of series.
 
     Series are numbered and cut into blocks; a task gets two blocks and one slice of the dates and
-    adds up matrix products, so no date ever emits its pairs of rows.  Values are centred per series.
+    adds up matrix products, so no date ever emits its pairs of rows.
     """
-    means = df.groupBy(series).agg(F.avg(value).alias("_m"))
-    ids = row_positions(df.select(series).distinct(), [series], name="idx").withColumn("idx", F.col("idx") - 1)
-    ids = ids.join(means, series)
+    means = df.groupBy(series).agg((F.avg(value) if centre else F.lit(0.0)).alias("_m"))
+    ids = row_positions(means, [series], name="idx").withColumn("idx", F.col("idx") - 1)
     n_blocks = -(-ids.count() // block)
     rows = (
         df.filter(F.col(value).isNotNull())
@@ -208,21 +209,24 @@ def pairwise_correlation(df: DataFrame, series: str, date: str, value: str, bloc
             F.pmod(F.xxhash64(date), F.lit(date_slices)).alias("ds"),
         )
     )
-    other = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    placed = rows.withColumn("_o", F.explode(other)).select(
+    placed = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select(
         F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"), "ds", "date", "idx", "block", "v"
     )
     sums = placed.groupBy("bi", "bj", "ds").applyInPandas(_block_products, PAIR)
     total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    a = ids.select(F.col("idx").alias("i"), F.col(series).alias("series_1"))
+    b = ids.select(F.col("idx").alias("j"), F.col(series).alias("series_2"))
+    return total.join(a, "i").join(b, "j").drop("i", "j")
+
+
+def pairwise_correlation(df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int = 64) -> DataFrame:
+    """Pearson correlation of every pair of series over shared dates: ``series_1, series_2, n, corr``."""
+    t = pairwise_sums(df, series, date, value, block, date_slices, centre=True)
     n = F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     vx = F.col("sxx") - F.col("sx") ** 2 / n
     vy = F.col("syy") - F.col("sy") ** 2 / n
-    a = ids.select(F.col("idx").alias("i"), F.col(series).alias("series_1"))
-    b = ids.select(F.col("idx").alias("j"), F.col(series).alias("series_2"))
-    return total.join(a, "i").join(b, "j").select(
-        "series_1", "series_2", n.cast("long").alias("n"), F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("corr")
-    )
+    return t.select("series_1", "series_2", n.cast("long").alias("n"), F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("corr"))
 
 
 def target_correlation(df: DataFrame, y: str, cols: Sequence[str] | None = None) -> DataFrame:

@@ -56,18 +56,18 @@ def m04(t):
     return by_group(t, accuracy=M.accuracy(y, p), balanced=M.balanced_accuracy(y, p))
 
 
-D = "d as (select grp, p, sum(case when y = 1 then {w} else 0 end) as pos, sum(case when y = 0 then {w} else 0 end) as neg from v_scores group by 1, 2), c as (select *, sum(neg) over (partition by grp order by p) - neg as below, sum(pos) over (partition by grp) as P, sum(neg) over (partition by grp) as N, sum(pos) over (partition by grp order by p) as cp, sum(neg) over (partition by grp order by p) as cn from d)"
+D = "d as (select grp, p, sum(case when y = 1 then {w} else 0 end) as pos, sum(case when y = 0 then {w} else 0 end) as neg from v_scores group by 1, 2), c as (select *, sum(neg) over (partition by grp order by p) - neg as below, sum(pos) over (partition by grp) as tp, sum(neg) over (partition by grp) as tn, sum(pos) over (partition by grp order by p) as cp, sum(neg) over (partition by grp order by p) as cn from d)"
 
 
 @query(
     "M05_auc",
-    f"""with {V_SCORES}, {D.format(w='1')}, a as (select grp, sum(pos * (below + 0.5 * neg)) / max(P * N) as auc from c group by 1) select grp, round(auc, 6) as auc from a""",
+    f"""with {V_SCORES}, {D.format(w='1')}, a as (select grp, sum(pos * (below + 0.5 * neg)) / max(tp * tn) as auc from c group by 1) select grp, round(auc, 6) as auc from a""",
 )
 def m05(t):
     return K.auc(t.scores, "y", "p", by=["grp"])
 
 
-@query("M05_auc_weighted", f"with {V_SCORES}, {D.format(w='w')} select grp, round(sum(pos * (below + 0.5 * neg)) / max(P * N), 6) as auc from c group by 1")
+@query("M05_auc_weighted", f"with {V_SCORES}, {D.format(w='w')} select grp, round(sum(pos * (below + 0.5 * neg)) / max(tp * tn), 6) as auc from c group by 1")
 def m05b(t):
     return K.auc(t.scores, "y", "p", "w", by=["grp"])
 
@@ -87,7 +87,7 @@ def m06(t):
     return K.multiclass_auc(s, "flag", {"R": "pr", "A": "pa", "N": "pn"})
 
 
-@query("M07_ks", f"with {V_SCORES}, {D.format(w='1')} select grp, round(greatest(max(cn / N - cp / P), 0), 6) as ks from c group by 1")
+@query("M07_ks", f"with {V_SCORES}, {D.format(w='1')} select grp, round(greatest(max(cn / tn - cp / tp), 0), 6) as ks from c group by 1")
 def m07(t):
     return K.ks(t.scores, "y", "p", by=["grp"])
 
@@ -144,8 +144,8 @@ def m11b(t):
 @query(
     "M12_ams",
     f"""with {V_SCORES}, d as (select p, sum(y) as pos, sum(1 - y) as neg, count(*) as n from v_scores group by 1),
-    c as (select *, ceil(round(100 * sum(n) over (order by p desc) / sum(n) over (), 9))::int as pct from d), tot as (select count(*) as rows, sum(1 - y) as N from v_scores),
-    g as (select unnest(range(0, 101))::int as pct), z as (select g.pct, coalesce(sum(pos), 0) * 250000.0::double / max(rows) as s, (max(N) - coalesce(sum(neg), 0)) * 250000.0::double / max(rows) as b
+    c as (select *, ceil(round(100 * sum(n) over (order by p desc) / sum(n) over (), 9))::int as pct from d), tot as (select count(*) as rows, sum(1 - y) as tn from v_scores),
+    g as (select unnest(range(0, 101))::int as pct), z as (select g.pct, coalesce(sum(pos), 0) * 250000.0::double / max(rows) as s, (max(tn) - coalesce(sum(neg), 0)) * 250000.0::double / max(rows) as b
       from g cross join tot left join c on c.pct <= g.pct group by 1)
     select pct, round(sqrt(2 * ((s + b + 10) * ln(1 + s / (b + 10)) - s)), 6) as ams from z""",
 )
@@ -287,7 +287,7 @@ def m25(t):
 
 @query(
     "M26_somers_d",
-    f"""with {V_SCORES}, {D.format(w='1')}, s as (select grp, sum(pos * below)::double as c, sum(pos * neg)::double as t, max(P * N)::double as a from c group by 1)
+    f"""with {V_SCORES}, {D.format(w='1')}, s as (select grp, sum(pos * below)::double as c, sum(pos * neg)::double as t, max(tp * tn)::double as a from c group by 1)
     select grp, c as concordant, a - c - t as discordant, t as tied, round((2 * c + t - a) / a, 6) + 0 as somers_d from s""",
 )
 def m26(t):
@@ -296,10 +296,10 @@ def m26(t):
 
 @query(
     "M27_gini_20_bins",
-    f"""with {V_SCORES}, o as (select y, row_number() over (order by p, y) as r from v_scores), n as (select count(*) as n, sum(y) as P, sum(1 - y) as N from v_scores),
-    b as (select i, floor(i * n / 20 - 1)::bigint as k, i * n / 20 as pos, P, N from n, (select unnest(range(1, 20)) as i)),
-    h as (select i, pos, P, N, coalesce(sum(y), 0) as hits from b left join o on r <= k group by all),
-    pts as (select i, hits / P as t, (pos - hits) / N as u from h union all select 0, 0, 0 union all select 20, 1, 1)
+    f"""with {V_SCORES}, o as (select y, row_number() over (order by p, y) as r from v_scores), n as (select count(*) as n, sum(y) as tp, sum(1 - y) as tn from v_scores),
+    b as (select i, floor(i * n / 20 - 1)::bigint as k, i * n / 20 as pos, tp, tn from n, (select unnest(range(1, 20)) as i)),
+    h as (select i, pos, tp, tn, coalesce(sum(y), 0) as hits from b left join o on r <= k group by all),
+    pts as (select i, hits / tp as t, (pos - hits) / tn as u from h union all select 0, 0, 0 union all select 20, 1, 1)
     select round(1 - sum(a * b), 6) + 0 as gini from (select t + lag(t) over (order by i) as a, u - lag(u) over (order by i) as b from pts)""",
 )
 def m27(t):
@@ -335,7 +335,7 @@ def m28(t):
     "M29_metrics_report",
     f"""with {V_SCORES.replace('v_scores as', 'v_base as')}, v_scores as (select p, y, w, grp from v_base union all select p, y, w, 'pooled' from v_base), {D.format(w='1')},
     s as (select grp, 'LogLoss' as metric, avg({LL}) as score from v_scores group by 1 union all select grp, 'RMSE', sqrt(avg((y - p) ** 2)) from v_scores group by 1
-      union all select grp, 'AUC', sum(pos * (below + 0.5 * neg)) / max(P * N) from c group by 1 union all select grp, 'Kolmogorov-Smirnov', greatest(max(cn / N - cp / P), 0) from c group by 1)
+      union all select grp, 'AUC', sum(pos * (below + 0.5 * neg)) / max(tp * tn) from c group by 1 union all select grp, 'Kolmogorov-Smirnov', greatest(max(cn / tn - cp / tp), 0) from c group by 1)
     select metric, grp as partition, round(score, 5) as score from s union all select metric, 'mean', round(avg(score), 5) from s where grp <> 'pooled' group by 1""",
     digits=5,
 )
