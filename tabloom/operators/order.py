@@ -159,9 +159,9 @@ def ranks(
     """
     by = list(by)
     pre = prefix_sum(
-        df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")),
+        df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_rn")),
         value,
-        {"n": F.col("_n"), "d": F.lit(1)},
+        {"_rc": F.col("_rn"), "_rd": F.lit(1)},
         by,
         descending,
         slices,
@@ -169,10 +169,10 @@ def ranks(
     table = pre.select(
         *by,
         value,
-        (F.col("cum_n") - F.col("n") + 1).alias("rank_min"),
-        (F.col("cum_n") - (F.col("n") - 1) / 2).alias("rank_avg"),
-        F.col("cum_n").alias("rank_max"),
-        F.col("cum_d").alias("rank_dense"),
+        (F.col("cum__rc") - F.col("_rc") + 1).alias("rank_min"),
+        (F.col("cum__rc") - (F.col("_rc") - 1) / 2).alias("rank_avg"),
+        F.col("cum__rc").alias("rank_max"),
+        F.col("cum__rd").alias("rank_dense"),
     )
     return null_safe_join(df, table, [*by, value])
 
@@ -274,14 +274,14 @@ def quantiles(
     by = list(by)
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     pre = prefix_sum(
-        clean.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), value, {"n": F.col("_n")}, by, slices=slices
+        clean.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_qn")), value, {"_qc": F.col("_qn")}, by, slices=slices
     )
-    totals = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
+    totals = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("_qtotal"))
     j = null_safe_join(pre, totals, by)
-    v, first, last = F.col(value).cast("double"), F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    v, first, last = F.col(value).cast("double"), F.col("cum__qc") - F.col("_qc"), F.col("cum__qc") - 1
     picks = []
     for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("_total") - 1)
+        h = F.lit(float(p)) * (F.col("_qtotal") - 1)
         lo, hi = F.floor(h), F.ceil(h)
         picks += [
             F.max(F.when((first <= lo) & (lo <= last), v)).alias(f"_lo{i}"),
