@@ -85,19 +85,15 @@ def rolling_mode(df: DataFrame, by, order: Sequence[str], value: str, n: int, na
 
     def build(w):
         last = F.collect_list(value).over(w.rowsBetween(-(n - 1), 0))
-        return [{"_last": last}, {name: array_mode(F.col("_last"))}]
+        return [{"_last": last}, {"_sorted": F.array_sort("_last")}, {name: sorted_mode(F.col("_sorted"))}]
 
-    return windowed(df, by, order, build, n - 1, 0, rows_per_task).drop("_last")
+    return windowed(df, by, order, build, n - 1, 0, rows_per_task).drop("_last", "_sorted")
 
 
-def array_mode(a: Column) -> Column:
-    """Mode of a short array: in sorted order, the longest run starts at the smallest such value."""
-    s = F.array_sort(a)
-    n = F.size(s)
-    runs = F.transform(
-        F.array_distinct(s), lambda v: F.struct((-F.size(F.filter(s, lambda x: x == v))).alias("k"), v.alias("v"))
-    )
-    return F.when(n > 0, F.array_min(runs)["v"])
+def sorted_mode(s: Column) -> Column:
+    """Mode of a short sorted array, the smallest among equals."""
+    runs = F.transform(F.array_distinct(s), lambda v: F.struct((-F.size(F.filter(s, lambda x: x == v))).alias("k"), v.alias("v")))
+    return F.array_min(runs)["v"]
 
 
 def running(df: DataFrame, by, order: str, col: str) -> DataFrame:

@@ -1 +1,144 @@
-"""Registered queries."""
+"""Statistical tests."""
+
+from pyspark.sql import functions as F
+
+from tabloom.operators import stats as K
+from tabloom.plans.fixtures import V_SCORES
+from tabloom.plans.registry import query
+
+X = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(
+    "K01_ols",
+    """with f as (select regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a, count(*) as n, regr_r2(l_extendedprice, l_quantity) as r2, regr_syy(l_extendedprice, l_quantity) as tss from lineitem)
+    select 'const' as term, round(a, 3) as coef, n::int as n, round(r2, 3) as r2 from f union all select 'l_quantity', round(b, 3), n::int, round(r2, 3) from f""",
+    digits=3,
+)
+def k01(t):
+    return K.ols_table(t.lineitem, "l_extendedprice", ["l_quantity"]).drop("rss")
+
+
+@query(
+    "K02_vif",
+    """with c as (select corr(l_quantity, l_extendedprice) ** 2 as r2 from lineitem) select 'l_quantity' as feature, round(1 / (1 - r2), 5) as vif, round(r2, 5) as r2 from c
+    union all select 'l_extendedprice', round(1 / (1 - r2), 5), round(r2, 5) from c""",
+    digits=5,
+)
+def k02(t):
+    return K.vif(t.lineitem, ["l_quantity", "l_extendedprice"])
+
+
+@query("K03_condition_number")
+def k03(t):
+    return K.condition_number(t.lineitem, X)
+
+
+@query(
+    "K04_chow_test",
+    """with s as (select l_orderkey < 5000 as side, regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) as rss, count(*) as n from lineitem group by 1),
+    a as (select regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) as rss from lineitem)
+    select round(((select rss from a) - sum(rss)) / 2 / (sum(rss) / (sum(n) - 4)), 4) as f, 2 as df1, (sum(n) - 4)::int as df2 from s""",
+    digits=4,
+)
+def k04(t):
+    return K.chow_test(t.lineitem, "l_extendedprice", ["l_quantity"], F.col("l_orderkey") < 5000)
+
+
+@query("K05_reset_test")
+def k05(t):
+    return K.reset_test(t.lineitem, "l_extendedprice", X)
+
+
+@query("K06_breusch_pagan")
+def k06(t):
+    return K.heteroscedasticity(t.lineitem, "l_extendedprice", X)
+
+
+@query("K06_white")
+def k06b(t):
+    return K.heteroscedasticity(t.lineitem, "l_extendedprice", X, white=True)
+
+
+@query("K07_anderson_darling")
+def k07(t):
+    return K.anderson_darling(t.lineitem, ["l_quantity", "l_extendedprice"])
+
+
+@query(
+    "K08_ks_two_sample",
+    """with d as (select l_extendedprice as v, sum((l_linestatus = 'F')::int) as a, sum((l_linestatus = 'O')::int) as b from lineitem group by 1)
+    select round(max(g), 6) as ks from (select abs(sum(a) over (order by v) / sum(a) over () - sum(b) over (order by v) / sum(b) over ()) as g from d)""",
+)
+def k08(t):
+    return K.ks_two_sample(t.lineitem.filter("l_linestatus = 'F'"), t.lineitem.filter("l_linestatus = 'O'"), "l_extendedprice")
+
+
+def woe_sql(feature, level):
+    return f"select '{feature}' as feature, {level} as level, sum(y)::bigint as events, sum(1 - y)::bigint as non_events from li group by 2"
+
+
+def bins5(c):
+    return "cast(1 + " + " + ".join(f"({c} >= (select quantile_cont({c}, {p}) from lineitem))::int" for p in (0.2, 0.4, 0.6, 0.8)) + " as varchar)"
+
+
+@query(
+    "K09_woe_iv",
+    f"""with li as (select *, (l_returnflag = 'R')::int as y from lineitem), g as ({woe_sql('l_quantity', bins5('l_quantity'))} union all {woe_sql('l_extendedprice', bins5('l_extendedprice'))} union all {woe_sql('l_linestatus', 'l_linestatus')}),
+    s as (select *, events / sum(events) over (partition by feature) as pe, non_events / sum(non_events) over (partition by feature) as pn from g), w as (select *, case when pe = 0 then -20 when pn = 0 then 20 else ln(pe / pn) end as w from s)
+    select feature, level, events, non_events, round(w, 6) + 0 as woe, round(sum((pe - pn) * w) over (partition by feature), 6) + 0 as iv from w""",
+)
+def k09(t):
+    d = t.lineitem.withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return K.woe_iv(d, "y", ["l_quantity", "l_extendedprice"], ["l_linestatus"])
+
+
+@query(
+    "K10_categorical_iv",
+    """with g as (select l_linestatus, sum((l_returnflag <> 'R')::int)::bigint as good, sum((l_returnflag = 'R')::int)::bigint as bad from lineitem group by 1), s as (select *, good / sum(good) over () as a, bad / sum(bad) over () as b from g)
+    select l_linestatus, good, bad, round(ln(a / b), 8) + 0 as woe, round((a - b) * ln(a / b), 8) + 0 as iv from s""",
+    digits=8,
+)
+def k10(t):
+    return K.categorical_iv(t.lineitem.withColumn("y", (F.col("l_returnflag") == "R").cast("int")), "l_linestatus", "y")
+
+
+@query(
+    "K11_ngram_lift",
+    """with h as (select distinct p_name as term, p_type as cl, p_partkey as doc from part), i as (select term, cl, count(*) as a from h group by 1, 2), z as (select cl, count(distinct p_partkey) as na from (select p_type as cl, p_partkey from part) group by 1),
+    j as (select term, cl, a, na, (sum(a) over (partition by term) - a)::bigint as b, (select count(*) from part) - na as nb from i join z using (cl))
+    select term, cl, a, na, b, nb, round(a / na / ((b + 10) / nb), 6) as lift, round((na + nb) * (a * (nb - b) - b * (na - a))::double ** 2 / (na::double * nb * (a + b) * (na + nb - a - b)), 6) as chi2 from j""",
+)
+def k11(t):
+    return K.ngram_lift(t.part.select(F.col("p_name").alias("term"), F.col("p_type").alias("cl"), F.col("p_partkey").alias("doc")), "term", "cl", "doc")
+
+
+@query(
+    "K12_adjusted_rand",
+    """with c as (select o_orderstatus as a, o_orderpriority as b, count(*)::double as n from orders group by 1, 2), s as (select (select sum(n * (n - 1) / 2) from c) as ij, (select sum(k * (k - 1) / 2) from (select sum(n) as k from c group by a)) as i,
+      (select sum(k * (k - 1) / 2) from (select sum(n) as k from c group by b)) as j, (select sum(n) from c) as n)
+    select round((ij - i * j / (n * (n - 1) / 2)) / ((i + j) / 2 - i * j / (n * (n - 1) / 2)), 8) + 0 as ari from s""",
+    digits=8,
+)
+def k12(t):
+    return K.adjusted_rand(t.orders, "o_orderstatus", "o_orderpriority")
+
+
+@query("K13_bootstrap_ci")
+def k13(t):
+    return K.bootstrap_ci(t.events, ["event_id"], "value", 100)
+
+
+@query("K14_influence")
+def k14(t):
+    return K.influence(t.lineitem.select("l_orderkey", "l_extendedprice", *X), "l_extendedprice", X)
+
+
+@query(
+    "K15_rank_sum",
+    """with d as (select l_quantity as v, count(*) as n, sum((l_returnflag = 'R')::int) as g from lineitem group by 1), r as (select *, sum(n) over (order by v) - (n - 1) / 2 as mid from d),
+    s as (select sum(mid * g) as w, sum(g)::double as a, sum(n)::double as n, sum(n::double ** 3 - n) as ties from r), u as (select *, w - a * (a + 1) / 2 as u, n - a as b from s)
+    select u, round((u - a * b / 2) / sqrt(a * b / 12 * (n + 1 - ties / (n * (n - 1)))), 6) + 0 as z from u""",
+)
+def k15(t):
+    return K.rank_sum(t.lineitem, "l_quantity", F.col("l_returnflag") == "R")

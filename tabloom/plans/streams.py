@@ -1 +1,132 @@
-"""Registered queries."""
+"""Streaming jobs run over the whole events table with AvailableNow and read back."""
+
+from pyspark.sql import functions as F
+
+from tabloom.functions import metrics as M
+from tabloom.plans.registry import query
+from tabloom.session import scratch_path
+from tabloom.streaming import jobs as J
+
+
+def N():
+    return F.count(F.lit(1))
+
+
+def stream(t):
+    return J.file_stream(t.spark, f"{t.dir}/events.parquet", t.events.schema)
+
+
+def landed(t, df, mode="append", **kw):
+    path = scratch_path(t.spark, "stream")
+    J.run_to_table(df, t.spark, path, mode, **kw)
+    return t.spark.read.parquet(path)
+
+
+BUCKET = "time_bucket(interval 12 hours, ts, timestamp '1970-01-01')"
+
+
+@query(
+    "R01_service_stats",
+    f"""select {BUCKET} as start, {BUCKET} + interval 12 hours as "end", event_type, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value from events group by 1, 2, 3""",
+)
+def r01(t):
+    return landed(t, J.service_stats(stream(t), "ts", ["event_type"], "value"), "complete")
+
+
+@query(
+    "R01_expanding_stats",
+    f"""with b as (select event_type, {BUCKET} as start, count(*) as n, sum(value) as s from events group by 1, 2)
+    select event_type, start, (sum(n) over w)::bigint as n, round(sum(s) over w / sum(n) over w, 6) as mean_value from b window w as (partition by event_type order by start)""",
+)
+def r01b(t):
+    return J.expanding_stats(t.events, "ts", ["event_type"], "value")
+
+
+@query(
+    "R02_sliding_stats",
+    """with o as (select unnest(range(4)) as k), s as (select time_bucket(interval 3 hours, ts, timestamp '1970-01-01') - to_hours((3 * k)::int) as start, event_type, value from events, o)
+    select start, start + interval 12 hours as "end", event_type, count(*) as n, round(avg(value), 6) as mean_value, max(value) as max_value from s group by 1, 2, 3""",
+)
+def r02(t):
+    return landed(t, J.service_stats(stream(t), "ts", ["event_type"], "value", slide="3 hours"), "complete")
+
+
+@query(
+    "R02_session_stats",
+    """with e as (select *, case when lag(ts) over w is null or ts - lag(ts) over w > interval 30 minutes then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)),
+    s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+    select min(ts) as start, max(ts) + interval 30 minutes as "end", user_id, count(*) as n, round(sum(value), 4) as total from s group by user_id, k""",
+    digits=4,
+)
+def r02b(t):
+    return landed(t, J.session_stats(stream(t), "ts", ["user_id"], "value"), "complete")
+
+
+@query("R03_late_actuals_join")
+def r03(t):
+    s = stream(t)
+    preds = s.filter("event_type in ('view', 'click')").select("event_id", "user_id", F.col("ts").alias("pred_ts"), F.col("value").alias("prediction"))
+    actuals = stream(t).filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("actual_ts"), F.col("value").alias("actual"))
+    return landed(t, J.late_actuals_join(preds, actuals, "user_id", "pred_ts", "actual_ts", "2 days"))
+
+
+@query(
+    "R03_late_actuals_batch",
+    """select p.event_id, p.user_id, p.ts as pred_ts, p.value as prediction, a.ts as actual_ts, a.value as actual from events p left join events a on a.event_type = 'purchase' and a.user_id = p.user_id
+    and a.ts >= p.ts and a.ts <= p.ts + interval 2 days where p.event_type in ('view', 'click')""",
+)
+def r03b(t):
+    preds = t.events.filter("event_type in ('view', 'click')").select("event_id", "user_id", F.col("ts").alias("pred_ts"), F.col("value").alias("prediction"))
+    actuals = t.events.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("actual_ts"), F.col("value").alias("actual"))
+    return J.late_actuals_join(preds, actuals, "user_id", "pred_ts", "actual_ts", "2 days")
+
+
+@query(
+    "R04_rolling_accuracy",
+    """with d as (select ts, value as actual, (props::json ->> '$.k')::double as pred from events) select date_trunc('day', ts)::timestamp as start, count(*) as n, round(sqrt(avg((actual - pred) ** 2)), 6) as value, 40.0::double as baseline,
+    round(100 * (sqrt(avg((actual - pred) ** 2)) - 40) / 40, 6) + 0 as pct_change from d group by 1""",
+)
+def r04(t):
+    j = stream(t).withColumn("pred", F.get_json_object("props", "$.k").cast("double"))
+    return landed(t, J.rolling_accuracy(j, "ts", M.rmse(F.col("value"), F.col("pred")), "1 day", 40.0), "complete")
+
+
+@query(
+    "R05_drift",
+    """with ref as (select value from events where event_type = 'view'), e as (select quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) as e from ref), b as (select date_trunc('day', ts)::timestamp as start, len(list_filter(e, lambda x: value > x)) as b from events, e where event_type <> 'view'),
+    rb as (select len(list_filter(e, lambda x: value > x)) as b, count(*) / (select count(*) from ref) as share from ref, e group by 1), g as (select d.start, rb.b, rb.share, (select count(*) from b where b.start = d.start and b.b = rb.b) as k,
+      (select count(*) from b where b.start = d.start) as n from (select distinct start from b) d, rb)
+    select start, n, round(sum((greatest(k / n, 1e-6) - share) * ln(greatest(k / n, 1e-6) / share)), 6) as psi from g group by 1, 2""",
+)
+def r05(t):
+    edges, shares = J.reference_bins(t.events.filter("event_type = 'view'"), "value", 5)
+    return landed(t, J.drift(stream(t).filter("event_type <> 'view'"), "ts", "value", edges, shares), "complete")
+
+
+@query("R06_first_seen", "select user_id, min(ts) as first from events group by 1")
+def r06(t):
+    return landed(t, J.first_seen(stream(t), "user_id", "ts"), "complete")
+
+
+@query("R07_dedup_stream", "select count(*) as n, count(distinct event_id) as keys from events")
+def r07(t):
+    twice = stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    got = landed(t, J.dedup(twice, ["event_id"], "ts").select("event_id", "ts"))
+    return got.agg(N().alias("n"), F.count_distinct("event_id").alias("keys"))
+
+
+@query("R08_daily_incremental", "select ts::date as day, count(*) as n, round(sum(value), 4) as total from events group by 1", digits=4)
+def r08(t):
+    """Two scheduled runs over one folder: the second picks up only what arrived after the first."""
+    source, target, state = [scratch_path(t.spark, x) for x in ("arrivals", "daily", "progress")]
+    for k in (0, 1):
+        t.events.filter(F.col("event_id") % 2 == k).write.mode("append").parquet(source)
+        J.daily_incremental(t.spark, source, t.events.schema, target, "ts", state)
+    return t.spark.read.parquet(target).groupBy("day").agg(N().alias("n"), F.sum("value").alias("total"))
+
+
+@query("R09_score_stream", "select event_id, round(ln(1 + value) + length(event_type), 6) as score from events")
+def r09(t):
+    path = scratch_path(t.spark, "scored")
+    J.score_stream(stream(t), lambda d: d.select("event_id", (F.log1p("value") + F.length("event_type")).alias("score")), t.spark, path)
+    return t.spark.read.parquet(path)
