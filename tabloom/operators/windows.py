@@ -320,11 +320,11 @@ def linear_recurrence(
         long_groups = df.filter(F.col(pos) > rows_per_task).limit(1).count() > 0
     if not long_groups:
         return local.withColumn(name, F.col("_y")).drop("_y", "_k", "_chunk")
-    ends = local.groupBy(*by, "_chunk").agg(F.max_by("_y", pos).alias("y"), F.max_by("_k", pos).alias("k"))
+    ends = local.groupBy(*by, "_chunk").agg(F.max_by("_y", pos).alias("_ey"), F.max_by("_k", pos).alias("_ek"))
     w = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     # One entry per chunk of a group, so the list is rows / rows_per_task long.
-    start = ends.select(*by, "_chunk", F.collect_list(F.struct("y", "k")).over(w).alias("_ends")).select(
-        *by, "_chunk", F.aggregate("_ends", F.lit(0.0), lambda s, e: e["k"] * s + e["y"]).alias("_s")
+    start = ends.select(*by, "_chunk", F.collect_list(F.struct("_ey", "_ek")).over(w).alias("_ends")).select(
+        *by, "_chunk", F.aggregate("_ends", F.lit(0.0), lambda s, e: e["_ek"] * s + e["_ey"]).alias("_s")
     )
     return null_safe_join(local, start, [*by, "_chunk"]).withColumn(name, F.col("_y") + F.col("_k") * F.col("_s")).drop(
         "_y", "_k", "_s", "_chunk"
@@ -341,20 +341,20 @@ def smooth_many(
     """
     by = list(by)
     cells = [
-        F.struct(F.lit(k).alias("m"), F.lit(n).alias("n"), F.lit(float(r or 2 / (n + 1))).alias("r"), F.col(c).cast("double").alias("x"))
+        F.struct(F.lit(k).alias("_spec"), F.lit(n).alias("_n"), F.lit(float(r or 2 / (n + 1))).alias("_r"), F.col(c).cast("double").alias("_x"))
         for k, (c, n, r) in specs.items()
     ]
-    long = df.select(*by, order, F.inline(F.array(*cells))).filter("x is not null")
-    g = [*by, "m"]
+    long = df.select(*by, order, F.inline(F.array(*cells))).filter("_x is not null")
+    g = [*by, "_spec"]
     p = row_positions(long, [order], g, "_pos")
-    seed = p.filter("_pos <= n").groupBy(*g).agg(F.avg("x").alias("_seed"))
+    seed = p.filter("_pos <= _n").groupBy(*g).agg(F.avg("_x").alias("_seed"))
     p = null_safe_join(p, seed, g).withColumns({
-        "_a": F.when(F.col("_pos") <= F.col("n"), 0.0).otherwise(1 - F.col("r")),
-        "_b": F.when(F.col("_pos") < F.col("n"), 0.0).when(F.col("_pos") == F.col("n"), F.col("_seed")).otherwise(F.col("r") * F.col("x")),
+        "_a": F.when(F.col("_pos") <= F.col("_n"), 0.0).otherwise(1 - F.col("_r")),
+        "_b": F.when(F.col("_pos") < F.col("_n"), 0.0).when(F.col("_pos") == F.col("_n"), F.col("_seed")).otherwise(F.col("_r") * F.col("_x")),
     })
     long_groups = hot_key(df, by, rows_per_task)
-    y = linear_recurrence(p.select(*g, order, "n", "_pos", "_a", "_b"), g, "_pos", "_a", "_b", "_v", rows_per_task, long_groups)
-    wide = y.filter("_pos >= n").groupBy(*by, order).pivot("m", list(specs)).agg(F.first("_v"))
+    y = linear_recurrence(p.select(*g, order, "_n", "_pos", "_a", "_b"), g, "_pos", "_a", "_b", "_v", rows_per_task, long_groups)
+    wide = y.filter("_pos >= _n").groupBy(*by, order).pivot("_spec", list(specs)).agg(F.first("_v"))
     return null_safe_join(df, wide, [*by, order], "left")
 
 

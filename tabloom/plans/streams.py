@@ -13,6 +13,9 @@ def N():
 
 
 def stream(t):
+    """The events table as a stream, whether it is one file or a folder of files."""
+    if t.events.inputFiles()[0].endswith("/events.parquet"):
+        return J.file_stream(t.spark, t.dir, t.events.schema, names="events.parquet")
     return J.file_stream(t.spark, f"{t.dir}/events.parquet", t.events.schema)
 
 
@@ -70,6 +73,18 @@ def r03(t):
     return landed(t, J.late_actuals_join(preds, actuals, "user_id", "pred_ts", "actual_ts", "2 days"))
 
 
+@query(
+    "R03_late_actuals_inner",
+    """select p.event_id, p.user_id, p.ts as pred_ts, p.value as prediction, a.ts as actual_ts, a.value as actual from events p join events a on a.event_type = 'purchase' and a.user_id = p.user_id
+    and a.ts >= p.ts and a.ts <= p.ts + interval 2 days where p.event_type in ('view', 'click')""",
+)
+def r03c(t):
+    """The matches alone, as a stream: complete whatever the watermark."""
+    preds = stream(t).filter("event_type in ('view', 'click')").select("event_id", "user_id", F.col("ts").alias("pred_ts"), F.col("value").alias("prediction"))
+    actuals = stream(t).filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("actual_ts"), F.col("value").alias("actual"))
+    return landed(t, J.late_actuals_join(preds, actuals, "user_id", "pred_ts", "actual_ts", "2 days", how="inner"))
+
+
 @query(
     "R03_late_actuals_batch",
     """select p.event_id, p.user_id, p.ts as pred_ts, p.value as prediction, a.ts as actual_ts, a.value as actual from events p left join events a on a.event_type = 'purchase' and a.user_id = p.user_id

@@ -11,9 +11,10 @@ from tabloom.operators.order import quantile_list
 from tabloom.session import scratch_path
 
 
-def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
-    """New files of a folder (or path pattern) as a stream."""
+def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None, names: str | None = None) -> DataFrame:
+    """New files of a folder as a stream; ``names`` is a pattern for file names."""
     r = spark.readStream.schema(schema).format(fmt)
+    r = r.option("pathGlobFilter", names) if names else r
     return (r.option("maxFilesPerTrigger", max_files) if max_files else r).load(path)
 
 
