@@ -216,12 +216,12 @@ def meta_recommend(
 ) -> DataFrame:
     """Untried items ranked by similarity-weighted scores of the entities most like the query.
 
-    ``scores`` is read once for similarity and once for candidates; both start from one exchange.
+    ``scores`` is written once, since similarity, candidates and medians all read it.
     """
-    x = scores.withColumn(score, F.asinh(score))
+    x = materialize(scores.withColumn(score, F.asinh(score)))
     sims = cosine_join(x, query, entity, item, score).filter(F.col("similarity") > floor)
     tried = query.select(item)
-    cand = x.join(tried, item, "left_anti").join(sims, entity)
+    cand = materialize(x.join(tried, item, "left_anti").join(sims, entity).select(item, score, "similarity"))
     mean = cand.groupBy(item).agg(F.avg(F.col("similarity") * F.col(score)).alias("rec_mean"))
     med = quantiles(cand, score, [0.5], [item]).withColumnRenamed("q0", "score_median")
     out = mean.join(med, item)

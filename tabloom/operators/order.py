@@ -70,12 +70,12 @@ def cut_points(df: DataFrame, number: Column, slices: int | None = None) -> list
 def add_slice(df: DataFrame, number: Column, points: list[float]) -> DataFrame:
     """``_slice`` = index of the half-open interval of ``points``; NULL and NaN come first."""
     if not points:
-        return df.withColumn("_slice", F.lit(0.0))
+        return df.withColumn("_slice", F.lit(0))
     x = F.when(number.isNull() | F.isnan(number), F.lit(float("-inf"))).otherwise(number)
     cutter = Bucketizer(
         splits=[float("-inf"), *points, float("inf")], inputCol="_order", outputCol="_slice", handleInvalid="keep"
     )
-    return cutter.transform(df.withColumn("_order", x)).drop("_order")
+    return cutter.transform(df.withColumn("_order", x)).drop("_order").withColumn("_slice", F.col("_slice").cast("int"))
 
 
 def sliced(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
@@ -84,12 +84,18 @@ def sliced(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
 
 
 def _earlier(by: Sequence[str], descending: bool):
-    key = F.desc("_slice") if descending else F.asc("_slice")
-    return Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    key = F.desc("_k._slice") if descending else F.asc("_k._slice")
+    return Window.partitionBy(*[F.col(f"_k.`{c}`") for c in by]).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _within(by: Sequence[str], order: Sequence) :
-    return Window.partitionBy(*by, "_slice").orderBy(*order)
+def _within(order: Sequence):
+    return Window.partitionBy("_k").orderBy(*order)
+
+
+def _keyed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Key and slice as one struct ``_k``.  Structs with equal NULL fields are equal, so a plain join on
+    ``_k`` is null-safe and shares its partitioning with the window over ``_k``: one shuffle serves both."""
+    return df.withColumn("_k", F.struct(*by, "_slice")).drop("_slice")
 
 
 def directed(cols: Sequence[str], descending: bool) -> list[Column]:
@@ -115,14 +121,13 @@ def prefix_sum(
     number = order_number(df, order)
     points = cut_points(df, number, slices)
     own = df.groupBy(*by, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    own = add_slice(own, number, points)
-    per_slice = own.groupBy(*by, "_slice").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
+    own = _keyed(add_slice(own, number, points), by)
+    per_slice = own.groupBy("_k").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
     before = per_slice.select(
-        *by, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(_earlier(by, descending)), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        "_k", *[F.coalesce(F.sum(f"_t_{n}").over(_earlier(by, descending)), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
-    w = _within(by, directed([order], descending)).rowsBetween(Window.unboundedPreceding, 0)
-    out = null_safe_join(own, before, [*by, "_slice"])
-    return out.select(
+    w = _within(directed([order], descending)).rowsBetween(Window.unboundedPreceding, 0)
+    return own.join(before, "_k").select(
         *by, order, *sums, *[(F.col(f"_o_{n}") + F.coalesce(F.sum(n).over(w), F.lit(0))).alias(f"cum_{n}") for n in sums]
     )
 
@@ -137,17 +142,11 @@ def row_positions(
 ) -> DataFrame:
     """1-based row number per ``by`` (or over the whole table), split by slices of ``order[0]``."""
     by, order = list(by), list(order)
-    cut = sliced(df, order[0], slices)
-    per_slice = cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = per_slice.select(
-        *by, "_slice", F.coalesce(F.sum("_n").over(_earlier(by, descending)), F.lit(0)).alias("_before")
-    )
-    w = _within(by, directed(order, descending))
-    return (
-        null_safe_join(cut, before, [*by, "_slice"])
-        .withColumn(name, F.col("_before") + F.row_number().over(w))
-        .drop("_slice", "_before")
-    )
+    cut = _keyed(sliced(df, order[0], slices), by)
+    per_slice = cut.groupBy("_k").agg(F.count(F.lit(1)).alias("_n_here"))
+    before = per_slice.select("_k", F.coalesce(F.sum("_n_here").over(_earlier(by, descending)), F.lit(0)).alias("_before"))
+    w = _within(directed(order, descending))
+    return cut.join(before, "_k").withColumn(name, F.col("_before") + F.row_number().over(w)).drop("_k", "_before")
 
 
 def ranks(
@@ -187,20 +186,17 @@ def carry_last(
 ) -> DataFrame:
     """Adds ``last_<v>``: the last non-NULL ``v`` at or before the row (at or after if ``forward``)."""
     by, order = list(by), list(order)
-    cut = sliced(df, order[0], slices)
+    cut = _keyed(sliced(df, order[0], slices), by)
     rank_key = F.struct(*order)
     pick = F.min_by if forward else F.max_by
-    ends = cut.groupBy(*by, "_slice").agg(
+    ends = cut.groupBy("_k").agg(
         *[pick(F.col(v), F.when(F.col(v).isNotNull(), rank_key)).alias(f"_e_{v}") for v in values]
     )
-    before = ends.select(
-        *by, "_slice", *[F.last(f"_e_{v}", ignorenulls=True).over(_earlier(by, forward)).alias(f"_b_{v}") for v in values]
-    )
-    w = _within(by, directed(order, forward)).rowsBetween(Window.unboundedPreceding, 0)
-    out = null_safe_join(cut, before, [*by, "_slice"])
-    return out.withColumns(
+    before = ends.select("_k", *[F.last(f"_e_{v}", ignorenulls=True).over(_earlier(by, forward)).alias(f"_b_{v}") for v in values])
+    w = _within(directed(order, forward)).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(before, "_k").withColumns(
         {f"last_{v}": F.coalesce(F.last(v, ignorenulls=True).over(w), F.col(f"_b_{v}")) for v in values}
-    ).drop("_slice", *[f"_b_{v}" for v in values])
+    ).drop("_k", *[f"_b_{v}" for v in values])
 
 
 # ---------------------------------------------------------------- finite frames

@@ -18,7 +18,11 @@ def doc_term_counts(df: DataFrame, doc: str, terms: Column) -> DataFrame:
 
 
 def prune_vocab(triples: DataFrame, doc: str, min_count: int = 1, max_doc_share: float = 1.0, max_size: int | None = None) -> DataFrame:
-    """Triples of terms in at least ``min_count`` and at most a share of the documents; top by total count."""
+    """Triples of terms in at least ``min_count`` and at most a share of the documents; top by total count.
+
+    The triples are written once, since vocabulary and result both read them (so also below).
+    """
+    triples = materialize(triples)
     v = triples.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
     docs = triples.select(doc).distinct().agg(F.count(F.lit(1)).alias("_d"))
     v = v.crossJoin(F.broadcast(docs)).filter((F.col("df") >= min_count) & (F.col("df") <= max_doc_share * F.col("_d")))
@@ -28,19 +32,23 @@ def prune_vocab(triples: DataFrame, doc: str, min_count: int = 1, max_doc_share:
 
 
 def tfidf(triples: DataFrame, doc: str) -> DataFrame:
-    """Smooth idf ln((1+n)/(1+df)) + 1 and unit length per document."""
+    """Smooth idf ln((1+n)/(1+df)) + 1 and unit length per document.
+
+    The norm is a window over one document's terms, which are bounded by the text of one row.
+    """
+    triples = materialize(triples)
     docs = triples.select(doc).distinct().agg(F.count(F.lit(1)).alias("_d"))
     freq = triples.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(docs))
     idf = freq.select("term", (F.ln((1 + F.col("_d")) / (1 + F.col("_df"))) + 1).alias("_idf"))
     w = triples.join(idf, "term").withColumn("_w", F.col("n") * F.col("_idf"))
-    norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") ** 2)).alias("_norm"))
-    return w.join(norm, doc).select(doc, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
+    return w.select(doc, "term", (F.col("_w") / norm).alias("weight"))
 
 
 def binary_weights(triples: DataFrame, doc: str) -> DataFrame:
-    """1 per present term, rows of unit length."""
-    k = triples.groupBy(doc).agg((1 / F.sqrt(F.count(F.lit(1)))).alias("weight"))
-    return triples.select(doc, "term").join(k, doc)
+    """1 per present term, rows of unit length; one pass, as a document's terms fit a task."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(doc))
+    return triples.select(doc, "term", (1 / F.sqrt(n)).alias("weight"))
 
 
 def rank_terms(weights: DataFrame, top: int) -> DataFrame:
