@@ -554,3 +554,27 @@ def i42(t):
 @query("I42_completion_error")
 def i42b(t):
     return M.complete_matrix(t.triples, "project", "item", "score", 4)[1]
+
+
+@query("I15_quota_limits", f"with {V_PROBS} select (count(*) * 3 // 4)::bigint as assigned, true as minimums, true as maximums, true as one_each from v_probs")
+def i15b(t):
+    """The assignment of I15 meets its total and every quota, with one choice per row."""
+    n = t.probs.count()
+    lo = {"app": n // 20, "text": n // 20, "email": n // 10}
+    hi = {"app": n // 4, "text": n // 3, "email": n // 3}
+    q = D.quota_assign(t.probs, "id", ["app", "text", "email"], lo, hi, n * 3 // 4)
+    c = {k: F.count_if(F.col("choice") == k) for k in lo}
+    ok_lo, ok_hi = F.lit(True), F.lit(True)
+    for k in lo:
+        ok_lo, ok_hi = ok_lo & (c[k] >= lo[k]), ok_hi & (c[k] <= hi[k])
+    return q.agg(N().alias("assigned"), ok_lo.alias("minimums"), ok_hi.alias("maximums"), (F.count_distinct("id") == N()).alias("one_each"))
+
+
+@query(
+    "I31_stress_values_sql",
+    """with s as (select min(value) as lo, (max(value) - min(value)) / 50 as w from events), h as (select least(floor((value - lo) / w), 49)::int as bin, count(*) as n from events, s group by 1),
+    t as (select bin, n, least(sum(n) over (order by bin), sum(n) over (order by bin desc)) / sum(n) over () as tail, n / sum(n) over () as density from h)
+    select 'value' as "column", bin, round(lo + (bin + 0.5) * w, 6) as value, round(density, 6) as density from t, s where tail < 0.02""",
+)
+def i31c(t):
+    return M.stress_values(t.events.select("value"), ["value"], 0.02)

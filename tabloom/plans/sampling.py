@@ -166,3 +166,24 @@ def o16(t):
 @query("O17_sample_to_size")
 def o17(t):
     return S.sample_to_size(t.documents, ["doc_id"], 500_000, seed=1).select("doc_id", "n_chars")
+
+
+@query("O07_sample_groups_whole", "select least(10, count(distinct l_suppkey)) as groups, true as complete from lineitem")
+def o07b(t):
+    """The sampled groups are whole: their row counts equal those of the table."""
+    got = S.sample_groups(t.lineitem, "l_suppkey", 10, seed=3).groupBy("l_suppkey").agg(N().alias("a"))
+    want = t.lineitem.groupBy("l_suppkey").agg(N().alias("b"))
+    return got.join(want, "l_suppkey").agg(N().alias("groups"), F.bool_and(F.col("a") == F.col("b")).alias("complete"))
+
+
+@query(
+    "O12_downsample_weights",
+    f"with {V_SCORES} select y, case when y = 0 then 4.0::double else 1.0 end as weight, case when y = 1 then count(*) end as kept, true as near from v_scores group by 1",
+)
+def o12b(t):
+    """Weights per class, all minority rows kept, and the weighted class size near the true one."""
+    d = S.downsample_majority(t.scores, "y", 0, ["l_orderkey", "l_partkey", "l_suppkey", "actual"], 0.25, seed=5)
+    size = t.scores.groupBy("y").agg(N().alias("all"))
+    g = d.groupBy("y", "weight").agg(N().alias("n")).join(size, "y")
+    near = F.abs(F.col("n") * F.col("weight") / F.col("all") - 1) < 0.1
+    return g.select("y", "weight", F.when(F.col("y") == 1, F.col("n")).alias("kept"), near.alias("near"))

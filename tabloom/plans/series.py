@@ -370,3 +370,15 @@ def t32(t):
     union all select 'duplicate_dates', 0, true union all select 'zero_inflated', round(min(target), 6), min(target) <> 0 from v_gap""")
 def t00(t):
     return T.quality_run(t.gap, SPEC)
+
+
+@query(
+    "T28_exponential_smoothing_sql",
+    f"""with recursive {V_SERIES}, y as (select series_id, target as y, row_number() over (partition by series_id order by date) as r from v_series), a as (select (i / 10.0)::double as alpha from (select unnest(range(1, 10)) as i)),
+    l(series_id, alpha, r, level, err) as (select series_id, alpha, r, y, null::double from y, a where r = 1 union all select l.series_id, l.alpha, y.r, l.alpha * y.y + (1 - l.alpha) * l.level, y.y - l.level from l join y on y.series_id = l.series_id and y.r = l.r + 1),
+    g as (select series_id, alpha, avg(err * err) as mse, arg_max(level, r) as forecast from l group by 1, 2)
+    select series_id, alpha, round(mse, 4) as mse, round(forecast, 4) as forecast from g qualify row_number() over (partition by series_id order by mse, alpha) = 1""",
+    digits=4,
+)
+def t28c(t):
+    return T.exponential_smoothing(t.series, SPEC)

@@ -142,3 +142,39 @@ def k14(t):
 )
 def k15(t):
     return K.rank_sum(t.lineitem, "l_quantity", F.col("l_returnflag") == "R")
+
+
+ONE = """m as (select avg(l_quantity) as mx, regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a, regr_sxx(l_extendedprice, l_quantity) as sxx,
+    regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) as rss, count(*) as n from lineitem)"""
+
+
+@query(
+    "K03_condition_number_one",
+    """with s as (select count(*)::double as n, sum(l_quantity) / sqrt(sum(l_quantity * l_quantity)) as g from lineitem), e as (select (n + 1) / 2 as h, sqrt(((n - 1) / 2) ** 2 + g * g) as d from s)
+    select round(sqrt((h + d) / (h - d)), 3) as condition_number from e""",
+    digits=3,
+)
+def k03b(t):
+    return K.condition_number(t.lineitem, ["l_quantity"])
+
+
+@query(
+    "K06_breusch_pagan_one",
+    f"""with {ONE}, r as (select (l_extendedprice - a - b * l_quantity) ** 2 / (rss / n) as e, l_quantity as x from lineitem, m) select round(count(*) * regr_r2(e, x), 4) as lm, 1 as dof from r""",
+    digits=4,
+)
+def k06c(t):
+    return K.heteroscedasticity(t.lineitem, "l_extendedprice", ["l_quantity"])
+
+
+@query(
+    "K14_influence_one",
+    f"""with {ONE}, r as (select l_orderkey, l_quantity, l_extendedprice, n, rss, l_extendedprice - a - b * l_quantity as e, 1 / n + (l_quantity - mx) ** 2 / sxx as h from lineitem, m),
+    q as (select *, e / sqrt((rss - e * e / (1 - h)) / (n - 3) * (1 - h)) * sqrt(h / (1 - h)) as d from r)
+    select l_orderkey, l_quantity, l_extendedprice, round(h, 8) as leverage, round(e, 1) + 0 as residual, round(e / (1 - h), 1) + 0 as press, round(e / sqrt(rss / (n - 2) * (1 - h)), 4) + 0 as studentised, round(d, 5) + 0 as dffits,
+      abs(d) > 2 * sqrt(2 / n) as influential from q""",
+    digits=8,
+)
+def k14b(t):
+    i = K.influence(t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice"), "l_extendedprice", ["l_quantity"])
+    return i.withColumns({c: F.round(c, d) for c, d in (("residual", 1), ("press", 1), ("studentised", 4), ("dffits", 5))})
