@@ -188,13 +188,15 @@ def _block_products(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def pairwise_sums(
-    df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int = 64, centre: bool = False
+    df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int | None = None, centre: bool = False
 ) -> DataFrame:
     """``series_1 < series_2`` with n, sx, sy, sxx, syy, sxy over shared dates, for every pair of series.
 
     Series are numbered and cut into blocks; a task gets two blocks and one slice of the dates and
-    adds up matrix products, so no date ever emits its pairs of rows.
+    adds up matrix products, so no date ever emits its pairs of rows.  A slice has about 1000 dates.
     """
+    if date_slices is None:
+        date_slices = max(8, df.select(date).distinct().count() // 1000)
     means = df.groupBy(series).agg((F.avg(value) if centre else F.lit(0.0)).alias("_m"))
     ids = row_positions(means, [series], name="idx").withColumn("idx", F.col("idx") - 1)
     n_blocks = -(-ids.count() // block)
@@ -219,7 +221,7 @@ def pairwise_sums(
     return total.join(a, "i").join(b, "j").drop("i", "j")
 
 
-def pairwise_correlation(df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int = 64) -> DataFrame:
+def pairwise_correlation(df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int | None = None) -> DataFrame:
     """Pearson correlation of every pair of series over shared dates: ``series_1, series_2, n, corr``."""
     t = pairwise_sums(df, series, date, value, block, date_slices, centre=True)
     n = F.col("n")

@@ -151,7 +151,7 @@ def brand_month(t):
     from bd a join bd b on a.d = b.d and a.s < b.s group by 1, 2""",
 )
 def a13(t):
-    return R.pairwise_correlation(brand_month(t), "s", "d", "v", date_slices=8)
+    return R.pairwise_correlation(brand_month(t), "s", "d", "v")
 
 
 @query(
