@@ -118,21 +118,21 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def append(df: DataFrame, fn: Callable[[pa.Array], list], fields: list[T.StructField], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` (its columns in ``keep``, by default all) with the columns that ``fn`` makes from slices of the texts.
+def append(df: DataFrame, fn: Callable[[pa.RecordBatch], list], fields: list[T.StructField], text: str = "text", keep: list[str] | None = None, needs: list[str] = ()) -> DataFrame:
+    """``df`` (its columns in ``keep``, by default all) with the columns that ``fn`` makes from slices of the rows.
 
-    A column of ``df`` whose name is among the new ones gives way to it.
+    A column of ``df`` whose name is among the new ones gives way to it.  ``needs`` names further columns that ``fn`` reads.
     """
     names = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    source = df.select(*(f"`{c}`" for c in dict.fromkeys([*kept, text])))
+    source = df.select(*(f"`{c}`" for c in dict.fromkeys([*kept, *needs, text])))
     schema = T.StructType([source.schema[c] for c in kept] + fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
-                new = fn(part.column(text))
+                new = fn(part)
                 old = [part.column(c) for c in kept]
                 yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip([*old, *new], arrow, strict=True)], schema=arrow)
 
