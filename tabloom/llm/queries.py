@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm import contamination, packing, secrets
-from tabloom.session import table
+from tabloom.llm import contamination, packing, secrets, warc
+from tabloom.session import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as WARC files in the shared folder, and reads them back."""
+    pages, path = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    warc.write_warc(pages, path)
+    kind = pages.schema["page_id"].dataType
+    return warc.read_warc(spark, path).select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
