@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm import contamination, packing, secrets, warc
+from tabloom.llm import contamination, licenses, packing, quality, secrets, warc
 from tabloom.session import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,24 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(pages, path)
     kind = pages.schema["page_id"].dataType
     return warc.read_warc(spark, path).select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weakly supervised quality of all documents, after two fixed rules."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select(*counts, failed.alias("base_failed"), (~failed & (F.col("quality") >= 0.5)).alias("kept"))
+
+
+@query
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template spans of all documents."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    listed = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
+    base = F.col("places.label")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.start").alias("first_word"), F.array_max("places.start").alias("last_word"),
+        listed(base).alias("base_labels"), listed(F.concat(base, F.col("spans.label"))).alias("labels"), "score",
+    )
