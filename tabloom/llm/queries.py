@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm import contamination, licenses, packing, quality, secrets, warc
+from tabloom.llm import contamination, language, licenses, packing, quality, scoring, secrets, warc
 from tabloom.session import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,23 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.start").alias("first_word"), F.array_max("places.start").alias("last_word"),
         listed(base).alias("base_labels"), listed(F.concat(base, F.col("spans.label"))).alias("labels"), "score",
     )
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, by a model of the labelled ones outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language.fit(docs.where(~held))
+    found = language.identify(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those outside the held-out seventh."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model = scoring.train(docs.where(~held))
+    found = scoring.score(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
