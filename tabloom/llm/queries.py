@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm import contamination, language, licenses, packing, quality, scoring, secrets, warc
+from tabloom.llm import contamination, language, licenses, packing, quality, repeats, scoring, secrets, warc
 from tabloom.session import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = scoring.train(docs.where(~held))
     found = scoring.score(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that start earlier, too, removed from all documents."""
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
