@@ -64,8 +64,10 @@ def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def split(hashes: np.ndarray, buckets: int):
     """(bucket, slice) of sorted hashes."""
+    if not len(hashes):
+        return []
     b = bucket_of(hashes, buckets)
-    at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
+    at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     return [(int(b[i]), slice(i, j)) for i, j in zip(at, [*at[1:], len(b)], strict=True)]
 
 
@@ -153,7 +155,7 @@ class Filter(NamedTuple):
         out = np.where(begin >= 0, 0, -1).astype(np.int8)
         alive = np.flatnonzero(begin >= 0)
         level = 0
-        while len(alive):
+        while len(alive) and level < 63:  # no count has more bits
             level += 1
             for j in range(PROBES):
                 place = _place(hashes[alive], level, j)
