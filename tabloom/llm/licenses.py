@@ -57,19 +57,24 @@ def template_words(spark, templates=TEMPLATES) -> DataFrame:
     return rows.select("template", "label", words_of(F.col("text")).alias("t"))
 
 
-def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, k: int = K, gap: int = GAP) -> DataFrame:
+def covered(pairs: Column, k: int) -> Column:
+    """How many of a template's words the votes ``pairs`` cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(pairs["place"], lambda p: F.sequence(p, p + k - 1)))))
+
+
+def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, k: int = K, gap: int = GAP, share: float = SHARE) -> DataFrame:
     """``_key`` and ``runs``: the runs of neighbouring diagonals of its documents, each with its template and its votes (pairs of places).
 
-    A document with fewer than ``k`` words, NULL or without a match has no row.  Rows that share a key are pooled.
+    Runs that, even if all their votes are right, cover less than ``share`` of the template are left out.  A document with fewer than ``k`` words, NULL or without a match has no row.  Rows that share a key are pooled.
     """
     grams = docs.select(F.col(key).alias("_key"), words_of(F.col(text)).alias("w")).select("_key", F.posexplode(gram_hashes("w", k)).alias("at", "hash"))
-    places = template_words(docs.sparkSession, templates).select("template", F.posexplode(gram_hashes("t", k)).alias("place", "hash"))
-    votes = grams.join(F.broadcast(places), "hash").select("_key", "template", "at", "place")  # as many places as the list of templates has words
-    diagonals = votes.groupBy("_key", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set(F.struct("at", "place")).alias("pairs"))
+    places = template_words(docs.sparkSession, templates).select("template", F.size("t").alias("size"), F.posexplode(gram_hashes("t", k)).alias("place", "hash"))
+    votes = grams.join(F.broadcast(places), "hash").select("_key", "template", "size", "at", "place")  # as many places as the list of templates has words
+    diagonals = votes.groupBy("_key", "template", "size", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set(F.struct("at", "place")).alias("pairs"))
     order = Window.partitionBy("_key", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1))
     runs = diagonals.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("_key", "template", "run").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
+    runs = runs.groupBy("_key", "template", "size", "run").agg(F.flatten(F.collect_list("pairs")).alias("pairs")).where(covered(F.col("pairs"), k) >= share * F.col("size"))
     return runs.groupBy("_key").agg(F.collect_list(F.struct("template", "pairs")).alias("runs"))
 
 
@@ -94,7 +99,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     NULL and empty texts have no words; rows may share a key, NULL keys too.  Other columns are not looked at.
     """
     spark = docs.sparkSession
-    found = small_side(materialize(candidates(docs, key, text, templates, k, gap)))
+    found = small_side(materialize(candidates(docs, key, text, templates, k, gap, share)))
     known = F.array(*[F.struct(F.lit(r.label).alias("label"), F.array(*[F.lit(x) for x in r.t]).alias("t")) for r in template_words(spark, templates).orderBy("template").collect()])
     own = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     rows = own.join(found, own["_id"].eqNullSafe(found["_key"]), "left").select(F.col("_id").alias(key), words_of(F.col("_text")).alias("w"), "runs")
@@ -102,9 +107,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     right = lambda t, p: F.slice(w, p.at + 1, k) == F.slice(t, p.place + 1, k)
     named = F.transform(F.coalesce("runs", F.array().cast(found.schema["runs"].dataType)), lambda r: F.struct(known[r.template].alias("of"), r.pairs.alias("pairs")))
     sure = F.transform(named, lambda r: F.struct(r.of.label.alias("label"), F.size(r.of.t).alias("size"), F.filter(r.pairs, lambda p: (p.at + k <= F.size(w)) & right(r.of.t, p)).alias("pairs")))
-    covered = lambda pairs: F.size(F.array_distinct(F.flatten(F.transform(pairs.place, lambda p: F.sequence(p, p + k - 1)))))
     spans = F.transform(sure, lambda r: F.struct(
-        F.array_min(r.pairs["at"]).cast("long").alias("first_word"), (F.array_max(r.pairs["at"]) + k - 1).cast("long").alias("last_word"), r.label.alias("label"), (covered(r.pairs) / r.size).alias("coverage"),
+        F.array_min(r.pairs["at"]).cast("long").alias("first_word"), (F.array_max(r.pairs["at"]) + k - 1).cast("long").alias("last_word"), r.label.alias("label"), (covered(r.pairs, k) / r.size).alias("coverage"),
     ))
     rows = rows.select(key, F.size("w").cast("long").alias("n_words"), phrase_places("w").alias("places"), F.sort_array(F.filter(spans, lambda s: s.coverage >= share)).alias("spans"))
     return rows.withColumn("score", F.coalesce(F.array_max(F.col("spans.coverage")), F.lit(0.0)))
