@@ -15,13 +15,24 @@ DOMAIN_STOP_WORDS = (
     "care", "not", "applicable", "effect", "classified", "personal", "involving", "unknown", "degree",
 )
 
+# English function words (the public list that ``StopWordsRemover`` has, too), without its two-letter words, which are never tokens.
+ENGLISH_STOP_WORDS = (
+    "myself", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "him", "his", "himself", "she", "her", "hers", "herself", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "are", "was", "were", "been", "being",
+    "have", "has", "had", "having", "does", "did", "doing", "the", "and", "but", "because", "until", "while", "for", "with", "about", "against", "between", "into",
+    "through", "during", "before", "after", "above", "below", "from", "down", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there",
+    "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "nor", "not", "only", "own", "same", "than", "too",
+    "very", "can", "will", "just", "don", "should", "now", "could", "ought", "cannot", "would",
+)
+STOP_WORDS = tuple(dict.fromkeys(DOMAIN_STOP_WORDS + ENGLISH_STOP_WORDS))
+
 
 def combine(cols: Sequence[str]) -> Column:
     """Columns split on blanks and joined with single blanks; a NULL is empty."""
     return F.trim(F.regexp_replace(F.concat_ws(" ", *cols), r"\s+", " "))
 
 
-def tokens(c: Column, stop: Sequence[str] = DOMAIN_STOP_WORDS, lower: bool = True) -> Column:
+def tokens(c: Column, stop: Sequence[str] = STOP_WORDS, lower: bool = True) -> Column:
     """Tokens without stop words, single letters and two-letter words of a-z."""
     words = F.regexp_extract_all(F.lower(c) if lower else c, F.lit(WORD), F.lit(1))
     words = F.filter(words, lambda w: w.rlike("^[a-zA-Z]") & ~w.rlike("^[a-zA-Z]{1,2}$"))

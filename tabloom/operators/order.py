@@ -28,7 +28,7 @@ ROWS_PER_TASK = 4_000_000
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; the left keys are kept."""
     if not keys:
-        return left.crossJoin(F.broadcast(right))  # only ever used with a one-row right side
+        return left.crossJoin(F.broadcast(right.limit(1)))  # without keys there is one row of totals
     r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys])
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
@@ -68,10 +68,10 @@ def cut_points(df: DataFrame, number: Column, slices: int | None = None) -> list
 
 
 def add_slice(df: DataFrame, number: Column, points: list[float]) -> DataFrame:
-    """``_slice`` = index of the half-open interval of ``points``; NULL and NaN come first."""
+    """``_slice`` = index of the half-open interval of ``points``; NULL is in the first, NaN in the last, where sorting puts them."""
     if not points:
         return df.withColumn("_slice", F.lit(0))
-    x = F.when(number.isNull() | F.isnan(number), F.lit(float("-inf"))).otherwise(number)
+    x = F.when(number.isNull(), F.lit(float("-inf"))).when(F.isnan(number), F.lit(float("inf"))).otherwise(number)
     cutter = Bucketizer(
         splits=[float("-inf"), *points, float("inf")], inputCol="_order", outputCol="_slice", handleInvalid="keep"
     )

@@ -17,7 +17,8 @@ ONE = 1.0
 
 
 def class_prefix(df: DataFrame, y: str, p: str, w: str | None = None, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
-    """Distinct scores with own and running weight of positives, negatives and rows, plus totals."""
+    """Distinct scores with own and running weight of positives, negatives and rows, plus totals; rows without an actual or a score don't count."""
+    df = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     weight = F.col(w) if w else F.lit(ONE)
     pos = F.when(F.col(y) == 1, weight).otherwise(0.0)
     neg = F.when(F.col(y) == 1, 0.0).otherwise(weight)

@@ -3,6 +3,7 @@ recomputed task repeats it, and nothing is sorted globally unless an exact size
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,7 +110,8 @@ def shuffle(df: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
     return df.orderBy(hash_order(*key, seed=seed), *key)
 
 
-POISSON_CUTS = (0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656, 0.999405815182418, 0.999916758850712, 0.999989750803325)
+#: Cumulative probabilities of 0, 1, ... copies, to the end of double precision.
+POISSON_CUTS = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(19))
 
 
 def poisson_copies(u: Column) -> Column:

@@ -60,22 +60,23 @@ def doc_terms(weights: DataFrame, doc: str, ids: Sequence) -> DataFrame:
     return weights.filter(F.col(doc).isin(list(ids)))
 
 
-def topics(df: DataFrame, doc: str, terms: Column, k: int | None, vocab: int = 5000, min_df: float = 2, max_df: float = 0.9, top_words: int = 10, max_k: int = 15, iterations: int = 10, seed: int = 1):
+def topics(df: DataFrame, doc: str, terms: Column, k: int | None, vocab: int | None = None, min_df: float = 1, max_df: float = 1.0, top_words: int = 10, max_k: int = 15, iterations: int = 10, seed: int = 1):
     """LDA: (document shares with the top topic, top words per topic); with ``k`` None, the k in
-    3..max_k of the best coherence of its top words."""
+    3..max_k of the best coherence of its top words.  All terms count unless ``vocab``, ``min_df`` or ``max_df`` says otherwise."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     x = df.select(doc, terms.alias("_terms"))
-    cv = CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocab, minDF=min_df, maxDF=max_df).fit(x)
+    cv = CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocab or (1 << 31) - 1, minDF=min_df, maxDF=max_df).fit(x)
     v = materialize(cv.transform(x).select(doc, "_terms", "features"))
 
+    names = df.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "i int, term string")
+
     def fit(n):
         m = LDA(k=n, maxIter=iterations, seed=seed).fit(v)
-        words = F.array(*[F.lit(w) for w in cv.vocabulary])  # at most ``vocab`` words
         t = m.describeTopics(top_words).select("topic", F.posexplode("termIndices").alias("pos", "i"), "termWeights")
-        return m, t.select("topic", "pos", F.get(words, F.col("i")).alias("term"), F.get("termWeights", F.col("pos")).alias("weight"))
+        return m, t.join(names, "i").select("topic", "pos", "term", F.get("termWeights", F.col("pos")).alias("weight"))
 
     if k is None:
         vec = train_embeddings(v, "_terms", size=32, seed=seed)
@@ -90,12 +91,12 @@ def topics(df: DataFrame, doc: str, terms: Column, k: int | None, vocab: int = 5
     return p.select(doc, "share", best.alias("topic")), words
 
 
-def train_embeddings(df: DataFrame, terms: str, size: int = 32, min_count: int = 2, seed: int = 1) -> DataFrame:
-    """Word2Vec vectors as a table ``term, vector`` (save and load it like any table)."""
+def train_embeddings(df: DataFrame, terms: str, size: int = 32, min_count: int = 1, seed: int = 1) -> DataFrame:
+    """Word2Vec vectors as a table ``term, vector`` (save and load it like any table), trained in as many tasks as the session runs at once."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    m = Word2Vec(vectorSize=size, minCount=min_count, inputCol=terms, outputCol="_v", seed=seed, maxIter=1).fit(df)
+    m = Word2Vec(vectorSize=size, minCount=min_count, numPartitions=df.sparkSession.sparkContext.defaultParallelism, inputCol=terms, outputCol="_v", seed=seed, maxIter=1).fit(df)
     return m.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vector"))
 
 

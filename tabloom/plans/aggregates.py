@@ -105,15 +105,15 @@ def a10(t):
     return R.melt(t.events.select("event_id", "value", F.when(k > 50, k).alias("k")), ["event_id"], ["value", "k"])
 
 
-@query(
-    "A11_crosstab",
-    """select p_brand, count(*) filter (where p_type = 'ECONOMY') as economy_n, count(distinct p_name) filter (where p_type = 'ECONOMY') as economy_names,
-    count(*) filter (where p_type = 'PROMO') as promo_n, count(distinct p_name) filter (where p_type = 'PROMO') as promo_names from part group by 1""",
-)
+PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+A11_CELLS = ", ".join(f"count(*) filter (where p_type = '{x}') as {x.lower()}_n, count(distinct p_name) filter (where p_type = '{x}') as {x.lower()}_names" for x in PART_TYPES)
+
+
+@query("A11_crosstab", f"select p_brand, {A11_CELLS} from part group by 1")
 def a11(t):
     cells = t.part.groupBy("p_brand", "p_type", "p_name").agg(N().alias("k"))
-    out = R.pivot(cells, ["p_brand"], "p_type", ["ECONOMY", "PROMO"], {"n": F.sum("k"), "names": N()}, fill=0)
-    return out.toDF("p_brand", "economy_n", "economy_names", "promo_n", "promo_names")
+    out = R.pivot(cells, ["p_brand"], "p_type", list(PART_TYPES), {"n": F.sum("k"), "names": N()}, fill=0)
+    return out.toDF("p_brand", *(f"{x.lower()}_{m}" for x in PART_TYPES for m in ("n", "names")))
 
 
 @query(
@@ -137,11 +137,11 @@ def a12b(t):
 
 
 BRAND_DAY = """bd as (select p_brand as s, date_trunc('month', l_shipdate)::timestamp as d, sum(l_quantity) as v
-    from lineitem join part on p_partkey = l_partkey where l_linenumber <> 1 or p_size > 5 group by 1, 2)"""
+    from lineitem join part on p_partkey = l_partkey group by 1, 2)"""
 
 
 def brand_month(t):
-    j = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).filter("l_linenumber <> 1 or p_size > 5")
+    j = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     return j.groupBy(F.col("p_brand").alias("s"), F.date_trunc("month", "l_shipdate").alias("d")).agg(F.sum("l_quantity").alias("v"))
 
 

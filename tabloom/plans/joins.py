@@ -31,14 +31,15 @@ def j02(t):
 
 @query(
     "J03_full_outer_suffix",
-    """with a as (select p_brand, count(*) as n from part where p_size < 4 and p_brand < 'Brand#3' group by 1),
-    b as (select p_brand, count(*) as n from part where p_size > 46 and p_brand > 'Brand#15' group by 1)
-    select p_brand, a.n as n_old, b.n as n_new from a full join b using (p_brand)""",
+    """with a as (select p_brand, p_size % 20 as slot, count(*) as n from part where p_size <= 25 group by 1, 2),
+    b as (select p_brand, p_size % 20 as slot, count(*) as n from part where p_size > 25 group by 1, 2)
+    select p_brand, slot, a.n as n_old, b.n as n_new from a full join b using (p_brand, slot)""",
 )
 def j03(t):
-    a = t.part.filter("p_size < 4 and p_brand < 'Brand#3'").groupBy("p_brand").agg(N().alias("n"))
-    b = t.part.filter("p_size > 46 and p_brand > 'Brand#15'").groupBy("p_brand").agg(N().alias("n"))
-    return J.suffixed_full_join(a, b, ["p_brand"], ("_old", "_new"))
+    keys = ["p_brand", (F.col("p_size") % 20).alias("slot")]
+    a = t.part.filter("p_size <= 25").groupBy(*keys).agg(N().alias("n"))
+    b = t.part.filter("p_size > 25").groupBy(*keys).agg(N().alias("n"))
+    return J.suffixed_full_join(a, b, ["p_brand", "slot"], ("_old", "_new"))
 
 
 @query(

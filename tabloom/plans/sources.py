@@ -24,7 +24,7 @@ def s02(t):
     path = scratch_path(t.spark, "gz")
     df = t.documents.select("doc_id", "text", "lang", "n_chars")
     df.write.option("header", True).option("escape", '"').option("quoteAll", True).option("compression", "gzip").csv(path)
-    return t.spark.read.schema(df.schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return R.read_csv(t.spark, path, df.schema, ["doc_id", "text", "lang", "n_chars"], multi_line=True)
 
 
 @query("S03_multichar_delimiter", "select l_orderkey, l_suppkey, l_quantity from lineitem")
@@ -183,7 +183,7 @@ def s13(t):
     path = scratch_path(t.spark, "split")
     W.write_split(t.lineitem, path, 5000)
     per_file = t.spark.read.parquet(path).groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("k"))
-    return per_file.agg(F.sum("k").alias("n"), F.max(F.when(F.col("k") <= 5000, 1).otherwise(0)).alias("within_bound"))
+    return per_file.agg(F.sum("k").alias("n"), F.min(F.when(F.col("k") <= 5000, 1).otherwise(0)).alias("within_bound"))
 
 
 @query(
@@ -195,8 +195,7 @@ def s14(t):
     return (
         t.spark.read.parquet(paths[0]).select("p_partkey", "p_name")
         .join(t.spark.read.parquet(paths[0]).select("p_partkey", F.col("p_type").alias("_t")), "p_partkey")
-        .join(t.spark.read.parquet(paths[1]).select("p_partkey", "p_brand"), "p_partkey")
-        .join(t.part.select("p_partkey", "p_size"), "p_partkey")
+        .join(t.spark.read.parquet(paths[1]).select("p_partkey", "p_brand", "p_size"), "p_partkey")
         .select("p_partkey", "p_name", "p_size")
     )
 

@@ -65,12 +65,20 @@ def r02b(t):
     return landed(t, J.session_stats(stream(t), "ts", ["user_id"], "value"), "complete")
 
 
-@query("R03_late_actuals_join")
+LATE = """select p.event_id, p.user_id, p.ts as pred_ts, p.value as prediction, a.ts as actual_ts, a.value as actual from events p left join events a on a.event_type = 'purchase' and a.user_id = p.user_id
+    and a.ts >= p.ts and a.ts <= p.ts + interval 2 days where p.event_type in ('view', 'click')"""
+
+
+def predictions(df):
+    return df.filter("event_type in ('view', 'click')").select("event_id", "user_id", F.col("ts").alias("pred_ts"), F.col("value").alias("prediction"))
+
+
+@query("R03_late_actuals_join", LATE)
 def r03(t):
-    s = stream(t)
-    preds = s.filter("event_type in ('view', 'click')").select("event_id", "user_id", F.col("ts").alias("pred_ts"), F.col("value").alias("prediction"))
+    """The stream, and the predictions still open at its end."""
     actuals = stream(t).filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("actual_ts"), F.col("value").alias("actual"))
-    return landed(t, J.late_actuals_join(preds, actuals, "user_id", "pred_ts", "actual_ts", "2 days"))
+    done = landed(t, J.late_actuals_join(predictions(stream(t)), actuals, "user_id", "pred_ts", "actual_ts", "2 days"))
+    return J.with_open(done, predictions(t.events), ["event_id"])
 
 
 @query(
@@ -80,18 +88,17 @@ def r03(t):
 )
 def r03c(t):
     """The matches alone, as a stream: complete whatever the watermark."""
-    preds = stream(t).filter("event_type in ('view', 'click')").select("event_id", "user_id", F.col("ts").alias("pred_ts"), F.col("value").alias("prediction"))
+    preds = predictions(stream(t))
     actuals = stream(t).filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("actual_ts"), F.col("value").alias("actual"))
     return landed(t, J.late_actuals_join(preds, actuals, "user_id", "pred_ts", "actual_ts", "2 days", how="inner"))
 
 
 @query(
     "R03_late_actuals_batch",
-    """select p.event_id, p.user_id, p.ts as pred_ts, p.value as prediction, a.ts as actual_ts, a.value as actual from events p left join events a on a.event_type = 'purchase' and a.user_id = p.user_id
-    and a.ts >= p.ts and a.ts <= p.ts + interval 2 days where p.event_type in ('view', 'click')""",
+    LATE,
 )
 def r03b(t):
-    preds = t.events.filter("event_type in ('view', 'click')").select("event_id", "user_id", F.col("ts").alias("pred_ts"), F.col("value").alias("prediction"))
+    preds = predictions(t.events)
     actuals = t.events.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("actual_ts"), F.col("value").alias("actual"))
     return J.late_actuals_join(preds, actuals, "user_id", "pred_ts", "actual_ts", "2 days")
 

@@ -1,12 +1,12 @@
 """Text queries over whole texts."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tabloom.functions import text as FT
 from tabloom.operators import text as X
 from tabloom.plans.registry import query
 
-STOP = ", ".join(f"'{w}'" for w in FT.DOMAIN_STOP_WORDS)
+STOP = ", ".join(f"'{w}'" for w in (w.replace("'", "''") for w in FT.STOP_WORDS))
 WORDS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'), lambda w: regexp_matches(w, '^[a-z]') and not regexp_matches(w, '^[a-z]{1,2}$'))"
 TOK = f"tok as (select doc_id, list_filter({WORDS}, lambda w: w not in ({STOP})) as t from documents)"
 DTM = f"{TOK}, dtm as (select doc_id, term, count(*) as n from (select doc_id, unnest(t) as term from tok) group by 1, 2)"
@@ -87,13 +87,13 @@ def x08(t):
 
 @query("X09_topics")
 def x09(t):
-    docs, _ = X.topics(t.documents, "doc_id", toks(t), 5, vocab=2000, iterations=3)
+    docs, _ = X.topics(t.documents, "doc_id", toks(t), 5, iterations=3)
     return docs.groupBy("topic").agg(N().alias("n"), F.avg(F.array_max("share")).alias("mean_share"))
 
 
 @query("X10_coherence")
 def x10(t):
-    _, words = X.topics(t.documents, "doc_id", toks(t), 5, vocab=2000, iterations=3)
+    _, words = X.topics(t.documents, "doc_id", toks(t), 5, iterations=3)
     vec = X.train_embeddings(t.documents.select(toks(t).alias("w")), "w", 16)
     return X.coherence(words, vec)
 
@@ -165,25 +165,24 @@ def x16(t):
     return X.highlight_matches(t.documents, "doc_id", "text", coefs)
 
 
-TURNS = "tp as (select conv_id, max(text) filter (where turn = 0) as a, max(text) filter (where turn = 1) as b from conversations group by 1)"
+TURNS = "tp as (select conv_id, turn, text as a, lead(text) over (partition by conv_id order by turn) as b from conversations)"
 
 
 def turns(t):
-    def turn(i):
-        return F.max(F.when(F.col("turn") == i, F.col("text")))
+    """Every turn beside the next one of its conversation; the last has none."""
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.conversations.select("conv_id", "turn", F.col("text").alias("a"), after.alias("b"))
 
-    return t.conversations.groupBy("conv_id").agg(turn(0).alias("a"), turn(1).alias("b"))
 
-
-@query("X17_pair_equality", f"with {TURNS} select conv_id, coalesce(trim(lower(a)) = trim(lower(b)), false) as same from tp")
+@query("X17_pair_equality", f"with {TURNS} select conv_id, turn, coalesce(trim(lower(a)) = trim(lower(b)), false) as same from tp")
 def x17(t):
-    return X.pair_equality(turns(t), "a", "b").select("conv_id", "same")
+    return X.pair_equality(turns(t), "a", "b").select("conv_id", "turn", "same")
 
 
 @query(
     "X18_pair_frequency",
     f"""with {TURNS}, c as (select x, count(*) as n from (select a as x from tp union all select b from tp) group by 1)
-    select conv_id, ca.n as a_n, cb.n as b_n, greatest(ca.n, cb.n) as max_n, least(ca.n, cb.n) as min_n from tp left join c ca on a is not distinct from ca.x left join c cb on b is not distinct from cb.x""",
+    select conv_id, turn, ca.n as a_n, cb.n as b_n, greatest(ca.n, cb.n) as max_n, least(ca.n, cb.n) as min_n from tp left join c ca on a is not distinct from ca.x left join c cb on b is not distinct from cb.x""",
 )
 def x18(t):
     return X.pair_frequency(turns(t), "a", "b").drop("a", "b")

@@ -23,7 +23,7 @@ def d02(t):
     def centre(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(out=pdf.target - pdf.target.median())[["series_id", "date", "out"]]
 
-    return U.grouped_map(t.series, ["series_id"], centre, "series_id string, date timestamp, out double", rows_limit=1_000_000)
+    return U.grouped_map(t.series, ["series_id"], centre, "series_id string, date timestamp, out double")
 
 
 @query("D03_aggregate_function", f"with {V_SERIES} select series_id, round(max(target) - min(target), 6) as spread from v_series group by 1")

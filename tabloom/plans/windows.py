@@ -109,14 +109,17 @@ def w09(t):
     return W.last_k_items(t.history, ["cust_id"], "dt", "size", k=8)
 
 
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+
+
 @query(
     "W10_history_counts",
-    f"""with {V_HISTORY}, d as (select cust_id, dt, count(*) filter (where size = 'Brand#1') as a, count(*) filter (where size = 'Brand#7') as b from v_history group by 1, 2)
-    select cust_id, dt, coalesce(sum(a) over w, 0)::bigint as "n_Brand#1", coalesce(sum(b) over w, 0)::bigint as "n_Brand#7"
+    f"""with {V_HISTORY}, d as (select cust_id, dt, {", ".join(f"count(*) filter (where size = '{b}') as n{i}" for i, b in enumerate(BRANDS))} from v_history group by 1, 2)
+    select cust_id, dt, {", ".join(f'coalesce(sum(n{i}) over w, 0)::bigint as "n_{b}"' for i, b in enumerate(BRANDS))}
     from d window w as (partition by cust_id order by dt rows between unbounded preceding and 1 preceding)""",
 )
 def w10(t):
-    return W.history_counts(t.history, ["cust_id"], "dt", "size", ["Brand#1", "Brand#7"])
+    return W.history_counts(t.history, ["cust_id"], "dt", "size", BRANDS)
 
 
 @query(
@@ -177,13 +180,13 @@ def w15(t):
 
 @query(
     "W16_tenure",
-    """with known as (select o_custkey, min(o_orderdate) as first from orders where o_orderstatus = 'F' group by 1),
+    """with known as (select o_custkey, min(o_orderdate) as first from orders where o_orderstatus <> 'O' group by 1),
     new as (select * from orders where o_orderstatus = 'O'),
     f as (select o_custkey, min(first) as first from (select * from known union all select o_custkey, min(o_orderdate) from new group by 1) group by 1)
     select o_orderkey, first, date_diff('day', first, o_orderdate)::int as tenure_days from new join f using (o_custkey)""",
 )
 def w16(t):
-    known = t.orders.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
+    known = t.orders.filter("o_orderstatus <> 'O'").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
     new = t.orders.filter("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", "o_orderdate")
     return W.tenure(new, "o_custkey", "o_orderdate", known).select("o_orderkey", "first", "tenure_days")
 

@@ -22,9 +22,13 @@ def read_csv(
     sep: str = ",",
     header: bool = True,
     limit: int | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with optional declared schema, column list and row cap; the codec follows the file name."""
-    reader = spark.read.option("header", header).option("sep", sep).option("escape", '"').option("multiLine", False)
+    """CSV with optional declared schema, column list and row cap; the codec follows the file name.
+
+    ``multi_line`` allows line breaks in quoted cells, at the price that a file is read by one task.
+    """
+    reader = spark.read.option("header", header).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     df = df.select(*select) if select else df
     return df.limit(limit) if limit is not None else df

@@ -57,6 +57,11 @@ def late_actuals_join(preds: DataFrame, actuals: DataFrame, key: str, pred_t: st
     return p.join(a, cond, how).drop("_akey")
 
 
+def with_open(landed: DataFrame, preds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a stream of :func:`late_actuals_join` has landed, and the predictions whose time wasn't over when it stopped, without an actual."""
+    return landed.unionByName(preds.join(landed.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+
+
 def rolling_accuracy(joined: DataFrame, t: str, metric: Column, window: str, baseline: float, delay: str = "1 hour") -> DataFrame:
     """Metric per window with the baseline and the relative change in percent."""
     g = joined.withWatermark(t, delay).groupBy(F.window(t, window).alias("w")).agg(metric.alias("value"), F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import joins as J, order as O, windows as W
+from tabloom.operators import joins as J, order as O, ranking as R, windows as W
 
 
 def table(df, cols):
@@ -134,3 +134,23 @@ def test_empty_and_single(spark):
     assert O.quantiles(empty, "v", [0.5], ["k"]).count() == 0
     one = spark.createDataFrame([("a", 1, 2.0)], "k string, t int, v double")
     assert O.quantiles(one, "v", [0.3]).first()[0] == 2.0
+
+
+@pytest.mark.parametrize("partitions", ["4", "16"])
+def test_nan_is_last_whatever_the_partitions(spark, partitions):
+    rows = [(i, float(i % 97) if i % 100 else float("nan")) for i in range(1, 1001)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        pos = {r.id: r.pos for r in O.row_positions(df, ["v", "id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    nan = [i for i, v in rows if v is not None and v != v]
+    assert pos[2000] == 1 and sorted(pos[i] for i in nan) == list(range(992, 1002))
+
+
+def test_rows_without_actual_or_score_dont_count(spark):
+    rows = [(1.0, 0.9), (0.0, 0.1), (None, 0.95), (None, 0.05), (1.0, None)]
+    df = spark.createDataFrame(rows, "y double, p double")
+    assert R.auc(df, "y", "p").first().auc == 1.0 and R.ks(df, "y", "p").first().ks == 1.0
