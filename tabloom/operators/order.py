@@ -2,8 +2,9 @@
 
 A window partitioned only by a key puts a hot key into one task, and a window without a key
 puts the whole table there.  Everything ordered in this package goes through *slices* instead:
-the order column is cut at approximate quantiles of all rows, so a (key, slice) pair holds at
-most about ``rows / slices`` rows however skewed the keys are.  Totals per (key, slice) are tiny
+the order is cut at approximate quantiles of all rows, so a (key, slice) pair holds at most about
+``rows / slices`` rows however skewed the keys are; a value of the first column with more rows than
+that is cut along the second.  Totals per (key, slice) are tiny
 and give each slice its starting value; the rest is a window inside the slice.
 
 The cut points are a small list fixed on the driver, hence the slice of a row is a function of the
@@ -12,13 +13,12 @@ row alone and a recomputed task lands on the same slice.  No checkpoint is neede
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-MAX_SLICES = 2048
 ROWS_PER_TASK = 4_000_000
 
 
@@ -34,53 +34,86 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def order_number(df: DataFrame, col: str) -> Column:
-    """A double that never decreases along the order of ``col`` (ties are allowed)."""
-    dt = df.schema[col].dataType
-    c = F.col(col)
+def _ordered(df: DataFrame, col: str) -> Column:
+    """``col`` as something that points can be compared with: text as it is, all else as a double."""
+    dt, c = df.schema[col].dataType, F.col(col)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(dt, T.BooleanType):
         return c.cast("int").cast("double")
-    if isinstance(dt, T.StringType):
-        lo, hi = df.agg(F.min(c), F.max(c)).first()
-        skip = 0
-        if lo is not None:
-            a, b = lo.encode(), hi.encode()
-            while skip < min(len(a), len(b)) and a[skip] == b[skip]:
-                skip += 1
-        raw = F.substring(F.encode(c, "UTF-8"), skip + 1, 6)
-        return F.conv(F.rpad(F.hex(raw), 12, "0"), 16, 10).cast("double")
-    return c.cast("double")
-
-
-def cut_points(df: DataFrame, number: Column, slices: int | None = None) -> list[float]:
-    """At most ``slices - 1`` increasing cut points near the quantiles of all rows."""
-    if slices is None:
-        slices = min(MAX_SLICES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    probs = [i / slices for i in range(1, slices)]
-    if not probs:
-        return []
-    pts = df.agg(F.percentile_approx(F.nullif(number, F.lit(float("nan"))), probs, 10 * slices)).first()[0]
-    return sorted(set(pts or []))
+    return c if isinstance(dt, T.StringType) else c.cast("double")
+
+
+def slice_count(df: DataFrame) -> int:
+    """Four slices for each shuffle partition: what a cluster is set to shuffle in, it can also sort in."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def add_slice(df: DataFrame, number: Column, points: list[float]) -> DataFrame:
-    """``_slice`` = index of the half-open interval of ``points``; NULL is in the first, NaN in the last, where sorting puts them."""
+def cut_points(df: DataFrame, col: str, slices: int) -> list:
+    """``slices - 1`` ascending points near the quantiles of all rows; a value with many rows comes several times.
+
+    Numbers use Spark's quantile sketch, text the quantiles of a random sample of about fifty rows for each slice.
+    """
+    if slices < 2:
+        return []
+    x = _ordered(df, col)
+    if not isinstance(df.schema[col].dataType, T.StringType):
+        probs = [i / slices for i in range(1, slices)]
+        return df.agg(F.percentile_approx(F.nullif(x, F.lit(float("nan"))), probs, 10 * slices)).first()[0] or []
+    rows = df.select(x.alias("x")).filter("x is not null")
+    n = rows.count()
+    some = rows if n <= 50 * slices else rows.sample(50 * slices / n, seed=7)
+    found = [r.x for r in some.orderBy("x").collect()]
+    return [found[i * len(found) // slices] for i in range(1, slices)] if found else []
+
+
+def _passed(points: list, x: Column) -> Column:
+    """How many of the ascending ``points`` are at or below ``x``, by a scan of every k-th and one between two of them; NULL passes none."""
     if not points:
-        return df.withColumn("_slice", F.lit(0))
-    x = F.when(number.isNull(), F.lit(float("-inf"))).when(F.isnan(number), F.lit(float("inf"))).otherwise(number)
-    cutter = Bucketizer(
-        splits=[float("-inf"), *points, float("inf")], inputCol="_order", outputCol="_slice", handleInvalid="keep"
-    )
-    return cutter.transform(df.withColumn("_order", x)).drop("_order").withColumn("_slice", F.col("_slice").cast("int"))
+        return F.lit(0)
+    k = math.isqrt(len(points)) + 1
+    chunks = [points[i : i + k] for i in range(0, len(points), k)]
+    at = F.size(F.filter(F.array(*[F.lit(c[0]) for c in chunks[1:]]), lambda q: q <= x)) if len(chunks) > 1 else F.lit(0)
+    near = F.array(*[F.array(*[F.lit(q) for q in c]) for c in chunks])[at]
+    return at * k + F.size(F.filter(near, lambda q: q <= x))
 
 
-def sliced(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
-    number = order_number(df, order)
-    return add_slice(df, number, cut_points(df, number, slices))
+def slicer(df: DataFrame, order: Sequence[str], slices: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Cuts ``df`` along ``order``: a function that adds ``_slice`` to tables with these columns.
+
+    Slices follow the first column.  A value, NULL too, that would fill three slices or more is cut along the second column,
+    within its rows; what ties in both stays together.  NULL is in the first slices and NaN in the last, where sorting puts them.
+    """
+    slices, first = slices or slice_count(df), order[0]
+    points = cut_points(df, first, slices)
+    x = _ordered(df, first)
+    unique = sorted(set(points))
+    heavy = {v: points.count(v) for v in unique if points.count(v) >= 3} if len(order) > 1 and len(unique) < len(points) else {}
+    inner: dict = {}
+    if len(order) > 1:
+        n = df.agg(F.count(F.lit(1)), F.count(first)).first()
+        if n[0] and slices * (n[0] - n[1]) // n[0] >= 3:
+            inner[None] = sorted(set(cut_points(df.filter(F.col(first).isNull()), order[1], slices * (n[0] - n[1]) // n[0])))
+        for v, m in heavy.items():
+            inner[v] = sorted(set(cut_points(df.filter(x == F.lit(v)), order[1], m)))
+
+    def add(t: DataFrame) -> DataFrame:
+        x = _ordered(t, first)
+        nan = F.isnan(x) if not isinstance(t.schema[first].dataType, T.StringType) else F.lit(False)
+        place = F.when(x.isNull(), 0).when(nan, len(unique)).otherwise(_passed(unique, x))
+        ahead = F.lit(0)  # slices that were put in before
+        own = F.lit(0)
+        for v, pts in inner.items():
+            second = _ordered(t, order[1])
+            here = x.isNull() if v is None else (x == F.lit(v))
+            later = x.isNotNull() if v is None else (~nan & (x > F.lit(v))) | nan
+            own = F.when(here, _passed(pts, second) + (F.isnan(second).cast("int") if not isinstance(t.schema[order[1]].dataType, T.StringType) else 0)).otherwise(own)
+            ahead = ahead + F.when(later, len(pts) + 2).otherwise(0)
+        return t.withColumn("_slice", place + ahead + F.coalesce(own, F.lit(0)))
+
+    return add
 
 
 def _earlier(by: Sequence[str], descending: bool):
@@ -118,10 +151,9 @@ def prefix_sum(
     Ties share one row.  Columns: ``by``, ``order``, then ``<name>`` and ``cum_<name>`` (inclusive).
     """
     by = list(by)
-    number = order_number(df, order)
-    points = cut_points(df, number, slices)
+    cut = slicer(df, [order], slices)
     own = df.groupBy(*by, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    own = _keyed(add_slice(own, number, points), by)
+    own = _keyed(cut(own), by)
     per_slice = own.groupBy("_k").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
     before = per_slice.select(
         "_k", *[F.coalesce(F.sum(f"_t_{n}").over(_earlier(by, descending)), F.lit(0)).alias(f"_o_{n}") for n in sums]
@@ -140,9 +172,9 @@ def row_positions(
     descending: bool = False,
     slices: int | None = None,
 ) -> DataFrame:
-    """1-based row number per ``by`` (or over the whole table), split by slices of ``order[0]``."""
+    """1-based row number per ``by`` (or over the whole table), split by slices along ``order``."""
     by, order = list(by), list(order)
-    cut = _keyed(sliced(df, order[0], slices), by)
+    cut = _keyed(slicer(df, order, slices)(df), by)
     per_slice = cut.groupBy("_k").agg(F.count(F.lit(1)).alias("_n_here"))
     before = per_slice.select("_k", F.coalesce(F.sum("_n_here").over(_earlier(by, descending)), F.lit(0)).alias("_before"))
     w = _within(directed(order, descending))
@@ -186,7 +218,7 @@ def carry_last(
 ) -> DataFrame:
     """Adds ``last_<v>``: the last non-NULL ``v`` at or before the row (at or after if ``forward``)."""
     by, order = list(by), list(order)
-    cut = _keyed(sliced(df, order[0], slices), by)
+    cut = _keyed(slicer(df, order, slices)(df), by)
     rank_key = F.struct(*order)
     pick = F.min_by if forward else F.max_by
     ends = cut.groupBy("_k").agg(
@@ -233,8 +265,7 @@ def windowed(
     by, order = list(by), list(order)
     if not hot_key(df, by, rows_per_task):
         return _stages(df, build(Window.partitionBy(*by).orderBy(*order)))
-    if max(lookback, lookahead) > rows_per_task:
-        raise ValueError("the frame is longer than rows_per_task")
+    rows_per_task = max(rows_per_task, lookback, lookahead)  # so a frame sees the neighbouring chunks only
     pos = row_positions(df, order, by, "_pos")
     chunk = F.floor((F.col("_pos") - 1) / rows_per_task)
     offset = (F.col("_pos") - 1) % rows_per_task

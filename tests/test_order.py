@@ -154,3 +154,27 @@ def test_rows_without_actual_or_score_dont_count(spark):
     rows = [(1.0, 0.9), (0.0, 0.1), (None, 0.95), (None, 0.05), (1.0, None)]
     df = spark.createDataFrame(rows, "y double, p double")
     assert R.auc(df, "y", "p").first().auc == 1.0 and R.ks(df, "y", "p").first().ks == 1.0
+
+
+@pytest.mark.parametrize("kind", ["ties", "nulls", "text", "nan second"])
+def test_slices_are_even_and_in_order(spark, kind):
+    r = np.random.default_rng(5)
+    n = 20_000
+    first = {"ties": np.where(r.random(n) < 0.8, 5.0, r.random(n) * 10), "nulls": np.where(r.random(n) < 0.5, np.nan, r.random(n)), "nan second": np.where(r.random(n) < 0.8, 5.0, r.random(n) * 10)}
+    second = r.random(n)
+    if kind == "text":
+        values = [f"https://example.org/a/long/path/{i:08d}" for i in r.integers(0, n, n - 2)] + ["a", "z"]
+    else:
+        values = [None if x != x else float(x) for x in first[kind]]
+    if kind == "nan second":
+        second[:1000] = np.nan
+    df = spark.createDataFrame([(i, v, float(w)) for i, (v, w) in enumerate(zip(values, second))], f"id long, v {'string' if kind == 'text' else 'double'}, w double").repartition(6)
+    cut = O.slicer(df, ["v", "w", "id"], 32)(df)
+    sizes = [x["count"] for x in cut.groupBy("_slice").count().collect()]
+    assert max(sizes) <= 3 * n / 32
+    rows = cut.orderBy("v", "w", "id").select("_slice").collect()
+    assert all(a[0] <= b[0] for a, b in zip(rows, rows[1:]))
+    got = O.row_positions(df, ["v", "w", "id"], slices=32).orderBy("pos").select("id").collect()
+    assert [x[0] for x in got] == [x[0] for x in df.orderBy("v", "w", "id").select("id").collect()]
+    back = O.row_positions(df, ["v", "w", "id"], slices=32, descending=True).orderBy(F.desc("pos")).select("id").collect()
+    assert back == got
