@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -132,36 +132,31 @@ def cooccurrence(df: DataFrame, doc: str, words: Column, window: int, min_count:
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """``query, <key>, similarity, rank`` of the ``k`` most similar vectors, the query itself left out.
 
-    Queries travel to the tasks in blocks of bounded size; each Arrow batch is one matrix product and
-    keeps its own best ``k``, then a rank filter (pruned before the shuffle) merges the batches.
+    Queries and vectors are dealt into blocks of about ``block`` rows.  Each pair of blocks is one matrix product in a task, which
+    keeps its own best ``k`` (and what ties with them); a rank filter, pruned before the shuffle, merges the pairs.
     """
-    q = row_positions(queries.select(key, unit(vector).alias("_q")), [key], name="_p").withColumn("_blk", F.floor((F.col("_p") - 1) / block))
-    q = materialize(q)
-    blocks = int((q.agg(F.max("_blk")).first()[0] or 0) + 1)
     kt = vectors.schema[key].dataType.simpleString()
-    base = vectors.select(key, unit(vector).alias("_v"))
-    out = None
-    for b in range(blocks):
-        rows = q.filter(F.col("_blk") == b).select(key, "_q").collect()  # one bounded block
-        ids = [r[0] for r in rows]
-        m = np.array([[x if x is not None else np.nan for x in r[1]] for r in rows])
-
-        def best(batches: Iterator[pd.DataFrame], m=m, ids=ids) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                keys = pdf[key].to_numpy()
-                sims = np.vstack(pdf["_v"].to_numpy()) @ m.T
-                take = min(k + 1, len(keys))
-                top = np.argpartition(-sims, take - 1, axis=0)[:take]
-                for j, qid in enumerate(ids):
-                    # Everything that ties with the last kept value stays, so the merge can break ties by key.
-                    edge = sims[top[:, j], j].min()
-                    i = np.nonzero(sims[:, j] >= edge)[0]
-                    yield pd.DataFrame({"query": qid, key: keys[i], "similarity": sims[i, j]})
-
-        part = base.mapInPandas(best, f"query {kt}, {key} {kt}, similarity double")
-        out = part if out is None else out.unionByName(part)
+
+    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n = df.count() // block + 1
+        return df.select(key, unit(vector).alias("_u"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name)), n
+
+    q, nq = dealt(queries, "_qb")
+    v, nv = dealt(vectors, "_vb")
+    q = q.withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    v = v.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def best(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(ours) and len(theirs):
+            sims = np.vstack(theirs["_u"].to_numpy()) @ np.vstack(ours["_u"].to_numpy()).T
+            take = min(k + 1, len(theirs))
+            edge = -np.partition(-sims, take - 1, axis=0)[take - 1]
+            i, j = np.nonzero(sims >= edge)
+            found.append(pd.DataFrame({"query": ours[key].to_numpy()[j], key: theirs[key].to_numpy()[i], "similarity": sims[i, j]}))
+        return pd.concat(found) if found else pd.DataFrame({"query": [], key: [], "similarity": []})
+
+    out = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(best, f"query {kt}, {key} {kt}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), key)
     return out.filter(~F.col("query").eqNullSafe(F.col(key))).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
