@@ -21,11 +21,13 @@ from tabloom.session import materialize
 
 LONGEST = 12  # bytes of a piece
 ROUNDS = 3
-SAMPLE_ROWS = 20_000  # labelled documents that the model is fitted on, at most about so many
+SAMPLE_ROWS = 6_000  # labelled documents that the model is fitted on, at most about so many
 SMOOTHING = 0.1
 UNDETERMINED = "und"
 LETTERS = np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)])  # words: letters and non-ASCII characters
 _SMALL = -1e30
+_SIEVE_BITS = 22
+KNOWN_WORDS = 1_000_000  # whose probabilities a task remembers
 
 
 class Vocabulary(NamedTuple):
@@ -34,6 +36,7 @@ class Vocabulary(NamedTuple):
     hashes: np.ndarray
     ids: np.ndarray
     size: int
+    sieve: np.ndarray  # whether any piece's hash has these first bits
 
 
 @functools.lru_cache(2)
@@ -45,7 +48,9 @@ def vocabulary(path: str, longest: int = LONGEST) -> Vocabulary:
     data, offsets = as_bytes(pa.array(pieces, pa.binary()))
     hashes = span_hash(rolling(data), offsets[:-1], offsets[1:])
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order, len(pieces))
+    sieve = np.zeros(1 << _SIEVE_BITS, bool)
+    sieve[hashes >> np.uint64(64 - _SIEVE_BITS)] = True
+    return Vocabulary(hashes[order], order, len(pieces), sieve)
 
 
 class Lattice(NamedTuple):
@@ -67,6 +72,8 @@ def lattice(voc: Vocabulary, data: np.ndarray, first: np.ndarray, longest: int =
         inside = start >= word_of[end - 1]
         start, end = start[inside], end[inside]
         h = span_hash(sums, start, end)
+        likely = np.flatnonzero(voc.sieve[h >> np.uint64(64 - _SIEVE_BITS)])
+        start, end, h = start[likely], end[likely], h[likely]
         at = np.minimum(np.searchsorted(voc.hashes, h), len(voc.hashes) - 1)
         known = voc.hashes[at] == h
         found.append((start[known], end[known], voc.ids[at[known]]))
@@ -110,9 +117,7 @@ def expected(lat: Lattice, first: np.ndarray, log_p: np.ndarray, weight: np.ndar
     word = np.searchsorted(first, lat.start, "right") - 1
     behind = back[first[word] + first[word + 1] - lat.end + word]  # suffixes are the prefixes of the mirrored word
     use = np.exp(ahead[lat.start + word] + log_p[lat.piece] + behind - total[word]) * weight[word]
-    counts = np.zeros(log_p.shape)
-    np.add.at(counts, lat.piece, use)
-    return counts
+    return np.stack([np.bincount(lat.piece, use[:, k], len(log_p)) for k in range(log_p.shape[1])], axis=1)
 
 
 def _mirrored(lat: Lattice, first: np.ndarray) -> Lattice:
@@ -131,14 +136,14 @@ class Model(NamedTuple):
 
 
 def unique_words(data: np.ndarray, offsets: np.ndarray):
-    """Distinct lower-cased words of a slice: their bytes and starts, the number of each word's distinct one, and the words of each text."""
+    """Distinct lower-cased words of a slice: their bytes and starts, the number of each word's distinct one, the words of each text, and the distinct hashes."""
     data = UPPER[data]
     found = words(data, offsets, LETTERS)
-    _, one, which = np.unique(found.hash, return_index=True, return_inverse=True)
+    hashes, one, which = np.unique(found.hash, return_index=True, return_inverse=True)
     length = (found.end - found.start)[one]
     first = np.concatenate([[0], np.cumsum(length)])
     take = np.repeat(found.start[one] - first[:-1], length) + np.arange(first[-1])
-    return data[take], first, which, found.first
+    return data[take], first, which, found.first, hashes
 
 
 def word_counts(docs: DataFrame, text: str, label: str) -> DataFrame:
@@ -149,7 +154,7 @@ def word_counts(docs: DataFrame, text: str, label: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, text):
                 data, offsets = as_bytes(part.column(text))
-                raw, first, which, of = unique_words(data, offsets)
+                raw, first, which, of, _ = unique_words(data, offsets)
                 labels, code = np.unique(np.array(part.column(label).to_pylist(), object), return_inverse=True)
                 pair, n = np.unique(which * len(labels) + np.repeat(code, np.diff(of)), return_counts=True)
                 pool = [raw[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
@@ -201,12 +206,36 @@ def _piece_counts(counts: DataFrame, label: str, model: Model) -> DataFrame:
     return counts.mapInArrow(run, "piece long, language long, n double").groupBy("piece", "language").agg(F.sum("n").alias("n"))
 
 
+class _Remembered:
+    """Log probabilities of words, kept by their hashes while a task reads slice after slice."""
+
+    def __init__(self, languages: int) -> None:
+        self.hashes, self.values = np.empty(0, np.uint64), np.empty((0, languages))
+
+    def look_up(self, model: Model, raw: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Values of the distinct words ``raw[first[i]:first[i + 1]]``, whose hashes ascend."""
+        if len(self.hashes) > KNOWN_WORDS:
+            self.__init__(len(model.languages))
+        at = np.searchsorted(self.hashes, hashes)
+        there = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~there)
+        if len(new):
+            length = np.diff(first)[new]
+            begin = np.concatenate([[0], np.cumsum(length)])
+            data = raw[np.repeat(first[new] - begin[:-1], length) + np.arange(begin[-1])]
+            ahead = forward(lattice(vocabulary(model.path), data, begin), begin, model.log_p)
+            self.values = np.insert(self.values, at[new], ahead[begin[1:] + np.arange(len(new))], axis=0)
+            self.hashes = np.insert(self.hashes, at[new], hashes[new])
+            at = np.searchsorted(self.hashes, hashes)
+        return self.values[at]
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns in ``keep``) with ``lang_pred`` and ``score``, the share of the best language in the probability per byte, 0 to 1.
 
     Whole texts are scored.  A NULL text, or one without a letter, and every text if the model knows no language, is ``und`` with score 0.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, task = docs.sparkSession.sparkContext.broadcast(model), {}
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def run(part: pa.RecordBatch) -> list:
@@ -215,10 +244,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         if not model.languages:
             return [pa.array([UNDETERMINED] * n), pa.array([0.0] * n)]
         column = part.column(text)
-        raw, first, which, of = unique_words(*as_bytes(column))
+        raw, first, which, of, hashes = unique_words(*as_bytes(column))
         length = np.diff(first)
-        ahead = forward(lattice(vocabulary(model.path), raw, first), first, model.log_p)
-        score = ahead[first[1:] + np.arange(len(length))][which]
+        score = task.setdefault("words", _Remembered(len(model.languages))).look_up(model, raw, first, hashes)[which]
         sums = np.concatenate([np.zeros((1, score.shape[1])), np.cumsum(score, axis=0)])
         total = sums[of[1:]] - sums[of[:-1]]
         size = np.concatenate([[0], np.cumsum(length[which])])
