@@ -24,7 +24,7 @@ BITS = 10  # of the filter for an entry
 PROBES = 4
 KAPPA = 40.0  # weight of the lower order against the count of the history
 BUCKET_BYTES = 16 << 20  # of text for each bucket
-FLUSH = 3_000_000  # counts that a task holds
+FLUSH = 1_500_000  # counts that a task holds
 SHARD_BYTES = 192 << 20
 COMMON = 1_000_000  # tokens whose exact counts are broadcast, at most
 END = np.uint64(0x5851F42D4C957F2D)  # the token behind every text, which is also the history of its first token
