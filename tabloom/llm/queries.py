@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm import contamination, language, licenses, packing, quality, repeats, scoring, secrets, similarity, warc
+from tabloom.llm import contamination, language, licenses, oracles, packing, quality, repeats, scoring, secrets, similarity, warc
 from tabloom.session import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": oracles.WARC,
+    "op3_ngram_jaccard_join": oracles.JACCARD,
+    "op4_benchmark_decontamination": oracles.CONTAMINATION,
+    "op8_suffix_array_dedup": oracles.REPEATS,
+}
 
 
 def query(fn):
