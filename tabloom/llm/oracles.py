@@ -43,3 +43,20 @@ u as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as las
 select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
   sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::int))) as kept_sha256
 from d left join u using (doc_id)"""
+
+
+def secret_scans(rules, base: int) -> str:
+    """Spans of each rule from the texts between and of its matches; the first ``base`` rules make the base digest."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = [
+        f"select doc_id, {n} as nth, {quote(r.kind)} as kind, regexp_extract_all(t, {quote(r.pattern)}) as found, string_split_regex(t, {quote(r.pattern)}) as gaps, {quote(r.strict or r.pattern)} as strict from d"
+        for n, r in enumerate(rules)
+    ]
+    counts = ", ".join(f"count(*) filter (where nth = {n}) as n_{r.kind}" for n, r in enumerate(rules[:base]))
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as ({" union all ".join(parts)}),
+s as (select doc_id, nth, kind, found[i] as x, strict, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i-1], lambda g: length(g))), 0) as a from (select *, unnest(range(1, len(found) + 1)) as i from m where len(found) > 0)),
+k as (select *, kind || ':' || a::bigint || ':' || (a + length(x))::bigint as span from s where regexp_full_match(x, strict)),
+g as (select doc_id, {counts}, string_agg(span, ',' order by a, nth) filter (where nth < {base}) as b, string_agg(span, ',' order by a, nth) as spans from k group by 1)
+select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::bigint as n_{r.kind}" for r in rules[:base])}, sha256(coalesce(b, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""

@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {
     "op1_warc": oracles.WARC,
     "op3_ngram_jaccard_join": oracles.JACCARD,
     "op4_benchmark_decontamination": oracles.CONTAMINATION,
+    "op7_secret_scans": oracles.secret_scans(secrets.RULES, len(secrets.BASE)),
     "op8_suffix_array_dedup": oracles.REPEATS,
 }
 
