@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.llm.batches import NOT_BLANK, UPPER, append, as_bytes, grams, mix, slices, small_batches, words
 from tabloom.llm.graph import components
-from tabloom.llm.scoring import build_part, buckets_for, shards, split
+from tabloom.llm.scoring import bucket_of, build_part, buckets_for, shards, split
 from tabloom.session import materialize
 
 N = 5
 PERCENT = 80
 FRAGMENTS = 8  # in which overlaps are counted
+PROFILE = 64  # finer fragments, whose sizes bound an overlap before it is counted
 TINY = 16  # up to that size every n-gram is a fragment
 RATIO = 1.3  # of the sizes of a space
 FLUSH = 2_000_000
@@ -167,34 +168,55 @@ def _members(held, n: int):
                 size = np.diff(sets.first)
                 one = np.unique(sets.cls, return_index=True)[1]
                 one = one[(size[one] > 0) & (held.value.levels(1, sets.cls[one]) > 0)]
-                yield pa.RecordBatch.from_pydict({"cls": pa.array(sets.cls[one].view(np.int64)), "n": pa.array(size[one]), "grams": pa.array([sets.grams[sets.first[i] : sets.first[i + 1]].tobytes() for i in one], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(sets.cls[one].view(np.int64)), "n": pa.array(size[one]), "sizes": _profiles(sets.grams, sets.first, one), "grams": pa.array([sets.grams[sets.first[i] : sets.first[i + 1]].tobytes() for i in one], pa.binary())})
 
     return run
 
 
+def _profiles(every: np.ndarray, first: np.ndarray, which: np.ndarray) -> pa.Array:
+    """How many of the n-grams of the sets ``which`` lie in each of PROFILE fragments."""
+    sizes = [np.bincount(bucket_of(every[first[i] : first[i + 1]], PROFILE), minlength=PROFILE).tolist() for i in which]
+    return pa.array(sizes, pa.list_(pa.int32()))
+
+
+def _pairs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    g = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["g"]])
+    return g, np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["c"]])
+
+
 def _lonely(members: DataFrame, buckets: int) -> DataFrame:
-    """``cls, alone``: how many n-grams of each class no other class among ``members`` has."""
+    """``cls, alone``: how many n-grams of each class no other class among ``members`` has, by the fragments of the profile."""
+
+    def rows(bucket: np.ndarray, g: np.ndarray, c: np.ndarray):
+        by = np.argsort(bucket, kind="stable")
+        bucket, g, c = bucket[by], g[by], c[by]
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(g) else np.empty(0, np.int64)
+        cuts = list(zip(at, [*at[1:], len(g)])) if len(g) else []
+        return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "g": pa.array([g[a:b].tobytes() for a, b in cuts], pa.binary()), "c": pa.array([c[a:b].tobytes() for a, b in cuts], pa.binary())})
 
     def deal(batches):
         for batch in batches:
             data, offsets = as_bytes(batch.column("grams"))
             g = np.frombuffer(data.tobytes(), np.uint64)
-            c = np.repeat(batch.column("cls").to_numpy(), np.diff(offsets) // 8)
-            by = np.argsort(g, kind="stable")
-            g, c = g[by], c[by]
-            for b, part in split(g, buckets):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "g": pa.array([g[part].tobytes()], pa.binary()), "c": pa.array([c[part].tobytes()], pa.binary())})
+            yield from rows(bucket_of(g, buckets), g, np.repeat(batch.column("cls").to_numpy(), np.diff(offsets) // 8)).to_batches()
+
+    def single(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        g, c = _pairs_of(table)
+        g, at, n = np.unique(g, return_index=True, return_counts=True)
+        g, c = g[n == 1], c[at[n == 1]]
+        return rows(bucket_of(c.view(np.uint64), buckets), g, c)
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        g = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["g"]])
-        c = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["c"]])
-        _, at, n = np.unique(g, return_index=True, return_counts=True)
-        cls, alone = np.unique(c[at[n == 1]], return_counts=True)
-        return pa.table({"cls": pa.array(cls, pa.int64()), "alone": pa.array(alone, pa.int64())})
+        g, c = _pairs_of(table)
+        by = np.argsort(c, kind="stable")
+        g, c = g[by], c[by]
+        cls, first = np.unique(c, return_index=True)
+        return pa.table({"cls": pa.array(cls, pa.int64()), "alone": _profiles(g, np.append(first, len(g)), np.arange(len(cls)))})
 
     members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    dealt = members.mapInArrow(deal, "bucket int, g binary, c binary").groupBy("bucket").applyInArrow(count, "cls long, alone long")
-    return dealt.groupBy("cls").agg(F.sum("alone").alias("alone"))
+    schema = "bucket int, g binary, c binary"
+    alone = members.select("cls", "grams").mapInArrow(deal, schema).groupBy("bucket").applyInArrow(single, schema)
+    return alone.groupBy("bucket").applyInArrow(count, "cls long, alone array<int>")
 
 
 def _fragments(members: DataFrame, fragments: int) -> DataFrame:
@@ -228,6 +250,12 @@ def _may(percent: int, *names: str) -> Column:
     return ((100 + percent) * F.least(sa, sb) >= percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
+def _may_by_fragments(percent: int) -> Column:
+    """The same from how many there are in each fragment of the profiles ``fa`` and ``fb``: no fragment adds more than the lesser."""
+    most = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+
+
 def _links(own: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
     """``a, b``: links between classes that connect all classes which any links connect."""
     spark, buckets = own.sparkSession, buckets_for(own, "text")
@@ -243,16 +271,19 @@ def _links(own: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
     counted = materialize(known.groupBy("bucket").applyInArrow(part, "kind int, bucket int, filter binary"))
     found = None
     for shard in shards(counted, 1, buckets):
-        some = small_batches(own.select("text").where("text is not null")).mapInArrow(_members(spark.sparkContext.broadcast(shard), n), "cls long, n long, grams binary")
+        some = small_batches(own.select("text").where("text is not null")).mapInArrow(_members(spark.sparkContext.broadcast(shard), n), "cls long, n long, sizes array<int>, grams binary")
         found = some if found is None else found.union(some)
-    members = materialize(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
-    about = members.select("cls", "n").join(_lonely(members, buckets), "cls", "left").select("cls", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
-    told = materialize(shared.join(materialize(about), "cls"))
+    members = materialize(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.first("grams").alias("grams")))
+    profile = F.when(F.col("alone").isNull(), F.col("sizes")).otherwise(F.zip_with("sizes", "alone", lambda x, y: x - y))
+    about = members.select("cls", "n", "sizes").join(_lonely(members, buckets), "cls", "left").select("cls", "n", profile.alias("f"))
+    about = materialize(about.withColumn("s", F.aggregate("f", F.lit(0).cast("long"), lambda total, x: total + x)))
+    told = materialize(shared.join(about.drop("f"), "cls"))
     parts = materialize(_fragments(members, fragments))
 
     leader = told.groupBy("digest").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("u"), "cls", "n", "s")).alias("l")).select("digest", F.col("l.cls").alias("a"), F.col("l.n").alias("na"), F.col("l.s").alias("sa"))
     stars = told.select("digest", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).join(leader, "digest").where((F.col("a") != F.col("b")) & _may(percent, "na", "sa", "nb", "sb"))
-    tested = materialize(stars.select("a", "b", "na", "nb").distinct())
+    fa, fb = (about.select(F.col("cls").alias(c), F.col("f").alias(f"f{c}")) for c in "ab")
+    tested = materialize(stars.select("a", "b", "na", "nb").distinct().join(fa, "a").join(fb, "b").where(_may_by_fragments(percent)).select("a", "b", "na", "nb"))
     first = materialize(linked(tested, parts, percent))
 
     labels = components(first)
@@ -260,9 +291,9 @@ def _links(own: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
     mixed = now.groupBy("digest").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least"), F.max("s").alias("most")).where("c0 <> c1").select("digest", "least", "most")
     open_ = now.join(mixed, "digest").where((100 + percent) * F.least("s", "most") >= percent * (F.col("n") + F.col("least")))
     open_ = materialize(open_.select("digest", "cls", "n", "s", "component"))
-    x = open_.select("digest", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("component").alias("ca"))
-    y = open_.select("digest", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("component").alias("cb"))
-    apart = x.join(y, (x["digest"] == y["digest"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may(percent, "na", "sa", "nb", "sb"))
+    x = open_.select("digest", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("component").alias("ca")).join(fa, "a")
+    y = open_.select("digest", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("component").alias("cb")).join(fb, "b")
+    apart = x.join(y, (x["digest"] == y["digest"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may(percent, "na", "sa", "nb", "sb") & _may_by_fragments(percent))
     seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(apart.select("a", "b", "na", "nb").distinct().join(seen, ["a", "b"], "left_anti"))
     return first.union(linked(rest, parts, percent))
