@@ -6,6 +6,7 @@ Grids are short literal arrays exploded per row, so nothing is joined and aggreg
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -94,19 +95,31 @@ def attribution(df: DataFrame, scorer: Scorer, flags: Sequence[str], row_id: str
     )
 
 
+def _decoded(options: Mapping[str, Sequence], number: Column) -> dict[str, Column]:
+    """Option values of a combination by its number, the first option varying fastest."""
+    out = {}
+    for name, values in options.items():
+        out[name] = F.get(F.array(*[F.lit(v) for v in values]), (number % len(values)).cast("int"))
+        number = F.floor(number / len(values))
+    return out
+
+
+def best_option_by(df: DataFrame, options: Mapping[str, Sequence], score: Callable[[Mapping[str, Column]], Column], row_id: str) -> DataFrame:
+    """:func:`best_option` for a score that is an expression of the option columns: found inside the row, without a shuffle."""
+    total = math.prod(len(v) for v in options.values())
+    every = F.transform(F.sequence(F.lit(0), F.lit(total - 1)), lambda o: F.struct(score(_decoded(options, o)).alias("score"), (-o).alias("o")))
+    best = df.select(row_id, F.array_max(every).alias("_b"))
+    return best.select(row_id, *[c.alias(n) for n, c in _decoded(options, -F.col("_b.o")).items()], F.col("_b.score").alias("score"))
+
+
 def best_option(df: DataFrame, options: Mapping[str, Sequence], scorer: Scorer, row_id: str) -> DataFrame:
     """Best-scoring combination of option values per row; equal scores go to the first combination.
 
     Combinations are numbered and decoded by arithmetic; the maximum is merged before the shuffle.
     """
-    total = 1
-    for v in options.values():
-        total *= len(v)
+    total = math.prod(len(v) for v in options.values())
     x = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
-    rest = F.col("_o")
-    for name, values in options.items():
-        x = x.withColumn(name, F.get(F.array(*[F.lit(v) for v in values]), (rest % len(values)).cast("int")))
-        rest = F.floor(rest / len(values))
+    x = x.withColumns(_decoded(options, F.col("_o")))
     best = F.max_by(F.struct(*options, "score"), F.struct(F.col("score"), -F.col("_o")))
     return scorer(x).groupBy(row_id).agg(best.alias("_b")).select(row_id, "_b.*")
 

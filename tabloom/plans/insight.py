@@ -192,11 +192,8 @@ def i12(t):
 OPTIONS = {"price": [float(i) for i in range(1, 10)], "hour": list(range(24)), "day": list(range(7))}
 
 
-def option_score(df):
-    return df.withColumn(
-        "score",
-        F.pmod(F.col("c_custkey") * 7 + F.col("hour") * 13 + F.col("day") * 29, F.lit(101)) * F.col("price") - F.col("price") * F.col("price") * 11.0,
-    )
+def option_score(o):
+    return F.pmod(F.col("c_custkey") * 7 + o["hour"] * 13 + o["day"] * 29, F.lit(101)) * o["price"] - o["price"] * o["price"] * 11.0
 
 
 @query(
@@ -207,7 +204,7 @@ def option_score(df):
 )
 def i13(t):
     """1 512 option combinations scored per customer."""
-    return E.best_option(t.customer.select("c_custkey"), OPTIONS, option_score, "c_custkey")
+    return E.best_option_by(t.customer.select("c_custkey"), OPTIONS, option_score, "c_custkey")
 
 
 ITEMS = ["ECONOMY", "PROMO", "STANDARD", "LARGE", "MEDIUM", "SMALL"]

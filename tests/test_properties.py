@@ -352,3 +352,13 @@ def test_late_actuals_stream_has_all_matches(spark):
     open_rows = want.filter("at is null").join(got, "event_id", "left_anti")
     last = ev.agg(F.max("ts")).first()[0]
     assert open_rows.filter(F.col("pt") < F.lit(last) - F.expr("interval 3 days")).count() == 0
+
+
+def test_best_option_inside_the_row_equals_the_exploded_form(spark):
+    from tabloom.operators import effects as E
+
+    df, options = spark.range(7), {"a": [1.0, 2.0, 3.0], "b": [0, 1]}
+    score = lambda o: F.pmod(F.col("id") * 3 + o["b"] * 2, F.lit(5)) * o["a"] - o["a"] * o["a"]
+    one = E.best_option_by(df, options, score, "id").orderBy("id").collect()
+    two = E.best_option(df, options, lambda x: x.withColumn("score", score({"a": F.col("a"), "b": F.col("b")})), "id").orderBy("id").collect()
+    assert one == two
