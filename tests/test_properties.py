@@ -282,7 +282,8 @@ def test_table_diff_counts_both_missing_as_equal(spark):
 
 def test_text(spark):
     df = spark.createDataFrame([(1, "The été naïve_x ab 9lives cat cat time")], "d int, t string")
-    assert df.select(FT.tokens(F.col("t")).alias("w")).first().w == ["the", "naïve_x", "cat", "cat"]
+    assert df.select(FT.tokens(F.col("t"), FT.DOMAIN_STOP_WORDS).alias("w")).first().w == ["the", "naïve_x", "cat", "cat"]
+    assert df.select(FT.tokens(F.col("t")).alias("w")).first().w == ["naïve_x", "cat", "cat"]  # English function words go, too
     assert df.select(FT.ngrams(F.split(F.lit("a b c"), " "), 3).alias("g")).first().g == ["a", "b", "c", "a b", "b c", "a b c"]
     assert df.select(FT.ngrams(F.split(F.lit("a"), " "), 3).alias("g")).first().g == ["a"]
     co = X.cooccurrence(df, "d", F.split(F.lit("a b a"), " "), 2).collect()
