@@ -133,20 +133,16 @@ def repeated_starts(texts: list[bytes], n: np.ndarray, rank: np.ndarray, least:
     return np.split(repeat, np.cumsum(n)[:-1])
 
 
-def repeated_in_parts(texts: list[bytes], n: np.ndarray, rank: np.ndarray, least: int) -> list[np.ndarray]:
-    """As :func:`repeated_starts`, for runs that are too many for one block: their starts are dealt by the hash of their strings."""
+def repeated_by_hash(texts: list[bytes], n: np.ndarray, rank: np.ndarray, least: int) -> list[np.ndarray]:
+    """As :func:`repeated_starts`, for the runs of one anchor that are too many for a block: by 64-bit hashes of the strings at their starts."""
     data, offsets = as_bytes(pa.array(texts, pa.binary()))
     run = np.repeat(np.arange(len(texts)), n)
     within = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     start = offsets[run] + within
     hashes = span_hash(rolling(data), start, start + least)
-    parts = np.uint64(len(start) * least // BLOCK_BYTES + 1)
+    by = np.lexsort((within, rank[run], hashes))
     repeat = np.zeros(len(start), bool)
-    for p in range(int(parts)):
-        some = np.flatnonzero(hashes % parts == p)
-        some = some[np.lexsort((within[some], rank[run[some]]))]
-        if len(some):
-            repeat[some] = np.concatenate(repeated_starts([data[i : i + least].tobytes() for i in start[some]], np.ones(len(some), np.int64), np.arange(len(some)), least))
+    repeat[by[1:]] = hashes[by[1:]] == hashes[by[:-1]]
     return np.split(repeat, np.cumsum(n)[:-1])
 
 
@@ -272,7 +268,7 @@ def _different_runs(least: int):
         for a, b in _blocks(anchor, end - start) if len(own) else ():
             block = texts.take(pa.array(at[np.searchsorted(known, own[a:b])])).to_pylist()
             one_block = sum(map(len, block)) <= 2 * BLOCK_BYTES
-            for i, flags in zip(range(a, b), (repeated_starts if one_block else repeated_in_parts)(block, n[a:b], rank[a:b], least), strict=True):
+            for i, flags in zip(range(a, b), (repeated_starts if one_block else repeated_by_hash)(block, n[a:b], rank[a:b], least), strict=True):
                 if flags.any():
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
                     lo, hi = edges[::2], edges[1::2]

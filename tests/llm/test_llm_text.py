@@ -237,14 +237,12 @@ def test_repeats_equal_a_set_of_strings(spark):
     assert repeats.remove_repeats(frame(spark, [(1, "short")])).first().n_removed == 0
 
 
-def test_repeats_in_parts_equal_one_block(monkeypatch):
+def test_repeats_by_hash_equal_those_of_the_transform():
     r = random.Random(7)
     texts = ["".join(r.choice("ab") for _ in range(r.randint(8, 60))).encode() for _ in range(50)]
-    n, rank = np.array([len(t) - 7 for t in texts]), np.arange(50)
-    one = repeats.repeated_starts(texts, n, rank, 8)
-    monkeypatch.setattr(repeats, "BLOCK_BYTES", 500)
-    parts = repeats.repeated_in_parts(texts, n, rank, 8)
-    assert all((a == b).all() for a, b in zip(one, parts, strict=True)) and any(a.any() for a in one)
+    n, rank = np.array([len(t) - 7 for t in texts]), np.random.default_rng(1).permutation(50)
+    one, other = repeats.repeated_starts(texts, n, rank, 8), repeats.repeated_by_hash(texts, n, rank, 8)
+    assert all((a == b).all() for a, b in zip(one, other, strict=True)) and any(a.any() for a in one)
 
 
 def python_components(docs, n, percent):
