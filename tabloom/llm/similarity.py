@@ -115,17 +115,23 @@ def digests(sets: Sets, known: list[Space]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(n: int, percent: int, buckets: int):
-    """Digests and classes by bucket, distinct within what a task holds at a time."""
+    """Classes by bucket, each with how many digests it has there and their last 48 bits; distinct within what a task holds at a time."""
 
     def flush(held):
         d, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        by = np.lexsort((c, d))
+        by = np.lexsort((d, c, bucket_of(d, buckets)))
         d, c = d[by], c[by]
         new = np.ones(len(d), bool)
         new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1])
         d, c = d[new], c[new]
-        for b, part in split(d, buckets):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "digest": pa.array([d[part].tobytes()], pa.binary()), "cls": pa.array([c[part].tobytes()], pa.binary())})
+        bucket = bucket_of(d, buckets)
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(d) else []
+        for i, j in zip(edge, [*edge[1:], len(d)]) if len(d) else ():
+            own = c[i:j]
+            begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            many = np.diff(np.append(begin, j - i)).astype(np.uint32)
+            last = np.ascontiguousarray(d[i:j]).view(np.uint8).reshape(-1, 8)[:, :6]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[i])], pa.int32()), "cls": pa.array([own[begin].tobytes()], pa.binary()), "many": pa.array([many.tobytes()], pa.binary()), "digest": pa.array([last.tobytes()], pa.binary())})
 
     def run(batches):
         held, size = [], 0
@@ -144,18 +150,24 @@ def _candidates(n: int, percent: int, buckets: int):
 
 
 def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The digests of a bucket that two classes or more have."""
-    d = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["digest"]])
-    c = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["cls"]])
+    """The sets of two classes or more that have a digest of a bucket, once however many digests they share; named by a hash of the set."""
+    last = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6) for x in table["digest"]])
+    d = np.zeros((len(last), 8), np.uint8)
+    d[:, :6] = last
+    d = d.view(np.uint64).ravel()
+    c = np.concatenate([np.repeat(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint32)) for x, y in zip(table["cls"], table["many"], strict=True)])
     by = np.lexsort((c, d))
     d, c = d[by], c[by]
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (c[1:] != c[:-1])
     d, c = d[new], c[new]
-    twice = np.zeros(len(d), bool)
-    twice[1:] |= d[1:] == d[:-1]
-    twice[:-1] |= d[1:] == d[:-1]
-    return pa.table({"digest": pa.array(d[twice]), "cls": pa.array(c[twice])})
+    first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(d)))
+    name = mix(np.add.reduceat(mix(c), first) + size.astype(np.uint64)) if len(d) else np.empty(0, np.uint64)
+    group = np.flatnonzero(size > 1)
+    group = group[np.unique(name[group], return_index=True)[1]]
+    at = np.repeat(first[group] - (np.cumsum(size[group]) - size[group]), size[group]) + np.arange(size[group].sum())
+    return pa.table({"digest": pa.array(np.repeat(name[group], size[group]).view(np.int64)), "cls": pa.array(c[at].view(np.int64))})
 
 
 def _members(held, n: int):
@@ -259,8 +271,8 @@ def _may_by_fragments(percent: int) -> Column:
 def _links(own: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
     """``a, b``: links between classes that connect all classes which any links connect."""
     spark, buckets = own.sparkSession, buckets_for(own, "text")
-    dealt = small_batches(own.select("text").where("text is not null")).mapInArrow(_candidates(n, percent, buckets), "bucket int, digest binary, cls binary")
-    shared = materialize(dealt.groupBy("bucket").applyInArrow(_shared, "digest long, cls long"))
+    dealt = small_batches(own.select("text").where("text is not null")).mapInArrow(_candidates(n, percent, buckets), "bucket int, cls binary, many binary, digest binary")
+    shared = materialize(dealt.groupBy("bucket").applyInArrow(_shared, "digest long, cls long").distinct())
 
     def part(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         h = table["cls"].combine_chunks().to_numpy().view(np.uint64)
