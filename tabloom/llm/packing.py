@@ -24,14 +24,15 @@ from tabloom.session import materialize
 LENGTH = 1024
 END_ID = 2
 ROWS_PER_BUCKET = 50_000
+ADDED = {"<|endoftext|>": 50256}  # the added token of ``byte_bpe_50k.json``, one id wherever it stands in a text
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE whose ranks lie at ``path``; special strings are ordinary text."""
+def encoder(path: str, added: bool) -> tiktoken.Encoding:
+    """The byte-level BPE whose ranks lie at ``path``, with the token of ``ADDED`` or without."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED if added else {})
 
 
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
@@ -39,7 +40,8 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     ``ids`` holds little-endian unsigned 32-bit integers.  The first piece of a cut document takes what is over, the others are
     full.  A NULL or empty text is the one id ``end_id``.  Repeated rows give repeated pieces, other columns are ignored.
-    ``vocabulary`` is a file of ranks, by default that of ``byte_bpe_50k.json``, which gives the same ids faster.
+    ``vocabulary`` is a file of ranks without added tokens, by default that of ``byte_bpe_50k.json`` with its added token, which gives
+    the same ids faster.
     """
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = docs.schema[key].dataType
@@ -47,12 +49,12 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     arrow, last = to_arrow_schema(schema), np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, vocabulary is None)
         for batch in batches:
             for part in slices(batch, text):
                 keys, rows = part.column(key), []
                 for i, value in enumerate(part.column(text).to_pylist()):
-                    ids = (encode.encode_to_numpy(value, disallowed_special=()).astype("<u4", copy=False).tobytes() if value else b"") + last
+                    ids = (encode.encode_to_numpy(value, allowed_special="all").astype("<u4", copy=False).tobytes() if value else b"") + last
                     n = len(ids) // 4
                     cuts = [0, *range((n - 1) % length + 1, n + 1, length)]
                     rows += [(i, p, a, b - a, ids[4 * a : 4 * b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]

@@ -59,6 +59,18 @@ def test_packing_is_gapless_and_keeps_ids(spark, rows):
     assert packing.packed_documents(frame(spark, rows[:0])).count() == 0
 
 
+def test_packing_knows_the_added_token(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {x.content: i for i, x in tok.get_added_tokens_decoder().items()} == packing.ADDED
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, end * 3, f"a{end}b\n {end}\n", f"<|endoftext| {end.upper()} <|<|endoftext|>|>", f"é {end} " * 900]
+    got = packing.token_pieces(frame(spark, list(enumerate(texts)))).collect()
+    for k, t in enumerate(texts):
+        ids = np.concatenate([np.frombuffer(bytes(x.ids), "<u4") for x in sorted(got, key=lambda x: x.piece) if x.doc_id == k])
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids + [2]
+        assert (ids == packing.ADDED[end]).sum() == t.count(end)
+
+
 def test_best_two_fit_replaces_the_smallest_piece():
     places = packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)  # 6 + 3 leaves 1; 6 + 2 + 2 leaves none
     assert sorted((n, s) for n, _, _, _, s, _ in places) == [(2, 0), (3, 1), (6, 0)]
