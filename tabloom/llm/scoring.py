@@ -19,7 +19,7 @@ from tabloom.llm.batches import NOT_BLANK, UPPER, append, as_bytes, mix, slices,
 from tabloom.session import materialize
 
 ORDER = 2
-LEAST = 2  # rarer n-grams aren't entered
+LEAST = 1  # count from which n-grams are entered: all that were seen
 BITS = 10  # of the filter for an entry
 PROBES = 4
 KAPPA = 40.0  # weight of the lower order against the count of the history
@@ -110,8 +110,8 @@ def buckets_for(docs: DataFrame, text: str) -> int:
     return int((docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // BUCKET_BYTES) + 1
 
 
-def build_part(hashes: np.ndarray, counts: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Bits, packed, of the filter for one bucket: an n-gram is entered at levels 1 to 1 + floor(log2(count / least))."""
+def build_part(hashes: np.ndarray, counts: np.ndarray, least: int = 2) -> np.ndarray:
+    """Bits, packed, of the filter for one bucket: an n-gram is entered at levels 1 to 1 + floor(log2(count / least)); ``train`` gives LEAST."""
     seen = counts >= least
     h, level = hashes[seen], np.floor(np.log2(counts[seen] / least)).astype(np.int64) + 1
     bits = np.zeros(max(64, int(level.sum()) * BITS // 8 * 8 + 8), bool)
@@ -136,7 +136,7 @@ def _reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     sizes = np.bincount(np.floor(np.log2(n)).astype(np.int64), minlength=64) if one else np.zeros(0, np.int64)
     return pa.table({
         "kind": pa.array([key[0].as_py()], pa.int32()), "bucket": pa.array([key[1].as_py()], pa.int32()), "total": pa.array([int(n.sum())]), "types": pa.array([len(h)]), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())),
-        "hashes": pa.array([h.tobytes() if one else None], pa.binary()), "counts": pa.array([n.tobytes() if one else None], pa.binary()), "filter": pa.array([build_part(h, n).tobytes()], pa.binary()),
+        "hashes": pa.array([h.tobytes() if one else None], pa.binary()), "counts": pa.array([n.tobytes() if one else None], pa.binary()), "filter": pa.array([build_part(h, n, LEAST).tobytes()], pa.binary()),
     })
 
 
@@ -196,13 +196,15 @@ def shards(counted: DataFrame, kinds: int, buckets: int):
         used += p.n
     for group in groups:
         ask = F.array(*[F.lit(p.bucket * 64 + p.kind) for p in group]) if group else F.array(F.lit(-1))
-        rows = counted.where(F.array_contains(ask, F.col("bucket") * 64 + F.col("kind"))).select("kind", "bucket", "filter").collect()
         begin, size = np.full((kinds + 1, buckets), -1, np.int64), np.zeros((kinds + 1, buckets), np.int64)
-        at = 0
-        for r in rows:
-            begin[r.kind, r.bucket], size[r.kind, r.bucket] = at, len(r.filter)
-            at += len(r.filter)
-        yield Filter(np.frombuffer(b"".join(bytes(r.filter) for r in rows) + b"\0", np.uint8), begin, size, buckets)
+        data, at = np.zeros(sum(p.n for p in group) + 1, np.uint8), 0
+        # partition by partition, so that the driver holds a shard once
+        for r in counted.where(F.array_contains(ask, F.col("bucket") * 64 + F.col("kind"))).select("kind", "bucket", "filter").toLocalIterator():
+            n = len(r.filter)
+            begin[r.kind, r.bucket], size[r.kind, r.bucket] = at, n
+            data[at : at + n] = np.frombuffer(r.filter, np.uint8)
+            at += n
+        yield Filter(data, begin, size, buckets)
 
 
 def common(model: Model, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +228,7 @@ def common(model: Model, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimate(level: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """The middle of the counts that share a level; 0 for an n-gram that no probe finds."""
+    """The middle of the counts that share a level (1, 2-3, 4-7, ... from a least count of 1); 0 for an n-gram that no probe finds."""
     return np.where(level > 0, least * 2.0 ** (level - 1.0) * 1.5 - 0.5, 0.0)
 
 
@@ -248,14 +250,18 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     """
     new = ["n_tokens", "n_known", "base_score", "score"]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
-    out, shown = docs, [*kept, *([] if text in kept else [text])]
+    out, shown, sent = docs, [*kept, *([] if text in kept else [text])], []
     fields = [T.StructField("_levels", T.BinaryType())]
     for i, shard in enumerate(shards(model.counted, model.order, model.buckets)):
-        out = append(out.select(*(f"`{c}`" for c in shown), *(["_levels"] if i else [])), _probe(docs.sparkSession.sparkContext.broadcast(shard), model.order, text, i == 0), fields, text, shown, needs=["_levels"] if i else [])
+        sent.append(docs.sparkSession.sparkContext.broadcast(shard))
+        del shard
+        out = append(out.select(*(f"`{c}`" for c in shown), *(["_levels"] if i else [])), _probe(sent[-1], model.order, text, i == 0), fields, text, shown, needs=["_levels"] if i else [])
     known = docs.sparkSession.sparkContext.broadcast(common(model, most))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_sum", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("_rest", T.BinaryType())]
     rows = append(out, _finish(known, model.order, model.total, model.types, text), fields, text, kept, needs=["_levels"])
     rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    for x in (*sent, known):
+        x.destroy()  # the written rows don't need them
     rest = _rest_counts(rows.select("_row", "_rest"), model)
     both = rows.drop("_rest").join(rest, "_row", "left")
     base = F.col("_sum") + F.coalesce("_more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.total + model.types + 1))

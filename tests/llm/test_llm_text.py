@@ -339,3 +339,27 @@ def test_filter_levels_follow_counts():
     level = held.levels(1, h)
     exact = np.where(n < 2, 0, np.floor(np.log2(np.maximum(n, 2) / 2)) + 1)
     assert (level >= exact).all() and (level == exact).mean() > 0.95
+
+
+def test_scores_know_ngrams_seen_once(spark):
+    assert scoring.estimate(np.arange(5)).tolist() == [0.0, 1.0, 2.5, 5.5, 11.5]  # the middle of 1, 2-3, 4-7 and 8-15
+    train = [(i, t) for i, t in enumerate(["red fish swim", "blue fish swim", "old boats sink", "a green hill", "fish"])]
+    model = scoring.train(frame(spark, train))
+    docs = [(0, "old boats sink"), (1, "boats old sink"), (2, "quick onyx goblins"), (3, "blue fish swim")]
+    words = lambda t: [*t.encode().split(), None]
+    one = collections.Counter(w for _, t in train for w in words(t))
+    two = collections.Counter(p for _, t in train for p in zip([None, *words(t)], words(t)))
+    middle = lambda n: 1.5 * 2 ** int(math.log2(n)) - 0.5 if n else 0.0
+
+    def want(text):
+        out = 0.0
+        for a, b in zip([None, *words(text)], words(text)):
+            h = middle(one[a])
+            weight = h / (h + scoring.KAPPA)
+            p = (middle(one[b]) + 1) / (model.total + model.types + 1)
+            out += math.log10(weight * min(1.0, middle(two[a, b]) / max(h, 1.0)) + (1 - weight) * p)
+        return out
+
+    got = {x.doc_id: x.score for x in scoring.score(frame(spark, docs), model, keep=["doc_id"]).collect()}
+    assert all(math.isclose(got[k], want(t), rel_tol=1e-9) for k, t in docs)
+    assert got[0] > got[1] > got[2]  # bigrams seen once, unigrams seen once, neither
