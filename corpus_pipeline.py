@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabloom.llm import contamination, language, packing, secrets, similarity
 from tabloom.session import materialize, table
 
-LEAST_SCORE = 0.35  # of the best language; four that fit alike have 0.25 each
+LEAST_ODDS = 1.01  # per byte, of the best language against the mean of the others; languages that fit alike have 1, however many
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, or whose best language is hardly better than others, go."""
-    found = language.identify(docs, language.fit(docs), keep=docs.columns)
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents with a language: those without a letter, or that fit all languages alike, go."""
+    model = language.fit(docs)
+    found = language.identify(docs, model, keep=docs.columns)
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & told_apart(F.col("score"), len(model.languages))).select(*docs.columns)
+
+
+def told_apart(score: Column, languages: int) -> Column:
+    """Whether the share ``score`` of the best of so many languages is beyond what each has if they fit alike; a single language always is."""
+    return score * (languages - 1) >= LEAST_ODDS * (1 - score)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,18 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_pipeline_keeps_every_document_with_words_of_its_label(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    short = [(-1, "A.\nAll rights reserved.", "en"), (-2, "Was orer.\nThis work is licensed under the GNU General Public License, version 3.", "en"), (-3, "12 --", "en")]
+    turned = lambda k: {a + i: a + (i + k) % 26 for a in (65, 97) for i in range(26)}
+    every = [(1000 * k + r.doc_id, r.text.translate(turned(k)), f"{r.lang}{k}") for r in docs.collect() for k in range(6)]
+    many = spark.createDataFrame(every, "doc_id long, text string, lang string")  # 24 languages: four with their letters turned
+    for some in (docs.union(spark.createDataFrame(short, docs.schema)), many, docs.where("lang = 'en'")):
+        want = [r.doc_id for r in some.collect() if any(map(str.isalpha, r.text))]
+        assert sorted(r.doc_id for r in P.identified(spark, some, SF).collect()) == sorted(want)
+    ties = spark.createDataFrame([(0.25, 4), (1 / 30, 30), (0.26, 4), (0.036, 30), (1.0, 1)], "score double, n int")
+    assert [r[0] for r in ties.select(P.told_apart(ties["score"], ties["n"])).collect()] == [False, False, True, True, True]
