@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -66,7 +67,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that :func:`materialize` wrote; what reads them must have been written itself.
+
+    The driver is asked to collect garbage, too: shuffle files of finished jobs stay on the executors' disks until their plans are.
+    """
+    paths = [t.scratch for t in tables if t is not None and getattr(t, "scratch", None)]
+    if paths:
+        spark = next(t for t in tables if t is not None).sparkSession
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
