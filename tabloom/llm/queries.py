@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm import contamination, language, licenses, oracles, packing, quality, repeats, scoring, secrets, similarity, warc
+from tabloom.llm import contamination, divergence, language, licenses, minhash, oracles, packing, phrases, quality, repeats, scoring, secrets, similarity, twins, warc
 from tabloom.session import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,9 @@ ORACLES: dict[str, str] = {
     "op4_benchmark_decontamination": oracles.CONTAMINATION,
     "op7_secret_scans": oracles.secret_scans(secrets.RULES, len(secrets.BASE)),
     "op8_suffix_array_dedup": oracles.REPEATS,
+    "op11_phrase_collocations": twins.COLLOCATIONS,
+    "op12_source_divergence": twins.DIVERGENCE,
+    "op13_minhash_near_dedup": twins.NEAR_DUPLICATES,
 }
 
 
@@ -115,3 +118,21 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose sets of three-word shingles have a similarity of 0.9 or more."""
     found = similarity.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two to five words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of every language are from each other, and the terms that set them apart."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of four-word shingles have a similarity of 0.8 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
