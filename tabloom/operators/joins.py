@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tabloom.operators.neighbours import nearest_other, within
 from tabloom.operators.order import carry_last, null_safe_join
-from tabloom.session import materialize, small_side
+from tabloom.session import small_side
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -77,20 +78,51 @@ def dual_lookup(df: DataFrame, cols: Sequence[str], dim: DataFrame, key: str, va
     return df
 
 
-def range_join(left: DataFrame, point: str, right: DataFrame, low: str, high: str, width_seconds: int, how: str = "inner") -> DataFrame:
-    """Rows with ``low <= point <= high``: intervals go to the time buckets they touch, then an equi-join.
+def _ticks(df: DataFrame, col: str) -> Column:
+    """Times as whole seconds, dates as days, numbers as they are, rounded down."""
+    kind, c = df.schema[col].dataType, F.col(col)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_seconds(c.cast("timestamp"))
+    return F.unix_date(c).cast("long") if isinstance(kind, T.DateType) else F.floor(c).cast("long")
 
-    A bucket of about the interval length keeps the fan-out of the right side near two.
+
+def dyadic(low: Column, high: Column) -> Column:
+    """The whole numbers from ``low`` to ``high`` as nodes ``(lev, at)`` of a binary tree: node ``at`` of a level covers ``2^lev`` numbers.
+
+    At level k what is left begins at ``ceil(low / 2^k)`` and ends before ``floor((high + 1) / 2^k)``; an odd begin and an odd end are nodes,
+    so an interval has at most two for each level up to that of its length.
     """
+    k = F.sequence(F.lit(0), F.least(F.lit(61), F.ceil(F.log2(high - low + 2)).cast("int")))
+
+    def node(i):
+        a = -F.call_function("shiftright", -low, i)
+        b = F.call_function("shiftright", high + 1, i)
+        odd = lambda x: (x % 2) != 0
+        left = F.when((a < b) & odd(a), F.struct(i.alias("lev"), a.alias("at")))
+        right = F.when((a < b) & odd(b), F.struct(i.alias("lev"), (b - 1).alias("at")))
+        return F.array(left, right)
 
-    def bucket(c):
-        return F.floor(F.unix_seconds(c) / width_seconds)
+    return F.when(low <= high, F.filter(F.flatten(F.transform(k, node)), lambda x: x.isNotNull()))
 
-    spread = right.withColumn("_b", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
-    l = left.withColumn("_b", bucket(F.col(point)))
-    r = small_side(spread).withColumnRenamed("_b", "_rb")
-    hit = (F.col("_b") == F.col("_rb")) & (F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))
-    return l.join(r, hit, how).drop("_b", "_rb")
+
+def range_join(left: DataFrame, point: str, right: DataFrame, low: str, high: str, how: str = "inner") -> DataFrame:
+    """Rows with ``low <= point <= high``; ``how`` is inner or left.
+
+    Intervals become nodes of a binary tree over time (seconds; days for dates), a point the nodes above it on the levels that intervals
+    have, and these are joined by equality.  Every node of an interval lies inside it, so only pairs that belong together meet, but for
+    points within the first and last second.  Rows with a NULL end, or with the ends the wrong way round, match nothing.
+    """
+    nodes = right.withColumn("_x", F.explode(dyadic(_ticks(right, low), _ticks(right, high))))
+    nodes = nodes.select(*right.columns, F.col("_x.lev").alias("_rl"), F.col("_x.at").alias("_ra"))
+    levels = sorted(r[0] for r in nodes.select("_rl").distinct().collect())  # 62 at the most
+    above = F.array(*[F.struct(F.lit(i).alias("lev"), F.shiftright("_at", i).alias("at")) for i in levels]) if levels else F.lit(None).cast("array<struct<lev:int,at:bigint>>")
+    spread = left.withColumn("_at", _ticks(left, point)).withColumn("_x", F.explode(above)).select(*left.columns, F.col("_x.lev").alias("_ll"), F.col("_x.at").alias("_la"))
+    hit = (F.col("_ll") == F.col("_rl")) & (F.col("_la") == F.col("_ra")) & (F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))
+    out = spread.join(small_side(nodes), hit).drop("_ll", "_la", "_rl", "_ra")
+    if how == "left":
+        reached = out.select(F.col(point).alias("_p")).distinct()
+        out = out.unionByName(left.join(reached, F.col(point) == F.col("_p"), "left_anti"), allowMissingColumns=True)
+    return out
 
 
 def asof_join(
@@ -101,11 +133,14 @@ def asof_join(
     direction: str = "backward",
     allow_exact: bool = True,
     prefix: str = "",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Nearest right row on or before (``backward``) or on or after (``forward``) each left row.
 
     Both sides are put in one time order and the last right row is carried along it, slice by slice.
     Right columns other than ``by`` come back with ``prefix``; the right time is ``<prefix><on>_right``.
+    Of right rows with the same time the last one in the order of ``ties`` counts backward, the first one forward; what ties there, too,
+    or without ``ties``, goes by a hash of the row, so that the choice is always the same.
     """
     by = list(by)
     forward = direction == "forward"
@@ -113,54 +148,25 @@ def asof_join(
     payload = F.struct(*[F.col(c).alias(c) for c in rest])
     # Among equal times the right row must be met first if exact matches count, last if not.
     right_side = 1 if forward == allow_exact else -1
-    l = left.withColumns({"_t": F.col(on), "_side": F.lit(0), "_right": F.lit(None).cast(right.select(payload).schema[0].dataType)})
-    r = right.select(*by, F.col(on).alias("_t"), F.lit(right_side).alias("_side"), payload.alias("_right"))
-    out = carry_last(l.unionByName(r, allowMissingColumns=True), ["_t", "_side"], ["_right"], by, forward)
+    tie = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)], F.xxhash64(*rest).alias("h"))
+    nothing = lambda c: F.lit(None).cast(right.select(c).schema[0].dataType)
+    l = left.withColumns({"_t": F.col(on), "_side": F.lit(0), "_tie": nothing(tie), "_right": nothing(payload)})
+    r = right.select(*by, F.col(on).alias("_t"), F.lit(right_side).alias("_side"), tie.alias("_tie"), payload.alias("_right"))
+    out = carry_last(l.unionByName(r, allowMissingColumns=True), ["_t", "_side", "_tie"], ["_right"], by, forward)
     names = {c: (f"{prefix}{on}_right" if c == on else f"{prefix}{c}") for c in rest}
     return out.filter("_side = 0").select(
         *left.columns, *[F.col(f"last__right.{c}").alias(n) for c, n in names.items()]
     )
 
 
-def rolling_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str) -> DataFrame:
-    """Backward as-of join in which the first value also covers the time before it."""
-    by = list(by)
-    first = right.groupBy(*by).agg(F.min_by(value, on).alias("_first"))
-    out = asof_join(left, right.select(*by, on, value), by, on).drop(f"{on}_right")
+def rolling_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Backward as-of join in which the first value also covers the time before it; ``ties`` as in :func:`asof_join`, the value by default."""
+    by, ties = list(by), list(ties) or [value]
+    first = right.groupBy(*by).agg(F.min_by(value, F.struct(on, *ties)).alias("_first"))
+    out = asof_join(left, right.select(*dict.fromkeys([*by, on, value, *ties])), by, on, ties=ties).select(*left.columns, value)
     return null_safe_join(out, first, by, "left").withColumn(value, F.coalesce(value, "_first")).drop("_first")
 
 
-def l1(coords: Sequence[str], other: str = "_n_") -> Column:
-    return reduce(lambda a, b: a + b, [F.abs(F.col(c) - F.col(f"{other}{c}")) for c in coords])
-
-
-def l2(coords: Sequence[str], other: str = "_n_") -> Column:
-    return F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"{other}{c}")) ** 2 for c in coords]))
-
-
-METRICS = {"l1": l1, "l2": l2}
-
-
-def near_positions(left: DataFrame, right: DataFrame, by: Sequence[str], coords: Sequence[str], r: float, metric: str = "l1") -> DataFrame:
-    """Pairs of positions within ``r``: grid cells of side ``r``, 3^d neighbour cells, then the exact test.
-
-    Callers pass one row per distinct position, so copies of a point never multiply.
-    """
-    cell = {f"_c{i}": F.floor(F.col(c) / r) for i, c in enumerate(coords)}
-    l = left
-    for i in range(len(coords)):
-        l = l.withColumn(f"_c{i}", F.explode(F.array(*[cell[f"_c{i}"] + d for d in (-1, 0, 1)])))
-    n = right.withColumns(cell).withColumnsRenamed(
-        {c: f"_n_{c}" for c in right.columns} | {k: f"_k{k}" for k in cell}
-    )
-    cond = reduce(
-        lambda a, b: a & b,
-        [F.col(b).eqNullSafe(F.col(f"_n_{b}")) for b in by] + [F.col(k) == F.col(f"_k{k}") for k in cell],
-    )
-    dist = METRICS[metric](coords)
-    return l.join(n, cond).withColumn("dist", dist).filter(F.col("dist") <= r).drop(*cell, *[f"_k{k}" for k in cell])
-
-
 def vicinity(
     df: DataFrame, by: Sequence[str], coords: Sequence[str], r: float, partials: Mapping[str, tuple[Column, object]], metric: str = "l1"
 ) -> DataFrame:
@@ -170,35 +176,21 @@ def vicinity(
     position's own rows are included; the caller removes the row itself.
     """
     here = df.groupBy(*by, *coords).agg(*[c.alias(n) for n, (c, _) in partials.items()])
-    pairs = near_positions(here.select(*by, *coords), here, by, coords, r, metric)
-    return pairs.groupBy(*by, *coords).agg(*[merge(F.col(f"_n_{n}")).alias(n) for n, (_, merge) in partials.items()])
+    return within(here, by, coords, [r], {n: merge for n, (_, merge) in partials.items()}, metric=metric).drop("r")
 
 
-def nearest_same(
-    df: DataFrame, by: Sequence[str], category: str, coords: Sequence[str], start: float = 1.0, metric: str = "l1", none: float = 99999.0
-) -> DataFrame:
-    """Distance to the closest other position of the same group and category (``nearest``).
+def radius_counts(df: DataFrame, by: Sequence[str], coords: Sequence[str], radii: Mapping[str, float], metric: str = "l1") -> DataFrame:
+    """``df`` with the number of other rows of its group within each radius; all radii come from one pass.  Without a place they are NULL."""
+    here = df.groupBy(*by, *coords).agg(F.count(F.lit(1)).alias("k"))
+    near = within(here, by, coords, list(radii.values()), {"k": F.sum}, metric=metric)
+    wide = near.groupBy(*by, *coords).agg(*[F.sum(F.when(F.col("r") == float(r), F.col("k"))).alias(n) for n, r in radii.items()])
+    return null_safe_join(df, wide, [*by, *coords], "left").withColumns({n: F.col(n) - 1 for n in radii})
 
-    The search radius grows fourfold for the positions that have no neighbour yet, until it spans
-    the widest group; so close neighbours are found without comparing all pairs.
-    """
+
+def nearest_same(df: DataFrame, by: Sequence[str], category: str, coords: Sequence[str], metric: str = "l1", none: float = 99999.0) -> DataFrame:
+    """Distance to the closest other position of the same group and category (``nearest``), ``none`` without one."""
     keys = [*by, category, *coords]
-    places = materialize(df.select(*keys).distinct())
-    spans = places.groupBy(*by, category).agg(*[(F.max(c) - F.min(c)).alias(c) for c in coords])
-    widest = spans.agg(*[F.max(c) for c in coords]).first()
-    reach = sum(w or 0.0 for w in widest)
-    todo, found, r = places, None, start
-    while True:
-        hit = near_positions(todo, places, [*by, category], coords, r, metric).filter("dist > 0")
-        hit = materialize(hit.groupBy(*keys).agg(F.min("dist").alias("nearest")))
-        found = hit if found is None else found.unionByName(hit)
-        if r >= reach:
-            break
-        cond = reduce(lambda a, b: a & b, [todo[k].eqNullSafe(hit[k]) for k in keys])
-        todo = materialize(todo.join(hit, cond, "left_anti"))
-        if todo.limit(1).count() == 0:
-            break
-        r *= 4
+    found = nearest_other(df.select(*keys), [*by, category], coords, metric)
     return null_safe_join(df, found, keys, "left").fillna({"nearest": none})
 
 

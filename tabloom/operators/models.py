@@ -8,7 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabloom.operators.joins import cosine_join, near_positions
+from tabloom.operators.joins import cosine_join
+from tabloom.operators.neighbours import within
 from tabloom.operators.order import (
     bin_right_closed, group_transform, hash_unit, null_safe_join, prefix_sum, quantile_list, quantiles, row_positions,
 )
@@ -407,8 +408,7 @@ def price_vicinity(df: DataFrame, row_id: str, by: Sequence[str], coords: Sequen
     the median is exact without a list of all neighbours.
     """
     spots = df.groupBy(*by, *coords, F.col(price).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
-    places = spots.select(*by, *coords).distinct()
-    near = near_positions(places, spots, by, coords, r).groupBy(*by, *coords, F.col("_n__p").alias("_p")).agg(F.sum("_n__k").alias("_k"))
+    near = within(spots, by, coords, [r], {"_k": F.sum}, ["_p"]).drop("r")
     # Rows of equal position and price have equal features, so they are worked out once.
     g = [*by, *coords, "_own"]
     mine = spots.select(*by, *coords, F.col("_p").alias("_own"))
@@ -439,8 +439,7 @@ def category_vicinity(df: DataFrame, row_id: str, by: Sequence[str], coords: Seq
     """Dominant category among the other rows within ``r`` (ties alphabetical), share of the own
     category, and own|dominant."""
     spots = df.groupBy(*by, *coords, F.col(category).alias("_c")).agg(F.count(F.lit(1)).alias("_k"))
-    near = near_positions(spots.select(*by, *coords).distinct(), spots, by, coords, r)
-    near = near.groupBy(*by, *coords, F.col("_n__c").alias("_c")).agg(F.sum("_n__k").alias("_k"))
+    near = within(spots, by, coords, [r], {"_k": F.sum}, ["_c"]).drop("r")
     k = [*by, *coords, "_own"]
     mine = spots.select(*by, *coords, F.col("_c").alias("_own"))
     j = null_safe_join(mine, near, [*by, *coords]).withColumn("_k", F.col("_k") - (F.col("_c") == F.col("_own")).cast("int")).filter("_k > 0")

@@ -55,7 +55,8 @@ def pair_counts(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFr
 
 
 def gini(df: DataFrame, y: str, p: str, w: str | None = None, by: Sequence[str] = (), name: str = "gini") -> DataFrame:
-    """Lorenz area with rows in falling order of ``p``; equal scores are averaged."""
+    """Lorenz area with rows in falling order of ``p``; equal scores are averaged, rows without an actual or a score don't count."""
+    df = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     weight = F.col(w) if w else F.lit(ONE)
     t = prefix_sum(df, p, {"a": F.col(y) * weight, "k": weight}, by, descending=True)
     tot = df.groupBy(*by).agg(F.sum(F.col(y) * weight).alias("all_a"), F.sum(weight).alias("all_k"))
@@ -72,7 +73,8 @@ def gini(df: DataFrame, y: str, p: str, w: str | None = None, by: Sequence[str]
 
 
 def gini_norm(df: DataFrame, y: str, p: str, w: str | None = None, by: Sequence[str] = (), name: str = "gini_norm") -> DataFrame:
-    """Gini of the prediction over Gini of the actual itself."""
+    """Gini of the prediction over Gini of the actual itself, both of the rows that have an actual and a score."""
+    df = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     own = gini(df, y, p, w, by, "_g")
     best = gini(df, y, y, w, by, "_b")
     return null_safe_join(own, best, list(by)).select(*by, F.try_divide("_g", "_b").alias(name))

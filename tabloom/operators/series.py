@@ -309,7 +309,7 @@ def events_on_series(df: DataFrame, spec: SeriesSpec, calendar: DataFrame, unit:
     avg = df.groupBy(spec.date_col).agg(F.avg(spec.target).alias("target"))
     eps = 7 if unit == "week" else 0
     cal = calendar.select(F.col("date").alias("event_date"), "event").withColumn("_low", F.date_sub("event_date", eps).cast("timestamp"))
-    return range_join(avg, spec.date_col, cal, "_low", "event_date", 7 * 86400).drop("_low")
+    return range_join(avg, spec.date_col, cal, "_low", "event_date").drop("_low")
 
 
 def event_distance_cols(df: DataFrame, date_col: str, calendar: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -92,10 +92,22 @@ def j07(t):
 )
 def j08(t):
     cal = t.calendar.withColumn("low", F.col("date") - F.expr("interval 7 days"))
-    out = J.range_join(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", cal, "low", "date", 7 * 86400)
+    out = J.range_join(t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", cal, "low", "date")
     return out.select("o_orderkey", "event", F.col("date").alias("event_date"))
 
 
+@query(
+    "J08_range_left",
+    """with w as (select o_orderkey as w_key, o_orderdate as low, o_orderdate + to_days((o_orderkey % 400)::int) as high from orders where o_orderpriority = '1-URGENT' and o_totalprice > 250000)
+    select event_type, user_id, ts, w_key from (select distinct event_type, user_id, ts - interval 25 years as ts from events) e left join w on ts between low and high""",
+)
+def j08b(t):
+    """Intervals of very different lengths, and points that lie in none."""
+    w = t.orders.filter("o_orderpriority = '1-URGENT' and o_totalprice > 250000").select(F.col("o_orderkey").alias("w_key"), F.col("o_orderdate").alias("low"), F.expr("o_orderdate + make_dt_interval(cast(o_orderkey % 400 as int))").alias("high"))
+    e = t.events.select("event_type", "user_id", (F.col("ts") - F.expr("interval 25 years")).alias("ts")).distinct()
+    return J.range_join(e, "ts", w, "low", "high", "left").select("event_type", "user_id", "ts", "w_key")
+
+
 ASOF = """l as (select o_orderkey, o_custkey as k, o_orderdate as t from orders where o_orderpriority <> '1-URGENT'),
     r as (select o_custkey as k, o_orderdate as t, max(o_totalprice) as price from orders where o_orderpriority = '1-URGENT' group by 1, 2)"""
 
@@ -133,6 +145,22 @@ def j10(t):
     return J.rolling_join(*asof_sides(t), ["k"], "t", "price")
 
 
+TIED = """l as (select o_orderkey, o_custkey as k, o_orderdate as t from orders where o_orderpriority <> '1-URGENT'),
+    r as (select o_custkey as k, o_orderdate as t, o_totalprice as price, o_orderkey as r_key from orders where o_orderpriority = '1-URGENT')"""
+
+
+@query(
+    "J09_asof_ties",
+    f"""with {TIED}, b as (select *, row_number() over (partition by k, date_trunc('month', t) order by price desc, r_key desc) as nth from r),
+    m as (select k, date_trunc('month', t)::timestamp as t, price, r_key from b where nth = 1) select o_orderkey, l.k, l.t, m.t as t_right, price, r_key from l asof left join m on l.k = m.k and l.t >= m.t""",
+)
+def j09c(t):
+    """Right rows that tie in time: of all urgent orders of a month the dearest counts."""
+    o = t.orders.select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("t"), F.col("o_totalprice").alias("price"), "o_orderpriority")
+    right = o.filter("o_orderpriority = '1-URGENT'").select("k", F.date_trunc("month", "t").alias("t"), "price", F.col("o_orderkey").alias("r_key"))
+    return J.asof_join(o.filter("o_orderpriority <> '1-URGENT'").select("o_orderkey", "k", "t"), right, ["k"], "t", ties=["price", "r_key"])
+
+
 @query("J11_checked_join", "select s_suppkey, n_name from supplier join nation on n_nationkey = s_nationkey")
 def j11(t):
     n = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
@@ -156,10 +184,7 @@ NEAR = " + ".join(f"abs(a.{c} - b.{c})" for c in "xyz")
 )
 def j13(t):
     """Neighbours within four radii in the same aisle, the row itself excluded."""
-    out = t.points
-    for r in (2, 4, 8, 16):
-        near = J.vicinity(t.points, ["aisle"], ["x", "y", "z"], float(r), {f"n_{r}": (N(), F.sum)})
-        out = out.join(near, ["aisle", "x", "y", "z"], "left").withColumn(f"n_{r}", F.col(f"n_{r}") - 1)
+    out = J.radius_counts(t.points, ["aisle"], ["x", "y", "z"], {f"n_{r}": float(r) for r in (2, 4, 8, 16)})
     return out.select("id", "n_2", "n_4", "n_8", "n_16")
 
 
@@ -169,7 +194,7 @@ def j13(t):
     from v_points a left join v_points b on a.aisle = b.aisle and a.color = b.color group by 1""",
 )
 def j14(t):
-    return J.nearest_same(t.points, ["aisle"], "color", ["x", "y", "z"], start=4.0).select("id", "nearest")
+    return J.nearest_same(t.points, ["aisle"], "color", ["x", "y", "z"]).select("id", "nearest")
 
 
 COSINE = """q as (select item, score from v_triples where project = 0),
@@ -192,13 +217,15 @@ def j16(t):
 
 @query(
     "J17_dual_lookup",
-    """select s_suppkey, c_custkey, a.n_name as s_nation_n_name, b.n_name as c_nation_n_name from supplier join customer on s_suppkey = c_custkey
-    join nation a on a.n_nationkey = s_nationkey join nation b on b.n_nationkey = c_nationkey""",
+    """with d as (select distinct l_suppkey, o_custkey from orders join lineitem on l_orderkey = o_orderkey)
+    select s_suppkey, c_custkey, a.n_name as s_nation_n_name, b.n_name as c_nation_n_name from customer left join d on o_custkey = c_custkey full join supplier on s_suppkey = l_suppkey
+    left join nation a on a.n_nationkey = s_nationkey left join nation b on b.n_nationkey = c_nationkey""",
 )
 def j17(t):
-    pairs = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).select(
-        "s_suppkey", "c_custkey", F.col("s_nationkey").alias("s_nation"), F.col("c_nationkey").alias("c_nation")
-    )
+    """Every customer with the suppliers of its orders, and suppliers without any."""
+    dealt = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
+    pairs = t.customer.join(dealt, F.col("o_custkey") == F.col("c_custkey"), "left").join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"), "full")
+    pairs = pairs.select("s_suppkey", "c_custkey", F.col("s_nationkey").alias("s_nation"), F.col("c_nationkey").alias("c_nation"))
     return J.dual_lookup(pairs, ["s_nation", "c_nation"], t.nation, "n_nationkey", "n_name").drop("s_nation", "c_nation")
 
 
@@ -245,14 +272,16 @@ def j20(t):
     "J21_relationships",
     """select o.o_orderkey, count(e.event_id) as count, round(sum(e.value), 4) as sum_value, min(e.value) as min_value, max(e.value) as max_value
     from (select o_orderkey, o_custkey, timestamp '2024-01-01' + to_days((o_orderkey % 30)::int) + interval 5 hour as p from orders) o
-    left join (select c_custkey as cust, c_nationkey as prof from customer) c on c.cust = o.o_custkey
+    left join (select c_custkey as cust, c_custkey % (select max(user_id) + 1 from events) as prof from customer) c on c.cust = o.o_custkey
     left join events e on e.user_id = c.prof and e.ts::date >= o.p::date - 14 and e.ts::date <= o.p::date - 1 group by 1""",
     digits=4,
 )
 def j21(t):
-    """Order -> customer profile -> events, window of 14 days up to the day before the point."""
+    """Order -> customer -> the user that its number falls on -> events, window of 14 days up to the day before the point."""
     point = F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval((F.col("o_orderkey") % 30).cast("int"), F.lit(5))
     base = t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), point.alias("p"))
-    base = base.join(t.customer.select("c_custkey", F.col("c_nationkey").cast("long").alias("user_id")), "c_custkey", "left")
+    users = t.events.agg((F.max("user_id") + 1).alias("users"))
+    profile = t.customer.crossJoin(F.broadcast(users)).select("c_custkey", (F.col("c_custkey") % F.col("users")).cast("long").alias("user_id"))
+    base = base.join(profile, "c_custkey", "left")
     out = J.windowed_relationship(base, t.events, ["user_id"], "p", "ts", {"value": "value"})
     return out.drop("c_custkey", "user_id", "p")

@@ -110,6 +110,20 @@ def m09(t):
     return K.gini_norm(t.scores, "actual", "pred")
 
 
+SOME_NULL = f"""with {V_SCORES.replace('v_scores as', 'v_base as')}, v_scores as (select * replace (case when l_orderkey % 7 = 0 then null else actual end as actual), case when l_orderkey % 11 = 0 then null else pred end as pred_ from v_base),
+    v_full as (select * replace (pred_ as pred) from v_scores where actual is not null and pred_ is not null)"""
+
+
+@query(
+    "M08_gini_nulls",
+    f"{SOME_NULL} select round({gini_sql('pred').replace('v_scores', 'v_full')}, 6) as gini, round({gini_sql('pred', True).replace('v_scores', 'v_full')}, 6) as gini_w, round({gini_sql('pred').replace('v_scores', 'v_full')} / {gini_sql('actual').replace('v_scores', 'v_full')}, 6) as gini_norm",
+)
+def m08b(t):
+    """Rows without an actual or without a score are left out of sums, weights and totals."""
+    some = t.scores.withColumns({"actual": F.when(F.col("l_orderkey") % 7 != 0, F.col("actual")), "pred": F.when(F.col("l_orderkey") % 11 != 0, F.col("pred"))})
+    return K.gini(some, "actual", "pred").crossJoin(K.gini(some, "actual", "pred", "w", name="gini_w")).crossJoin(K.gini_norm(some, "actual", "pred"))
+
+
 @query("M10_mean_separation", f"with {V_SCORES} select grp, round(avg(p) filter (where y = 1) - avg(p) filter (where y = 0), 6) + 0 as score from v_scores group by 1")
 def m10(t):
     y, p, *_ = cols()

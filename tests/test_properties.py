@@ -217,7 +217,7 @@ def test_radius_with_copies_of_one_point(spark):
     a = np.array(pts)
     d = np.abs(a[:, None] - a[None]).sum(-1)
     assert got == {i: int((d[i] <= 2).sum() - 1) for i in range(len(pts))}
-    n = {r.id: r.nearest for r in J.nearest_same(df.withColumn("c", F.lit("c")), ["g"], "c", ["x", "y"], start=0.5).collect()}
+    n = {r.id: r.nearest for r in J.nearest_same(df.withColumn("c", F.lit("c")), ["g"], "c", ["x", "y"]).collect()}
     want = np.where(d > 0, d, np.inf).min(1)
     assert all(n[i] == want[i] for i in n)
 
