@@ -1,5 +1,7 @@
 """Structured Streaming jobs.  Each shares its expressions with a batch operator, so the same function
-accepts a streaming or a static DataFrame; only the sinks below start a query."""
+accepts a streaming or a static DataFrame; only the sinks below start a query.
+
+These forms follow Spark's watermark: a row that comes later than its delay is left out.  ``keyed.py`` has forms that keep every row."""
 
 from __future__ import annotations
 
@@ -49,7 +51,8 @@ def expanding_stats(df: DataFrame, t: str, keys: Sequence[str], value: str, wind
 def late_actuals_join(preds: DataFrame, actuals: DataFrame, key: str, pred_t: str, actual_t: str, max_delay: str, watermark: str = "1 hour", how: str = "leftOuter") -> DataFrame:
     """Actuals that arrive after their prediction, within ``max_delay``; later ones are dropped.
 
-    Both sides carry a watermark, so the state of a prediction ends when its time is over.
+    Both sides carry a watermark, so the state of a prediction ends when its time is over.  As a stream this needs both sides in the order of
+    time, but for the watermark; :func:`keyed.late_actuals` doesn't.
     """
     p = preds.withWatermark(pred_t, watermark)
     a = actuals.withColumnRenamed(key, "_akey").withWatermark(actual_t, watermark)
@@ -57,11 +60,6 @@ def late_actuals_join(preds: DataFrame, actuals: DataFrame, key: str, pred_t: st
     return p.join(a, cond, how).drop("_akey")
 
 
-def with_open(landed: DataFrame, preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What a stream of :func:`late_actuals_join` has landed, and the predictions whose time wasn't over when it stopped, without an actual."""
-    return landed.unionByName(preds.join(landed.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
-
-
 def rolling_accuracy(joined: DataFrame, t: str, metric: Column, window: str, baseline: float, delay: str = "1 hour") -> DataFrame:
     """Metric per window with the baseline and the relative change in percent."""
     g = joined.withWatermark(t, delay).groupBy(F.window(t, window).alias("w")).agg(metric.alias("value"), F.count(F.lit(1)).alias("n"))
