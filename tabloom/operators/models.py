@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabloom.operators import factor
 from tabloom.operators.joins import cosine_join
 from tabloom.operators.neighbours import within
 from tabloom.operators.order import (
@@ -355,28 +356,11 @@ def difference_encode(df: DataFrame, row_id: Sequence[str], a: str, b: str) -> D
 
 
 def svd_features(triples: DataFrame, row: str, col: str, value: str, k: int) -> DataFrame:
-    """First ``k`` components of the centred row x column matrix and their pairwise products.
+    """First ``k`` components (left singular vectors times singular values) of the sparse row x column matrix, and their pairwise products.
 
-    Columns are numbered in sorted order; only the column Gram matrix is reduced, which bounds the
-    number of columns (65 535) but not of rows.
+    Any number of rows and columns; see :func:`tabloom.operators.factor.svd`.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    ids = row_positions(triples.select(col).distinct(), [col], name="_j")
-    width = ids.count()
-
-    cells = triples.join(small_side(ids), col).groupBy(row, "_j").agg(F.sum(value).alias("v"))
-    g = cells.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("_j", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda j: F.coalesce(F.element_at("m", j.cast("long")), F.lit(0.0)))
-    v = g.select(row, array_to_vector(dense).alias("features"))
-    v = materialize(v)
-    c = PCA(k=k, inputCol="features", outputCol="_pc").fit(v).transform(v).withColumn("_a", vector_to_array("_pc"))
-    comps = [F.get("_a", F.lit(i)) for i in range(k)]
-    return c.select(
-        row, *[x.alias(f"c{i + 1}") for i, x in enumerate(comps)],
-        *[(comps[i] * comps[j]).alias(f"c{i + 1}_c{j + 1}") for i in range(k) for j in range(i, k)],
-    )
+    return factor.svd(triples, row, col, value, k).rows.select(row, *factor.products(k))
 
 
 def complete_matrix(triples: DataFrame, user: str, item: str, value: str, rank: int = 5, test_share: float = 0.2, seed: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabloom.functions.text import ngrams, shifted, tokens
+from tabloom.operators import factor
 from tabloom.operators.order import null_safe_join, row_positions
 from tabloom.session import materialize, small_side
 
@@ -60,44 +63,56 @@ def doc_terms(weights: DataFrame, doc: str, ids: Sequence) -> DataFrame:
     return weights.filter(F.col(doc).isin(list(ids)))
 
 
-def topics(df: DataFrame, doc: str, terms: Column, k: int | None, vocab: int | None = None, min_df: float = 1, max_df: float = 1.0, top_words: int = 10, max_k: int = 15, iterations: int = 10, seed: int = 1):
-    """LDA: (document shares with the top topic, top words per topic); with ``k`` None, the k in
-    3..max_k of the best coherence of its top words.  All terms count unless ``vocab``, ``min_df`` or ``max_df`` says otherwise."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
+def topic_weights(df: DataFrame, doc: str, terms: Column, vocab: int | None = None, min_df: float = 1, max_df: float = 1.0) -> DataFrame:
+    """The tf-idf triples that topics are made of.  All terms count unless ``vocab``, ``min_df`` (documents, or a share below 1) or ``max_df`` says otherwise."""
+    triples = materialize(doc_term_counts(df, doc, terms))
+    if vocab or min_df > 1 or min_df < 1 or max_df < 1:
+        least = math.ceil(min_df * triples.select(doc).distinct().count()) if min_df < 1 else int(min_df)
+        triples = prune_vocab(triples, doc, least, max_df, vocab)
+    return materialize(tfidf(triples, doc))
 
-    x = df.select(doc, terms.alias("_terms"))
-    cv = CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocab or (1 << 31) - 1, minDF=min_df, maxDF=max_df).fit(x)
-    v = materialize(cv.transform(x).select(doc, "_terms", "features"))
 
-    names = df.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "i int, term string")
+def topic_words(found: factor.Nmf, k: int, top_words: int) -> DataFrame:
+    """``topic, pos, term, weight``: the heaviest terms of each topic."""
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("topic"), F.col(f).alias("weight")) for i, f in enumerate(factor.names(k))]))
+    place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 9)), "term")) - 1
+    return found.columns.select("term", cells).withColumn("pos", place).where(F.col("pos") < top_words).select("topic", "pos", "term", "weight")
 
-    def fit(n):
-        m = LDA(k=n, maxIter=iterations, seed=seed).fit(v)
-        t = m.describeTopics(top_words).select("topic", F.posexplode("termIndices").alias("pos", "i"), "termWeights")
-        return m, t.join(names, "i").select("topic", "pos", "term", F.get("termWeights", F.col("pos")).alias("weight"))
 
-    if k is None:
-        vec = train_embeddings(v, "_terms", size=32, seed=seed)
+def topic_choice(weights: DataFrame, doc: str, vectors: DataFrame, ks: Sequence[int], top_words: int = 10, iterations: int = 20, seed: int = 1) -> DataFrame:
+    """``k, coherence``: the mean coherence of the top words for each number of topics."""
+    tables = []
+    for k in ks:
+        words = topic_words(factor.nmf(weights, doc, "term", "weight", k, iterations, seed), k, top_words)
+        tables.append(coherence(words, vectors).agg(F.avg("coherence").alias("coherence")).select(F.lit(k).alias("k"), "coherence"))
+    return reduce(DataFrame.unionByName, tables)
 
-        def quality(n):
-            return coherence(fit(n)[1], vec).agg(F.avg("coherence")).first()[0] or 0.0
 
-        k = max(range(3, max_k + 1), key=quality)
-    model, words = fit(k)
-    p = model.transform(v).select(doc, vector_to_array("topicDistribution").alias("share"))
-    best = F.array_position("share", F.array_max("share")) - 1
-    return p.select(doc, "share", best.alias("topic")), words
+def topics(df: DataFrame, doc: str, terms: Column, k: int | None, vocab: int | None = None, min_df: float = 1, max_df: float = 1.0, top_words: int = 10, max_k: int = 15, iterations: int = 20, seed: int = 1):
+    """Non-negative factors of tf-idf: (document shares with the top topic, top words per topic); with ``k`` None, the k in 3..max_k of the best coherence.
 
+    Shares are a document's weights over their sum; a document without terms has NULL.
+    """
+    x = df.select(doc, terms.alias("_terms"))
+    weights = topic_weights(x, doc, F.col("_terms"), vocab, min_df, max_df)
+    if k is None:
+        tried = topic_choice(weights, doc, train_embeddings(x, "_terms", 32, seed=seed), range(3, max_k + 1), top_words, iterations, seed).collect()
+        k = max(tried, key=lambda r: (r.coherence or 0.0, -r.k)).k
+    found = factor.nmf(weights, doc, "term", "weight", k, iterations, seed)
+    total = sum([F.col(f) for f in factor.names(k)], F.lit(0.0))
+    share = F.array(*[F.try_divide(F.col(f), total) for f in factor.names(k)])
+    p = found.rows.select(doc, share.alias("share"))
+    best = F.array_position("share", F.array_max("share")) - 1
+    return null_safe_join(df.select(doc).distinct(), p, [doc], "left").select(doc, "share", best.alias("topic")), topic_words(found, k, top_words)
 
-def train_embeddings(df: DataFrame, terms: str, size: int = 32, min_count: int = 1, seed: int = 1) -> DataFrame:
-    """Word2Vec vectors as a table ``term, vector`` (save and load it like any table), trained in as many tasks as the session runs at once."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
 
-    m = Word2Vec(vectorSize=size, minCount=min_count, numPartitions=df.sparkSession.sparkContext.defaultParallelism, inputCol=terms, outputCol="_v", seed=seed, maxIter=1).fit(df)
-    return m.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vector"))
+def train_embeddings(df: DataFrame, terms: str, size: int = 32, window: int = 5, min_count: int = 1, shift: float = 1.0, seed: int = 1) -> DataFrame:
+    """Word vectors as a table ``term, vector`` (save and load it like any table): factors of the shifted positive mutual information of words that
+    stand at most ``window`` apart, scaled by the square roots of the singular values.  Words without a positive value have no vector."""
+    pairs = cooccurrence(df, terms, F.col(terms), window, min_count)
+    found = factor.svd(factor.shifted_pmi(pairs, shift), "a", "b", "value", size, seed=seed)
+    scaled = [(F.col(f) / max(v, 1e-12) ** 0.5).alias(f) for f, v in zip(factor.names(size), [*found.values, *[0.0] * size], strict=False)]
+    return found.rows.select(F.col("a").alias("term"), *scaled).select("term", factor.vector(size).alias("vector"))
 
 
 def unit(v) -> Column:

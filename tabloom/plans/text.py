@@ -87,13 +87,20 @@ def x08(t):
 
 @query("X09_topics")
 def x09(t):
-    docs, _ = X.topics(t.documents, "doc_id", toks(t), 5, iterations=3)
+    docs, _ = X.topics(t.documents, "doc_id", toks(t), 5, iterations=10)
     return docs.groupBy("topic").agg(N().alias("n"), F.avg(F.array_max("share")).alias("mean_share"))
 
 
+@query("X09_topic_choice")
+def x09b(t):
+    """Coherence of the top words for three to five topics."""
+    docs = t.documents.select("doc_id", toks(t).alias("w"))
+    return X.topic_choice(X.topic_weights(docs, "doc_id", F.col("w")), "doc_id", X.train_embeddings(docs, "w", 16), range(3, 6), iterations=5)
+
+
 @query("X10_coherence")
 def x10(t):
-    _, words = X.topics(t.documents, "doc_id", toks(t), 5, iterations=3)
+    _, words = X.topics(t.documents, "doc_id", toks(t), 5, iterations=5)
     vec = X.train_embeddings(t.documents.select(toks(t).alias("w")), "w", 16)
     return X.coherence(words, vec)
 
@@ -107,7 +114,12 @@ def x11(t):
     return X.cooccurrence(t.documents, "doc_id", toks(t), 3, 2)
 
 
-@query("X12_train_embeddings")
+@query(
+    "X12_train_embeddings",
+    f"""with {TOK}, p as (select doc_id, t, unnest(range(1, len(t) + 1)) as i from tok), g as (select least(t[i], t[i + d]) as a, greatest(t[i], t[i + d]) as b from p, (select unnest(range(1, 6)) as d) where i + d <= len(t)),
+    c as (select a, b, count(*) as n from g group by 1, 2), s as (select a, b, n from c union all select b, a, n from c where a <> b), e as (select a, sum(n) as n from s group by 1)
+    select distinct s.a as term, 16 as size from s join e x on x.a = s.a join e y on y.a = s.b where s.n * (select sum(n) from s) > x.n * y.n""",
+)
 def x12(t):
     v = X.train_embeddings(t.documents.select(toks(t).alias("w")), "w", 16)
     return v.select("term", F.size("vector").alias("size"))
