@@ -22,7 +22,7 @@ LEAST_DOCS = 30
 TOP = 50
 SMOOTHING = 5
 UNIT = 1_000_000_000
-CHUNK_TERMS = 4096
+CHUNK_TERMS = 512
 TILE_SOURCES = 64
 FLUSH = 1_000_000  # (group, term) counts that a task holds
 #: Bytes of terms: letters, and every byte of a character beyond ASCII.

@@ -5,14 +5,16 @@ candidates.  A candidate's signatures are compared batch by batch; after each th
 similarity reaches the threshold follows from the number of agreements so far, and a pair whose probability is below the chosen miss
 probability goes.  Survivors are confirmed on their full sets.
 
-A bucket of candidates first proposes its members' pairs with one leader.  Buckets whose members are in one component then are done; in the
-others, pairs of different components are compared inside tasks, in tiles, and only survivors leave them.  So a group of copies never
-becomes all its pairs, and no pair of different components is left out.
+Every bucket of candidates has a leader, and a class first is paired with the least leader of its buckets.  Buckets whose members are in one
+component then are done; in the others, pairs of different components are compared inside tasks, in tiles, and what leaves them is a
+forest that connects all survivors.  Where a tree of it wasn't confirmed, all survivors of different components follow.  So a group of
+copies never becomes all its pairs, and no pair of different components is left out.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,11 @@ from tabloom.session import discard, materialize
 
 N = 4
 PERCENT = 80
-ROWS, BANDS = 3, 32  # a pair at 80 % agrees in no band with odds of 1.1e-10
-BATCH = 32  # hashes that are compared at a time
+ROWS, BANDS = 5, 52  # a pair at 80 % agrees in no band with odds of 1.1e-9; one at 20 % in any with 1.7e-2
+BATCH = 52  # hashes that are compared at a time
 MISS = 1e-9
 TILE = 2048  # members of a bucket that a task compares with as many others
-ALLOWED = 4096  # survivors of a tile in the first round; sixteen times as many in each further one
+ALLOWED = 1 << 16  # survivors of a tile that the first full round sends; sixteen times as many in each further one
 VERIFY_BYTES = 16 << 20  # of sets for each bucket of verification
 SALT = 64  # pairs of a leader that are verified together
 _SEEDS = np.random.default_rng(20240913).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,8 +58,11 @@ def least_agreements(percent: int, miss: float, hashes: int = ROWS * BANDS, batc
 
 
 def signatures(sets: Sets, which: np.ndarray) -> np.ndarray:
-    """The least of each hash over the sets ``which``, none of them empty: one row of 32-bit values for each."""
-    out = np.empty((len(which), len(_SEEDS)), np.uint32)
+    """Sixteen bits of the least of each hash over the sets ``which``, none of them empty: one row for each.
+
+    Two sets with other least values share the bits of one hash in 65 536, which lets a pair through and never holds one back.
+    """
+    out = np.empty((len(which), len(_SEEDS)), np.uint16)
     size = np.diff(sets.first)[which]
     at = 0
     while at < len(which):  # so many sets at a time that their hashes stay in the cache
@@ -69,7 +74,7 @@ def signatures(sets: Sets, which: np.ndarray) -> np.ndarray:
             h = (g ^ seed) * _C
             h ^= h >> np.uint64(32)
             h *= seed
-            out[at:to, j] = np.minimum.reduceat(h >> np.uint64(32), first)
+            out[at:to, j] = (np.minimum.reduceat(h, first) * _C) >> np.uint64(48)
         at = to
     return out
 
@@ -101,14 +106,22 @@ def _rows(own: DataFrame, n: int, keep: list[str]) -> DataFrame:
     return append(own, about, fields, "text", keep)
 
 
-def _bands(batches):
-    for batch in batches:
-        sig = np.frombuffer(as_bytes(batch.column("sig"))[0].tobytes(), np.uint32).reshape(len(batch), BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2])
-        for k in range(ROWS):
-            key = mix(key * _C + sig[:, :, k])
-        again = pa.array(np.repeat(np.arange(len(batch)), BANDS))
-        yield pa.RecordBatch.from_pydict({"key": pa.array(key.ravel().view(np.int64)), "cls": batch.column("cls").take(again), "n": batch.column("n").take(again)})
+def _bands(known):
+    """``key, cid`` for all bands, or for those whose key the sieve ``known`` may have."""
+
+    def run(batches):
+        for batch in batches:
+            sig = np.frombuffer(as_bytes(batch.column("sig"))[0].tobytes(), np.uint16).reshape(len(batch), BANDS, ROWS).astype(np.uint64)
+            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2])
+            for k in range(ROWS):
+                key = mix(key * _C + sig[:, :, k])
+            key, cid = key.ravel(), np.repeat(batch.column("cid").to_numpy(), BANDS)
+            if known is not None:
+                some = known.value.has(key)
+                key, cid = key[some], cid[some]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "cid": pa.array(cid)})
+
+    return run
 
 
 def _may(percent: int, a: Column, b: Column) -> Column:
@@ -122,7 +135,7 @@ def _survive(percent: int, miss: float):
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(as_bytes(batch.column(c))[0].tobytes(), np.uint32).reshape(len(batch), -1) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(as_bytes(batch.column(c))[0].tobytes(), np.uint16).reshape(len(batch), -1) for c in ("sa", "sb"))
             at = np.arange(len(batch))
             for n, least in bounds:
                 at = at[(x[at, :n] == y[at, :n]).sum(axis=1) >= least]
@@ -131,49 +144,69 @@ def _survive(percent: int, miss: float):
     return run
 
 
-def _within(percent: int, miss: float, allowed: int):
-    """Survivors among the pairs of different components of the tiles in a bucket; ``more`` if a tile has others beyond ``allowed``."""
+def _survivors(n, sig, comp, side, low, high, percent, bounds):
+    """Row numbers of the pairs of different components that survive: inside a tile, or between two."""
+    left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+    found = []
+    for block in range(0, len(left), 256):
+        i = left[block : block + 256]
+        ok = (comp[i][:, None] != comp[right][None, :]) & (100 * np.minimum(n[i][:, None], n[right][None, :]) >= percent * np.maximum(n[i][:, None], n[right][None, :]))
+        if low == high:
+            ok &= i[:, None] < right[None, :]
+        a, b = np.nonzero(ok)
+        a, b = i[a], right[b]
+        since = 0
+        same = np.zeros(len(a), np.int32)
+        for upto, least in bounds:
+            for k in range(0, len(a), 65536):
+                same[k : k + 65536] += (sig[a[k : k + 65536], since:upto] == sig[b[k : k + 65536], since:upto]).sum(axis=1)
+            keep = same >= least
+            a, b, same, since = a[keep], b[keep], same[keep], upto
+        found.append((a, b, same))
+    a, b, same = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+    by = np.argsort(-same, kind="stable")
+    return a[by], b[by]
+
+
+def _forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs, taken in order, that connect what earlier ones and components don't."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(comp[a].tolist(), comp[b].tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def _within(percent: int, miss: float, allowed: int | None):
+    """``a, b, na, nb, more`` of the tiles in a bucket: a forest of the survivors or, with ``allowed``, so many of them; ``more`` if there are others."""
     bounds = least_agreements(percent, miss)
 
-    def tile(n, sig, comp, side, low, high):
-        """Row numbers of surviving pairs: inside a tile, or between two."""
-        left = np.flatnonzero(side == low)
-        right = np.flatnonzero(side == high)
-        found = []
-        for block in range(0, len(left), 256):
-            i = left[block : block + 256]
-            ok = (comp[i][:, None] != comp[right][None, :]) & (100 * np.minimum(n[i][:, None], n[right][None, :]) >= percent * np.maximum(n[i][:, None], n[right][None, :]))
-            if low == high:
-                ok &= i[:, None] < right[None, :]
-            a, b = np.nonzero(ok)
-            a, b = i[a], right[b]
-            for upto, least in bounds:
-                keep = np.concatenate([(sig[a[k : k + 65536], :upto] == sig[b[k : k + 65536], :upto]).sum(axis=1) >= least for k in range(0, len(a), 65536)] or [np.empty(0, bool)])
-                a, b = a[keep], b[keep]
-            found.append((a, b))
-        return (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
-
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         keys = np.stack([table[c].to_numpy() for c in ("key", "low", "high")])
         by = np.lexsort(keys)
         edge = np.flatnonzero(np.concatenate([[True], (keys[:, by][:, 1:] != keys[:, by][:, :-1]).any(axis=0)])) if len(by) else []
-        n, side = table["n"].to_numpy(), table["tile"].to_numpy()
-        comp = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
-        sig = np.frombuffer(as_bytes(table["sig"])[0].tobytes(), np.uint32).reshape(len(by), -1)
-        cls = table["cls"].combine_chunks()
-        out_a, out_b, more = [], [], False
+        n, side, comp, cid = (table[c].to_numpy() for c in ("n", "tile", "component", "cid"))
+        sig = np.frombuffer(as_bytes(table["sig"])[0].tobytes(), np.uint16).reshape(len(by), -1)
+        out, more = [np.empty((0, 2), np.int64)], False
         for i, j in zip(edge, [*edge[1:], len(by)]) if len(by) else ():
             own = by[i:j]
-            a, b = tile(n[own], sig[own], comp[own], side[own], keys[1, own[0]], keys[2, own[0]])
-            if len(a) > allowed:
-                agree = (sig[own[a]] == sig[own[b]]).sum(axis=1)
-                best = np.argsort(-agree, kind="stable")[:allowed]
-                a, b, more = a[best], b[best], True
-            out_a.append(own[a])
-            out_b.append(own[b])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": cls.take(pa.array(a)), "b": cls.take(pa.array(b)), "na": pa.array(n[a]), "nb": pa.array(n[b]), "more": pa.array(np.full(len(a), more))})
+            a, b = _survivors(n[own], sig[own], comp[own], side[own], keys[1, own[0]], keys[2, own[0]], percent, bounds)
+            some = _forest(a, b, comp[own]) if allowed is None else np.arange(min(len(a), allowed))
+            more = more or len(some) < len(a)
+            out.append(np.stack([own[a[some]], own[b[some]]], axis=1))
+        a, b = np.concatenate(out).T
+        return pa.table({"a": pa.array(cid[a]), "b": pa.array(cid[b]), "na": pa.array(n[a]), "nb": pa.array(n[b]), "more": pa.array(np.full(len(a), more))})
 
     return run
 
@@ -200,20 +233,41 @@ def _confirm(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Pairs of a bucket whose full sets link; the row with ``b`` NULL has the set of ``a``."""
         table = table.combine_chunks()
-        a, b, grams = (table[c].combine_chunks() for c in ("a", "b", "grams"))
-        of, salt = a.dictionary_encode().indices.to_numpy(), table["salt"].to_numpy()
-        head = {(of[i], salt[i]): np.frombuffer(grams[i].as_py(), np.uint64) for i in np.flatnonzero(b.is_null().to_numpy(zero_copy_only=False))}
+        a, salt, grams = table["a"].to_numpy(), table["salt"].to_numpy(), table["grams"].combine_chunks()
+        alone = table["b"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        b = table["b"].combine_chunks().fill_null(-1).to_numpy()
+        head = {(a[i], salt[i]): np.frombuffer(grams[i].as_py(), np.uint64) for i in np.flatnonzero(alone)}
         good = []
-        for i in np.flatnonzero(b.is_valid().to_numpy(zero_copy_only=False)):
-            x, y = head[of[i], salt[i]], np.frombuffer(grams[i].as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
+        for i in np.flatnonzero(~alone):
+            x, y = head[a[i], salt[i]], np.frombuffer(grams[i].as_py(), np.uint64)
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = int((x[at] == y).sum())
             if 100 * both >= percent * (len(x) + len(y) - both):
                 good.append(i)
-        return pa.table({"a": a.take(pa.array(good, pa.int64())), "b": b.take(pa.array(good, pa.int64()))})
+        return pa.table({"a": pa.array(a[good]), "b": pa.array(b[good])})
 
     return run
 
 
+def confirmed(own: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b, na, nb) of classes that link, by the full sets of their texts in ``own``."""
+    leaders = pairs.groupBy("a").agg(F.expr(f"1 + count(*) div {SALT}").alias("salts"))
+    dealt = pairs.join(leaders, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.col("b").alias("cid"))
+    heads = leaders.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("cid"))
+    uses = materialize(dealt.unionByName(heads).join(classes.select("cid", "cls", "n"), "cid").select("cls", "a", "b", "salt", F.col("n").alias("size")))
+    weight = uses.agg(F.sum("size")).first()[0] or 0
+    held = own.sparkSession.sparkContext.broadcast(sieve.build(uses.select("cls").mapInArrow(_first_halves, "id long")))
+    sets = small_batches(own.select("text").where("text is not null")).mapInArrow(_sets(held, n), "cls binary, grams binary")
+    sets = sets.groupBy("cls").agg(F.first("grams").alias("grams"))
+    # spread by leader and salt: the pairs of a very common leader are in many buckets, each with its set
+    bucket = F.pmod(F.xxhash64("a", "salt"), F.lit(8 * weight // VERIFY_BYTES + 1)).alias("bucket")
+    joined = uses.join(sets, "cls").select(bucket, "a", "b", "salt", "grams")
+    out = materialize(joined.groupBy("bucket").applyInArrow(_confirm(percent), "a long, b long"))
+    held.destroy()
+    discard(uses)
+    return out
+
+
 def _first_halves(batches):
     """What the sieve goes by."""
     for batch in batches:
@@ -221,79 +275,61 @@ def _first_halves(batches):
         yield pa.RecordBatch.from_pydict({"id": pa.array(np.ascontiguousarray(ids[:, 0]))})
 
 
-def confirmed(own: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b, na, nb) that link, by the full sets of their texts in ``own``."""
-    spark = own.sparkSession
-    leaders = pairs.groupBy("a").agg(F.expr(f"1 + count(*) div {SALT}").alias("salts"), F.first("na").alias("na"))
-    dealt = pairs.join(leaders.drop("na"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.col("b").alias("cls"))
-    heads = leaders.select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("cls"))
-    uses = materialize(dealt.unionByName(heads))
-    weight = pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0
-    held = spark.sparkContext.broadcast(sieve.build(uses.select("cls").distinct().mapInArrow(_first_halves, "id long")))
-    sets = small_batches(own.select("text").where("text is not null")).mapInArrow(_sets(held, n), "cls binary, grams binary")
-    sets = sets.groupBy("cls").agg(F.first("grams").alias("grams"))
-    # spread by leader and salt: the pairs of a very common leader are in many buckets, each with its set
-    bucket = F.pmod(F.xxhash64("a", "salt"), F.lit(8 * weight // VERIFY_BYTES + 1)).alias("bucket")
-    joined = uses.join(sets, "cls").select(bucket, "a", "b", "salt", "grams")
-    out = materialize(joined.groupBy("bucket").applyInArrow(_confirm(percent), "a binary, b binary"))
+def _members(classes: DataFrame) -> DataFrame:
+    """``key, cid, a`` of all buckets with two classes or more, and their leaders."""
+    sig = classes.select("cid", "sig")
+    first = sig.mapInArrow(_bands(None), "key long, cid long").groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("last"))
+    first = materialize(first.where("a <> last").select("key", "a"))
+    held = classes.sparkSession.sparkContext.broadcast(sieve.build(first.select(F.col("key").alias("id"))))
+    out = materialize(sig.mapInArrow(_bands(held), "key long, cid long").join(first, "key"))
     held.destroy()
-    discard(uses)
+    discard(first)
     return out
 
 
 def _links(own: DataFrame, classes: DataFrame, n: int, percent: int, miss: float) -> DataFrame:
-    """``cls, component`` of all classes that link with another."""
-    sig = classes.select("cls", "sig")
-    bands = classes.select("cls", "n", "sig").mapInArrow(_bands, "key long, cls binary, n long")
-    first = bands.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a <> last").drop("last")
-    members = materialize(bands.join(first, "key").select("key", "cls", "n", "a"))
-    size = members.where(F.col("cls") == F.col("a")).select("a", F.col("n").alias("na")).distinct()
-    stars = members.where(F.col("cls") != F.col("a")).select("a", F.col("cls").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = stars.join(size, "a").where(_may(percent, F.col("na"), F.col("nb")))
-    both = stars.join(sig.withColumnsRenamed({"cls": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"cls": "b", "sig": "sb"}), "b")
-    pairs = materialize(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_survive(percent, miss), "a binary, b binary, na long, nb long"))
-    links, tested, allowed = confirmed(own, pairs, n, percent), [pairs], ALLOWED
-    every = [links]
-    labels = components(links).withColumnRenamed("node", "cls")
+    """``cid, component`` of all classes that link with another."""
+    members = _members(classes)
+    about = classes.select("cid", "n", "sig")
+    best = members.groupBy(F.col("cid").alias("b")).agg(F.min("a").alias("a")).where("a <> b")
+    both = best.join(about.withColumnsRenamed({"cid": "b", "n": "nb", "sig": "sb"}), "b").join(about.withColumnsRenamed({"cid": "a", "n": "na", "sig": "sa"}), "a")
+    both = both.where(_may(percent, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "sa", "sb")
+    pairs = materialize(both.mapInArrow(_survive(percent, miss), "a long, b long, na long, nb long"))
+    tested, every = [pairs], [confirmed(own, classes, pairs, n, percent)]
+    labels = components(every[0]).withColumnRenamed("node", "cid")
+    buckets = F.lit(members.count() // 50_000 + 1)
+    allowed: int | None = None
     while True:
-        now = members.select("key", "cls", "n").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        now = members.select("key", "cid").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         mixed = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.expr(f"1 + count(*) div {TILE}").alias("tiles")).where("c0 <> c1").select("key", "tiles")
-        open_ = now.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")))
-        open_ = open_.join(sig, "cls").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        open_ = open_.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "cls", "n", "component", "sig")
-        dealt = open_.groupBy(F.pmod(F.xxhash64("key", "low", "high"), F.lit(_buckets(members))).alias("bucket"))
-        found = materialize(dealt.applyInArrow(_within(percent, miss, allowed), "a binary, b binary, na long, nb long, more boolean"))
-        fresh = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+        open_ = now.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")))
+        open_ = open_.join(about, "cid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        open_ = open_.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "cid", "n", "component", "sig")
+        dealt = open_.groupBy(F.pmod(F.xxhash64("key", "low", "high"), buckets).alias("bucket"))
+        found = materialize(dealt.applyInArrow(_within(percent, miss, allowed), "a long, b long, na long, nb long, more boolean"))
+        turned = F.col("a") > F.col("b")
+        ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]
+        sent = materialize(found.select(*ends).distinct())
+        fresh = sent
         for t in tested:
             fresh = fresh.join(t.select("a", "b"), ["a", "b"], "left_anti")
         fresh = materialize(fresh)
-        more = not found.where("more").isEmpty()
-        discard(found)
-        if fresh.isEmpty():
-            if not more:
-                break
-        else:
+        asked, more, linked = sent.count(), not found.where("more").isEmpty(), 0
+        discard(found, sent)
+        if not fresh.isEmpty():
             tested.append(fresh)
-            every.append(confirmed(own, fresh, n, percent))
-            labels = components(_union(every)).withColumnRenamed("node", "cls")
-        if not more:
+            every.append(confirmed(own, classes, fresh, n, percent))
+            linked = every[-1].count()
+            if linked:
+                labels = components(reduce(DataFrame.unionByName, every)).withColumnRenamed("node", "cid")
+        # a forest that is confirmed throughout connects all survivors; otherwise, and where not all were sent, the others are asked
+        if (allowed is None and linked == asked) or (allowed is not None and not more):
             break
-        allowed *= 16
+        allowed = ALLOWED if allowed is None else 16 * allowed
     discard(members, *tested, *every)
     return labels
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _buckets(members: DataFrame) -> int:
-    return members.count() // 50_000 + 1
-
-
 def joined_by_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """``rows`` with what ``classes`` (cls, copies, ...) says of their class.
 
@@ -317,9 +353,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("rid"))
     rows = materialize(_rows(own, n, ["key", "rid"]))
-    classes = materialize(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("key").alias("least"), F.first("n_shingles").alias("n"), F.first("sig", ignorenulls=True).alias("sig"), F.count(F.lit(1)).alias("copies")))
+    classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min("key").alias("least"), F.first("n_shingles").alias("n"), F.first("sig", ignorenulls=True).alias("sig"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))  # numbers that the written table fixes
     labels = _links(own, classes, n, percent, miss)
-    joined = classes.select("cls", "least", "copies").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    joined = classes.select("cls", "cid", "least", "copies").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     joined = materialize(joined)
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     found = joined.join(ids, "component").select("cls", "copies", "component_id")

@@ -37,8 +37,8 @@ def build(ids: DataFrame, most: int = SIEVE_BYTES) -> Sieve:
         bits[table["at"].combine_chunks().to_numpy() % per] = True
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    places = ids.select(F.shiftrightunsigned("id", 64 - width).alias("at")).distinct()
-    rows = places.withColumn("chunk", F.expr(f"cast(at div {per} as int)")).groupBy("chunk").applyInArrow(chunk, "chunk int, bits binary").collect()
+    places = ids.select(F.shiftrightunsigned("id", 64 - width).alias("at")).withColumn("chunk", F.expr(f"cast(at div {per} as int)"))
+    rows = places.repartition("chunk").distinct().groupBy("chunk").applyInArrow(chunk, "chunk int, bits binary").collect()
     out = np.zeros((1 << width) // 8, np.uint8)
     for r in rows:
         out[r.chunk * per // 8 : (r.chunk + 1) * per // 8] = np.frombuffer(r.bits, np.uint8)
