@@ -6,15 +6,15 @@ similarity reaches the threshold follows from the number of agreements so far, a
 probability goes.  Survivors are confirmed on their full sets.
 
 Every bucket of candidates has a leader, and a class first is paired with the least leader of its buckets.  Buckets whose members are in one
-component then are done; in the others, pairs of different components are compared inside tasks, in tiles, and what leaves them is a
-forest that connects all survivors.  Where a tree of it wasn't confirmed, all survivors of different components follow.  So a group of
-copies never becomes all its pairs, and no pair of different components is left out.
+component then are done.  In the others, signatures of different components are compared inside tasks, in tiles, each pair in the first band
+that it shares; what leaves a task is a row for each member, with the numbers of its survivors.  Tiles then get their members' full sets, and
+confirm survivors that no confirmed link connects yet.  So a group never becomes rows of all its pairs, and no pair of different components
+is left out.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tabloom.llm import sieve
 from tabloom.llm.batches import append, as_bytes, mix, slices, small_batches
 from tabloom.llm.graph import components
-from tabloom.llm.similarity import Sets, sets_of
+from tabloom.llm.shingles import Sets, sets_of
 from tabloom.session import discard, materialize
 
 N = 4
@@ -31,8 +31,7 @@ PERCENT = 80
 ROWS, BANDS = 5, 52  # a pair at 80 % agrees in no band with odds of 1.1e-9; one at 20 % in any with 1.7e-2
 BATCH = 52  # hashes that are compared at a time
 MISS = 1e-9
-TILE = 2048  # members of a bucket that a task compares with as many others
-ALLOWED = 1 << 16  # survivors of a tile that the first full round sends; sixteen times as many in each further one
+TILE = 512  # members of a bucket that are compared with as many others
 VERIFY_BYTES = 16 << 20  # of sets for each bucket of verification
 SALT = 64  # pairs of a leader that are verified together
 _SEEDS = np.random.default_rng(20240913).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,6 +114,7 @@ def _bands(known):
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2])
             for k in range(ROWS):
                 key = mix(key * _C + sig[:, :, k])
+            key = (key & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)  # the last bits say which band it is
             key, cid = key.ravel(), np.repeat(batch.column("cid").to_numpy(), BANDS)
             if known is not None:
                 some = known.value.has(key)
@@ -124,7 +124,7 @@ def _bands(known):
     return run
 
 
-def _may(percent: int, a: Column, b: Column) -> Column:
+def may(percent: int, a: Column, b: Column) -> Column:
     """Whether sets of these sizes can link."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -144,10 +144,10 @@ def _survive(percent: int, miss: float):
     return run
 
 
-def _survivors(n, sig, comp, side, low, high, percent, bounds):
-    """Row numbers of the pairs of different components that survive: inside a tile, or between two."""
+def _survivors(n, sig, comp, side, low, high, band, percent, bounds):
+    """Row numbers of the pairs of different components that survive and share no earlier band: inside a tile, or between two."""
     left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-    found = []
+    found = [(np.empty(0, np.int64),) * 2]
     for block in range(0, len(left), 256):
         i = left[block : block + 256]
         ok = (comp[i][:, None] != comp[right][None, :]) & (100 * np.minimum(n[i][:, None], n[right][None, :]) >= percent * np.maximum(n[i][:, None], n[right][None, :]))
@@ -155,58 +155,80 @@ def _survivors(n, sig, comp, side, low, high, percent, bounds):
             ok &= i[:, None] < right[None, :]
         a, b = np.nonzero(ok)
         a, b = i[a], right[b]
-        since = 0
-        same = np.zeros(len(a), np.int32)
+        same, since = np.zeros(len(a), np.int32), 0
         for upto, least in bounds:
             for k in range(0, len(a), 65536):
                 same[k : k + 65536] += (sig[a[k : k + 65536], since:upto] == sig[b[k : k + 65536], since:upto]).sum(axis=1)
             keep = same >= least
             a, b, same, since = a[keep], b[keep], same[keep], upto
-        found.append((a, b, same))
-    a, b, same = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-    by = np.argsort(-same, kind="stable")
-    return a[by], b[by]
+        for k in range(0, len(a), 65536):
+            x, y = a[k : k + 65536], b[k : k + 65536]
+            earlier = (sig[x, : band * ROWS] == sig[y, : band * ROWS]).reshape(len(x), band, ROWS).all(axis=2).any(axis=1)
+            found.append((x[~earlier], y[~earlier]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs, taken in order, that connect what earlier ones and components don't."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    out = []
-    for k, (x, y) in enumerate(zip(comp[a].tolist(), comp[b].tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append(k)
-    return np.array(out, np.int64)
-
-
-def _within(percent: int, miss: float, allowed: int | None):
-    """``a, b, na, nb, more`` of the tiles in a bucket: a forest of the survivors or, with ``allowed``, so many of them; ``more`` if there are others."""
+def _within(percent: int, miss: float):
+    """``tile, cid, n, component, partners`` of the members that have survivors, for the tiles in a bucket; every pair is with one of its two."""
     bounds = least_agreements(percent, miss)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        keys = np.stack([table[c].to_numpy() for c in ("key", "low", "high")])
+        keys = np.stack([table[c].to_numpy() for c in ("high", "low", "key")])
         by = np.lexsort(keys)
         edge = np.flatnonzero(np.concatenate([[True], (keys[:, by][:, 1:] != keys[:, by][:, :-1]).any(axis=0)])) if len(by) else []
-        n, side, comp, cid = (table[c].to_numpy() for c in ("n", "tile", "component", "cid"))
+        n, side, comp, cid, name = (table[c].to_numpy() for c in ("n", "side", "component", "cid", "tile"))
         sig = np.frombuffer(as_bytes(table["sig"])[0].tobytes(), np.uint16).reshape(len(by), -1)
-        out, more = [np.empty((0, 2), np.int64)], False
+        rows, partners = [], []
         for i, j in zip(edge, [*edge[1:], len(by)]) if len(by) else ():
             own = by[i:j]
-            a, b = _survivors(n[own], sig[own], comp[own], side[own], keys[1, own[0]], keys[2, own[0]], percent, bounds)
-            some = _forest(a, b, comp[own]) if allowed is None else np.arange(min(len(a), allowed))
-            more = more or len(some) < len(a)
-            out.append(np.stack([own[a[some]], own[b[some]]], axis=1))
-        a, b = np.concatenate(out).T
-        return pa.table({"a": pa.array(cid[a]), "b": pa.array(cid[b]), "na": pa.array(n[a]), "nb": pa.array(n[b]), "more": pa.array(np.full(len(a), more))})
+            high, low, band = keys[0, own[0]], keys[1, own[0]], int(keys[2, own[0]]) & 63
+            a, b = _survivors(n[own], sig[own], comp[own], side[own], low, high, band, percent, bounds)
+            for m in np.unique(np.concatenate([a, b])):
+                rows.append(own[m])
+                partners.append(cid[own[b[a == m]]].tobytes())
+        rows = np.array(rows, np.int64)
+        return pa.table({"tile": pa.array(name[rows]), "cid": pa.array(cid[rows]), "n": pa.array(n[rows]), "component": pa.array(comp[rows]), "partners": pa.array(partners, pa.binary())})
+
+    return run
+
+
+def _connect(percent: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Links ``a, b`` of the tiles in a bucket: survivors that are confirmed on full sets, but for those that confirmed ones connect already."""
+        table = table.combine_chunks()
+        tile, cid, comp = (table[c].to_numpy() for c in ("tile", "cid", "component"))
+        grams, partners = table["grams"].combine_chunks(), table["partners"].combine_chunks()
+        out = []
+        by = np.argsort(tile, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], tile[by][1:] != tile[by][:-1]])) if len(by) else []
+        for i, j in zip(edge, [*edge[1:], len(by)]) if len(by) else ():
+            own = by[i:j]
+            sets = {int(cid[m]): np.frombuffer(grams[int(m)].as_py(), np.uint64) for m in own}
+            root = {int(cid[m]): int(comp[m]) for m in own}
+            up: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = x = up.get(y, y)
+                return x
+
+            for m in own[np.argsort(cid[own], kind="stable")]:
+                a = int(cid[m])
+                x = sets[a]
+                others = [b for b in np.frombuffer(partners[int(m)].as_py(), np.int64).tolist() if find(root[a]) != find(root[b])]
+                for part in range(0, len(others), 256):
+                    some = others[part : part + 256]
+                    size = np.array([len(sets[b]) for b in some])
+                    y = np.concatenate([sets[b] for b in some])
+                    hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+                    for k in np.flatnonzero(100 * both >= percent * (len(x) + size - both)):
+                        p, q = find(root[a]), find(root[some[k]])
+                        if p != q:
+                            up[max(p, q)] = min(p, q)
+                            out.append((a, some[k]))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
@@ -249,20 +271,29 @@ def _confirm(percent: int):
     return run
 
 
+def sets_of_classes(own: DataFrame, uses: DataFrame, n: int):
+    """``uses`` with the full sets ``grams`` of their classes ``cls``, and the broadcast to be destroyed when they are written."""
+    held = own.sparkSession.sparkContext.broadcast(sieve.build(uses.select("cls").mapInArrow(_first_halves, "id long")))
+    sets = small_batches(own.select("text").where("text is not null")).mapInArrow(_sets(held, n), "cls binary, grams binary")
+    return uses.join(sets.groupBy("cls").agg(F.first("grams").alias("grams")), "cls"), held
+
+
+def _spread(uses: DataFrame, size: str, *by: str) -> Column:
+    """The bucket of a group, of so many that each has about VERIFY_BYTES of sets."""
+    weight = uses.agg(F.sum(size)).first()[0] or 0
+    return F.pmod(F.xxhash64(*by), F.lit(8 * weight // VERIFY_BYTES + 1)).alias("bucket")
+
+
 def confirmed(own: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b, na, nb) of classes that link, by the full sets of their texts in ``own``."""
+    """The ``pairs`` (a, b) of classes that link, by the full sets of their texts in ``own``."""
     leaders = pairs.groupBy("a").agg(F.expr(f"1 + count(*) div {SALT}").alias("salts"))
     dealt = pairs.join(leaders, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.col("b").alias("cid"))
     heads = leaders.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("cid"))
-    uses = materialize(dealt.unionByName(heads).join(classes.select("cid", "cls", "n"), "cid").select("cls", "a", "b", "salt", F.col("n").alias("size")))
-    weight = uses.agg(F.sum("size")).first()[0] or 0
-    held = own.sparkSession.sparkContext.broadcast(sieve.build(uses.select("cls").mapInArrow(_first_halves, "id long")))
-    sets = small_batches(own.select("text").where("text is not null")).mapInArrow(_sets(held, n), "cls binary, grams binary")
-    sets = sets.groupBy("cls").agg(F.first("grams").alias("grams"))
+    uses = materialize(dealt.unionByName(heads).join(classes.select("cid", "cls", "n"), "cid").select("cls", "a", "b", "salt", "n"))
     # spread by leader and salt: the pairs of a very common leader are in many buckets, each with its set
-    bucket = F.pmod(F.xxhash64("a", "salt"), F.lit(8 * weight // VERIFY_BYTES + 1)).alias("bucket")
-    joined = uses.join(sets, "cls").select(bucket, "a", "b", "salt", "grams")
-    out = materialize(joined.groupBy("bucket").applyInArrow(_confirm(percent), "a long, b long"))
+    joined, held = sets_of_classes(own, uses, n)
+    dealt = joined.select(_spread(uses, "n", "a", "salt"), "a", "b", "salt", "grams").groupBy("bucket")
+    out = materialize(dealt.applyInArrow(_confirm(percent), "a long, b long"))
     held.destroy()
     discard(uses)
     return out
@@ -293,43 +324,41 @@ def _links(own: DataFrame, classes: DataFrame, n: int, percent: int, miss: float
     about = classes.select("cid", "n", "sig")
     best = members.groupBy(F.col("cid").alias("b")).agg(F.min("a").alias("a")).where("a <> b")
     both = best.join(about.withColumnsRenamed({"cid": "b", "n": "nb", "sig": "sb"}), "b").join(about.withColumnsRenamed({"cid": "a", "n": "na", "sig": "sa"}), "a")
-    both = both.where(_may(percent, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "sa", "sb")
+    both = both.where(may(percent, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "sa", "sb")
     pairs = materialize(both.mapInArrow(_survive(percent, miss), "a long, b long, na long, nb long"))
-    tested, every = [pairs], [confirmed(own, classes, pairs, n, percent)]
-    labels = components(every[0]).withColumnRenamed("node", "cid")
-    buckets = F.lit(members.count() // 50_000 + 1)
-    allowed: int | None = None
-    while True:
-        now = members.select("key", "cid").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.expr(f"1 + count(*) div {TILE}").alias("tiles")).where("c0 <> c1").select("key", "tiles")
-        open_ = now.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")))
-        open_ = open_.join(about, "cid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        open_ = open_.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "cid", "n", "component", "sig")
-        dealt = open_.groupBy(F.pmod(F.xxhash64("key", "low", "high"), buckets).alias("bucket"))
-        found = materialize(dealt.applyInArrow(_within(percent, miss, allowed), "a long, b long, na long, nb long, more boolean"))
-        turned = F.col("a") > F.col("b")
-        ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]
-        sent = materialize(found.select(*ends).distinct())
-        fresh = sent
-        for t in tested:
-            fresh = fresh.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = materialize(fresh)
-        asked, more, linked = sent.count(), not found.where("more").isEmpty(), 0
-        discard(found, sent)
-        if not fresh.isEmpty():
-            tested.append(fresh)
-            every.append(confirmed(own, classes, fresh, n, percent))
-            linked = every[-1].count()
-            if linked:
-                labels = components(reduce(DataFrame.unionByName, every)).withColumnRenamed("node", "cid")
-        # a forest that is confirmed throughout connects all survivors; otherwise, and where not all were sent, the others are asked
-        if (allowed is None and linked == asked) or (allowed is not None and not more):
-            break
-        allowed = ALLOWED if allowed is None else 16 * allowed
-    discard(members, *tested, *every)
+    links = confirmed(own, classes, pairs, n, percent)
+    labels = components(links).withColumnRenamed("node", "cid")
+    open_ = tiles_of(members, labels, about, TILE).select("key", "low", "high", "side", "tile", "cid", "n", "component", "sig")
+    dealt = open_.groupBy(F.pmod("tile", F.lit(members.count() // 50_000 + 1)).alias("bucket"))
+    found = materialize(dealt.applyInArrow(_within(percent, miss), "tile long, cid long, n long, component long, partners binary").join(classes.select("cid", "cls"), "cid"))
+    rest = connected(own, found, n, percent)
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest)).withColumnRenamed("node", "cid")
+    discard(members, pairs, links, found, rest)
     return labels
 
 
+def tiles_of(members: DataFrame, labels: DataFrame, about: DataFrame, size: int) -> DataFrame:
+    """Members (key, cid) of buckets with several components, with what ``about`` says of them, in ``tile`` s of a bucket's sides ``low`` and ``high``.
+
+    A bucket has a side for every ``size`` members, and every two sides are a tile; ``side`` is the one that a member is on.
+    """
+    now = members.select("key", "cid").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.expr(f"1 + count(*) div {size}").alias("sides")).where("c0 <> c1").select("key", "sides")
+    dealt = now.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("sides"))).join(about, "cid")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    return dealt.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).withColumn("tile", F.xxhash64("key", "low", "high"))
+
+
+def connected(own: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b``: links that connect what any links among the partners in ``found`` (tile, cid, cls, n, component, partners) connect."""
+    joined, held = sets_of_classes(own, found, n)
+    dealt = joined.select(_spread(found, "n", "tile"), "tile", "cid", "component", "partners", "grams").groupBy("bucket")
+    rest = materialize(dealt.applyInArrow(_connect(percent), "a long, b long"))
+    held.destroy()
+    return rest
+
+
 def joined_by_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """``rows`` with what ``classes`` (cls, copies, ...) says of their class.
 
@@ -348,7 +377,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     Two rows link when ``100 * common >= percent * union`` of their sets of distinct ``n``-word shingles.  A text with fewer words has its
     whole sequence as its only shingle; NULL and texts without words have empty sets, link with nothing and are kept.  Keys that are NULL count
     as greater than all others.  Repeated rows link like copies, and each that has the least key is kept.  Long texts are read whole.  Other
-    columns are not looked at.  A link between two sets at the threshold is missed with odds of about 1e-10 in the bands and ``miss`` in
+    columns are not looked at.  A link between two sets at the threshold is missed with odds of about 1e-9 in the bands and ``miss`` in
     each of the three comparisons of batches; sets closer than that are missed less often by powers of ten.
     """
     own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("rid"))
