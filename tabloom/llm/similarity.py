@@ -1,9 +1,12 @@
 """N-gram Jaccard join by vertical partitioning.
 
 N-grams are ordered by their hashes, and the order is cut into fragments.  Sets that link differ in at most k n-grams, k from their sizes, so of
-more than k fragments one is the same in both: the digests of fragments name the candidates.  How many n-grams two candidates share is
-counted in each fragment by itself and summed per pair.  Equal sets are one class from the start; a bucket of candidates proposes only its
-pairs with one leader, and after that those between what is still apart, so a group of copies doesn't become all its pairs.
+more than k fragments one is the same in both: the digests of fragments name the candidates.  How many n-grams two candidates can share is
+bounded by the sizes of their fragments; how many they do share is counted in each fragment by itself and summed per pair.
+
+Equal sets are one class from the start.  A class is first paired with the least leader of its buckets; in buckets whose members then are
+in several components, pairs of different ones are bounded and counted in tasks, in tiles.  So a group of copies doesn't become all its
+pairs, and sets are only sent for pairs whose bound allows a link.
 """
 
 from __future__ import annotations
@@ -15,17 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tabloom.llm.batches import NOT_BLANK, UPPER, append, as_bytes, grams, mix, slices, small_batches, words
+from tabloom.llm.batches import append, as_bytes, mix, slices, small_batches
 from tabloom.llm.graph import components
-from tabloom.llm.scoring import bucket_of, build_part, buckets_for, shards, split
-from tabloom.session import materialize
+from tabloom.llm.minhash import TILE, class_ids, connected, joined_by_class, may, sets_of_classes, tiles_of
+from tabloom.llm.scoring import bucket_of, buckets_for, split
+from tabloom.llm.shingles import Sets, sets_of
+from tabloom.session import discard, materialize
 
 N = 5
 PERCENT = 80
 FRAGMENTS = 8  # in which overlaps are counted
-PROFILE = 64  # finer fragments, whose sizes bound an overlap before it is counted
 TINY = 16  # up to that size every n-gram is a fragment
 RATIO = 1.3  # of the sizes of a space
+ODDS = 13  # a link may be lost once in 10**ODDS
 FLUSH = 2_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -44,8 +49,8 @@ class Space(NamedTuple):
 def spaces(largest: int, percent: int) -> list[Space]:
     """Spaces for sets of up to ``largest`` n-grams; sizes at which only equal sets link have none.
 
-    A fragment that is empty in both sets is no candidate.  A set of more than TINY n-grams would need k or fewer non-empty ones
-    of about 1.15 k + 8 fragments to lose a link, which has odds below 1e-12 for hashed n-grams.
+    A fragment that is empty in both sets is no candidate.  A link is lost if all common n-grams lie in the k fragments that differ, so there are
+    so many fragments that this has odds of ``10**-ODDS`` for hashed n-grams.
     """
     out, low, number = [], 1, 0
     while low <= largest:
@@ -53,45 +58,12 @@ def spaces(largest: int, percent: int) -> list[Space]:
         top = high * 100 // percent
         differ = (high + top) * (100 - percent) // (100 + percent)
         if differ:
-            out.append(Space(number, low, high, top, differ, 0 if low <= TINY else differ + 8 + math.ceil(0.15 * differ)))
+            spread = math.ceil(differ * 10 ** (ODDS / math.ceil(low * percent / 100)))
+            out.append(Space(number, low, high, top, differ, 0 if low <= TINY else max(spread, differ + 8 + math.ceil(0.15 * differ))))
         low, number = high + 1, number + 1
     return out
 
 
-class Sets(NamedTuple):
-    """Distinct n-gram hashes of each text, ascending: ``first[i]:first[i + 1]`` of ``grams``; ``cls`` is a hash of the whole set."""
-
-    grams: np.ndarray
-    first: np.ndarray
-    cls: np.ndarray
-
-
-def sets_of(column: pa.Array, n: int) -> Sets:
-    """Sets of ``n``-word shingles, A-Z in lower case; a text with fewer words has its whole sequence, one without has none."""
-    data, offsets = as_bytes(column)
-    data = UPPER[data]
-    found = words(data, offsets, NOT_BLANK)
-    count = np.diff(found.first)
-    many = np.maximum(0, count - n + 1)
-    text = np.repeat(np.arange(len(count)), many)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + found.first[:-1][text]
-    every = grams(found.hash, n)[at] if len(at) else np.empty(0, np.uint64)
-    for m in range(1, n):
-        short = np.flatnonzero(count == m)
-        if len(short):
-            text = np.concatenate([text, short])
-            every = np.concatenate([every, mix(grams(found.hash, m)[found.first[:-1][short]] + np.uint64(m))])
-    by = np.lexsort((every, text))
-    every, text = every[by], text[by]
-    new = np.ones(len(every), bool)
-    new[1:] = (every[1:] != every[:-1]) | (text[1:] != text[:-1])
-    every, text = every[new], text[new]
-    first = np.searchsorted(text, np.arange(len(count) + 1))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(every + _A))])
-    cls = mix((total[first[1:]] - total[first[:-1]]) + np.diff(first).astype(np.uint64) * _B)
-    return Sets(every, first, cls)
-
-
 def digests(sets: Sets, known: list[Space]) -> tuple[np.ndarray, np.ndarray]:
     """(digest of a fragment, class) for all non-empty fragments of all sets in all their spaces."""
     size = np.diff(sets.first)
@@ -170,145 +142,163 @@ def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"digest": pa.array(np.repeat(name[group], size[group]).view(np.int64)), "cls": pa.array(c[at].view(np.int64))})
 
 
-def _members(held, n: int):
-    """The sets of the classes that the shard knows, once per slice."""
+def _fragments(cut: int):
+    """``cid, fragment, part``: every set cut at the same places of the order."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = sets_of(part.column("text"), n)
-                size = np.diff(sets.first)
-                one = np.unique(sets.cls, return_index=True)[1]
-                one = one[(size[one] > 0) & (held.value.levels(1, sets.cls[one]) > 0)]
-                yield pa.RecordBatch.from_pydict({"cls": pa.array(sets.cls[one].view(np.int64)), "n": pa.array(size[one]), "sizes": _profiles(sets.grams, sets.first, one), "grams": pa.array([sets.grams[sets.first[i] : sets.first[i + 1]].tobytes() for i in one], pa.binary())})
+            cid, fragment, parts = [], [], []
+            for c, raw in zip(batch.column("cid").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                for b, part in split(np.frombuffer(raw, np.uint64), cut):
+                    cid.append(c)
+                    fragment.append(b)
+                    parts.append(np.frombuffer(raw, np.int64)[part])
+            yield pa.RecordBatch.from_pydict({"cid": pa.array(cid, pa.int64()), "fragment": pa.array(fragment, pa.int32()), "part": pa.array(parts, pa.list_(pa.int64()))})
 
     return run
 
 
-def _profiles(every: np.ndarray, first: np.ndarray, which: np.ndarray) -> pa.Array:
-    """How many of the n-grams of the sets ``which`` lie in each of PROFILE fragments."""
-    sizes = [np.bincount(bucket_of(every[first[i] : first[i + 1]], PROFILE), minlength=PROFILE).tolist() for i in which]
-    return pa.array(sizes, pa.list_(pa.int32()))
-
-
-def _pairs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    g = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["g"]])
-    return g, np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["c"]])
-
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRAGMENTS) -> DataFrame:
+    """The ``pairs`` (a, b, na, nb) that link: the overlaps of the fragments of ``sets`` (cid, grams), counted in each, are summed."""
+    parts = sets.mapInArrow(_fragments(fragments), "cid long, fragment int, part array<long>")
+    left = parts.select(F.col("cid").alias("a"), "fragment", F.col("part").alias("pa"))
+    right = parts.select(F.col("cid").alias("b"), "fragment", F.col("part").alias("pb"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("common"))
+    sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    return sums.where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
-def _lonely(members: DataFrame, buckets: int) -> DataFrame:
-    """``cls, alone``: how many n-grams of each class no other class among ``members`` has, by the fragments of the profile."""
 
-    def rows(bucket: np.ndarray, g: np.ndarray, c: np.ndarray):
-        by = np.argsort(bucket, kind="stable")
-        bucket, g, c = bucket[by], g[by], c[by]
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(g) else np.empty(0, np.int64)
-        cuts = list(zip(at, [*at[1:], len(g)])) if len(g) else []
-        return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "g": pa.array([g[a:b].tobytes() for a, b in cuts], pa.binary()), "c": pa.array([c[a:b].tobytes() for a, b in cuts], pa.binary())})
+def outline(grams: np.ndarray) -> bytes:
+    """How many n-grams a set has in each of about half as many fine fragments; 255 stands for that or more."""
+    bits = max(3, (len(grams) // 2).bit_length())
+    return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
-    def deal(batches):
-        for batch in batches:
-            data, offsets = as_bytes(batch.column("grams"))
-            g = np.frombuffer(data.tobytes(), np.uint64)
-            yield from rows(bucket_of(g, buckets), g, np.repeat(batch.column("cls").to_numpy(), np.diff(offsets) // 8)).to_batches()
 
-    def single(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        g, c = _pairs_of(table)
-        g, at, n = np.unique(g, return_index=True, return_counts=True)
-        g, c = g[n == 1], c[at[n == 1]]
-        return rows(bucket_of(c.view(np.uint64), buckets), g, c)
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """An outline in ``size`` fragments, which are no more than it has; beyond 254 the bound is open."""
+    counts = np.frombuffer(raw, np.uint8).astype(np.int32)
+    counts[counts == 255] = 1 << 20
+    return np.minimum(counts.reshape(size, -1).sum(axis=1), 1 << 20)
 
-    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        g, c = _pairs_of(table)
-        by = np.argsort(c, kind="stable")
-        g, c = g[by], c[by]
-        cls, first = np.unique(c, return_index=True)
-        return pa.table({"cls": pa.array(cls, pa.int64()), "alone": _profiles(g, np.append(first, len(g)), np.arange(len(cls)))})
 
-    members.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    schema = "bucket int, g binary, c binary"
-    alone = members.select("cls", "grams").mapInArrow(deal, schema).groupBy("bucket").applyInArrow(single, schema)
-    return alone.groupBy("bucket").applyInArrow(count, "cls long, alone array<int>")
+def most_common(one: bytes, many: list[bytes]) -> np.ndarray:
+    """The most n-grams that a set can share with each of others: no fragment adds more than the lesser."""
+    out = np.empty(len(many), np.int64)
+    sizes = np.array([min(len(one), len(x)) for x in many])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        out[at] = np.minimum(folded(one, size)[None, :], np.stack([folded(many[i], size) for i in at])).sum(axis=1)
+    return out
 
 
-def _fragments(members: DataFrame, fragments: int) -> DataFrame:
-    """``cls, fragment, part``: every set cut at the same places of the order."""
+def _allowed(percent: int):
+    """Pairs ``a, b`` whose outlines ``sa, sb`` allow a link."""
 
-    def cut(batches):
+    def run(batches):
         for batch in batches:
-            cls, fragment, parts = [], [], []
-            for c, raw in zip(batch.column("cls").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-                for b, part in split(np.frombuffer(raw, np.uint64), fragments):
-                    cls.append(c)
-                    fragment.append(b)
-                    parts.append(np.frombuffer(raw, np.int64)[part])
-            yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "fragment": pa.array(fragment, pa.int32()), "part": pa.array(parts, pa.list_(pa.int64()))})
-
-    return members.select("cls", "grams").mapInArrow(cut, "cls long, fragment int, part array<long>")
-
-
-def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b, na, nb) that link: the overlaps of their fragments, counted in each, are summed."""
-    left = parts.select(F.col("cls").alias("a"), "fragment", F.col("part").alias("pa"))
-    right = parts.select(F.col("cls").alias("b"), "fragment", F.col("part").alias("pb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("common"))
-    sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return sums.where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            most = np.array([most_common(x, [y])[0] for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
+            ok = pa.array((100 + percent) * most >= percent * n)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
 
+    return run
 
-def _may(percent: int, *names: str) -> Column:
-    """Whether two sets can link, from their sizes and how many of their n-grams others have, too."""
-    na, sa, nb, sb = map(F.col, names)
-    return ((100 + percent) * F.least(sa, sb) >= percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
+def _within(percent: int):
+    """``tile, cid, n, component, partners`` of the members of a bucket's tiles with whom the outlines of another component's members allow a link."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        tile, n, side, comp, cid, low, high = (table[c].to_numpy() for c in ("tile", "n", "side", "component", "cid", "low", "high"))
+        shape = table["sketch"].combine_chunks()
+        by = np.argsort(tile, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], tile[by][1:] != tile[by][:-1]])) if len(by) else []
+        rows, partners = [], []
+        for i, j in zip(edge, [*edge[1:], len(by)]) if len(by) else ():
+            own = by[i:j]
+            left, right = own[side[own] == low[own]], own[side[own] == high[own]]
+            raw = {int(k): shape[int(k)].as_py() for k in own}
+            pairs: dict[int, list[int]] = {}
+            for a in left:
+                some = right[(comp[right] != comp[a]) & (100 * np.minimum(n[right], n[a]) >= percent * np.maximum(n[right], n[a]))]
+                some = some[cid[some] > cid[a]] if low[a] == high[a] else some
+                if len(some):
+                    some = some[(100 + percent) * most_common(raw[int(a)], [raw[int(b)] for b in some]) >= percent * (n[some] + n[a])]
+                if len(some):
+                    pairs.setdefault(int(a), []).extend(cid[some].tolist())
+                    for b in some.tolist():
+                        pairs.setdefault(b, [])
+            rows += pairs
+            partners += [np.array(x, np.int64).tobytes() for x in pairs.values()]
+        rows = np.array(rows, np.int64)
+        return pa.table({"tile": pa.array(tile[rows]), "cid": pa.array(cid[rows]), "n": pa.array(n[rows]), "component": pa.array(comp[rows]), "partners": pa.array(partners, pa.binary())})
 
-def _may_by_fragments(percent: int) -> Column:
-    """The same from how many there are in each fragment of the profiles ``fa`` and ``fb``: no fragment adds more than the lesser."""
-    most = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-    return (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    return run
 
 
-def _links(own: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
-    """``a, b``: links between classes that connect all classes which any links connect."""
-    spark, buckets = own.sparkSession, buckets_for(own, "text")
+def _links(own: DataFrame, classes: DataFrame, n: int, percent: int, fragments: int) -> DataFrame:
+    """``cid, component`` of all classes that link with another."""
+    buckets = buckets_for(own, "text")
     dealt = small_batches(own.select("text").where("text is not null")).mapInArrow(_candidates(n, percent, buckets), "bucket int, cls binary, many binary, digest binary")
-    shared = materialize(dealt.groupBy("bucket").applyInArrow(_shared, "digest long, cls long").distinct())
-
-    def part(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        h = table["cls"].combine_chunks().to_numpy().view(np.uint64)
-        return pa.table({"kind": pa.array([1], pa.int32()), "bucket": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([build_part(h, np.ones(len(h), np.int64), 1).tobytes()], pa.binary())})
-
-    spread = F.shiftrightunsigned(F.col("cls"), 32) * buckets
-    known = shared.select("cls").distinct().withColumn("bucket", F.shiftrightunsigned(spread, 32).cast("int"))
-    counted = materialize(known.groupBy("bucket").applyInArrow(part, "kind int, bucket int, filter binary"))
-    found = None
-    for shard in shards(counted, 1, buckets):
-        some = small_batches(own.select("text").where("text is not null")).mapInArrow(_members(spark.sparkContext.broadcast(shard), n), "cls long, n long, sizes array<int>, grams binary")
-        found = some if found is None else found.union(some)
-    members = materialize(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.first("grams").alias("grams")))
-    profile = F.when(F.col("alone").isNull(), F.col("sizes")).otherwise(F.zip_with("sizes", "alone", lambda x, y: x - y))
-    about = members.select("cls", "n", "sizes").join(_lonely(members, buckets), "cls", "left").select("cls", "n", profile.alias("f"))
-    about = materialize(about.withColumn("s", F.aggregate("f", F.lit(0).cast("long"), lambda total, x: total + x)))
-    told = materialize(shared.join(about.drop("f"), "cls"))
-    parts = materialize(_fragments(members, fragments))
-
-    leader = told.groupBy("digest").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("u"), "cls", "n", "s")).alias("l")).select("digest", F.col("l.cls").alias("a"), F.col("l.n").alias("na"), F.col("l.s").alias("sa"))
-    stars = told.select("digest", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).join(leader, "digest").where((F.col("a") != F.col("b")) & _may(percent, "na", "sa", "nb", "sb"))
-    fa, fb = (about.select(F.col("cls").alias(c), F.col("f").alias(f"f{c}")) for c in "ab")
-    tested = materialize(stars.select("a", "b", "na", "nb").distinct().join(fa, "a").join(fb, "b").where(_may_by_fragments(percent)).select("a", "b", "na", "nb"))
-    first = materialize(linked(tested, parts, percent))
-
-    labels = components(first)
-    now = told.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = now.groupBy("digest").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least"), F.max("s").alias("most")).where("c0 <> c1").select("digest", "least", "most")
-    open_ = now.join(mixed, "digest").where((100 + percent) * F.least("s", "most") >= percent * (F.col("n") + F.col("least")))
-    open_ = materialize(open_.select("digest", "cls", "n", "s", "component"))
-    x = open_.select("digest", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("component").alias("ca")).join(fa, "a")
-    y = open_.select("digest", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("component").alias("cb")).join(fb, "b")
-    apart = x.join(y, (x["digest"] == y["digest"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may(percent, "na", "sa", "nb", "sb") & _may_by_fragments(percent))
-    seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(apart.select("a", "b", "na", "nb").distinct().join(seen, ["a", "b"], "left_anti"))
-    return first.union(linked(rest, parts, percent))
+    shared = dealt.groupBy("bucket").applyInArrow(_shared, "digest long, cls long").distinct().withColumnRenamed("cls", "half")
+    members = materialize(shared.join(classes.select("half", "cid"), "half").select(F.col("digest").alias("key"), "cid"))
+    about = classes.select("cid", "n", "sketch")
+    leader = members.groupBy("key").agg(F.min("cid").alias("a"))
+    best = members.join(leader, "key").groupBy(F.col("cid").alias("b")).agg(F.min("a").alias("a")).where("a <> b")
+    both = best.join(about.withColumnsRenamed({"cid": "b", "n": "nb", "sketch": "sb"}), "b").join(about.withColumnsRenamed({"cid": "a", "n": "na", "sketch": "sa"}), "a")
+    both = both.where(may(percent, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "sa", "sb")
+    pairs = materialize(both.mapInArrow(_allowed(percent), "a long, b long, na long, nb long"))
+    needed = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "cls"), "cid"))
+    sets, held = sets_of_classes(own, needed, n)
+    sets = materialize(sets.select("cid", "grams"))
+    held.destroy()
+    links = materialize(linked(pairs, sets, percent, fragments))
+    discard(sets, needed)
+    labels = components(links).withColumnRenamed("node", "cid")
+
+    open_ = tiles_of(members, labels, about, TILE).select("low", "high", "side", "tile", "cid", "n", "component", "sketch")
+    dealt = open_.groupBy(F.pmod("tile", F.lit(members.count() // 50_000 + 1)).alias("bucket"))
+    found = materialize(dealt.applyInArrow(_within(percent), "tile long, cid long, n long, component long, partners binary").join(classes.select("cid", "cls"), "cid"))
+    rest = connected(own, found, n, percent)
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest)).withColumnRenamed("node", "cid")
+    discard(members, pairs, links, found, rest)
+    return labels
+
+
+def _rows(own: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """``own`` with ``n_shingles``, ``cls``, its first half, and in a task's first row of a class its outline."""
+    seen: set[bytes] = set()
+
+    def about(part: pa.RecordBatch) -> list:
+        sets = sets_of(part.column("text"), n)
+        ids = class_ids(sets)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        shapes = [None if c is None or c in seen or seen.add(c) else outline(sets.grams[sets.first[i] : sets.first[i + 1]]) for i, c in enumerate(ids)]
+        return [pa.array(np.diff(sets.first)), pa.array(ids, pa.binary()), pa.array(sets.cls.view(np.int64)), pa.array(shapes, pa.binary())]
+
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("half", T.LongType()), T.StructField("sketch", T.BinaryType())]
+    return append(own, about, fields, "text", keep)
+
+
+def _labelled(docs: DataFrame, key: str, text: str, n: int, percent: int, fragments: int) -> DataFrame:
+    """``key, rid, n_shingles, component, component_id`` for every row; ``component`` numbers what is linked, and is NULL for empty sets."""
+    own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("rid"))
+    rows = materialize(_rows(own, n, ["key", "rid"]))
+    full = rows.where("n_shingles > 0")
+    classes = full.groupBy("cls").agg(F.min("key").alias("least"), F.first("half").alias("half"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))  # numbers that the written table fixes
+    labels = _links(own, classes, n, percent, fragments)
+    joined = classes.select("cls", "cid", "least", "copies").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    joined = materialize(joined)
+    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = joined.join(ids, "component").select("cls", "copies", "component", "component_id")
+    out = joined_by_class(full.drop("sketch", "half"), found).select("key", "rid", "n_shingles", "component", "component_id")
+    alone = rows.where("n_shingles = 0").select("key", "rid", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("key").alias("component_id"))
+    out = materialize(out.unionByName(alone))
+    discard(rows, classes, joined)
+    return out
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
@@ -316,28 +306,27 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Two rows link when ``100 * common >= percent * union`` of their sets of distinct ``n``-word shingles.  A text with fewer words
     has its whole sequence as its only shingle; NULL and texts without words have empty sets and link with nothing.  Keys that are NULL
-    count as greater than all others.  Repeated rows link like copies.  Other columns are not looked at.
+    count as greater than all others.  Repeated rows link like copies.  Long texts are read whole.  Other columns are not looked at.
     """
-    own = docs.select(F.col(key), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("rid"))
-
-    def about(part: pa.RecordBatch) -> list:
-        sets = sets_of(part.column("text"), n)
-        return [pa.array(np.diff(sets.first)), pa.array(sets.cls.view(np.int64))]
-
-    rows = materialize(append(own, about, [T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.LongType())], "text", [key, "rid"]))
-    classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.min(key).alias("least"))
-    joined = classes.join(components(_links(own, n, percent, fragments)).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    joined = materialize(joined)
-    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = joined.join(ids, "component").select("cls", "component_id")
-    full = rows.where("n_shingles > 0").join(found, "cls").select(key, "rid", "n_shingles", "component_id")
-    return full.union(rows.where("n_shingles = 0").select(key, "rid", "n_shingles", F.col(key).alias("component_id")))
+    found = _labelled(docs, key, text, n, percent, fragments)
+    return found.select(F.col("key").alias(key), "rid", "n_shingles", "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group: that with the least key, of repeated rows one.  Rows with empty sets or NULL keys stay."""
-    found = jaccard_components(docs, key, text, n, percent)
-    chosen = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_k")).agg(F.min(F.when(F.col("n_shingles") > 0, F.col("rid"))).alias("_rid"))
-    rid = F.xxhash64(F.col(text).cast("string"))
-    some = docs.join(chosen, docs[key] == chosen["_k"]).where(F.col("_rid").isNull() | (F.col("_rid") == rid)).withColumn("_turn", F.row_number().over(Window.partitionBy("_k", "_rid").orderBy(rid)))
-    return some.where(F.col("_rid").isNull() | (F.col("_turn") == 1)).drop("_k", "_rid", "_turn").unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` with one row of each group: that with the least key, of several with that key the one of the least text hash, of equal ones any.
+
+    Rows with empty sets or NULL keys stay, and so do rows that share a key but aren't linked.  Columns may have any names.
+    """
+    found = _labelled(docs, key, text, n, percent, FRAGMENTS).where("n_shingles > 0 and key is not null")
+    chosen = found.groupBy("component").agg(F.min(F.struct("key", "rid")).alias("one")).select(F.col("one.key").alias("k"), F.col("one.rid").alias("r")).distinct()
+    named = lambda c: F.col(f"`{c}`")
+    rows = docs.select(named(key).alias("key"), F.xxhash64(named(text).cast("string")).alias("rid"), has_words(named(text).cast("string")).alias("full"), F.struct(*[named(c) for c in docs.columns]).alias("row"))
+    asked = F.col("full") & F.col("key").isNotNull()
+    some = rows.where(asked).join(chosen, (F.col("key") == F.col("k")) & (F.col("rid") == F.col("r")))
+    one = some.withColumn("turn", F.row_number().over(Window.partitionBy("key", "rid").orderBy("rid"))).where("turn = 1")
+    return one.select("row.*").unionByName(rows.where(~F.coalesce(asked, F.lit(False))).select("row.*"))
+
+
+def has_words(text: Column) -> Column:
+    """Whether a text has a word; NULL has none."""
+    return F.coalesce(F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")) > 0, F.lit(False))
