@@ -35,6 +35,24 @@ def encoder(path: str, added: bool) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED if added else {})
 
 
+@functools.lru_cache(1)
+def _patient(path: str):
+    """The tokenizer whose ids are meant; slower, but its patterns run over any text."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_ids(encode: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Ids of a text.  Where a run of blanks is too long for the regex engine (about a million), ``tokenizers`` gives them."""
+    try:
+        return encode.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+    except ValueError:
+        if not encode.special_tokens_set:  # other ranks than those of the file
+            raise
+        return np.array(_patient(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, "<u4")
+
+
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
     """``key, piece, start, length, ids``: every document's token ids and ``end_id``, cut where they exceed ``length``.
 
@@ -54,7 +72,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             for part in slices(batch, text):
                 keys, rows = part.column(key), []
                 for i, value in enumerate(part.column(text).to_pylist()):
-                    ids = (encode.encode_to_numpy(value, allowed_special="all").astype("<u4", copy=False).tobytes() if value else b"") + last
+                    ids = (token_ids(encode, value).tobytes() if value else b"") + last
                     n = len(ids) // 4
                     cuts = [0, *range((n - 1) % length + 1, n + 1, length)]
                     rows += [(i, p, a, b - a, ids[4 * a : 4 * b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]
