@@ -8,6 +8,8 @@ The files are read and written by Spark's text source, whose line separator is a
 
 from __future__ import annotations
 
+import contextlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -66,7 +68,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     whole = F.col("body") + F.col("length") + 4 <= F.col("size")
     seg = seg.select(
         "file", "block", "turn", "size", "body", "length", whole.alias("whole"), field("WARC-Type", r"(\S+)").alias("type"),
-        field("WARC-Record-ID", "<urn:page:(.*)>").alias("id"), field("WARC-Refers-To", "<urn:page:(.*)>").alias("refers"),
+        field("WARC-Record-ID", "<urn:page:(.*)>").alias("id"), field("WARC-Refers-To", "<urn:page:(.*)>").alias("refers"), field("WARC-Payload-Digest", "sha1:([A-Z2-7]{32})").alias("said"),
         F.when(whole, F.sha1(F.substring(F.col("value").cast("binary"), F.col("body") + 1, F.col("length")))).alias("sha1"),
     )
     return placed(materialize(seg))
@@ -138,18 +140,40 @@ def _broken(spark: SparkSession, path: str, records: DataFrame, found: DataFrame
     return pieces.select("file", "offset", F.sha1(F.substring(F.unhex(text), F.col("body") + 1, F.col("length"))).alias("joined"))
 
 
+@contextlib.contextmanager
+def steady_splits(spark: SparkSession):
+    """Until the end of the block, files are split alike in every read, however many executors come and go.
+
+    Spark derives the size of splits from the cores that it has when a read is planned; a set number of them takes their place.
+    """
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """``id, payload_bytes, payload_digest, record_type, refers_to`` of every record on the chain from the start of its file.
 
-    Digests are computed from the payloads that were read; a revisit gets length and digest of the response it refers to (NULL if there
-    is none).  Bytes that no chain reaches, whatever they look like, are not records; where a header has no length, the chain ends.
+    Digests of responses are computed from the payloads that were read; a revisit has its own header's digest, and the length of the response
+    with that digest under the id that it refers to (both NULL if there is none).  Bytes that no chain reaches, whatever they look like, are not
+    records; where a header has no length, the chain ends.
     """
-    found = materialize(candidates(spark, path))
-    records = materialize(found.join(reachable(found), ["file", "offset"]))
-    if not records.where("not whole").isEmpty():
-        records = records.join(_broken(spark, path, records, found), ["file", "offset"], "left").withColumn("sha1", F.coalesce("joined", "sha1"))
-    own = records.select("id", "type", "refers", F.col("length").alias("n"), base32(F.col("sha1")).alias("d"))
-    full = own.where("type = 'response'")
-    seen = full.groupBy(F.col("id").alias("refers")).agg(F.max("n").alias("n"), F.max("d").alias("d"))
-    again = own.where("type = 'revisit'").select("id", "type", "refers").join(seen, "refers", "left").select("id", "type", "refers", "n", "d")
+    with steady_splits(spark):
+        found = materialize(candidates(spark, path))
+        records = materialize(found.join(reachable(found), ["file", "offset"]))
+        if not records.where("not whole").isEmpty():
+            joined = materialize(_broken(spark, path, records, found))
+            records = records.join(joined, ["file", "offset"], "left").withColumn("sha1", F.coalesce("joined", "sha1"))
+            if not records.where("length is not null and sha1 is null").isEmpty():
+                raise RuntimeError("the archives changed between two reads")
+    own = records.select("id", "type", "refers", "said", F.col("length").alias("n"), base32(F.col("sha1")).alias("d"))
+    full = own.where("type = 'response'").drop("said")
+    seen = full.groupBy(F.col("id").alias("refers"), F.col("d").alias("said")).agg(F.max("n").alias("n"))
+    again = own.where("type = 'revisit'").select("id", "type", "refers", "said").join(seen, ["refers", "said"], "left")
+    again = again.select("id", "type", "refers", "n", F.when(F.col("n").isNotNull(), F.col("said")).alias("d"))
     return full.union(again).toDF("id", "record_type", "refers_to", "payload_bytes", "payload_digest").select("id", "payload_bytes", "payload_digest", "record_type", "refers_to")
