@@ -118,6 +118,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, or a longer one, that none of ``columns`` has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append(df: DataFrame, fn: Callable[[pa.RecordBatch], list], fields: list[T.StructField], text: str = "text", keep: list[str] | None = None, needs: list[str] = ()) -> DataFrame:
     """``df`` (its columns in ``keep``, by default all) with the columns that ``fn`` makes from slices of the rows.
 

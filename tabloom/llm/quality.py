@@ -133,9 +133,14 @@ def estimate(voted: DataFrame, rules=RULES, rounds: int = ROUNDS) -> tuple[Accur
 def judge(docs: DataFrame, text: str = "text", rules=RULES, rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns in ``keep``) with the features and ``quality``, the posterior probability that a document is good.
 
-    Every row is judged, repeated ones alike; columns of ``docs`` with the names of features give way to them.
+    Every row is judged, repeated ones alike, and long texts as a whole; NULL is a text without words; an empty table gives no rows.  Columns of
+    ``docs`` with the names of features or ``quality`` give way to them, all others come back as they were.
     """
     kept = docs.columns if keep is None else keep
-    voted = materialize(votes(features(docs.select(*dict.fromkeys([*kept, text])), text), rules).drop(*([] if text in kept else [text])))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None).cast("struct<none:int>")
+    voted = materialize(votes(features(docs.select(F.col(f"`{text}`").alias("text"), row.alias("row")), "text"), rules).drop("text"))
     accuracies, prior = estimate(voted, rules, rounds)
-    return voted.withColumn("quality", 1 / (1 + F.exp(-log_odds(accuracies, prior)))).drop(*(f"vote_{r.name}" for r in rules))
+    judged = voted.withColumn("quality", 1 / (1 + F.exp(-log_odds(accuracies, prior)))).drop(*(f"vote_{r.name}" for r in rules))
+    new = [c for c in judged.columns if c != "row"]
+    taken = {c.lower() for c in new}
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in kept if c.lower() not in taken], *new)

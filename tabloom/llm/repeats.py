@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabloom.llm.batches import append, as_bytes, rolling, slices, small_batches, span_hash
+from tabloom.llm.batches import free, append, as_bytes, rolling, slices, small_batches, span_hash
 from tabloom.llm.scoring import Filter, bucket_of, build_part, buckets_for, gathered, shards, split, summed
 from tabloom.session import materialize
 
@@ -330,15 +330,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     by a hash of the text.  NULL and empty texts have no bytes.  Columns with the names of the results give way.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_bytes", "n_removed", "spans", "kept")]
-    spans = repeated_spans(docs, key, text, least, gram).groupBy("k", "rid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    named = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("rid"))
-    joined = named.join(spans, ["k", "rid"], "left")
+    k, rid, found = (free(docs.columns, c) for c in ("k", "rid", "found"))
+    spans = repeated_spans(docs, key, text, least, gram).groupBy(F.col("k").alias(k), F.col("rid").alias(rid)).agg(F.collect_list(F.struct("start", "end")).alias(found))
+    named = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias(k), F.xxhash64(text).alias(rid))
+    joined = named.join(spans, [k, rid], "left")
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType())]
 
     def cut(part: pa.RecordBatch) -> list:
         data, offsets = as_bytes(part.column(text))
         rows = []
-        for spans, a, b in zip(part.column("_spans").to_pylist(), offsets[:-1], offsets[1:], strict=True):
+        for spans, a, b in zip(part.column(found).to_pylist(), offsets[:-1], offsets[1:], strict=True):
             gone, out, at = [], [], 0
             for s in sorted((s["start"], s["end"]) for s in spans or ()):
                 if gone and s[0] <= gone[-1]["end"]:
@@ -353,4 +354,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         n, removed, gone, left = zip(*rows)
         return [pa.array(n), pa.array(removed), pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(left, pa.binary())]
 
-    return append(joined, cut, fields, text, kept, needs=["_spans"])
+    return append(joined, cut, fields, text, kept, needs=[found])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabloom.llm.batches import NOT_BLANK, UPPER, append, as_bytes, mix, slices, small_batches, words
+from tabloom.llm.batches import NOT_BLANK, UPPER, append, free, as_bytes, mix, slices, small_batches, words
 from tabloom.session import materialize
 
 ORDER = 2
@@ -251,24 +251,25 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     new = ["n_tokens", "n_known", "base_score", "score"]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     out, shown, sent = docs, [*kept, *([] if text in kept else [text])], []
-    fields = [T.StructField("_levels", T.BinaryType())]
+    lev, row, also, known_, sum_, rest_ = (free([*docs.columns, *new], c) for c in ("levels", "row", "also", "known", "base", "rest"))
+    fields = [T.StructField(lev, T.BinaryType())]
     for i, shard in enumerate(shards(model.counted, model.order, model.buckets)):
         sent.append(docs.sparkSession.sparkContext.broadcast(shard))
         del shard
-        out = append(out.select(*(f"`{c}`" for c in shown), *(["_levels"] if i else [])), _probe(sent[-1], model.order, text, i == 0), fields, text, shown, needs=["_levels"] if i else [])
+        out = append(out.select(*(f"`{c}`" for c in shown), *([f"`{lev}`"] if i else [])), _probe(sent[-1], model.order, text, i == 0, lev), fields, text, shown, needs=[lev] if i else [])
     known = docs.sparkSession.sparkContext.broadcast(common(model, most))
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_sum", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("_rest", T.BinaryType())]
-    rows = append(out, _finish(known, model.order, model.total, model.types, text), fields, text, kept, needs=["_levels"])
-    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField(known_, T.LongType()), T.StructField(sum_, T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField(rest_, T.BinaryType())]
+    rows = append(out, _finish(known, model.order, model.total, model.types, text, lev), fields, text, kept, needs=[lev])
+    rows = materialize(rows.withColumn(row, F.monotonically_increasing_id()))
     for x in (*sent, known):
         x.destroy()  # the written rows don't need them
-    rest = _rest_counts(rows.select("_row", "_rest"), model)
-    both = rows.drop("_rest").join(rest, "_row", "left")
-    base = F.col("_sum") + F.coalesce("_more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.total + model.types + 1))
-    return both.select(*(f"`{c}`" for c in kept), "n_tokens", (F.col("_known") + F.coalesce("_also", F.lit(0))).alias("n_known"), base.alias("base_score"), "score")
+    rest = _rest_counts(rows.select(F.col(row).alias("_row"), F.col(rest_).alias("_rest")), model).select(F.col("_row").alias(row), F.col("_also").alias(also), F.col("_more").alias(also + "_more"))
+    both = rows.drop(rest_).join(rest, row, "left")
+    base = F.col(sum_) + F.coalesce(also + "_more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.total + model.types + 1))
+    return both.select(*(f"`{c}`" for c in kept), "n_tokens", (F.col(known_) + F.coalesce(also, F.lit(0))).alias("n_known"), base.alias("base_score"), "score")
 
 
-def _probe(held, order: int, text: str, first: bool):
+def _probe(held, order: int, text: str, first: bool, lev: str):
     def run(part: pa.RecordBatch) -> list:
         token, of = tokens(part.column(text))
         found = []
@@ -277,17 +278,17 @@ def _probe(held, order: int, text: str, first: bool):
             found.append(held.value.levels(kind, h)[which])
         levels = np.stack(found, axis=1)
         if not first:
-            before = np.frombuffer(as_bytes(part.column("_levels"))[0].tobytes(), np.int8).reshape(levels.shape)
+            before = np.frombuffer(as_bytes(part.column(lev))[0].tobytes(), np.int8).reshape(levels.shape)
             levels = np.maximum(levels, before)
         return [pa.array([levels[a:b].tobytes() for a, b in zip(of[:-1], of[1:], strict=True)], pa.binary())]
 
     return run
 
 
-def _finish(known, order: int, total: int, types: int, text: str):
+def _finish(known, order: int, total: int, types: int, text: str, lev: str):
     def run(part: pa.RecordBatch) -> list:
         token, of = tokens(part.column(text))
-        levels = np.maximum(0, np.frombuffer(as_bytes(part.column("_levels"))[0].tobytes(), np.int8).reshape(len(token), order))
+        levels = np.maximum(0, np.frombuffer(as_bytes(part.column(lev))[0].tobytes(), np.int8).reshape(len(token), order))
         end = np.flatnonzero(token == END)
         level_end = levels[end[0], 0] if len(end) else 0
         before = np.vstack([np.full((1, order), level_end), levels[:-1]])
