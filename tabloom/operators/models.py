@@ -378,10 +378,64 @@ def complete_matrix(triples: DataFrame, user: str, item: str, value: str, rank:
     rmse = t.agg(
         F.sqrt(F.avg((F.col("_v") - F.col("prediction")) ** 2)).alias("rmse_model"), F.sqrt(F.avg((F.col("_v") - F.col("_m")) ** 2)).alias("rmse_mean"), F.count(F.lit(1)).alias("n")
     )
-    top = model.recommendForAllUsers(1).select("_u", F.inline("recommendations")).join(u, "_u").join(i, "_i").select(user, item, F.col("rating").alias("score"))
+    best, _ = top_products(model.userFactors, model.itemFactors)
+    top = best.select(F.col("user").alias("_u"), F.col("item").alias("_i"), "score").join(u, "_u").join(i, "_i").select(user, item, "score")
     return top, rmse
 
 
+def top_products(users: DataFrame, items: DataFrame, block: int = 4096) -> tuple[DataFrame, float]:
+    """``user, item, score`` of each user's largest inner product (``id, features`` on both sides), and the share of pairs that were skipped.
+
+    Items go in falling order of their norms, ``block`` of them broadcast at a time.  A user whose best is at least its norm times the largest norm of
+    a block can find nothing better there or later, by the inequality of Cauchy and Schwarz, and is done.  Ties go to the lesser item.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = users.sparkSession
+    norm = F.sqrt(F.aggregate(F.col("features").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+    ranked = materialize(row_positions(items.select("id", F.col("features").cast("array<double>").alias("features"), norm.alias("norm")), ["norm", "id"], name="at", descending=True))
+    n_items, n_users = ranked.count(), users.count()
+    left = users.select(F.col("id").alias("user"), F.col("features").cast("array<double>").alias("features"), norm.alias("norm"), F.lit(None).cast("long").alias("item"), F.lit(None).cast("double").alias("score"))
+    done, asked = None, 0
+
+    def look(held):
+        def run(batches):
+            ids, v = held.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                u = np.array(batch.column("features").to_pylist())
+                p = u @ v.T
+                top = p.max(axis=1)
+                at = np.where(p == top[:, None], ids[None, :], np.iinfo(np.int64).max).min(axis=1)
+                old, had = batch.column("score").to_numpy(zero_copy_only=False).astype(float), batch.column("item").to_pylist()
+                better = [h is None or t > o or (t == o and a < h) for h, o, t, a in zip(had, old, top, at, strict=True)]
+                item = pa.array([int(a) if b else h for a, b, h in zip(at, better, had, strict=True)], pa.int64())
+                score = pa.array([float(t) if b else float(o) for t, b, o in zip(top, better, old, strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column("user"), batch.column("features"), batch.column("norm"), item, score], names=["user", "features", "norm", "item", "score"])
+
+        return run
+
+    kind = users.schema["id"].dataType.simpleString()
+    for start in range(0, n_items, block):
+        rows = ranked.where(F.col("at").between(start + 1, start + block)).orderBy("at").collect()
+        held = spark.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.features for r in rows])))
+        asked += left.count() * len(rows)
+        found = materialize(left.mapInArrow(look(held), f"user {kind}, features array<double>, norm double, item long, score double"))
+        held.destroy()
+        after = ranked.where(F.col("at") == start + block + 1).first()
+        open_ = (F.col("score") <= F.col("norm") * F.lit(after.norm * (1 + 1e-12))) if after else F.lit(False)
+        part = found.where(~open_).select("user", "item", "score")
+        done = part if done is None else done.unionByName(part)
+        left = found.where(open_)
+        if after is None or left.isEmpty():
+            break
+    if done is None:
+        done = left.select("user", "item", "score")
+    return done, 1 - asked / (n_users * n_items) if n_users and n_items else 0.0
+
+
 # ---------------------------------------------------------------- neighbourhood features
 
 

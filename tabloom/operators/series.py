@@ -353,28 +353,88 @@ def sax(df: DataFrame, spec: SeriesSpec, n_bins: int = 5, strategy: str = "quant
     })
 
 
-def pacf_features(df: DataFrame, spec: SeriesSpec, nlags: int = 7, alpha: float | None = 0.05, scale: str = "min_max") -> DataFrame:
-    """Partial autocorrelations by least squares on lag vectors after scaling; those inside the band
-    z/sqrt(n) are 0.  One group is one series at step grain, bounded by the calendar."""
+def _lagged(df: DataFrame, spec: SeriesSpec, nlags: int) -> DataFrame:
+    """``series, x0 .. x<nlags>``: every value, less its series' mean, beside those before it; NULL targets are left out."""
     s, t, y = spec.series_id, spec.date_col, spec.target
-    schema = T.StructType([df.schema[s], *[T.StructField(f"pacf_{k}", T.DoubleType()) for k in range(1, nlags + 1)]])
+    x = group_transform(df.where(F.col(y).isNotNull()).select(s, t, F.col(y).cast("double").alias("_y")), [s], {"_mean": F.avg("_y")}).withColumn("x0", F.col("_y") - F.col("_mean"))
+    return windowed(x, [s], [t], lambda w: {f"x{i}": F.lag("x0", i).over(w) for i in range(1, nlags + 1)}, lookback=nlags).select(s, *[f"x{i}" for i in range(nlags + 1)])
+
+
+def lag_products(df: DataFrame, spec: SeriesSpec, nlags: int) -> DataFrame:
+    """``series, n, c``: how many values a series has, and the sums of x(t) x(t - i) for i in 0..nlags of the centred values."""
+    x = _lagged(df, spec, nlags)
+    return x.groupBy(spec.series_id).agg(F.count("x0").alias("n"), F.array(*[F.coalesce(F.sum(F.col("x0") * F.col(f"x{i}")), F.lit(0.0)) for i in range(nlags + 1)]).alias("c"))
+
+
+def levinson(c: Column, nlags: int) -> Column:
+    """Partial autocorrelations 1..nlags from lag products by the Durbin-Levinson recursion, a fold over the lags; NULL for a constant series."""
+    dot = lambda phi, r: F.aggregate(F.zip_with(phi, r, lambda p, q: p * q), F.lit(0.0), lambda t, z: t + z)
+    r = F.transform(F.slice(c, 2, nlags), lambda v: F.try_divide(v, F.get(c, F.lit(0))))
+    start = F.struct(F.array().cast("array<double>").alias("phi"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc, k):
+        before = acc["phi"]
+        back = F.reverse(F.slice(r, F.lit(1), k - 1))
+        new = F.try_divide(F.element_at(r, k) - dot(before, back), 1 - dot(before, F.slice(r, F.lit(1), k - 1)))
+        phi = F.array_append(F.zip_with(before, F.reverse(before), lambda p, q: p - new * q), new)
+        return F.struct(phi.alias("phi"), F.array_append(acc["out"], new).alias("out"))
+
+    return F.when(F.get(c, F.lit(0)) > 0, F.aggregate(F.sequence(F.lit(1), F.lit(nlags)), start, step)["out"])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
 
-        x = pdf.sort_values(t)[y].dropna().to_numpy(dtype=float)
-        out = [float("nan")] * nlags
-        spread = (np.ptp(x) if scale == "min_max" else x.std()) if len(x) else 0
-        if spread > 0:
-            x = (x - x.mean()) / spread
-            band = NormalDist().inv_cdf(1 - alpha / 2) / np.sqrt(len(x)) if alpha else 0.0
-            for k in range(1, min(nlags, (len(x) - 1) // 2) + 1):
-                lags = np.column_stack([np.ones(len(x) - k), *[x[k - i : len(x) - i] for i in range(1, k + 1)]])
-                c = np.linalg.lstsq(lags, x[k:], rcond=None)[0][-1]
-                out[k - 1] = float(c) if abs(c) > band else 0.0
-        return pd.DataFrame([[pdf[s].iloc[0], *out]], columns=[f.name for f in schema])
-
-    return df.select(s, t, y).groupBy(s).applyInPandas(fit, schema)
+def _normal_sums(nlags: int) -> dict[str, Column]:
+    """What least squares on up to ``nlags`` lags needs of the rows that have them, by the number of lags."""
+    out = {}
+    for k in range(1, nlags + 1):
+        there = lambda c, k=k: F.coalesce(F.sum(F.when(F.col(f"x{k}").isNotNull(), c)), F.lit(0.0))
+        out |= {f"s{k}_{i}_{j}": there(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k + 1) for j in range(i, k + 1)} | {f"s{k}_{i}": there(F.col(f"x{i}")) for i in range(k + 1)}
+    return out
+
+
+def pacf_features(df: DataFrame, spec: SeriesSpec, nlags: int = 7, alpha: float | None = 0.05, method: str = "ols") -> DataFrame:
+    """``series, pacf_1 ..``: partial autocorrelations, 0 inside the band z/sqrt(n), NaN for lags beyond half the series and constant series.
+
+    ``ols`` takes the last coefficient of least squares on the lags, ``levinson`` the Durbin-Levinson recursion.  Both start from sums of lag products,
+    so no task holds a series; scaling a series changes neither.
+    """
+    s = spec.series_id
+    names_ = [f"pacf_{k}" for k in range(1, nlags + 1)]
+    band = (NormalDist().inv_cdf(1 - alpha / 2) if alpha else 0.0) / F.sqrt("n")
+    limit = F.floor((F.col("n") - 1) / 2)
+    shown = lambda v, k: F.when((F.lit(k) > limit) | v.isNull() | F.isnan(v), float("nan")).when(F.abs(v) > band, v).otherwise(0.0).alias(f"pacf_{k}")
+    if method == "levinson":
+        g = lag_products(df, spec, nlags).withColumn("_p", levinson(F.col("c"), nlags))
+        return g.select(s, *[shown(F.get("_p", F.lit(k - 1)), k) for k in range(1, nlags + 1)])
+    if method != "ols":
+        raise ValueError("method must be ols or levinson")
+    sums = list(_normal_sums(nlags))
+    g = _lagged(df, spec, nlags).groupBy(s).agg(F.count("x0").alias("n"), F.sum(F.col("x0") * F.col("x0")).alias("_ss"), *[c.alias(n) for n, c in _normal_sums(nlags).items()])
+
+    def solve(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            col = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "_ss", *sums)}
+            out = []
+            for k in range(1, nlags + 1):
+                m = np.empty((len(batch), k + 1, k + 1))
+                m[:, 0, 0] = col["n"] - k
+                for i in range(1, k + 1):
+                    m[:, 0, i] = m[:, i, 0] = col[f"s{k}_{i}"]
+                    for j in range(i, k + 1):
+                        m[:, i, j] = m[:, j, i] = col[f"s{k}_{i}_{j}"]
+                right = np.stack([col[f"s{k}_0"], *[col[f"s{k}_0_{i}"] for i in range(1, k + 1)]], axis=1)
+                fit = (col["_ss"] > 0) & (col["n"] > 2 * k)
+                last = np.full(len(batch), np.nan)
+                if fit.any():
+                    last[fit] = (np.linalg.pinv(m[fit], rcond=1e-13, hermitian=True) @ right[fit][:, :, None])[:, -1, 0]
+                out.append(pa.array(last))
+            yield pa.RecordBatch.from_arrays([batch.column(s), batch.column("n"), *out], names=[s, "n", *names_])
+
+    kind = df.schema[s].dataType.simpleString()
+    solved = g.mapInArrow(solve, f"`{s}` {kind}, n long, " + ", ".join(f"{c} double" for c in names_))
+    return solved.select(s, *[shown(F.col(c), k) for k, c in enumerate(names_, 1)])
 
 
 def series_distance(df: DataFrame, spec: SeriesSpec, method: str = "correlation", nlags: int = 7) -> DataFrame:

@@ -242,6 +242,29 @@ def t22(t):
     return T.pacf_features(brand_month(t), MONTHLY, 5)
 
 
+def _levinson_sql(lags):
+    """The recursion over the lags, one step a subquery."""
+    q = "select s, n, " + ", ".join(f"c{i} / c0 as r{i}" for i in range(1, lags + 1)) + " from sums where c0 > 0"
+    for k in range(1, lags + 1):
+        before = [f"p{k - 1}_{j}" for j in range(1, k)]
+        top = " - ".join([f"r{k}", *[f"{p} * r{k - j}" for j, p in enumerate(before, 1)]])
+        low = " - ".join(["1", *[f"{p} * r{j}" for j, p in enumerate(before, 1)]])
+        q = f"select *, ({top}) / ({low}) as p{k}_{k} from ({q})"
+        if before:
+            q = f"select *, {', '.join(f'p{k - 1}_{j} - p{k}_{k} * p{k - 1}_{k - j} as p{k}_{j}' for j in range(1, k))} from ({q})"
+    return q
+
+
+@query(
+    "T22_pacf_levinson",
+    f"""with {BRAND_DAY}, x as (select s, d, v - avg(v) over (partition by s) as x from bd where v is not null), l as (select s, x, {", ".join(f"lag(x, {i}) over (partition by s order by d) as x{i}" for i in range(1, 6))} from x),
+    sums as (select s, count(*) as n, sum(x * x) as c0, {", ".join(f"coalesce(sum(x * x{i}), 0) as c{i}" for i in range(1, 6))} from l group by 1)
+    select s, {", ".join(f"case when {k} > floor((n - 1) / 2) then 'NaN'::double when abs(p{k}_{k}) > 1.959963984540054 / sqrt(n) then round(p{k}_{k}, 6) else 0 end as pacf_{k}" for k in range(1, 6))} from ({_levinson_sql(5)})""",
+)
+def t22b(t):
+    return T.pacf_features(brand_month(t), MONTHLY, 5, method="levinson")
+
+
 @query("T23_series_distance", f"with {BRAND_DAY} select a.s as series_1, b.s as series_2, count(*) as n, round(corr(a.v, b.v), 6) as corr from bd a join bd b on a.d = b.d and a.s < b.s group by 1, 2")
 def t23(t):
     return T.series_distance(brand_month(t), MONTHLY)
