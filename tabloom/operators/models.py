@@ -76,6 +76,16 @@ def strength_matrix(long: DataFrame, row_id: str, features: Sequence[str]) -> Da
     return pivot(long, [row_id], "feature", features, {"strength": F.sum("strength")}, fill=0.0)
 
 
+def strength_clusters(long: DataFrame, row_id: str, features: Sequence[str], k: int, seed: int = 1) -> DataFrame:
+    """``row_id, cluster`` (1..k): KMeans of the rows of the strength matrix, features without a strength being 0."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    m = strength_matrix(long, row_id, features)
+    x = materialize(VectorAssembler(inputCols=list(features), outputCol="features").transform(m).select(row_id, "features"))
+    return KMeans(k=k, seed=seed).fit(x).transform(x).select(row_id, (F.col("prediction") + 1).alias("cluster"))
+
+
 def scorecard(coefs: DataFrame, intercept: float, lo: float = 300, hi: float = 850, feature: str = "feature", coef: str = "coef") -> DataFrame:
     """Points per level: signs are turned, each feature starts at 0, and the range of possible sums
     is stretched to [lo, hi]; ``baseline`` is the score of the lowest level everywhere."""
@@ -142,20 +152,25 @@ def leakage_sweep(scores: DataFrame, score: str, truth: str, high: float = 0.975
     )
 
 
-def univariate_strength(df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str], bins: int = 20, folds: int = 5, seed: int = 1) -> DataFrame:
-    """AUC of each feature's out-of-fold target mean against a 0/1 target: ``feature, auc, strength``.
-
-    All features go through one long table of (feature, level, fold) counts.
-    """
-    from tabloom.operators.ranking import auc
-
-    x = df.withColumn("_fold", F.floor(hash_unit(*key, seed=seed) * folds).cast("int"))
+def _level_cells(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bins: int) -> list[Column]:
+    """A (feature, level) struct for each feature; numbers go to quantile bins."""
     cells = []
     for c in numeric:
         edges = sorted(set(quantile_list(df, c, [i / bins for i in range(bins + 1)])))
         level = bin_right_closed(F.col(c), edges) if len(edges) > 1 else F.lit(1)
         cells.append(F.struct(F.lit(c).alias("feature"), level.cast("string").alias("level")))
-    cells += [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in categorical]
+    return cells + [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in categorical]
+
+
+def univariate_strength(df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str], bins: int = 20, folds: int = 5, seed: int = 1, fold: Column | None = None) -> DataFrame:
+    """AUC of each feature's out-of-fold target mean against a 0/1 target: ``feature, auc, strength``.
+
+    All features go through one long table of (feature, level, fold) counts.  ``fold`` is by default a hash of the key.
+    """
+    from tabloom.operators.ranking import auc
+
+    x = df.withColumn("_fold", F.floor(hash_unit(*key, seed=seed) * folds).cast("int") if fold is None else fold)
+    cells = _level_cells(df, numeric, categorical, bins)
     g = x.select(F.col(y).cast("int").alias("_y"), "_fold", F.inline(F.array(*cells))).groupBy("feature", "level", "_fold").agg(
         F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s")
     )
@@ -169,6 +184,31 @@ def univariate_strength(df: DataFrame, y: str, numeric: Sequence[str], categoric
     return a.withColumn("strength", 2 * (F.col("auc") - 0.5))
 
 
+def multiclass_strength(df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str], bins: int = 20, folds: int = 5, seed: int = 1, fold: Column | None = None) -> DataFrame:
+    """``feature, auc, strength`` for a target of several classes: each class against the rest, weighted by the classes' shares.
+
+    One table of (feature, level, fold, class) counts serves all classes; rows without a class don't count.
+    """
+    from tabloom.operators.ranking import auc
+
+    x = df.where(F.col(y).isNotNull()).withColumn("_fold", F.floor(hash_unit(*key, seed=seed) * folds).cast("int") if fold is None else fold)
+    cells = _level_cells(df, numeric, categorical, bins)
+    g = materialize(x.select(F.col(y).cast("string").alias("_class"), "_fold", F.inline(F.array(*cells))).groupBy("feature", "level", "_fold", "_class").agg(F.count(F.lit(1)).alias("s")))
+    classes = x.groupBy(F.col(y).cast("string").alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
+    here = g.groupBy("feature", "level", "_fold").agg(F.sum("s").alias("n"))
+    every = here.crossJoin(small_side(classes.select("_class")))  # one row for each class of a level and fold, also without rows of it
+    at = ["feature", "level", "_fold", "_class"]
+    full = null_safe_join(every, g, at, "left").fillna({"s": 0})
+    tot = full.groupBy("feature", "level", "_class").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    j = null_safe_join(full, tot, ["feature", "level", "_class"])
+    p = F.coalesce(F.try_divide(F.col("all_s") - F.col("s") + 0.0, F.col("all_n") - F.col("n")), F.lit(0.5))
+    flat = j.select("feature", "_class", p.alias("_p"), F.inline(F.array(
+        F.struct(F.lit(1).alias("_y"), F.col("s").alias("_w")), F.struct(F.lit(0).alias("_y"), (F.col("n") - F.col("s")).alias("_w")),
+    )))
+    a = auc(flat, "_y", "_p", "_w", ["feature", "_class"]).join(classes, "_class")
+    return a.groupBy("feature").agg((F.sum(F.col("auc") * F.col("_size")) / F.sum("_size")).alias("auc")).withColumn("strength", 2 * (F.col("auc") - 0.5))
+
+
 # ---------------------------------------------------------------- survival
 
 

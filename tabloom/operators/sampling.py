@@ -19,11 +19,14 @@ def series_means(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df.groupBy(spec.series_id).agg(F.avg(spec.target).alias("_mean"))
 
 
+def _first(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows along ``order``: by position over slices, so that no task holds them all."""
+    return row_positions(df, order, name="_at").filter(F.col("_at") <= n).drop("_at")
+
+
 def top_series(df: DataFrame, spec: SeriesSpec, n: int, top: bool = True) -> DataFrame:
     """Rows of the ``n`` series with the largest (smallest) mean target; ties by series id."""
-    key = F.desc("_mean") if top else F.asc("_mean")
-    chosen = series_means(df, spec).orderBy(key, spec.series_id).limit(n)
-    return df.join(small_side(chosen), spec.series_id, "left_semi")
+    return df.join(small_side(_first(series_means(df, spec).withColumn("_by", -F.col("_mean") if top else F.col("_mean")), ["_by", spec.series_id], n)), spec.series_id, "left_semi")
 
 
 def series_by_quantile(df: DataFrame, spec: SeriesSpec, q: float, top: bool = True) -> DataFrame:
@@ -38,8 +41,8 @@ def sample_fraction(df: DataFrame, key: Sequence[str], fraction: float, seed: in
 
 
 def sample_exact(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows: the first in hash order (top-n per task, then one small merge)."""
-    return df.orderBy(hash_order(*key, seed=seed), *key).limit(n)
+    """Exactly ``n`` rows: the first in hash order."""
+    return _first(df.withColumn("_hash", hash_order(*key, seed=seed)), ["_hash", *key], n).drop("_hash")
 
 
 def sample_series(df: DataFrame, spec: SeriesSpec, share: float, method: str = "random", seed: int = 0) -> DataFrame:
@@ -47,13 +50,13 @@ def sample_series(df: DataFrame, spec: SeriesSpec, share: float, method: str = "
     s, d = spec.series_id, spec.date_col
     t = df.groupBy(s).agg(F.avg(spec.target).alias("target"), (F.max(F.unix_micros(d)) - F.min(F.unix_micros(d))).alias("timespan"))
     n = int(t.count() * share)
-    key = {"random": hash_order(s, seed=seed), "target": F.desc("target"), "timespan": F.desc("timespan")}[method]
-    return df.join(t.orderBy(key, s).limit(n).select(s), s, "left_semi")
+    key = {"random": hash_order(s, seed=seed), "target": -F.col("target"), "timespan": -F.col("timespan")}[method]
+    return df.join(_first(t.withColumn("_by", key), ["_by", s], n).select(s), s, "left_semi")
 
 
 def sample_groups(df: DataFrame, group: str, n: int, seed: int = 0) -> DataFrame:
     """All rows of ``n`` randomly chosen groups."""
-    chosen = df.select(group).distinct().orderBy(hash_order(group, seed=seed), group).limit(n)
+    chosen = _first(df.select(group).distinct().withColumn("_hash", hash_order(group, seed=seed)), ["_hash", group], n)
     return df.join(chosen, group, "left_semi")
 
 
@@ -86,6 +89,12 @@ def time_split(df: DataFrame, spec: SeriesSpec, share: float = 0.1, season: int
     return p.withColumn("part", F.when(left < size, "holdout").when(left < 2 * size, "valid").otherwise("train")).drop("_pos", "_n")
 
 
+def year_split(df: DataFrame, date_col: str, valid: int, holdout: int) -> DataFrame:
+    """``part`` by calendar year: holdout from the year ``holdout`` on, valid from ``valid`` on, train before; NULL dates have none."""
+    year = F.year(date_col)
+    return df.withColumn("part", F.when(year >= holdout, "holdout").when(year >= valid, "valid").when(year < valid, "train"))
+
+
 def block_partition(df: DataFrame, order: Sequence[str], blocks: Sequence[str]) -> DataFrame:
     """Repeating assignment of labels along an explicit order."""
     p = row_positions(df, order, name="_pos")
@@ -93,10 +102,19 @@ def block_partition(df: DataFrame, order: Sequence[str], blocks: Sequence[str])
     return p.withColumn("partition", F.get(labels, ((F.col("_pos") - 1) % len(blocks)).cast("int"))).drop("_pos")
 
 
-def downsample_majority(df: DataFrame, target: str, majority, key: Sequence[str], rate: float, seed: int = 0) -> DataFrame:
-    """Keep ``rate`` of the majority class with weight 1/rate, all others with weight 1."""
+def downsample_majority(df: DataFrame, target: str, majority, key: Sequence[str], rate: float, seed: int = 0, normalise: bool = False, draw: Column | None = None) -> DataFrame:
+    """Keep ``rate`` of the majority class with weight 1/rate, all others with weight 1.
+
+    With ``normalise`` both weights are multiplied by the share of rows that are kept, so that they add up to about the number of these.
+    ``draw`` gives each row's number in [0, 1); by default it is a hash of the key.
+    """
     big = F.col(target) == majority
-    return df.filter(~big | (hash_unit(*key, seed=seed) < rate)).withColumn("weight", F.when(big, 1.0 / rate).otherwise(1.0))
+    u = hash_unit(*key, seed=seed) if draw is None else draw
+    kept = df.filter(~big | (u < rate)).withColumn("weight", F.when(big, 1.0 / rate).otherwise(1.0))
+    if not normalise:
+        return kept
+    share = df.agg((F.count_if(F.coalesce(~big | (u < rate), F.lit(False))) / F.count(F.lit(1))).alias("_share"))
+    return kept.crossJoin(F.broadcast(share)).withColumn("weight", F.col("weight") * F.col("_share")).drop("_share")
 
 
 def reweight_to_mean(df: DataFrame, target: str, mean: float) -> DataFrame:
@@ -122,10 +140,13 @@ def poisson_copies(u: Column) -> Column:
     return out
 
 
-def bootstrap(df: DataFrame, key: Sequence[str], replicates: int = 1, seed: int = 0) -> DataFrame:
-    """Bootstrap replicates as weights: columns ``replicate`` and ``copies`` (> 0), rows not repeated."""
+def bootstrap(df: DataFrame, key: Sequence[str], replicates: int = 1, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """Bootstrap replicates as weights: columns ``replicate`` and ``copies`` (> 0), rows not repeated.
+
+    ``draw`` gives the number in [0, 1) of a row and ``replicate``; by default it is a hash of both.
+    """
     r = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return r.withColumn("copies", poisson_copies(hash_unit(*key, "replicate", seed=seed))).filter("copies > 0")
+    return r.withColumn("copies", poisson_copies(hash_unit(*key, "replicate", seed=seed) if draw is None else draw)).filter("copies > 0")
 
 
 def chunk_ids(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
@@ -133,12 +154,13 @@ def chunk_ids(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
     return row_positions(df, order, name="_pos").withColumn("chunk", F.floor((F.col("_pos") - 1) / rows)).drop("_pos")
 
 
-def sample_to_size(df: DataFrame, key: Sequence[str], target_bytes: int, probe: float = 0.01, seed: int = 0) -> DataFrame:
-    """About ``target_bytes`` of rows: bytes per row are measured on a probe, the rate is then a hash filter."""
+def sample_to_size(df: DataFrame, key: Sequence[str], target_bytes: int, probe: float = 0.01, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """About ``target_bytes`` of rows: bytes per row are measured on a probe, the rate is then a filter on a hash of the key, or on ``draw`` in [0, 1)."""
     size = F.octet_length(F.to_json(F.struct(*df.columns)))
     p = sample_fraction(df, key, probe, seed + 1).agg(F.avg(size).alias("b"), F.count(F.lit(1)).alias("k")).first()
     if not p["k"]:
         p = df.agg(F.avg(size).alias("b")).first()
         if p["b"] is None:
             return df
-    return sample_fraction(df, key, min(1.0, target_bytes / (p["b"] * df.count())), seed)
+    rate = min(1.0, target_bytes / (p["b"] * df.count()))
+    return sample_fraction(df, key, rate, seed) if draw is None else df.filter(draw < rate)

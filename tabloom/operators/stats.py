@@ -253,8 +253,11 @@ def influence(df: DataFrame, y: str, x: Sequence[str]) -> DataFrame:
     return d.withColumn("influential", F.abs("dffits") > 2 * math.sqrt(k / m.n))
 
 
-def rank_sum(df: DataFrame, value: str, group: Column) -> DataFrame:
-    """Wilcoxon rank-sum of the rows where ``group`` holds against the others: U, z with tie correction."""
+def rank_sum(df: DataFrame, value: str, group: Column, alternative: str | None = None) -> DataFrame:
+    """Wilcoxon rank-sum of the rows where ``group`` holds against the others: U, z with tie correction.
+
+    With an ``alternative`` (greater, less or two-sided) also ``p`` of the normal approximation.
+    """
     x = df.filter(F.col(value).isNotNull() & group.isNotNull()).select(value, group.cast("int").alias("_g"))
     t = prefix_sum(x, value, {"n": F.lit(1), "g": F.col("_g")})
     mid = F.col("cum_n") - (F.col("n") - 1) / 2
@@ -264,4 +267,14 @@ def rank_sum(df: DataFrame, value: str, group: Column) -> DataFrame:
     b = big - a
     u = F.col("w") - a * (a + 1) / 2
     var = a * b / 12 * (big + 1 - F.col("ties") / (big * (big - 1)))
-    return s.select(u.alias("u"), ((u - a * b / 2) / F.sqrt(var)).alias("z"))
+    found = s.select(u.alias("u"), ((u - a * b / 2) / F.sqrt(var)).alias("z"))
+    if alternative is None:
+        return found
+    turn = {"greater": lambda z: z, "less": lambda z: -z, "two-sided": lambda z: z.abs()}[alternative]
+    sides = 2 if alternative == "two-sided" else 1
+
+    def upper(frames):
+        for f in frames:  # one row
+            yield f.assign(p=[sides * 0.5 * math.erfc(z / math.sqrt(2)) for z in turn(f["z"])])
+
+    return found.mapInPandas(upper, "u double, z double, p double")

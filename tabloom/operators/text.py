@@ -199,6 +199,19 @@ def highlight_matches(df: DataFrame, doc: str, text: str, coefs: DataFrame, n: i
     return t.join(small_side(coefs.select("term", "coef")), "term").select(doc, "term", "coef", F.regexp_count("term", F.lit(r"\S+")).alias("words"))
 
 
+def highlight_text(df: DataFrame, doc: str, text: str, coefs: DataFrame, n: int = 2, before: str = "<b>", after: str = "</b>") -> DataFrame:
+    """``doc, text, highlighted``: the text with every term of ``coefs`` (term, coef) in it between two marks.
+
+    Of terms that overlap the longest counts, and after it those further on.  Blanks inside a term stand for whatever isn't a letter or digit between its
+    words.  Documents without a term come back as they are; NULL stays NULL.
+    """
+    found = highlight_matches(df, doc, text, coefs, n).groupBy(doc).agg(F.collect_set("term").alias("_terms"))
+    quoted = F.transform("_terms", lambda t: F.struct(-F.length(t), F.regexp_replace(F.regexp_replace(t, r"([^\p{L}\p{N} ])", r"\\$1"), " ", r"[^\\p{L}\\p{N}]+").alias("q")))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.array_join(F.transform(F.array_sort(quoted), lambda x: x.q), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    wrapped = F.regexp_replace(F.col(text), pattern, F.lit(f"{before}$1{after}"))
+    return null_safe_join(df.select(doc, text), found, [doc], "left").select(doc, text, F.when(F.col("_terms").isNull(), F.col(text)).otherwise(wrapped).alias("highlighted"))
+
+
 def pair_equality(df: DataFrame, a: str, b: str, name: str = "same") -> DataFrame:
     return df.withColumn(name, F.coalesce(F.trim(F.lower(a)) == F.trim(F.lower(b)), F.lit(False)))
 

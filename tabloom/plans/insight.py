@@ -302,6 +302,12 @@ def i20(t):
     return M.strength_matrix(reasons(t), "o_orderkey", ["priority", "status", "total"])
 
 
+@query("I20_strength_clusters")
+def i20b(t):
+    """Rows grouped by what speaks for and against them."""
+    return M.strength_clusters(reasons(t), "o_orderkey", ["priority", "status", "total"], 4)
+
+
 @query(
     "I21_scorecard",
     """with c as (select 'brand' as feature, p_brand as level, avg(p_retailprice) / 1000 as coef from part group by 2 union all select 'type', p_type, avg(p_size) / 10 from part group by 2),
@@ -379,6 +385,36 @@ def i26(t):
     return M.univariate_strength(d, "y", ["l_quantity", "l_extendedprice"], ["l_linestatus", "l_returnflag"], key)
 
 
+STRENGTH = """g as (select feature, level, fold, class, count(*) as s from long group by all), h as (select feature, level, fold, sum(s) as n from g group by all), size as (select class, count(*) as size from x group by 1),
+    f as (select h.*, c.class, coalesce(g.s, 0) as s from h cross join size c left join g on g.feature = h.feature and g.level is not distinct from h.level and g.fold = h.fold and g.class = c.class),
+    t as (select *, sum(n) over w as all_n, sum(s) over w as all_s from f window w as (partition by feature, level, class)),
+    p as (select feature, class, case when all_n = n then 0.5 else (all_s - s) / (all_n - n) end as p, s as pos, n - s as neg from t),
+    q as (select feature, class, p, sum(pos) as pos, sum(neg) as neg from p group by 1, 2, 3), r as (select *, sum(neg) over (partition by feature, class order by p) - neg as below, sum(pos) over (partition by feature, class) as tp, sum(neg) over (partition by feature, class) as tn from q),
+    a as (select feature, class, sum(pos * (below + 0.5 * neg)) / max(tp * tn) as auc from r group by 1, 2)"""
+
+
+@query(
+    "I26_univariate_strength_folds",
+    f"""with x as (select *, (l_returnflag = 'R')::int as class, l_orderkey % 5 as fold from lineitem), long as (select 'l_linestatus' as feature, l_linestatus as level, fold, class from x union all select 'l_linenumber', l_linenumber::varchar, fold, class from x), {STRENGTH}
+    select feature, round(auc, 6) as auc, round(2 * (auc - 0.5), 6) + 0 as strength from a where class = 1""",
+)
+def i26c(t):
+    """Folds that SQL repeats."""
+    d = t.lineitem.withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return M.univariate_strength(d, "y", [], ["l_linestatus", "l_linenumber"], [], fold=(F.col("l_orderkey") % 5).cast("int"))
+
+
+@query(
+    "I26_multiclass_strength",
+    f"""with x as (select *, l_returnflag as class, l_orderkey % 5 as fold from lineitem), long as (select 'l_linestatus' as feature, l_linestatus as level, fold, class from x union all select 'l_linenumber', l_linenumber::varchar, fold, class from x
+      union all select 'l_quantity', l_quantity::int::varchar, fold, class from x), {STRENGTH}, m as (select feature, sum(auc * size) / sum(size) as auc from a join size using (class) group by 1) select feature, round(auc, 6) as auc, round(2 * (auc - 0.5), 6) + 0 as strength from m""",
+)
+def i26b(t):
+    """Three classes, each against the others, weighted by their shares."""
+    d = t.lineitem.withColumn("l_quantity", F.col("l_quantity").cast("int"))
+    return M.multiclass_strength(d, "l_returnflag", [], ["l_linestatus", "l_linenumber", "l_quantity"], [], fold=(F.col("l_orderkey") % 5).cast("int"))
+
+
 KM = """t as (select segment, tenure, count(*) as n, sum(event) as d from v_survival group by 1, 2), r as (select *, sum(n) over (partition by segment order by tenure desc) as risk from t),
     k as (select segment, tenure, risk::bigint as at_risk, d::bigint as events, case when min(risk - d) over w = 0 then 0 else exp(sum(case when risk = d then 0 else ln(1 - d / risk) end) over w) end as survival
       from r window w as (partition by segment order by tenure))"""

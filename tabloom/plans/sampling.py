@@ -120,6 +120,11 @@ def o10(t):
     return S.time_split(t.series, SPEC, 0.1, 7).select("series_id", "date", "part")
 
 
+@query("O10_year_split", "select o_orderkey, case when year(o_orderdate) >= 1999 then 'holdout' when year(o_orderdate) >= 1997 then 'valid' else 'train' end as part from orders where o_orderdate is not null")
+def o10b(t):
+    return S.year_split(t.orders.where("o_orderdate is not null"), "o_orderdate", 1997, 1999).select("o_orderkey", "part")
+
+
 @query(
     "O11_block_partition",
     """with p as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as pos from orders)
@@ -134,6 +139,47 @@ def o12(t):
     return S.downsample_majority(t.scores, "y", 0, ["l_orderkey", "l_partkey", "l_suppkey"], 0.25, seed=5)
 
 
+#: A draw that SQL repeats: numbers in [0, 1) from keys.
+DRAW = "((o_orderkey * 7919 + 13) % 10007) / 10007.0::double"
+
+
+def draw():
+    return ((F.col("o_orderkey") * 7919 + 13) % 10007) / F.lit(10007.0)
+
+
+@query(
+    "O12_downsample_normalised",
+    f"""with k as (select *, o_orderstatus <> 'F' or {DRAW} < 0.25 as kept from orders), s as (select count(*) filter (where kept) / count(*) as share from k)
+    select o_orderkey, round(share * case when o_orderstatus = 'F' then 4.0::double else 1.0 end, 6) as weight from k, s where kept""",
+)
+def o12c(t):
+    """The pair of weights that adds up to the kept rows."""
+    return S.downsample_majority(t.orders, "o_orderstatus", "F", ["o_orderkey"], 0.25, normalise=True, draw=draw()).select("o_orderkey", "weight")
+
+
+@query(
+    "O15_bootstrap_draw",
+    f"""with r as (select o_orderkey, o_totalprice, r, ((o_orderkey * 7919 + r * 104729) % 10007) / 10007.0::double as u from orders, (select unnest(range(1, 11)) as r)),
+    c as (select *, case {" ".join(f"when u < {c!r} then {i}" for i, c in enumerate(S.POISSON_CUTS))} else {len(S.POISSON_CUTS)} end as copies from r)
+    select r::int as replicate, count(*) as rows, sum(copies)::bigint as copies, round(sum(copies * o_totalprice) / sum(copies), 4) as mean_price from c where copies > 0 group by 1""",
+    digits=4,
+)
+def o15b(t):
+    """Ten replicates drawn by numbers that SQL repeats."""
+    u = ((F.col("o_orderkey") * 7919 + F.col("replicate") * 104729) % 10007) / F.lit(10007.0)
+    b = S.bootstrap(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"], 10, draw=u)
+    return b.groupBy("replicate").agg(N().alias("rows"), F.sum("copies").cast("long").alias("copies"), (F.sum(F.col("copies") * F.col("o_totalprice")) / F.sum("copies")).alias("mean_price"))
+
+
+@query(
+    "O17_sample_to_size_draw",
+    f"""with b as (select avg(octet_length(encode('{{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || '}}'))) * count(*) as b from orders)
+    select o_orderkey, o_custkey from orders, b where {DRAW} < least(1.0::double, 10000 / b)""",
+)
+def o17b(t):
+    return S.sample_to_size(t.orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], 10_000, probe=1.0, draw=draw())
+
+
 @query("O13_reweight_to_mean", f"with {V_SCORES} select y, count(*) as n, 0.165 as weighted_mean from v_scores group by 1".replace("0.165", "0.165::double"))
 def o13(t):
     w = S.reweight_to_mean(t.scores.select("y"), "y", 0.165)

@@ -144,6 +144,19 @@ def k15(t):
     return K.rank_sum(t.lineitem, "l_quantity", F.col("l_returnflag") == "R")
 
 
+@query(
+    "K15_rank_sum_p",
+    """with x as (select p_retailprice as v, (p_brand = (select min(p_brand) from part))::int as g from part), d as (select v, count(*) as n, sum(g) as g from x group by 1), r as (select *, sum(n) over (order by v) - (n - 1) / 2 as mid from d),
+    s as (select sum(mid * g) as w, sum(g)::double as a, sum(n)::double as n, sum(n::double ** 3 - n) as ties from r), u as (select *, w - a * (a + 1) / 2 as u, n - a as b from s),
+    z as (select u, (u - a * b / 2) / sqrt(a * b / 12 * (n + 1 - ties / (n * (n - 1)))) as z from u), w as (select unnest(range(0, 4001)) as i)
+    select u, round(z, 6) + 0 as z, round((select 0.5 - z / 4000 / 3 * sum(exp(-0.5 * (z * i / 4000) ** 2) * case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end) / sqrt(2 * pi()) from w), 6) + 0 as p from z""",
+)
+def k15b(t):
+    """One-sided: are the parts of the first brand dearer; the twin integrates the density by Simpson's rule."""
+    first = t.part.agg(F.min("p_brand").alias("first"))
+    return K.rank_sum(t.part.crossJoin(F.broadcast(first)), "p_retailprice", F.col("p_brand") == F.col("first"), "greater")
+
+
 ONE = """m as (select avg(l_quantity) as mx, regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a, regr_sxx(l_extendedprice, l_quantity) as sxx,
     regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) as rss, count(*) as n from lineitem)"""
 

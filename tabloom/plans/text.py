@@ -180,6 +180,16 @@ def x16(t):
     return X.highlight_matches(t.documents, "doc_id", "text", coefs)
 
 
+@query("X16_highlight_text", f"""with d as (select doc_id, {WORDS} as t from documents), b as (select {WORDS} as t from benchmark), c as (select distinct unnest(t) as term from b), m as (select distinct doc_id, true as hit from (select doc_id, unnest(t) as term from d) join c using (term))
+    select doc_id, coalesce(hit, false) as marked, true as same from documents left join m using (doc_id)""")
+def x16b(t):
+    """Documents with the words of benchmark items between marks; without the marks they are what they were."""
+    coefs = t.benchmark.select(F.explode(FT.tokens(F.col("text"), stop=())).alias("term")).distinct().withColumn("coef", F.lit(1))
+    out = X.highlight_text(t.documents, "doc_id", "text", coefs, 1, "\u2039", "\u203a")
+    plain = F.translate("highlighted", "\u2039\u203a", "")
+    return out.select("doc_id", F.coalesce(F.contains("highlighted", F.lit("\u2039")) & ~F.contains("text", F.lit("\u2039")), F.lit(False)).alias("marked"), F.coalesce(plain == F.translate("text", "\u2039\u203a", ""), F.lit(True)).alias("same"))
+
+
 TURNS = "tp as (select conv_id, turn, text as a, lead(text) over (partition by conv_id order by turn) as b from conversations)"
 
 
