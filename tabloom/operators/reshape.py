@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.operators.order import null_safe_join, quantiles, row_positions
+from tabloom.session import small_side
 from tabloom.spec import numeric_columns
 
 
@@ -188,18 +189,24 @@ def _block_products(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def pairwise_sums(
-    df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int | None = None, centre: bool = False
+    df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int | None = None, centre: bool = False, anchors: DataFrame | None = None
 ) -> DataFrame:
     """``series_1 < series_2`` with n, sx, sy, sxx, syy, sxy over shared dates, for every pair of series.
 
+    With ``anchors`` (a table of some of the series) only pairs that have one of them, which comes first then; their blocks alone meet the others.
+
     Series are numbered and cut into blocks; a task gets two blocks and one slice of the dates and
     adds up matrix products, so no date ever emits its pairs of rows.  A slice has about 1000 dates.
     """
     if date_slices is None:
         date_slices = max(8, df.select(date).distinct().count() // 1000)
     means = df.groupBy(series).agg((F.avg(value) if centre else F.lit(0.0)).alias("_m"))
-    ids = row_positions(means, [series], name="idx").withColumn("idx", F.col("idx") - 1)
+    if anchors is not None:
+        known = small_side(anchors.select(series).distinct().withColumn("_late", F.lit(0)))
+        means = means.join(known, series, "left").fillna({"_late": 1})
+    ids = row_positions(means, [series] if anchors is None else ["_late", series], name="idx").withColumn("idx", F.col("idx") - 1).drop("_late")
     n_blocks = -(-ids.count() // block)
+    n_first = anchors.select(series).distinct().count() if anchors is not None else None
     rows = (
         df.filter(F.col(value).isNotNull())
         .join(ids, series)
@@ -214,16 +221,20 @@ def pairwise_sums(
     placed = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select(
         F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"), "ds", "date", "idx", "block", "v"
     )
+    if n_first is not None:
+        placed = placed.filter(F.col("bi") * block < n_first)
     sums = placed.groupBy("bi", "bj", "ds").applyInPandas(_block_products, PAIR)
     total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    if n_first is not None:
+        total = total.filter(F.col("i") < n_first)  # i < j, and anchors have the first numbers
     a = ids.select(F.col("idx").alias("i"), F.col(series).alias("series_1"))
     b = ids.select(F.col("idx").alias("j"), F.col(series).alias("series_2"))
     return total.join(a, "i").join(b, "j").drop("i", "j")
 
 
-def pairwise_correlation(df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int | None = None) -> DataFrame:
-    """Pearson correlation of every pair of series over shared dates: ``series_1, series_2, n, corr``."""
-    t = pairwise_sums(df, series, date, value, block, date_slices, centre=True)
+def pairwise_correlation(df: DataFrame, series: str, date: str, value: str, block: int = 512, date_slices: int | None = None, anchors: DataFrame | None = None) -> DataFrame:
+    """Pearson correlation of every pair of series over shared dates: ``series_1, series_2, n, corr``; ``anchors`` as in :func:`pairwise_sums`."""
+    t = pairwise_sums(df, series, date, value, block, date_slices, centre=True, anchors=anchors)
     n = F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     vx = F.col("sxx") - F.col("sx") ** 2 / n

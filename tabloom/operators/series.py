@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.operators.joins import asof_join, checked_join, range_join
-from tabloom.operators.order import bin_right_closed, cut, group_transform, null_safe_join, qcut, quantiles, windowed
+from tabloom.operators.order import bin_right_closed, cut, group_transform, hash_order, null_safe_join, qcut, quantiles, row_positions, windowed
 from tabloom.operators.reshape import pairwise_correlation
 from tabloom.session import materialize, small_side
 from tabloom.spec import SeriesSpec
@@ -437,20 +437,20 @@ def pacf_features(df: DataFrame, spec: SeriesSpec, nlags: int = 7, alpha: float
     return solved.select(s, *[shown(F.col(c), k) for k, c in enumerate(names_, 1)])
 
 
-def series_distance(df: DataFrame, spec: SeriesSpec, method: str = "correlation", nlags: int = 7) -> DataFrame:
-    """Correlation, or squared-then-rooted distance of PACF vectors, for every pair of series.
+def series_distance(df: DataFrame, spec: SeriesSpec, method: str = "correlation", nlags: int = 7, anchors: DataFrame | None = None) -> DataFrame:
+    """Correlation, or squared-then-rooted distance of PACF vectors, for every pair of series, or for those with one of ``anchors``.
 
     The PACF form reuses the blocked product sums: d^2 = |a|^2 + |b|^2 - 2 a.b over the lags.
     """
     if method == "correlation":
-        return pairwise_correlation(df, spec.series_id, spec.date_col, spec.target)
+        return pairwise_correlation(df, spec.series_id, spec.date_col, spec.target, anchors=anchors)
     if method != "pacf":
         raise ValueError("method must be correlation or pacf")
     f = materialize(pacf_features(df, spec, nlags))
     long = f.unpivot([spec.series_id], [c for c in f.columns if c != spec.series_id], "_lag", "_v").filter("not isnan(_v)")
     from tabloom.operators.reshape import pairwise_sums
 
-    sums = pairwise_sums(long, spec.series_id, "_lag", "_v")
+    sums = pairwise_sums(long, spec.series_id, "_lag", "_v", anchors=anchors)
     return sums.select("series_1", "series_2", F.sqrt(F.greatest(F.col("sxx") + F.col("syy") - 2 * F.col("sxy"), F.lit(0.0))).alias("distance"))
 
 
@@ -470,17 +470,81 @@ def cluster_features(features: DataFrame, key: str, cols: Sequence[str], k: int
 
     x = materialize(VectorAssembler(inputCols=list(cols), outputCol="features").transform(features.fillna(0.0, list(cols))).select(key, "features"))
 
-    def fit(n):
-        return KMeans(k=n, seed=seed).fit(x).transform(x)
-
+    fit = lambda n: KMeans(k=n, seed=seed).fit(x)
     if k is None:
-        top = min(max_k, x.count() - 1)
-        judge = ClusteringEvaluator()
-        k = max(range(2, top + 1), key=lambda n: judge.evaluate(fit(n)))
-    return fit(k).select(key, (F.col("prediction") + 1).alias("cluster"))
+        judge, models = ClusteringEvaluator(), {n: fit(n) for n in range(2, min(max_k, x.count() - 1) + 1)}
+        model = models[max(models, key=lambda n: judge.evaluate(models[n].transform(x)))]
+    else:
+        model = fit(k)
+    return model.transform(x).select(key, (F.col("prediction") + 1).alias("cluster"))
+
+
+def medoids(d, k: int):
+    """Row numbers of ``k`` medoids of the distance matrix ``d``: greedy choice, then swaps while they lower the sum of distances."""
+    import numpy as np
+
+    chosen = [int(d.sum(axis=1).argmin())]
+    while len(chosen) < k:
+        near = d[chosen].min(axis=0)
+        chosen.append(int(np.maximum(near[None, :] - d, 0).sum(axis=1).argmax()))
+    best = d[chosen].min(axis=0).sum()
+    while True:
+        swaps = [(np.minimum(np.delete(d[chosen], i, axis=0).min(axis=0, initial=np.inf)[None, :], d).sum(axis=1), i) for i in range(k)]
+        cost, i = min(((c.min(), i) for c, i in swaps), key=lambda x: x[0])
+        if cost >= best * (1 - 1e-12) - 1e-12:
+            return sorted(chosen)
+        chosen[i], best = int(swaps[i][0].argmin()), cost
+
+
+def silhouette(d, label) -> float:
+    """Mean silhouette of the rows of the distance matrix ``d``; a row alone in its cluster counts 0."""
+    import numpy as np
+
+    groups = np.unique(label)
+    means = np.stack([(d[:, label == g].sum(axis=1) - 0.0) / np.maximum(1, (label == g).sum() - (label == g)) for g in groups], axis=1)
+    own = means[np.arange(len(d)), np.searchsorted(groups, label)]
+    other = np.where(groups[None, :] == label[:, None], np.inf, means).min(axis=1)
+    alone = np.array([(label == x).sum() == 1 for x in label])
+    return float(np.where(alone | ~np.isfinite(other), 0.0, (other - own) / np.maximum(np.maximum(own, other), 1e-300)).mean())
+
+
+def distance_clusters(df: DataFrame, spec: SeriesSpec, method: str = "correlation", k: int | None = None, max_k: int = 8, nlags: int = 7, landmarks: int = 256, seed: int = 1) -> DataFrame:
+    """``series, cluster, medoid, distance``: k-medoids on the distances of T-23 (``1 - correlation``, or that of the PACF vectors).
+
+    ``landmarks`` series, drawn by hash, are compared with all others by block products; medoids are sought among them on the driver, which holds
+    landmarks x landmarks numbers, and with ``k`` None the number in 2..max_k of the largest silhouette is taken.  Every series then
+    goes to its nearest medoid.  Series without a distance to another (no shared dates, constant) are as far from it as can be.
+    """
+    import numpy as np
+
+    s = spec.series_id
+    every = df.select(s).distinct()
+    chosen = materialize(row_positions(every.withColumn("_h", hash_order(s, seed=seed)), ["_h", s], name="_at").filter(F.col("_at") <= landmarks).select(s))
+    d = series_distance(df, spec, method, nlags, chosen)
+    d = d.select("series_1", "series_2", (1 - F.col("corr")).alias("d")) if method == "correlation" else d.withColumnRenamed("distance", "d")
+    d = materialize(d.where("d is not null"))
+    names = sorted(r[0] for r in chosen.collect())
+    number = {x: i for i, x in enumerate(names)}
+    far = 2.0 if method == "correlation" else float((d.agg(F.max("d")).first()[0] or 0.0) + 1.0)
+    inside = d.join(F.broadcast(chosen.withColumnRenamed(s, "series_2")), "series_2", "left_semi").collect()
+    m = np.full((len(names), len(names)), far)
+    np.fill_diagonal(m, 0.0)
+    for r in inside:
+        m[number[r.series_1], number[r.series_2]] = m[number[r.series_2], number[r.series_1]] = r.d
+    tried = [k] if k is not None else list(range(2, min(max_k, len(names) - 1) + 1)) or [1]
+    found = [medoids(m, min(n, len(names))) for n in tried] if names else [[]]
+    best = max(found, key=lambda c: silhouette(m, m[c].argmin(axis=0))) if len(found) > 1 else found[0]
+    centre = [names[i] for i in best]
+    label = F.broadcast(df.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(centre)], T.StructType([T.StructField("medoid", df.schema[s].dataType), T.StructField("cluster", T.IntegerType())])))
+    both = d.select(F.col("series_1").alias("medoid"), F.col("series_2").alias(s), "d").unionByName(d.select(F.col("series_2").alias("medoid"), F.col("series_1").alias(s), "d"))
+    near = every.crossJoin(label).join(both, ["medoid", s], "left").withColumn("d", F.when(F.col("medoid") == F.col(s), 0.0).otherwise(F.coalesce("d", F.lit(far))))
+    return near.groupBy(s).agg(F.min(F.struct("d", "cluster", "medoid")).alias("_n")).select(s, F.col("_n.cluster").alias("cluster"), F.col("_n.medoid").alias("medoid"), F.col("_n.d").alias("distance"))
 
 
 def cluster_series(df: DataFrame, spec: SeriesSpec, method: str = "pacf", k: int | None = None, max_k: int = 8, nlags: int = 7) -> DataFrame:
+    """``series, cluster`` by KMeans on PACF vectors or means, or by k-medoids on distances (``correlation``, ``pacf_distance``)."""
+    if method in ("correlation", "pacf_distance"):
+        return distance_clusters(df, spec, method.split("_")[0], k, max_k, nlags).select(spec.series_id, "cluster")
     if method == "pacf":
         f = materialize(pacf_features(df, spec, nlags))
         cols = [c for c in f.columns if c != spec.series_id]
@@ -488,7 +552,7 @@ def cluster_series(df: DataFrame, spec: SeriesSpec, method: str = "pacf", k: int
     elif method == "mean":
         f, cols = df.groupBy(spec.series_id).agg(F.avg(spec.target).alias("mean")), ["mean"]
     else:
-        raise ValueError("method must be pacf or mean")
+        raise ValueError("method must be pacf, mean, correlation or pacf_distance")
     return cluster_features(f, spec.series_id, cols, k, max_k)
 
 

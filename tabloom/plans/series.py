@@ -298,6 +298,23 @@ def t25(t):
     return T.cluster_series(brand_month(t), MONTHLY, "pacf", None, 4, 5)
 
 
+@query(
+    "T25_cluster_distances",
+    f"""with {BRAND_DAY} select s, 3 as clusters, true as nearest, true as medoid_is_own from (select distinct s from bd)""",
+)
+def t25b(t):
+    """Three medoids: every series is with the nearest, and a medoid with itself; distances are compared with all correlations."""
+    rows = brand_month(t)
+    c = T.distance_clusters(rows, MONTHLY, k=3)
+    pairs = T.series_distance(rows, MONTHLY)
+    both = pairs.select(F.col("series_1").alias("s"), F.col("series_2").alias("m"), "corr").unionByName(pairs.select(F.col("series_2").alias("s"), F.col("series_1").alias("m"), "corr"))
+    mids = c.select(F.col("medoid").alias("m")).distinct()
+    all_ = c.crossJoin(F.broadcast(mids)).join(both, ["s", "m"], "left").withColumn("d", F.when(F.col("s") == F.col("m"), 0.0).otherwise(F.coalesce(1 - F.col("corr"), F.lit(2.0))))
+    size = c.agg(F.count_distinct("medoid").cast("int").alias("clusters"))
+    g = all_.groupBy("s", "medoid").agg((F.max("distance") <= F.min("d") + 1e-9).alias("nearest"), F.max(F.when(F.col("m") == F.col("s"), F.col("m"))).alias("self"))
+    return g.crossJoin(F.broadcast(size)).select("s", "clusters", "nearest", (F.col("self").isNull() | (F.col("self") == F.col("medoid"))).alias("medoid_is_own"))
+
+
 LAGGED = "p as (select series_id, date, target as y, lag(target) over (partition by series_id order by date) as p from v_series)"
 
 
