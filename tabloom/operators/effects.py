@@ -105,11 +105,21 @@ def _decoded(options: Mapping[str, Sequence], number: Column) -> dict[str, Colum
 
 
 def best_option_by(df: DataFrame, options: Mapping[str, Sequence], score: Callable[[Mapping[str, Column]], Column], row_id: str) -> DataFrame:
-    """:func:`best_option` for a score that is an expression of the option columns: found inside the row, without a shuffle."""
-    total = math.prod(len(v) for v in options.values())
-    every = F.transform(F.sequence(F.lit(0), F.lit(total - 1)), lambda o: F.struct(score(_decoded(options, o)).alias("score"), (-o).alias("o")))
-    best = df.select(row_id, F.array_max(every).alias("_b"))
-    return best.select(row_id, *[c.alias(n) for n, c in _decoded(options, -F.col("_b.o")).items()], F.col("_b.score").alias("score"))
+    """:func:`best_option` for a score that is an expression of the option columns: found inside the row, without a shuffle.
+
+    The options are nested loops over literal lists, so a combination is a number, its score, and only the best one is decoded.
+    """
+
+    def scores(names: list[str], chosen: dict[str, Column]) -> Column:
+        *rest, last = names
+        values = F.array(*[F.lit(v) for v in options[last]])
+        if not rest:
+            return F.transform(values, lambda v: score(chosen | {last: v}))
+        return F.flatten(F.transform(values, lambda v: scores(rest, chosen | {last: v})))
+
+    every = df.select(row_id, scores(list(options), {}).alias("_s")).withColumn("score", F.array_max("_s"))
+    best = every.select(row_id, "score", (F.array_position("_s", F.col("score")) - 1).alias("_o"))
+    return best.select(row_id, *[c.alias(n) for n, c in _decoded(options, F.col("_o")).items()], "score")
 
 
 def best_option(df: DataFrame, options: Mapping[str, Sequence], scorer: Scorer, row_id: str) -> DataFrame:
