@@ -174,11 +174,23 @@ def outline(grams: np.ndarray) -> bytes:
     return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def folded(raw: bytes, size: int) -> np.ndarray:
-    """An outline in ``size`` fragments, which are no more than it has; beyond 254 the bound is open."""
-    counts = np.frombuffer(raw, np.uint8).astype(np.int32)
-    counts[counts == 255] = 1 << 20
-    return np.minimum(counts.reshape(size, -1).sum(axis=1), 1 << 20)
+def folded(shapes: list[bytes], size: int) -> np.ndarray:
+    """Outlines in ``size`` fragments, which are no more than any of them has; where one counted to its end, the bound is open."""
+    out = np.empty((len(shapes), size), np.uint16)
+    for length in {len(x) for x in shapes}:
+        at = [i for i, x in enumerate(shapes) if len(x) == length]
+        counts = np.frombuffer(b"".join(shapes[i] for i in at), np.uint8).reshape(len(at), size, -1)
+        sums = counts.sum(axis=2, dtype=np.uint32)
+        sums[(counts == 255).any(axis=2)] = 60_000
+        out[at] = np.minimum(sums, 60_000)
+    return out
+
+
+def _sum_of_least(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    least = np.minimum(one[None, :], many)
+    total = least.sum(axis=1, dtype=np.int64)
+    total[(least == 60_000).any(axis=1)] = 1 << 40
+    return total
 
 
 def most_common(one: bytes, many: list[bytes]) -> np.ndarray:
@@ -187,7 +199,7 @@ def most_common(one: bytes, many: list[bytes]) -> np.ndarray:
     sizes = np.array([min(len(one), len(x)) for x in many])
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        out[at] = np.minimum(folded(one, size)[None, :], np.stack([folded(many[i], size) for i in at])).sum(axis=1)
+        out[at] = _sum_of_least(folded([one], size)[0], folded([many[i] for i in at], size))
     return out
 
 
@@ -216,18 +228,32 @@ def _within(percent: int):
         rows, partners = [], []
         for i, j in zip(edge, [*edge[1:], len(by)]) if len(by) else ():
             own = by[i:j]
-            left, right = own[side[own] == low[own]], own[side[own] == high[own]]
+            one_side = low[own[0]] == high[own[0]]
+            left, right = own[side[own] == low[own[0]]], own[side[own] == high[own[0]]]
+            if not len(left) or not len(right):
+                continue
             raw = {int(k): shape[int(k)].as_py() for k in own}
+            length = np.array([len(raw[int(k)]) for k in right])
+            least = {}  # the outlines of the right side in as many fragments as a shorter partner has
             pairs: dict[int, list[int]] = {}
-            for a in left:
-                some = right[(comp[right] != comp[a]) & (100 * np.minimum(n[right], n[a]) >= percent * np.maximum(n[right], n[a]))]
-                some = some[cid[some] > cid[a]] if low[a] == high[a] else some
-                if len(some):
-                    some = some[(100 + percent) * most_common(raw[int(a)], [raw[int(b)] for b in some]) >= percent * (n[some] + n[a])]
-                if len(some):
-                    pairs.setdefault(int(a), []).extend(cid[some].tolist())
-                    for b in some.tolist():
-                        pairs.setdefault(b, [])
+            for x in left:
+                ok = (comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))
+                if one_side:
+                    ok &= cid[right] > cid[x]
+                mine = len(raw[int(x)])
+                for size in {min(mine, int(k)) for k in np.unique(length[ok])}:
+                    if size not in least:
+                        at = np.flatnonzero(length >= size)
+                        place = np.full(len(right), -1)
+                        place[at] = np.arange(len(at))
+                        least[size] = place, folded([raw[int(k)] for k in right[at]], size)
+                    place, matrix = least[size]
+                    some = np.flatnonzero(ok & (np.minimum(length, mine) == size))
+                    some = some[(100 + percent) * _sum_of_least(folded([raw[int(x)]], size)[0], matrix[place[some]]) >= percent * (n[right[some]] + n[x])]
+                    if len(some):
+                        pairs.setdefault(int(x), []).extend(cid[right[some]].tolist())
+                        for k in right[some].tolist():
+                            pairs.setdefault(k, [])
             rows += pairs
             partners += [np.array(x, np.int64).tobytes() for x in pairs.values()]
         rows = np.array(rows, np.int64)
