@@ -26,9 +26,11 @@ ROWS_PER_TASK = 4_000_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which NULL keys match each other; the left keys are kept."""
+    """Equi-join in which NULL keys match each other; the left keys are kept.  Without keys ``right`` is one row of totals, or the query fails."""
     if not keys:
-        return left.crossJoin(F.broadcast(right.limit(1)))  # without keys there is one row of totals
+        counted = right.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+        one = counted.filter(F.assert_true(F.col("_rows") <= 1, "the side without keys has several rows").isNull()).drop("_rows")
+        return left.crossJoin(F.broadcast(one))
     r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys])
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])

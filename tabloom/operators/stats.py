@@ -226,9 +226,9 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(F.try_divide(F.col("ij") - want, (F.col("i") + F.col("j")) / 2 - want).alias("ari"))
 
 
-def bootstrap_ci(df: DataFrame, key: Sequence[str], value: str, replicates: int = 200, level: float = 0.95, seed: int = 1) -> DataFrame:
-    """Percentile interval of the mean from Poisson bootstrap weights; replicates are aggregated map-side."""
-    r = bootstrap(df.select(*key, value), key, replicates, seed)
+def bootstrap_ci(df: DataFrame, key: Sequence[str], value: str, replicates: int = 200, level: float = 0.95, seed: int = 1, draw: Column | None = None) -> DataFrame:
+    """Percentile interval of the mean from Poisson bootstrap weights; replicates are aggregated map-side.  ``draw`` as in ``sampling.bootstrap``."""
+    r = bootstrap(df.select(*key, value), key, replicates, seed, draw)
     m = r.groupBy("replicate").agg((F.sum(F.col(value) * F.col("copies")) / F.sum("copies")).alias("m"))
     tail = (1 - level) / 2
     q = quantiles(m, "m", [tail, 1 - tail], slices=4).toDF("lower", "upper")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabloom.operators import stats as K
+from tabloom.operators.sampling import POISSON_CUTS
 from tabloom.plans.fixtures import V_SCORES
 from tabloom.plans.registry import query
 
@@ -50,6 +51,19 @@ def k05(t):
     return K.reset_test(t.lineitem, "l_extendedprice", X)
 
 
+@query(
+    "K05_reset_one",
+    """with d as (select l_quantity - avg(l_quantity) over () as x, l_extendedprice - avg(l_extendedprice) over () as y from lineitem),
+    m as (select regr_slope(y, x) as b, regr_intercept(y, x) as a, regr_slope(x * x, x) as b2, regr_intercept(x * x, x) as a2, count(*) as n from d),
+    s as (select sum((y - a - b * x) ** 2) as rss, sum((y - a - b * x) * (x * x - a2 - b2 * x)) as eq, sum((x * x - a2 - b2 * x) ** 2) as qq, max(n) as n from d, m)
+    select round((eq * eq / qq) / ((rss - eq * eq / qq) / (n - 3)), 4) as f, 1 as df1, (n - 3)::int as df2 from s""",
+    digits=4,
+)
+def k05b(t):
+    """One regressor and the square of the fit, whose twin takes the square's residual out of the first one's."""
+    return K.reset_test(t.lineitem, "l_extendedprice", ["l_quantity"], 2)
+
+
 @query("K06_breusch_pagan")
 def k06(t):
     return K.heteroscedasticity(t.lineitem, "l_extendedprice", X)
@@ -124,6 +138,19 @@ def k12(t):
     return K.adjusted_rand(t.orders, "o_orderstatus", "o_orderpriority")
 
 
+@query(
+    "K13_bootstrap_ci_draw",
+    f"""with r as (select o_totalprice as v, r, ((o_orderkey * 7919 + r * 104729) % 10007) / 10007.0::double as u from orders, (select unnest(range(1, 51)) as r)),
+    c as (select *, case {" ".join(f"when u < {c!r} then {i}" for i, c in enumerate(POISSON_CUTS))} else {len(POISSON_CUTS)} end as copies from r),
+    m as (select r, sum(copies * v) / sum(copies) as m from c group by 1) select round(quantile_cont(m, 0.025), 4) as lower, round(quantile_cont(m, 0.975), 4) as upper, round(avg(m), 4) as mean, round(stddev_samp(m), 4) as sd from m""",
+    digits=4,
+)
+def k13b(t):
+    """Replicates drawn by numbers that SQL repeats."""
+    u = ((F.col("o_orderkey") * 7919 + F.col("replicate") * 104729) % 10007) / F.lit(10007.0)
+    return K.bootstrap_ci(t.orders, ["o_orderkey"], "o_totalprice", 50, draw=u)
+
+
 @query("K13_bootstrap_ci")
 def k13(t):
     return K.bootstrap_ci(t.events, ["event_id"], "value", 100)

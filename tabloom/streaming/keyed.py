@@ -170,8 +170,8 @@ class Lowest(StatefulProcessor):
         pass
 
 
-def first_seen(stream: DataFrame, key: str, t: str, keep_ms: int = 86_400_000, path: str | None = None) -> DataFrame:
-    """``key, first``: the first time of each key.
+def first_seen(stream: DataFrame, key: str, t: str, keep_ms: int = 86_400_000, path: str | None = None, seen: list | None = None) -> DataFrame:
+    """``key, first``: the first time of each key; ``seen`` takes the progress of the batches.
 
     State holds the keys that had rows in the last ``keep_ms`` by the clock of arrival, and saves what they would emit again; a row's own time never
     makes it too late.  NULL keys are a key, and a key that only has NULL times has a NULL first.
@@ -181,7 +181,9 @@ def first_seen(stream: DataFrame, key: str, t: str, keep_ms: int = 86_400_000, p
     rows = stream.select(F.col(key).alias("id"), F.unix_micros(F.col(t).cast("timestamp")).alias("us"), F.current_timestamp().alias("arrived"))
     out = T.StructType([T.StructField("id", stream.schema[key].dataType), T.StructField("us", T.LongType())])
     found = rows.withWatermark("arrived", "0 seconds").groupBy("id").transformWithStateInPandas(Lowest(keep_ms), out, "Append", "EventTime")
-    land(found, path, lambda df: df)
+    progress = land(found, path, lambda df: df)
+    if seen is not None:
+        seen += progress
     return landed(spark, path).groupBy(F.col("id").alias(key)).agg(F.timestamp_micros(F.min("us")).alias("first"))
 
 
