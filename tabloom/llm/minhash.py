@@ -339,11 +339,11 @@ def _links(own: DataFrame, classes: DataFrame, n: int, percent: int, miss: float
 
 
 def tiles_of(members: DataFrame, labels: DataFrame, about: DataFrame, size: int) -> DataFrame:
-    """Members (key, cid) of buckets with several components, with what ``about`` says of them, in ``tile`` s of a bucket's sides ``low`` and ``high``.
+    """Members (key, cid, ...) of buckets with several components, with what ``about`` says of them, in ``tile`` s of a bucket's sides ``low`` and ``high``.
 
     A bucket has a side for every ``size`` members, and every two sides are a tile; ``side`` is the one that a member is on.
     """
-    now = members.select("key", "cid").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    now = members.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.expr(f"1 + count(*) div {size}").alias("sides")).where("c0 <> c1").select("key", "sides")
     dealt = now.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("sides"))).join(about, "cid")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))

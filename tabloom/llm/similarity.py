@@ -2,9 +2,9 @@
 
 N-grams are ordered by their hashes, and the order is cut into fragments.  Sets that link differ in at most k n-grams, k from their sizes, so of
 more than k fragments one is the same in both: the digests of fragments name the candidates.  How many n-grams two candidates can share is
-bounded by the sizes of their fragments; how many they do share is counted in each fragment by itself and summed per pair.
+bounded by the fine fragments that both have; how many they do share is counted in each fragment by itself and summed per pair.
 
-Equal sets are one class from the start.  A class is first paired with the least leader of its buckets; in buckets whose members then are
+Equal sets are one class from the start.  A class is first paired with the leaders of its buckets; in buckets whose members then are
 in several components, pairs of different ones are bounded and counted in tasks, in tiles.  So a group of copies doesn't become all its
 pairs, and sets are only sent for pairs whose bound allows a link.
 """
@@ -169,38 +169,37 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int = FRA
 
 
 def outline(grams: np.ndarray) -> bytes:
-    """How many n-grams a set has in each of about half as many fine fragments; 255 stands for that or more."""
-    bits = max(3, (len(grams) // 2).bit_length())
-    return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    """A bit for each of four to eight times as many fine fragments of the order as the set has n-grams: whether it has any there."""
+    bits = max(6, (4 * len(grams) - 1).bit_length())
+    there = np.zeros(1 << bits, bool)
+    there[(grams >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(there, bitorder="little").tobytes()
 
 
-def folded(shapes: list[bytes], size: int) -> np.ndarray:
-    """Outlines in ``size`` fragments, which are no more than any of them has; where one counted to its end, the bound is open."""
-    out = np.empty((len(shapes), size), np.uint16)
-    for length in {len(x) for x in shapes}:
-        at = [i for i, x in enumerate(shapes) if len(x) == length]
-        counts = np.frombuffer(b"".join(shapes[i] for i in at), np.uint8).reshape(len(at), size, -1)
-        sums = counts.sum(axis=2, dtype=np.uint32)
-        sums[(counts == 255).any(axis=2)] = 60_000
-        out[at] = np.minimum(sums, 60_000)
-    return out
+class Outlines(NamedTuple):
+    """Outlines in the same fragments, and how many n-grams each set has beyond one for each of its fragments."""
 
+    bits: np.ndarray
+    spare: np.ndarray
 
-def _sum_of_least(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    least = np.minimum(one[None, :], many)
-    total = least.sum(axis=1, dtype=np.int64)
-    total[(least == 60_000).any(axis=1)] = 1 << 40
-    return total
 
+def folded(shapes: list[bytes], n: np.ndarray, size: int) -> Outlines:
+    """Outlines of sets of ``n`` n-grams in ``size`` bytes, which are no more than any of them has."""
+    out = np.empty((len(shapes), size), np.uint8)
+    for length in {len(x) for x in shapes}:
+        at = [i for i, x in enumerate(shapes) if len(x) == length]
+        raw = np.frombuffer(b"".join(shapes[i] for i in at), np.uint8).reshape(len(at), length)
+        if length > size:
+            wide = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(at), 8 * size, length // size)
+            raw = np.packbits(wide.any(axis=2), axis=1, bitorder="little")
+        out[at] = raw
+    words = out.view(np.uint64)
+    return Outlines(words, n - np.bitwise_count(words).sum(axis=1, dtype=np.int64))
 
-def most_common(one: bytes, many: list[bytes]) -> np.ndarray:
-    """The most n-grams that a set can share with each of others: no fragment adds more than the lesser."""
-    out = np.empty(len(many), np.int64)
-    sizes = np.array([min(len(one), len(x)) for x in many])
-    for size in np.unique(sizes):
-        at = np.flatnonzero(sizes == size)
-        out[at] = _sum_of_least(folded([one], size)[0], folded([many[i] for i in at], size))
-    return out
+
+def most_common(one: Outlines, many: Outlines) -> np.ndarray:
+    """The most n-grams that a set can share with others: one for each fragment that both have, and what the lesser of their spare ones adds."""
+    return np.bitwise_count(many.bits & one.bits).sum(axis=1, dtype=np.int64) + np.minimum(one.spare, many.spare)
 
 
 def _allowed(percent: int):
@@ -208,9 +207,12 @@ def _allowed(percent: int):
 
     def run(batches):
         for batch in batches:
-            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            most = np.array([most_common(x, [y])[0] for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
-            ok = pa.array((100 + percent) * most >= percent * n)
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            most = np.empty(len(batch), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                most[i] = most_common(folded([x], na[i : i + 1], size), folded([y], nb[i : i + 1], size))[0]
+            ok = pa.array((100 + percent) * most >= percent * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
 
     return run
@@ -225,7 +227,7 @@ def _within(percent: int):
         shape = table["sketch"].combine_chunks()
         by = np.argsort(tile, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], tile[by][1:] != tile[by][:-1]])) if len(by) else []
-        rows, partners = [], []
+        rows, partners, asked = [], [], set()
         for i, j in zip(edge, [*edge[1:], len(by)]) if len(by) else ():
             own = by[i:j]
             one_side = low[own[0]] == high[own[0]]
@@ -246,13 +248,16 @@ def _within(percent: int):
                         at = np.flatnonzero(length >= size)
                         place = np.full(len(right), -1)
                         place[at] = np.arange(len(at))
-                        least[size] = place, folded([raw[int(k)] for k in right[at]], size)
-                    place, matrix = least[size]
+                        least[size] = place, folded([raw[int(k)] for k in right[at]], n[right[at]], size)
+                    place, shapes = least[size]
                     some = np.flatnonzero(ok & (np.minimum(length, mine) == size))
-                    some = some[(100 + percent) * _sum_of_least(folded([raw[int(x)]], size)[0], matrix[place[some]]) >= percent * (n[right[some]] + n[x])]
-                    if len(some):
-                        pairs.setdefault(int(x), []).extend(cid[right[some]].tolist())
-                        for k in right[some].tolist():
+                    others = Outlines(shapes.bits[place[some]], shapes.spare[place[some]])
+                    some = some[(100 + percent) * most_common(folded([raw[int(x)]], n[x : x + 1], size), others) >= percent * (n[right[some]] + n[x])]
+                    for k in right[some].tolist():
+                        pair = (cid[x], cid[k]) if cid[x] < cid[k] else (cid[k], cid[x])
+                        if pair not in asked:
+                            asked.add(pair)
+                            pairs.setdefault(int(x), []).append(int(cid[k]))
                             pairs.setdefault(k, [])
             rows += pairs
             partners += [np.array(x, np.int64).tobytes() for x in pairs.values()]
@@ -270,8 +275,9 @@ def _links(own: DataFrame, classes: DataFrame, n: int, percent: int, fragments:
     members = materialize(shared.join(classes.select("half", "cid"), "half").select(F.col("digest").alias("key"), "cid"))
     about = classes.select("cid", "n", "sketch")
     leader = members.groupBy("key").agg(F.min("cid").alias("a"))
-    best = members.join(leader, "key").groupBy(F.col("cid").alias("b")).agg(F.min("a").alias("a")).where("a <> b")
-    both = best.join(about.withColumnsRenamed({"cid": "b", "n": "nb", "sketch": "sb"}), "b").join(about.withColumnsRenamed({"cid": "a", "n": "na", "sketch": "sa"}), "a")
+    led = materialize(members.join(leader, "key").where("a <> cid"))  # all but the leaders, whose pairs are asked here
+    stars = led.select("a", F.col("cid").alias("b")).distinct()
+    both = stars.join(about.withColumnsRenamed({"cid": "b", "n": "nb", "sketch": "sb"}), "b").join(about.withColumnsRenamed({"cid": "a", "n": "na", "sketch": "sa"}), "a")
     both = both.where(may(percent, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "sa", "sb")
     pairs = materialize(both.mapInArrow(_allowed(percent), "a long, b long, na long, nb long"))
     needed = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "cls"), "cid"))
@@ -282,13 +288,15 @@ def _links(own: DataFrame, classes: DataFrame, n: int, percent: int, fragments:
     discard(sets, needed)
     labels = components(links).withColumnRenamed("node", "cid")
 
-    open_ = tiles_of(members, labels, about, TILE).select("low", "high", "side", "tile", "cid", "n", "component", "sketch")
-    dealt = open_.groupBy(F.pmod("tile", F.lit(members.count() // 50_000 + 1)).alias("bucket"))
+    open_ = tiles_of(led, labels, about, TILE)
+    # tiles of one leader hold much the same members, and meet in a bucket that asks a pair once
+    bucket = F.pmod(F.xxhash64("a", "low", "high"), F.lit(members.count() // 20_000 + 1)).alias("bucket")
+    dealt = open_.select(bucket, "low", "high", "side", "tile", "cid", "n", "component", "sketch").groupBy("bucket")
     found = materialize(dealt.applyInArrow(_within(percent), "tile long, cid long, n long, component long, partners binary").join(classes.select("cid", "cls"), "cid"))
     rest = connected(own, found, n, percent)
     if not rest.isEmpty():
         labels = components(links.unionByName(rest)).withColumnRenamed("node", "cid")
-    discard(members, pairs, links, found, rest)
+    discard(members, led, pairs, links, found, rest)
     return labels
 
 

@@ -175,12 +175,20 @@ def test_jaccard_components_and_deduplicate(spark, n, percent, monkeypatch):
 
 def test_an_outline_bounds_what_is_shared():
     rng = np.random.default_rng(8)
+
+    def bound(a, b):
+        x, y = similarity.outline(a), similarity.outline(b)
+        size = min(len(x), len(y))
+        return similarity.most_common(similarity.folded([x], np.array([len(a)]), size), similarity.folded([y], np.array([len(b)]), size))[0]
+
     for _ in range(200):
         pool = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
         a, b = (np.sort(rng.choice(pool, rng.integers(1, len(pool)), replace=False)) for _ in range(2))
-        assert similarity.most_common(similarity.outline(a), [similarity.outline(b)])[0] >= len(np.intersect1d(a, b))
-    same = np.zeros(600, np.uint64) + np.arange(600, dtype=np.uint64)  # all in one fragment: more than a byte holds
-    assert similarity.most_common(similarity.outline(same), [similarity.outline(same)])[0] >= 600
+        assert bound(a, b) >= len(np.intersect1d(a, b))
+    a, b = (rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) for _ in range(2))
+    assert bound(a, b) < 350  # unrelated sets can't link
+    same = np.arange(600, dtype=np.uint64)  # all in one fragment
+    assert bound(same, same) >= 600
 
 
 def test_names_that_operators_use_inside(spark):
