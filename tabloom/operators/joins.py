@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.operators.neighbours import nearest_other, within
 from tabloom.operators.order import carry_last, null_safe_join
-from tabloom.session import small_side
+from tabloom.session import shuffled, small_side
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -184,14 +184,14 @@ def radius_counts(df: DataFrame, by: Sequence[str], coords: Sequence[str], radii
     here = df.groupBy(*by, *coords).agg(F.count(F.lit(1)).alias("k"))
     near = within(here, by, coords, list(radii.values()), {"k": F.sum}, metric=metric)
     wide = near.groupBy(*by, *coords).agg(*[F.sum(F.when(F.col("r") == float(r), F.col("k"))).alias(n) for n, r in radii.items()])
-    return null_safe_join(df, wide, [*by, *coords], "left").withColumns({n: F.col(n) - 1 for n in radii})
+    return null_safe_join(df, shuffled(wide), [*by, *coords], "left").withColumns({n: F.col(n) - 1 for n in radii})
 
 
 def nearest_same(df: DataFrame, by: Sequence[str], category: str, coords: Sequence[str], metric: str = "l1", none: float = 99999.0) -> DataFrame:
     """Distance to the closest other position of the same group and category (``nearest``), ``none`` without one."""
     keys = [*by, category, *coords]
     found = nearest_other(df.select(*keys), [*by, category], coords, metric)
-    return null_safe_join(df, found, keys, "left").fillna({"nearest": none})
+    return null_safe_join(df, shuffled(found), keys, "left").fillna({"nearest": none})
 
 
 def cosine_join(triples: DataFrame, query: DataFrame, entity: str, item: str, score: str) -> DataFrame:

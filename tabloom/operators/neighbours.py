@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.operators.order import null_safe_join
-from tabloom.session import discard, materialize
+from tabloom.session import discard, materialize, shuffled
 
 LEAF = 64
 DEPTH = 40
@@ -29,6 +29,10 @@ def l2(coords: Sequence[str], other: str = "_n_") -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"{other}{c}")) ** 2 for c in coords]))
 
 
+def _met(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    return null_safe_join(left, shuffled(right), keys, how)
+
+
 METRICS = {"l1": l1, "l2": l2}
 #: The length of a vector of gaps.
 LENGTHS = {"l1": lambda gaps: reduce(lambda a, b: a + b, gaps), "l2": lambda gaps: F.sqrt(reduce(lambda a, b: a + b, [g**2 for g in gaps]))}
@@ -65,7 +69,7 @@ def tree(places: DataFrame, by: Sequence[str], coords: Sequence[str], side: floa
         more = found.where("split").select(*by, "cell")
         if more.isEmpty():
             break
-        left = null_safe_join(left.withColumn("cell", t.cell(level)), more, [*by, "cell"], "left_semi").drop("cell")
+        left = _met(left.withColumn("cell", t.cell(level)), more, [*by, "cell"], "left_semi").drop("cell")
     return Tree(reduce(DataFrame.unionByName, levels), len(levels) - 1, by, coords, side)
 
 
@@ -89,7 +93,7 @@ def _halved(pairs: DataFrame, t: Tree) -> DataFrame:
         own = [f"{c}{s}" for c in ("lev", "cell", "n", "split", "lo", "hi")]
         go = pairs.where(F.col(f"go{s}")).select(*[c for c in pairs.columns if c not in own], F.col(f"lev{s}").alias("_lev"), F.col(f"cell{s}").alias("_up"))
         below = kids.select(*t.by, "_lev", "_up", *[F.col(c).alias(f"{c}{s}") for c in ("lev", "cell", "n", "split", "lo", "hi")])
-        pairs = pairs.where(~F.col(f"go{s}")).unionByName(null_safe_join(go, below, [*t.by, "_lev", "_up"]).drop("_lev", "_up"))
+        pairs = pairs.where(~F.col(f"go{s}")).unionByName(_met(go, below, [*t.by, "_lev", "_up"]).drop("_lev", "_up"))
     return pairs
 
 
@@ -108,7 +112,7 @@ def near_positions(left: DataFrame, right: DataFrame, by: Sequence[str], coords:
         l = l.withColumn(f"_c{i}", F.explode(F.array(*[cell[f"_c{i}"] + d for d in (-1, 0, 1)])))
     n = right.withColumns(cell).withColumnsRenamed({c: f"_n_{c}" for c in right.columns} | {k: f"_k{k}" for k in cell})
     cond = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_n_{b}")) for b in by] + [F.col(k) == F.col(f"_k{k}") for k in cell])
-    return l.join(n, cond).withColumn("dist", METRICS[metric](coords)).filter(F.col("dist") <= r).drop(*cell, *[f"_k{k}" for k in cell])
+    return l.join(shuffled(n), cond).withColumn("dist", METRICS[metric](coords)).filter(F.col("dist") <= r).drop(*cell, *[f"_k{k}" for k in cell])
 
 
 def within(
@@ -135,7 +139,7 @@ def within(
     for i in range(len(coords)):
         a = a.withColumn(f"_c{i}", F.explode(F.array(*[F.col("cella")[i] + d for d in (-1, 0, 1)])))
     b = b.withColumns({f"_c{i}": F.col("cellb")[i] for i in range(len(coords))})
-    front = null_safe_join(a, b, [*by, *[f"_c{i}" for i in range(len(coords))]]).drop(*[f"_c{i}" for i in range(len(coords))]).withColumn("r", radius)
+    front = _met(a, b, [*by, *[f"_c{i}" for i in range(len(coords))]]).drop(*[f"_c{i}" for i in range(len(coords))]).withColumn("r", radius)
     least, most = _gaps(coords, metric)
     whole, leaves = [], []
     while True:
@@ -152,10 +156,10 @@ def within(
 
     up, up_spots = t.ancestors(places), t.ancestors(spots)
     totals = add(up_spots, [*by, "lev", "cell", *keys]).withColumnsRenamed({"lev": "levb", "cell": "cellb"})
-    given = add(null_safe_join(whole, totals, [*by, "levb", "cellb"]), [*by, "leva", "cella", "r", *keys])
-    first = null_safe_join(up.withColumnsRenamed({"lev": "leva", "cell": "cella"}), given, [*by, "leva", "cella"]).select(*by, *coords, "r", *keys, *merges)
+    given = add(_met(whole, totals, [*by, "levb", "cellb"]), [*by, "leva", "cella", "r", *keys])
+    first = _met(up.withColumnsRenamed({"lev": "leva", "cell": "cella"}), given, [*by, "leva", "cella"]).select(*by, *coords, "r", *keys, *merges)
     right = up_spots.withColumnsRenamed(renamed | {"lev": "levb", "cell": "cellb"}).withColumnsRenamed({f"_n_{c}": c for c in by})
-    pairs = null_safe_join(null_safe_join(leaves, up.withColumnsRenamed({"lev": "leva", "cell": "cella"}), [*by, "leva", "cella"]), right, [*by, "levb", "cellb"])
+    pairs = _met(_met(leaves, up.withColumnsRenamed({"lev": "leva", "cell": "cella"}), [*by, "leva", "cella"]), right, [*by, "levb", "cellb"])
     second = pairs.where(METRICS[metric](coords) <= F.col("r")).select(*by, *coords, "r", *[F.col(f"_n_{k}").alias(k) for k in keys], *[F.col(f"_n_{n}").alias(n) for n in merges])
     return add(first.unionByName(second), [*by, *coords, "r", *keys])
 
@@ -171,14 +175,14 @@ def nearest_other(places: DataFrame, by: Sequence[str], coords: Sequence[str], m
     spans = places.groupBy(*by).agg(*[(F.max(c) - F.min(c)).alias(c) for c in coords]).agg(*[F.max(c) for c in coords]).first()
     t = tree(places, by, coords, float(max([1e-9, *(x or 0.0 for x in spans)])), leaf)
     top = t.nodes.where("lev = 0")
-    front = null_safe_join(_side(top, by, "a"), _side(top, by, "b"), by) if by else _side(top, by, "a").withColumn("_one", F.lit(1)).join(_side(top, by, "b").withColumn("_one", F.lit(1)), "_one").drop("_one")
+    front = _met(_side(top, by, "a"), _side(top, by, "b"), by) if by else _side(top, by, "a").withColumn("_one", F.lit(1)).join(_side(top, by, "b").withColumn("_one", F.lit(1)), "_one").drop("_one")
     least, most = _gaps(coords, metric)
     other = (F.col("leva") != F.col("levb")) | (F.col("cella") != F.col("cellb"))
     done = []
     while True:
         front = materialize(front.withColumns({"_least": least, "_most": most}).where(other | (F.col("na") > 1)))
         bound = front.groupBy(*by, "leva", "cella").agg(F.min("_most").alias("_bound"))
-        front = _who_splits(null_safe_join(front, bound, [*by, "leva", "cella"]).where("_least <= _bound").drop("_bound"))
+        front = _who_splits(_met(front, bound, [*by, "leva", "cella"]).where("_least <= _bound").drop("_bound"))
         # a pair of leaves waits until its first cell's other partners are leaves, too
         front = materialize(front)
         rest = front.where(F.col("goa") | F.col("gob"))
@@ -189,7 +193,7 @@ def nearest_other(places: DataFrame, by: Sequence[str], coords: Sequence[str], m
     leaves = reduce(DataFrame.unionByName, done)
     up = t.ancestors(places)
     right = up.withColumnsRenamed({"lev": "levb", "cell": "cellb"} | {c: f"_n_{c}" for c in coords})
-    pairs = null_safe_join(null_safe_join(leaves, up.withColumnsRenamed({"lev": "leva", "cell": "cella"}), [*by, "leva", "cella"]), right, [*by, "levb", "cellb"])
+    pairs = _met(_met(leaves, up.withColumnsRenamed({"lev": "leva", "cell": "cella"}), [*by, "leva", "cella"]), right, [*by, "levb", "cellb"])
     dist = METRICS[metric](coords)
     out = materialize(pairs.withColumn("dist", dist).where("dist > 0").groupBy(*by, *coords).agg(F.min("dist").alias("nearest")))
     discard(places)
