@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabloom.operators.order import (
     group_transform, hash_order, hash_unit, null_safe_join, quantile_list, row_positions,
 )
-from tabloom.session import small_side
+from tabloom.session import materialize, small_side
 from tabloom.spec import SeriesSpec
 
 
 def series_means(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return df.groupBy(spec.series_id).agg(F.avg(spec.target).alias("_mean"))
+    """One row for each series, written once: what cuts and ranks them reads them several times."""
+    return materialize(df.groupBy(spec.series_id).agg(F.avg(spec.target).alias("_mean")))
 
 
 def _first(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -48,7 +49,7 @@ def sample_exact(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> Da
 def sample_series(df: DataFrame, spec: SeriesSpec, share: float, method: str = "random", seed: int = 0) -> DataFrame:
     """Rows of ``share`` of the series: at random, of largest mean, or of longest time span."""
     s, d = spec.series_id, spec.date_col
-    t = df.groupBy(s).agg(F.avg(spec.target).alias("target"), (F.max(F.unix_micros(d)) - F.min(F.unix_micros(d))).alias("timespan"))
+    t = materialize(df.groupBy(s).agg(F.avg(spec.target).alias("target"), (F.max(F.unix_micros(d)) - F.min(F.unix_micros(d))).alias("timespan")))
     n = int(t.count() * share)
     key = {"random": hash_order(s, seed=seed), "target": -F.col("target"), "timespan": -F.col("timespan")}[method]
     return df.join(_first(t.withColumn("_by", key), ["_by", s], n).select(s), s, "left_semi")

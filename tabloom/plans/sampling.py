@@ -6,6 +6,7 @@ from tabloom.operators import sampling as S
 from tabloom.operators.order import group_transform
 from tabloom.plans.fixtures import V_SCORES, V_SERIES
 from tabloom.plans.registry import query
+from tabloom.session import shuffled
 from tabloom.spec import SeriesSpec
 
 SPEC = SeriesSpec()
@@ -17,7 +18,7 @@ def N():
 
 
 def brand_days(t):
-    j = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    j = t.lineitem.join(shuffled(t.part), F.col("p_partkey") == F.col("l_partkey"))
     return j.groupBy("p_brand", F.col("l_shipdate").alias("d")).agg(F.sum("l_quantity").alias("v"))
 
 

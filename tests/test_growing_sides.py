@@ -1,8 +1,10 @@
 """Sides that grow with the data are joined by a shuffle, and small results of large jobs are worked out once."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from tabloom.operators import joins as J, models as M
+from tabloom.operators import joins as J, models as M, sampling as S
+from tabloom.spec import SeriesSpec
 
 
 def final_plan(df):
@@ -33,3 +35,25 @@ def test_radius_counts_by_shuffle_are_the_pairs(places):
     for r in rows[::50] + rows[-9:]:
         near = [abs(r.x - s.x) + abs(r.y - s.y) for s in rows if s.aisle == r.aisle]
         assert got[r.id] == tuple(sum(d <= e for d in near) - 1 for e in (3.0, 6.0))
+
+
+def reads_once(spark, job):
+    """How often ``job`` works out its input: every row of the input is counted when it is read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    x = spark.range(1000).selectExpr("cast(id % 20 as string) as s", "cast(date_add(date '2020-01-01', cast(id % 50 as int)) as timestamp) as d", "double(id % 13) as v")
+    job(x.mapInArrow(count, x.schema)).collect()
+    return seen.value / 1000
+
+
+SPEC = SeriesSpec("s", "d", "v")
+
+
+@pytest.mark.parametrize("job", [lambda x: S.top_series(x, SPEC, 5), lambda x: S.sample_series(x, SPEC, 0.4, "target")], ids=["top_series", "sample_series"])
+def test_series_are_chosen_from_means_worked_out_once(spark, job):
+    assert reads_once(spark, job) <= 2  # the means, and the rows of the chosen series
