@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.operators.joins import lattice
 from tabloom.operators.order import hash_order, quantile_list, row_positions
-from tabloom.session import small_side
+from tabloom.session import materialize, small_side
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -148,7 +148,7 @@ def assortment_value(sets: DataFrame, units: DataFrame, items: Sequence[str], it
     row = units.groupBy().pivot(item, list(items)).agg(F.sum(value))
     row = row.toDF(*[f"_u{i}" for i in range(len(items))])
     total = reduce(lambda a, b: a + b, [F.col(c) * F.coalesce(F.col(f"_u{i}"), F.lit(0.0)) for i, c in enumerate(items)])
-    scored = sets.crossJoin(F.broadcast(row)).select("set_id", total.alias("value"))
+    scored = materialize(sets.crossJoin(F.broadcast(row)).select("set_id", total.alias("value")))  # ranking reads it several times
     return row_positions(scored, ["value", "set_id"], name="rank", descending=True)
 
 

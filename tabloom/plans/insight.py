@@ -6,6 +6,7 @@ from tabloom.operators import decisions as D, effects as E, factor, models as M
 from tabloom.plans.aggregates import qcut_sql
 from tabloom.plans.fixtures import V_POINTS, V_PROBS, V_RUNS, V_SCORES, V_SURVIVAL, V_TOUCH, V_TRIPLES
 from tabloom.plans.registry import query
+from tabloom.session import shuffled
 
 
 def N():
@@ -217,7 +218,7 @@ ITEMS = ["ECONOMY", "PROMO", "STANDARD", "LARGE", "MEDIUM", "SMALL"]
     select set_id, value, row_number() over (order by value desc, set_id desc) as rank from v""",
 )
 def i14(t):
-    units = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy("p_type").agg(F.sum("l_quantity").alias("units"))
+    units = t.lineitem.join(shuffled(t.part), F.col("p_partkey") == F.col("l_partkey")).groupBy("p_type").agg(F.sum("l_quantity").alias("units"))
     return E.assortment_value(E.item_sets(t.part, ITEMS, [2, 3]), units, ITEMS, "p_type", "units")
 
 

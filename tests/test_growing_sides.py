@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import joins as J, models as M, sampling as S
+from tabloom.operators import effects as E, joins as J, models as M, sampling as S
 from tabloom.spec import SeriesSpec
 
 
@@ -57,3 +57,9 @@ SPEC = SeriesSpec("s", "d", "v")
 @pytest.mark.parametrize("job", [lambda x: S.top_series(x, SPEC, 5), lambda x: S.sample_series(x, SPEC, 0.4, "target")], ids=["top_series", "sample_series"])
 def test_series_are_chosen_from_means_worked_out_once(spark, job):
     assert reads_once(spark, job) <= 2  # the means, and the rows of the chosen series
+
+
+def test_an_assortment_is_ranked_from_values_worked_out_once(spark):
+    items = ["0", "1", "2"]
+    job = lambda x: E.assortment_value(E.item_sets(x, items, [2]), x.groupBy("s").agg(F.sum("v").alias("u")), items, "s", "u")
+    assert reads_once(spark, job) <= 1
