@@ -108,7 +108,9 @@ def best_option_by(df: DataFrame, options: Mapping[str, Sequence], score: Callab
     """:func:`best_option` for a score that is an expression of the option columns: found inside the row, without a shuffle.
 
     The options are nested loops over literal lists, so a combination is a number, its score, and only the best one is decoded.
+    Rows are dealt evenly first: a row is few bytes and much work, and tasks are cut by bytes.
     """
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def scores(names: list[str], chosen: dict[str, Column]) -> Column:
         *rest, last = names

@@ -63,3 +63,11 @@ def test_an_assortment_is_ranked_from_values_worked_out_once(spark):
     items = ["0", "1", "2"]
     job = lambda x: E.assortment_value(E.item_sets(x, items, [2]), x.groupBy("s").agg(F.sum("v").alias("u")), items, "s", "u")
     assert reads_once(spark, job) <= 1
+
+
+def test_options_of_a_small_file_are_scored_in_all_tasks(spark):
+    df = spark.range(64).withColumn("k", F.when(F.col("id") % 5 > 0, F.col("id") % 3)).coalesce(1)
+    out = E.best_option_by(df, {"a": [1, 2, 3], "b": [0, 5]}, lambda o: o["a"] * F.coalesce("k", F.lit(0)) - o["b"], "k")
+    got = sorted((r.k if r.k is not None else -1, r.a, r.b, r.score) for r in out.collect())
+    assert got == sorted((k, 3 if max(k, 0) else 1, 0, 3 * max(k, 0)) for k in (i % 3 if i % 5 else -1 for i in range(64)))
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
