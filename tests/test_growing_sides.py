@@ -71,3 +71,13 @@ def test_options_of_a_small_file_are_scored_in_all_tasks(spark):
     got = sorted((r.k if r.k is not None else -1, r.a, r.b, r.score) for r in out.collect())
     assert got == sorted((k, 3 if max(k, 0) else 1, 0, 3 * max(k, 0)) for k in (i % 3 if i % 5 else -1 for i in range(64)))
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_left_range_join_forms_its_pairs_once(spark):
+    l = spark.createDataFrame([(0, 10.2), (1, 10.7), (2, 11.5), (3, 40.0), (4, 7.0), (5, None), (6, 12.3), (7, 12.9)], "id long, p double").selectExpr("id", "timestamp_micros(cast(p * 1000000 as long)) as p")
+    r = spark.createDataFrame([(0, 10.5, 12.5), (1, 20.1, 20.2), (2, 6.9, 7.0), (3, 12.4, 12.6), (4, 50.0, 30.0), (5, 11.4, 11.6)], "k long, a double, b double")
+    r = r.selectExpr("k", "timestamp_micros(cast(a * 1000000 as long)) as a", "timestamp_micros(cast(b * 1000000 as long)) as b")
+    out = J.range_join(l, "p", r, "a", "b", "left")
+    assert sorted((x.id, -1 if x.k is None else x.k) for x in out.collect()) == [(0, -1), (1, 0), (2, 0), (2, 5), (3, -1), (4, 2), (5, -1), (6, 0), (7, -1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
