@@ -333,7 +333,7 @@ def m28(t):
     from tabloom.operators.order import group_transform
 
     y, p, _, a, e = cols()
-    m = group_transform(t.scores, ["grp"], {"y0": F.avg("y"), "a0": F.avg("actual")})
+    m = group_transform(t.scores, ["grp"], {"y0": F.avg("y"), "a0": F.avg("actual")}, few=True)
     pairs = {
         "LogLoss": (M.logloss(y, p), M.logloss(y, F.col("y0"))),
         "RMSE": (M.rmse(a, e), M.rmse(a, F.col("a0"))),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import effects as E, joins as J, models as M, sampling as S
+from tabloom.operators import effects as E, joins as J, models as M, order as O, sampling as S
 from tabloom.spec import SeriesSpec
 
 
@@ -81,3 +81,11 @@ def test_a_left_range_join_forms_its_pairs_once(spark):
     assert sorted((x.id, -1 if x.k is None else x.k) for x in out.collect()) == [(0, -1), (1, 0), (2, 0), (2, 5), (3, -1), (4, 2), (5, -1), (6, 0), (7, -1)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1
+
+
+def test_few_groups_meet_their_rows_without_a_shuffle(spark):
+    df = spark.range(300).selectExpr("id", "if(id % 3 = 0, null, id % 3) as g", "double(id) as v")
+    plain = lambda x: sorted((r.id, r.m) for r in x.select("id", F.round("m", 6).alias("m")).collect())
+    out = O.group_transform(df, ["g"], {"m": F.avg("v")}, few=True)
+    assert plain(out) == plain(O.group_transform(df, ["g"], {"m": F.avg("v")}))
+    assert "Exchange hashpartitioning" not in final_plan(out)
