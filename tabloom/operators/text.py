@@ -198,7 +198,8 @@ def char_vectors(words: DataFrame, word: str, vector: str, digits: int = 6) -> D
 
 def highlight_matches(df: DataFrame, doc: str, text: str, coefs: DataFrame, n: int = 2) -> DataFrame:
     """Terms (1..n words) with a coefficient that occur in a text: ``doc, term, coef, words``, longest first by ``words``."""
-    t = df.select(doc, F.explode(F.array_distinct(ngrams(tokens(F.col(text), stop=()), n))).alias("term"))
+    words = df.select(doc, tokens(F.col(text), stop=()).alias("_words"))  # a column: a generator works out an expression again wherever it stands
+    t = words.select(doc, F.explode(F.array_distinct(ngrams(F.col("_words"), n))).alias("term"))
     return t.join(small_side(coefs.select("term", "coef")), "term").select(doc, "term", "coef", F.regexp_count("term", F.lit(r"\S+")).alias("words"))
 
 
