@@ -30,8 +30,8 @@ def prune_vocab(triples: DataFrame, doc: str, min_count: int = 1, max_doc_share:
     docs = triples.select(doc).distinct().agg(F.count(F.lit(1)).alias("_d"))
     v = v.crossJoin(F.broadcast(docs)).filter((F.col("df") >= min_count) & (F.col("df") <= max_doc_share * F.col("_d")))
     if max_size:
-        v = row_positions(v, ["total", "term"], name="_p", descending=True).filter(F.col("_p") <= max_size)
-    return triples.join(v.select("term"), "term", "left_semi")
+        v = row_positions(materialize(v), ["total", "term"], name="_p", descending=True).filter(F.col("_p") <= max_size)
+    return triples.join(F.broadcast(v.select("term")) if max_size and max_size <= BROADCAST_ROWS else v.select("term"), "term", "left_semi")
 
 
 def tfidf(triples: DataFrame, doc: str) -> DataFrame:
