@@ -43,7 +43,7 @@ def tfidf(triples: DataFrame, doc: str) -> DataFrame:
     docs = triples.select(doc).distinct().agg(F.count(F.lit(1)).alias("_d"))
     freq = triples.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).crossJoin(F.broadcast(docs))
     idf = freq.select("term", (F.ln((1 + F.col("_d")) / (1 + F.col("_df"))) + 1).alias("_idf"))
-    w = triples.join(idf, "term").withColumn("_w", F.col("n") * F.col("_idf"))
+    w = triples.join(small_side(materialize(idf)), "term").withColumn("_w", F.col("n") * F.col("_idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return w.select(doc, "term", (F.col("_w") / norm).alias("weight"))
 
