@@ -6,7 +6,7 @@ from tabloom.operators import decisions as D, effects as E, factor, models as M
 from tabloom.plans.aggregates import qcut_sql
 from tabloom.plans.fixtures import V_POINTS, V_PROBS, V_RUNS, V_SCORES, V_SURVIVAL, V_TOUCH, V_TRIPLES
 from tabloom.plans.registry import query
-from tabloom.session import shuffled
+from tabloom.session import materialize, shuffled
 
 
 def N():
@@ -533,8 +533,8 @@ def i36(t):
 @query("I36_svd_reconstruction", f"with {V_TRIPLES} select project, item, round(score, 5) as value from v_triples", digits=5)
 def i36b(t):
     """As many components as there are items give back every cell."""
-    k = t.triples.select("item").distinct().count()
-    cells = t.triples
+    cells = materialize(t.triples)
+    k = cells.select("item").distinct().count()
     return factor.reconstruct(factor.svd(cells, "project", "item", "score", k), cells.select("project", "item"), "project", "item", k)
 
 

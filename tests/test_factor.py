@@ -80,3 +80,17 @@ def test_planted_synonyms_are_neighbours(spark):
     for t in range(4):
         others = {k: float(vec[f"s{t}"] @ x) for k, x in vec.items() if k[0] in "st" and k != f"s{t}"}
         assert max(others, key=others.get) == f"t{t}"
+
+
+def test_cells_of_a_product_stay_where_they_are(spark):
+    """Only the factor is sent to the blocks, whichever side it is on; many small blocks give the product of numpy."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(40, 25)) * (rng.random((40, 25)) < 0.4)
+    x = FA.blocks(triples(spark, m).withColumnRenamed("v", "value"), "r", "c")
+    ours = spark.createDataFrame([(f"r{i}", float(i), 1.0) for i in range(40)], "r string, f0 double, f1 double")
+    theirs = spark.createDataFrame([(f"c{j}", float(j), 1.0) for j in range(25)], "c string, f0 double, f1 double")
+    for factor, shared, out, want in ((theirs, "c", "r", m @ np.c_[range(25), np.ones(25)]), (ours, "r", "c", m.T @ np.c_[range(40), np.ones(40)])):
+        got = FA.times(x, factor, shared, out, 2)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(_block") == 1 and "Bucketed: true" in plan, plan
+        assert all(np.allclose([r.f0, r.f1], want[int(r[out][1:])]) for r in got.collect())
