@@ -109,3 +109,20 @@ def test_completion_reads_its_triples_once(spark):
     rows = [(u, i, float(u % 3 + i % 2 + 1)) for u in range(12) for i in range(5)]
     top, _ = M.complete_matrix(spark.createDataFrame(rows, "u long, i long, v double").mapInPandas(seen, "u long, i long, v double"), "u", "i", "v", 2)
     assert top.count() == 12 and read.value == 60
+
+
+def test_pmi_reads_its_pairs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    pairs = [("u", "u", 3), ("u", "v", 4), ("v", "w", 5), ("w", "w", 2)]
+    found = FA.shifted_pmi(spark.createDataFrame(pairs, "a string, b string, n long").mapInPandas(seen, "a string, b string, n long"))
+    each, total = {"u": 7, "v": 9, "w": 7}, 23
+    both = {(a, b): n for a, b, n in pairs} | {(b, a): n for a, b, n in pairs}
+    want = {k: np.log(n * total / (each[k[0]] * each[k[1]])) for k, n in both.items()}
+    got = {(r.a, r.b): r.value for r in found.collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v > 0}) and read.value == 4
