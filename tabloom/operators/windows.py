@@ -82,18 +82,10 @@ def lag_stats(df: DataFrame, by, order: str, col: str, windows: Sequence[int]) -
 
 def rolling_mode(df: DataFrame, by, order: Sequence[str], value: str, n: int, name: str = "mode", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Most frequent value of the last ``n`` rows, the smallest among equals: one window, no explosion."""
-
-    def build(w):
-        last = F.collect_list(value).over(w.rowsBetween(-(n - 1), 0))
-        return [{"_last": last}, {"_sorted": F.array_sort("_last")}, {name: sorted_mode(F.col("_sorted"))}]
-
-    return windowed(df, by, order, build, n - 1, 0, rows_per_task).drop("_last", "_sorted")
-
-
-def sorted_mode(s: Column) -> Column:
-    """Mode of a short sorted array, the smallest among equals."""
-    runs = F.transform(F.array_distinct(s), lambda v: F.struct((-F.size(F.filter(s, lambda x: x == v))).alias("k"), v.alias("v")))
-    return F.array_min(runs)["v"]
+    v = F.col(value)
+    if isinstance(df.schema[value].dataType, (T.FloatType, T.DoubleType)):
+        v = F.when(v == 0, F.lit(0).cast(df.schema[value].dataType)).otherwise(v)  # -0.0 is 0.0
+    return windowed(df, by, order, lambda w: {name: F.mode(v, deterministic=True).over(w.rowsBetween(-(n - 1), 0))}, n - 1, 0, rows_per_task)
 
 
 def running(df: DataFrame, by, order: str, col: str) -> DataFrame:

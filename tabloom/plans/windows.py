@@ -64,8 +64,9 @@ LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extend
     select l_suppkey, pos, l_quantity as mode from c qualify row_number() over (partition by l_suppkey, pos order by n desc, l_quantity) = 1""",
 )
 def w05(t):
-    m = W.rolling_mode(t.lineitem.select("l_suppkey", *LINE_ORDER), ["l_suppkey"], LINE_ORDER, "l_quantity", 10)
-    return O.row_positions(m, LINE_ORDER, ["l_suppkey"]).select("l_suppkey", "pos", "mode")
+    lines = t.lineitem.select("l_suppkey", *LINE_ORDER)
+    at = O.row_positions(lines, LINE_ORDER, ["l_suppkey"], even=O.even_keys(lines, ["l_suppkey"]))
+    return W.rolling_mode(at.select("l_suppkey", "pos", "l_quantity"), ["l_suppkey"], ["pos"], "l_quantity", 10).select("l_suppkey", "pos", "mode")
 
 
 @query(
