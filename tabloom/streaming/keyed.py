@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tabloom.operators.order import carry_last, prefix_sum
+from tabloom.operators.order import carry_last, even_keys, prefix_sum
 from tabloom.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -99,12 +99,13 @@ def session_stats(stream: DataFrame, t: str, keys: Sequence[str], value: str, ga
 
     land(stream, path, batch)
     parts = landed(spark, path)
+    even = even_keys(parts, keys)
     edges = parts.select(*keys, F.col("start").alias("at"), F.lit(1).alias("d")).unionByName(parts.select(*keys, F.col("end").alias("at"), F.lit(-1).alias("d")))
-    open_ = prefix_sum(edges, "at", {"d": F.col("d"), "begins": F.greatest(F.col("d"), F.lit(0))}, keys)
+    open_ = prefix_sum(edges, "at", {"d": F.col("d"), "begins": F.greatest(F.col("d"), F.lit(0))}, keys, even=even)
     first = open_.where((F.col("cum_d") - F.col("d") == 0) & (F.col("begins") > 0)).select(*keys, F.col("at").alias("start"), F.col("at").alias("_first"))
     marked = parts.withColumns({"_first": F.lit(None).cast(parts.schema["start"].dataType), "_side": F.lit(1)})
     both = marked.unionByName(first.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    found = carry_last(both, ["start", "_side"], ["_first"], keys).where("_side = 1")
+    found = carry_last(both, ["start", "_side"], ["_first"], keys, even=even).where("_side = 1")
     return found.groupBy(F.col("last__first").alias("start"), *keys).agg(F.max("end").alias("end"), F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 

@@ -1,10 +1,13 @@
 """Many small keys are windowed by the key alone, tasks hold a bounded number of rows, and small tables of months are written once."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import order as O, windows as W
 from tabloom.plans.registry import QUERIES, load_all
+from tabloom.streaming import jobs as J, keyed as K
 
 
 def plan(df):
@@ -83,3 +86,13 @@ def test_rolling_mode_of_zeros_nulls_and_nan(spark):
     got = [r.mode for r in W.rolling_mode(df, ["k"], ["t"], "v", 4).orderBy("t").collect()]
     assert [str(x).replace("-0.0", "0.0") for x in got] == ["1.0", "0.0", "0.0", "0.0", "0.0", "nan", "nan", "nan"]
     assert W.rolling_mode(df.where("v is null"), ["k"], ["t"], "v", 4).first().mode is None
+
+
+def test_sessions_of_many_users_need_no_slices(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(None if i % 300 == 9 else i % 300, start + dt.timedelta(minutes=(i * 131) % 5000), float(i % 9)) for i in range(3000)], "u long, t timestamp, v double")
+    df.repartition(4, "v").write.parquet(str(tmp_path / "in"))
+    got = K.session_stats(J.file_stream(spark, str(tmp_path / "in"), df.schema, max_files=1), "t", ["u"], "v", "30 minutes")
+    g = df.groupBy(F.session_window("t", "30 minutes").alias("w"), "u").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    assert rows(got) == rows(g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "u", "n", "total"))
+    assert "Join" not in plan(got)
