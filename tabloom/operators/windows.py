@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.operators.order import (
-    ROWS_PER_TASK, carry_last, group_transform, hot_key, null_safe_join, prefix_sum, ranks, row_positions, windowed,
+    ROWS_PER_TASK, carry_last, even_keys, group_transform, hot_key, null_safe_join, prefix_sum, ranks, row_positions, windowed,
 )
-from tabloom.session import materialize
+from tabloom.session import dealt, materialize
 
 
 def full_frame(agg: Column, w, n: int) -> Column:
@@ -129,9 +129,16 @@ def last_k_items(df: DataFrame, key: Sequence[str], t: str, item: str, k: int =
 
 
 def history_counts(df: DataFrame, key: Sequence[str], t: str, item: str, values: Sequence) -> DataFrame:
-    """Per purchase date, how often each item value occurred on earlier dates."""
+    """Per purchase date, how often each item value occurred on earlier dates.
+
+    Where keys are even, their rows are dealt by key once and counted there, in tasks whose number grows with the rows.
+    """
+    df = df.select(*key, t, item)
+    even = even_keys(df, key)
+    if even:
+        df = dealt(df, even, *key)
     sums = {f"n_{v}": F.when(F.col(item) == v, 1).otherwise(0) for v in values}
-    s = prefix_sum(df, t, sums, key)
+    s = prefix_sum(df, t, sums, key, even=even)
     return s.select(*key, t, *[(F.col(f"cum_{n}") - F.col(n)).alias(n) for n in sums])
 
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import order as O, windows as W
+from tabloom.plans.fixtures import Tables
 from tabloom.plans.registry import QUERIES, load_all
+from tabloom.session import dealt
 from tabloom.streaming import jobs as J, keyed as K
 
 
@@ -96,3 +98,22 @@ def test_sessions_of_many_users_need_no_slices(spark, tmp_path):
     g = df.groupBy(F.session_window("t", "30 minutes").alias("w"), "u").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
     assert rows(got) == rows(g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "u", "n", "total"))
     assert "Join" not in plan(got)
+
+
+def test_tasks_are_dealt_by_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    x = spark.range(100)
+    assert [dealt(x, n, "id").rdd.getNumPartitions() for n in (0, 100, 250_000 * (cores + 3))] == [cores, cores, cores + 3]
+
+
+def test_history_counts_are_dealt_by_key_once(spark, many, folder):
+    values = ["0", "1", "2"]
+    out = W.history_counts(many, ["k"], "t", "item", values)
+    assert plan(out).count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan(out) and "Join" not in plan(out)
+    uneven = W.history_counts(many.withColumn("k", F.col("id") % 2), ["k"], "t", "item", values)
+    for got, key in ((out, lambda r: r.k), (uneven, lambda r: r.id % 2)):
+        src = many.collect()
+        for r in got.collect()[::15]:
+            early = [x.item for x in src if key(x) == r.k and r.t is not None and (x.t is None or x.t < r.t)]
+            assert [r[f"n_{v}"] for v in values] == [early.count(v) for v in values]
+    assert plan(Tables(spark, folder).history).count("REPARTITION_BY_NUM") == 2  # the join and the distinct rows
