@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import order as O, windows as W
+from tabloom.plans.aggregates import brand_month
 from tabloom.plans.fixtures import Tables
 from tabloom.plans.registry import QUERIES, load_all
 from tabloom.session import dealt
@@ -117,3 +118,11 @@ def test_history_counts_are_dealt_by_key_once(spark, many, folder):
             early = [x.item for x in src if key(x) == r.k and r.t is not None and (x.t is None or x.t < r.t)]
             assert [r[f"n_{v}"] for v in values] == [early.count(v) for v in values]
     assert plan(Tables(spark, folder).history).count("REPARTITION_BY_NUM") == 2  # the join and the distinct rows
+
+
+def test_months_of_brands_are_written_once(spark, folder):
+    t = Tables(spark, folder)
+    months = brand_month(t)
+    assert "Join" not in plan(months) and "lineitem" not in plan(months)
+    sums = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("p_brand").alias("s"), F.date_trunc("month", "l_shipdate").alias("d")).agg(F.sum("l_quantity").alias("v"))
+    assert rows(months) == rows(sums)
