@@ -4,6 +4,8 @@ Cells of a level are halved into the next as long as they hold more than ``leaf`
 what they hold: if all of one lies within the radius of all of the other, its aggregates count as a whole; if none does, the pair is
 dropped; otherwise the larger cells are replaced by their halves.  Only pairs of leaves are compared position by position, so a dense
 place costs in proportion to its positions as long as they are dense against the radius.
+
+Medians don't add up, and lists of all neighbours' values grow with the square of the positions: :func:`middle_within` compares blocks of rows inside tasks.
 """
 
 from __future__ import annotations
@@ -12,13 +14,18 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabloom.operators.order import null_safe_join
+from tabloom.operators.order import null_safe_join, row_positions
 from tabloom.session import discard, materialize, shuffled
 
 LEAF = 64
 DEPTH = 40
+CHUNK = 20_000  # rows of a tile that are compared with as many others at a time
+CELLS = 250_000  # of a table of distances
 
 
 def l1(coords: Sequence[str], other: str = "_n_") -> Column:
@@ -164,6 +171,95 @@ def within(
     return add(first.unionByName(second), [*by, *coords, "r", *keys])
 
 
+def _compared(coords: Sequence[str], r: float, metric: str):
+    """What the rows ``ours`` find among the neighbours ``theirs``, a chunk of the tile: ``n`` rows other than their own from ``lo`` to ``hi``.
+
+    ``a`` and ``b`` are the values with the ranks ``_a`` and ``_b``, counted from 0 in this chunk; of a tile's only chunk those in the middle.
+    """
+    length = {"l1": lambda gaps: sum(np.abs(g) for g in gaps), "l2": lambda gaps: np.sqrt(sum(g**2 for g in gaps))}[metric]
+
+    def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        ids, chunk = (ours[c].to_numpy() for c in ("_id", "_chunk"))
+        rank = {x: pc.fill_null(ours[f"_{x}"], -1).to_numpy() for x in "ab"}
+        alone_at = ours["_chunks"].to_numpy() == 1
+        place = [ours[c].to_numpy() for c in coords]
+        order = np.lexsort((theirs["_n_id"].to_numpy(), theirs["_v"].to_numpy()))
+        v, k, other = (theirs[c].to_numpy()[order] for c in ("_v", "_many", "_n_id"))
+        there = [theirs[f"_n_{c}"].to_numpy()[order] for c in coords]
+        k = k.astype(np.int32 if k.sum() < 2**31 else np.int64)
+        by_id = np.argsort(other)
+        found = {"n": np.zeros(len(ids), np.int64), "at": np.full((len(ids), 4), -1)}
+        rows = np.lexsort(place[::-1])
+        step = max(1, CELLS // max(1, len(v)))
+        for i in range(0, len(rows) if len(v) else 0, step):
+            now = rows[i : i + step]
+            gaps = [np.maximum(np.maximum(x[now].min() - y, y - x[now].max()), 0) for x, y in zip(place, there, strict=True)]
+            some = np.flatnonzero(length(gaps) <= r)  # rounding is monotone: the others lie beyond r
+            if not len(some):
+                continue
+            w = (length([x[now][:, None] - y[some] for x, y in zip(place, there, strict=True)]) <= r) * k[some]
+            at = by_id[np.minimum(np.searchsorted(other, ids[now], sorter=by_id), len(v) - 1)]
+            to = np.minimum(np.searchsorted(some, at), len(some) - 1)
+            mine = np.flatnonzero((other[at] == ids[now]) & (some[to] == at) & (w[np.arange(len(now)), to] > 0))
+            w[mine, to[mine]] -= 1
+            upto = np.cumsum(w, axis=1, dtype=w.dtype)
+            n = upto[:, -1].astype(np.int64)
+            found["n"][now] = n
+            alone = alone_at[now] & (n > 0)
+            ranks = np.column_stack([np.where(n > 0, 0, -1), n - 1, np.where(alone, (n - 1) // 2, rank["a"][now]), np.where(alone, n // 2, rank["b"][now])]).astype(w.dtype)
+            found["at"][now] = np.where(ranks < 0, -1, some[[np.minimum(np.searchsorted(u, x, side="right"), len(some) - 1) for u, x in zip(upto, ranks, strict=True)]])
+        values = {c: pa.array(np.append(v, 0)[at], pa.float64(), mask=at < 0) for c, at in zip(("lo", "hi", "a", "b"), found["at"].T, strict=True)}
+        return pa.table({"_id": ids, "_chunk": chunk, "n": found["n"], **values})
+
+    return run
+
+
+def middle_within(spots: DataFrame, by: Sequence[str], coords: Sequence[str], r: float, value: str, count: str, metric: str = "l1", chunk: int = CHUNK) -> DataFrame:
+    """``spots`` with ``n, lo, hi, a, b``: how many other rows lie within ``r``, their least and greatest ``value`` and the two in the middle (the same if ``n`` is odd).
+
+    ``spots`` has a row for each position and value that stands for ``count`` rows; one of them is the row itself.  NULL groups are a group; rows with a
+    NULL value, or a NULL or NaN coordinate, are left out.  A tile, the rows of a cell of side ``r``, meets the rows of the cells around it in chunks, in order of
+    their value: what a task holds is bounded, no list of values leaves it, and where there are several chunks a second pass looks into the one with the middle.
+    """
+    by, coords = list(by), list(coords)
+    there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coords], F.col(value).isNotNull())
+    spots = materialize(spots.where(there).withColumn("_id", F.monotonically_increasing_id()))  # ids that the written table fixes
+    cells = [f"_c{i}" for i in range(len(coords))]
+    placed = spots.select("_id", *by, *[F.col(c).cast("double").alias(c) for c in coords], F.col(value).cast("double").alias("_v"), F.col(count).cast("long").alias("_many"), *[F.floor(F.col(c) / r).alias(i) for c, i in zip(coords, cells, strict=True)])
+
+    def around(df: DataFrame) -> DataFrame:
+        for c in cells:
+            df = df.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+        return df
+
+    parts = lambda c: F.ceil(F.col(c) / F.lit(chunk)).cast("int")
+    here = materialize(placed.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("_n")))
+    near = around(here).groupBy(*by, *cells).agg(F.sum("_n").alias("_m"))
+    tiles = materialize(_met(here, near, [*by, *cells]).select(*by, *cells, parts("_n").alias("_blocks"), parts("_m").alias("_chunks"), F.monotonically_increasing_id().alias("_tile")))
+    ours = _met(placed, tiles, [*by, *cells]).select("_id", *coords, "_tile", "_chunks", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int").alias("_block"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"))
+    theirs = _met(placed, around(tiles), [*by, *cells]).select("_id", *coords, "_v", "_many", "_tile", "_blocks", "_chunks")
+    several = not tiles.where("_chunks > 1").isEmpty()
+    if several:
+        dealt = row_positions(theirs.where("_chunks > 1"), ["_v", "_id"], ["_tile"], name="_pos").withColumn("_chunk", F.floor((F.col("_pos") - 1) / chunk).cast("int")).drop("_pos")
+        theirs = materialize(theirs.where("_chunks = 1").withColumn("_chunk", F.lit(0)).unionByName(dealt))
+    else:
+        theirs = theirs.withColumn("_chunk", F.lit(0))
+    theirs = theirs.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks", "_chunks")
+    theirs = theirs.withColumnsRenamed({c: f"_n_{c}" for c in coords} | {"_id": "_n_id", "_tile": "_n_tile"})
+    keys, kinds = ["_tile", "_block", "_chunk"], "_id long, _chunk int, n long, lo double, hi double, a double, b double"
+    met = lambda x: x.groupBy(*keys).cogroup(theirs.groupBy("_n_tile", *keys[1:])).applyInArrow(_compared(coords, float(r), metric), kinds)
+    found = met(ours.withColumns({"_a": F.lit(None).cast("long"), "_b": F.lit(None).cast("long")}))
+    if several:
+        found = materialize(found)
+        each = Window.partitionBy("_id")
+        total, before = F.sum("n").over(each), F.coalesce(F.sum("n").over(each.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranks = {c: F.when((x >= before) & (x < before + F.col("n")), x - before) for c, x in (("_a", F.floor((total - 1) / 2)), ("_b", F.floor(total / 2)))}
+        aim = found.select("_id", "_chunk", "n", "a", *[x.alias(c) for c, x in ranks.items()]).where("a is null and (_a is not null or _b is not null)").select("_id", "_chunk", "_a", "_b")
+        second = met(ours.join(shuffled(aim), ["_id", "_chunk"])).select("_id", F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("double").alias(c) for c in ("lo", "hi")], "a", "b")
+        found = found.drop("_chunk").unionByName(second).groupBy("_id").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), *[F.max(c).alias(c) for c in ("hi", "a", "b")])
+    return spots.join(shuffled(found.drop("_chunk")), "_id").drop("_id")
+
+
 def nearest_other(places: DataFrame, by: Sequence[str], coords: Sequence[str], metric: str = "l1", leaf: int = 16) -> DataFrame:
     """``by, coords, nearest``: the distance of each distinct position to the closest other one of its group.
 
